@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from revmatch.session import spread
+
 REVIEWERS = 5
 
 
@@ -12,6 +14,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread(table(spark, sf_dir, "documents"))
+
+
 def round_of(column: str):
     """Two rounds; the first holds two thirds of the rows."""
     return F.when(F.col(column) % 3 == 0, "B").otherwise("A")
@@ -20,7 +26,7 @@ def round_of(column: str):
 def raw_submissions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """As an export: all text columns, topics joined by semicolons."""
     title = F.substring_index("text", "\n", 1)
-    return table(spark, sf_dir, "documents").select(
+    return documents(spark, sf_dir).select(
         F.col("doc_id").cast("string").alias("paper"), title.alias("title"), F.lit("").alias("preference"),
         F.expr("substring(text, length(substring_index(text, '\n', 1)) + 2)").alias("abstract"),
         F.concat("lang", F.lit(" ; "), "source", F.lit(";")).alias("topics"))

@@ -20,12 +20,14 @@ def term_arrays(df: DataFrame, keys: list[str], text: str, stop: Sequence[str])
     """
     start_of_run = lambda i: (i == 1) | (
         F.element_at("_sorted", i) != F.element_at("_sorted", F.greatest(i - 1, F.lit(1))))
+    none = F.expr("cast(array() as array<int>)")
     return (
         with_terms(df.select(*keys, F.col(text).alias("_text")), "_text", "_terms", stop)
-        .filter(F.size("_terms") > 0)
         .select(*keys, F.sort_array("_terms").alias("_sorted"))
-        .withColumn("_starts", F.filter(F.sequence(F.lit(1), F.size("_sorted")), start_of_run))
-        .withColumn("_ends", F.concat(F.slice("_starts", 2, F.size("_starts")), F.array(F.size("_sorted") + 1)))
+        .withColumn("_at", F.when(F.size("_sorted") > 0, F.sequence(F.lit(1), F.size("_sorted"))).otherwise(none))
+        .withColumn("_starts", F.filter("_at", start_of_run))
+        .withColumn("_ends", F.when(F.size("_starts") > 0, F.concat(
+            F.slice("_starts", 2, F.size("_starts")), F.array(F.size("_sorted") + 1))).otherwise(none))
         .select(*keys,
                 F.transform("_starts", lambda i: F.element_at("_sorted", i)).alias("term"),
                 F.zip_with("_starts", "_ends", lambda a, b: b - a).alias("tf"))
@@ -33,9 +35,13 @@ def term_arrays(df: DataFrame, keys: list[str], text: str, stop: Sequence[str])
 
 
 def postings(arrays: DataFrame, keys: list[str]) -> DataFrame:
-    """One row per (text, term)."""
-    rows = arrays.select(*keys, F.explode(F.arrays_zip("term", "tf")).alias("_p"))
-    return rows.select(*keys, F.col("_p.term").alias("term"), F.col("_p.tf").alias("tf"))
+    """One row per (text, term).
+
+    The outer form, because the plain one infers a filter on the array, which is pushed below
+    the projections that build it and makes every text be cut into terms again.
+    """
+    rows = arrays.select(*keys, F.explode_outer(F.arrays_zip("term", "tf")).alias("_p"))
+    return rows.filter(F.col("_p").isNotNull()).select(*keys, F.col("_p.term").alias("term"), F.col("_p.tf").alias("tf"))
 
 
 def pool_sizes(submissions: DataFrame) -> DataFrame:
