@@ -36,8 +36,10 @@ class BatchScorer:
 
 
 def _jaccard(a: Column, b: Column) -> Column:
-    shared = F.size(F.array_intersect(a, b))
-    return F.coalesce(shared / F.nullif(F.size(a) + F.size(b) - shared, F.lit(0)), F.lit(0.0))
+    """A one-element transform binds the intersection size, so it is computed once per pair."""
+    shared = F.array(F.size(F.array_intersect(a, b)))
+    share = F.transform(shared, lambda s: s / F.nullif(F.size(a) + F.size(b) - s, F.lit(0)))[0]
+    return F.coalesce(share, F.lit(0.0))
 
 
 # Stand-in for a neural scorer: overlap of the two token sets.
@@ -68,7 +70,7 @@ def candidate_pairs(shortlisted: DataFrame, subs: DataFrame, papers: DataFrame,
 
     ``subs`` has (round_id, paper, sub_side) and ``papers`` (round_id, reviewer_id, paper_key, paper_side).
     """
-    rows, cols = options.cell_submissions, options.cell_papers
+    rows, cols = options.pair_cell, options.pair_cell
     length, n_papers = shortlist_length(F.col("n_subs"), options), F.col("n_papers")
     chosen = shortlisted.filter("is_candidate").select(*K, PAPER, "n_subs", "n_papers").join(subs, [ROUND, PAPER])
     left = place_rows(chosen, [PAPER], length, n_papers, rows, cols).drop("n_subs")

@@ -37,28 +37,36 @@ def _cells(subs: DataFrame, papers: DataFrame, rounds: DataFrame, roster: DataFr
     return left.drop("n_subs", "n_papers"), right.drop("n_subs", "n_papers", "_part", "_own_papers")
 
 
-def sparse_pairs(sub_weights: DataFrame, paper_weights: DataFrame, rounds: DataFrame, roster: DataFrame,
-                 options: RunOptions) -> DataFrame:
-    """Cosine of every submission and paper that share a term.
+def sparse_dots(sub_weights: DataFrame, paper_weights: DataFrame, rounds: DataFrame, roster: DataFrame,
+                options: RunOptions) -> DataFrame:
+    """Products of raw submission weights and unit paper weights, summed per pair that shares a term.
 
     Both sides are shuffled once, by cell; products are added up inside the cell's task and
-    never travel. Products are added as integers, so any order gives the same cosine.
+    never travel. Products are added as integers, so any order gives the same sum.
+    ``sub_weights`` needs only the terms some paper has; the length of a submission's vector is
+    the same for all papers and divided out later.
     """
-    used = paper_weights.select(ROUND, "term").distinct()
-    left, right = _cells(sub_weights.join(used, [ROUND, "term"], "left_semi"), paper_weights, rounds, roster, options)
+    left, right = _cells(sub_weights, paper_weights, rounds, roster, options)
     cell = [ROUND, *CELL]
     product = F.floor(F.col("w") * F.col("_pw") * 1e12 + F.lit(0.5))
     pairs = left.repartition(*cell).join(
         right.withColumnRenamed("w", "_pw").repartition(*cell), [*cell, "term"])
-    return pairs.groupBy(*cell, PAPER, REVIEWER, PAPER_KEY).agg(
-        (F.floor(F.sum(product) / F.lit(1e3) + F.lit(0.5)) / F.lit(1e9)).alias("sim"))
+    return pairs.groupBy(*cell, PAPER, REVIEWER, PAPER_KEY).agg((F.sum(product) / F.lit(1e12)).alias("dot"))
+
+
+def sparse_pairs(sub_weights: DataFrame, sub_norms: DataFrame, paper_weights: DataFrame, rounds: DataFrame,
+                 roster: DataFrame, options: RunOptions) -> DataFrame:
+    """Cosine of every submission and paper that share a term."""
+    dots = sparse_dots(sub_weights, paper_weights, rounds, roster, options)
+    return dots.join(sub_norms, [ROUND, PAPER]).select(
+        *K, PAPER, PAPER_KEY, round9(F.col("dot") / F.col("norm")).alias("sim"))
 
 
 def sparse_tops(sub_weights: DataFrame, paper_weights: DataFrame, rounds: DataFrame, roster: DataFrame,
                 options: RunOptions, k: int = TOP_PAPERS) -> DataFrame:
-    """At most k best cosines per submission and reviewer and cell; a list is bounded by the cell's papers."""
-    pairs = sparse_pairs(sub_weights, paper_weights, rounds, roster, options)
-    grouped = pairs.groupBy(ROUND, *CELL, PAPER, REVIEWER).agg(top_values(F.collect_list("sim"), k).alias("top"))
+    """At most k best products per submission and reviewer and cell; a list is bounded by the cell's papers."""
+    dots = sparse_dots(sub_weights, paper_weights, rounds, roster, options)
+    grouped = dots.groupBy(ROUND, *CELL, PAPER, REVIEWER).agg(top_values(F.collect_list("dot"), k).alias("top"))
     return grouped.select(*K, PAPER, "top")
 
 
@@ -142,10 +150,14 @@ def topk_mean(tops: DataFrame, pool: DataFrame, k: int = TOP_PAPERS) -> DataFram
 
     The pool rows are united with the partial tops and reduced in one aggregation, which
     stands in for a left join and shuffles each side once. A list holds k values per cell.
+    A ``norm`` column in the pool is the length the tops still have to be divided by.
     """
     carried = [c for c in pool.columns if c not in (*K, PAPER)]
     united = tops.select(*K, PAPER, "top").unionByName(pool, allowMissingColumns=True)
     merged = united.groupBy(*K, PAPER).agg(
         merge_tops(F.collect_list("top"), k).alias("_top"), *[F.max(c).alias(c) for c in carried])
+    if "norm" in carried:
+        merged = merged.withColumn("_top", F.transform("_top", lambda x: round9(x / F.col("norm"))))
     places = F.greatest(F.least(F.lit(k), F.col("n_papers")), F.lit(1))
-    return merged.select(*K, PAPER, round9(top_mean(F.col("_top"), places)).alias("sim"), *carried)
+    return merged.select(
+        *K, PAPER, round9(top_mean(F.col("_top"), places)).alias("sim"), *[c for c in carried if c != "norm"])

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from revmatch.functions.text import with_terms
@@ -40,8 +40,8 @@ def postings(arrays: DataFrame, keys: list[str]) -> DataFrame:
     The outer form, because the plain one infers a filter on the array, which is pushed below
     the projections that build it and makes every text be cut into terms again.
     """
-    rows = arrays.select(*keys, F.explode_outer(F.arrays_zip("term", "tf")).alias("_p"))
-    return rows.filter(F.col("_p").isNotNull()).select(*keys, F.col("_p.term").alias("term"), F.col("_p.tf").alias("tf"))
+    rows = arrays.select(*keys, "tf", F.posexplode_outer("term").alias("_at", "term"))
+    return rows.filter(F.col("term").isNotNull()).select(*keys, "term", F.col("tf")[F.col("_at")].alias("tf"))
 
 
 def pool_sizes(submissions: DataFrame) -> DataFrame:
@@ -60,18 +60,36 @@ def vocabulary(posted: DataFrame, pools: DataFrame, min_df: int = MIN_DF, max_df
     )
 
 
-def weights(posted: DataFrame, vocab: DataFrame, doc: list[str]) -> DataFrame:
-    """Unit-length weights of each text in the vocabulary of its pool.
+def raw_weights(posted: DataFrame, vocab: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Weights before scaling to unit length, with further vocabulary columns if asked for.
 
     The vocabulary side has one row per key, so a frequent term is only heavy on the postings
-    side, which adaptive execution splits. Squares are summed as integers: the norm, and with
-    it every tie, is the same for any partitioning.
+    side, which adaptive execution splits.
     """
-    raw = posted.join(vocab.select(ROUND, "term", "idf"), [ROUND, "term"]).withColumn(
-        "_w", (1 + F.log("tf")) * F.col("idf"))
-    square = F.floor(F.col("_w") * F.col("_w") * 1e10 + F.lit(0.5))
-    norm = F.sqrt(F.sum(square).over(Window.partitionBy(*doc)) / F.lit(1e10))
-    return raw.select(*doc, "term", (F.col("_w") / norm).alias("w"))
+    weight = (1 + F.log("tf")) * F.col("idf")
+    return posted.join(vocab.select(ROUND, "term", "idf", *keep), [ROUND, "term"]).withColumn("w", weight).drop("tf", "idf")
+
+
+def _square() -> Column:
+    """Squares are summed as integers: a length, and with it every tie, is the same for any partitioning."""
+    return F.floor(F.col("w") * F.col("w") * 1e10 + F.lit(0.5))
+
+
+def mark_shared(vocab: DataFrame, paper_weights: DataFrame) -> DataFrame:
+    """Flag the vocabulary terms that occur in a paper; the others only matter for vector lengths."""
+    used = paper_weights.select(ROUND, "term").distinct().withColumn("shared", F.lit(True))
+    return vocab.join(used, [ROUND, "term"], "left").withColumn("shared", F.coalesce("shared", F.lit(False)))
+
+
+def norms(raw: DataFrame, doc: list[str], out: str = "norm") -> DataFrame:
+    """Length of each text's vector; texts still sit together after a broadcast join, so partial sums do the work."""
+    return raw.groupBy(*doc).agg(F.sqrt(F.sum(_square()) / F.lit(1e10)).alias(out))
+
+
+def weights(posted: DataFrame, vocab: DataFrame, doc: list[str]) -> DataFrame:
+    """Unit-length weights of each text in the vocabulary of its pool."""
+    norm = F.sqrt(F.sum(_square()).over(Window.partitionBy(*doc)) / F.lit(1e10))
+    return raw_weights(posted, vocab).select(*doc, "term", (F.col("w") / norm).alias("w"))
 
 
 def top_terms(paper_weights: DataFrame, roster: DataFrame, k: int = TOP_TERMS) -> DataFrame:

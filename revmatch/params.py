@@ -52,7 +52,8 @@ class ScoringParams:
 class RunOptions:
     """What to run, and how finely to cut the work.
 
-    ``cell_submissions`` x ``cell_papers`` bounds one cell of the similarity grid.
+    ``cell_submissions`` x ``cell_papers`` bounds one cell of the similarity grid, and
+    ``pair_cell`` squared one cell of jointly scored pairs.
     Pools above ``pool_limit`` submissions are ranked by value buckets instead of one
     window per pool. Both only steer the physical plan; results do not depend on them.
     """
@@ -62,8 +63,9 @@ class RunOptions:
     rerank_topn: int | None = None
     min_papers: int = MIN_PAPERS
     strict: bool = False
-    cell_submissions: int = 1024
+    cell_submissions: int = 512
     cell_papers: int = 1024
+    pair_cell: int = 256
     pool_limit: int = 2_000_000
 
     def __post_init__(self):

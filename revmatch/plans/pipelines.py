@@ -44,9 +44,10 @@ class Prepared:
 
 @dataclass(frozen=True)
 class SparseSide:
-    vocabulary: DataFrame
-    sub_weights: DataFrame
-    paper_weights: DataFrame
+    vocabulary: DataFrame       # round_id, term, df, idf
+    sub_weights: DataFrame      # round_id, paper, term, w (raw), only terms some paper has
+    sub_norms: DataFrame        # round_id, paper, norm
+    paper_weights: DataFrame    # round_id, reviewer_id, paper_key, term, w (unit length)
 
 
 def prepare(submissions: DataFrame, papers: DataFrame, interests: DataFrame | None = None,
@@ -79,16 +80,20 @@ def sparse_side(prep: Prepared, stop_words: Sequence[str] | None = None) -> Spar
     vocab = materialize(tfidf.vocabulary(posted, fitted), "vocabulary")
     paper_posted = tfidf.postings(tfidf.term_arrays(prep.papers, paper, "text", stop), paper)
     paper_weights = materialize(tfidf.weights(paper_posted, vocab, paper), "paper_weights")
-    return SparseSide(vocab, tfidf.weights(posted, vocab, doc), paper_weights)
+    raw = tfidf.raw_weights(posted, materialize(tfidf.mark_shared(vocab, paper_weights), "shared_vocabulary"), ("shared",))
+    return SparseSide(vocab, raw.filter("shared").drop("shared"), tfidf.norms(raw, doc), paper_weights)
 
 
 def paper_top_terms(prep: Prepared, sparse: SparseSide) -> DataFrame:
     return tfidf.top_terms(sparse.paper_weights, prep.roster)
 
 
-def pool_with_topics(prep: Prepared, options: RunOptions, fitted_only: bool = True) -> DataFrame:
-    """One row per reviewer and submission with the topic base."""
-    rounds = prep.rounds.filter("fits") if fitted_only else prep.rounds
+def pool_with_topics(prep: Prepared, options: RunOptions, sub_norms: DataFrame | None = None) -> DataFrame:
+    """One row per reviewer and submission with the topic base.
+
+    With ``sub_norms`` (sparse methods) only rounds that could be fitted take part.
+    """
+    rounds = prep.rounds if sub_norms is None else prep.rounds.filter("fits")
     reviewers = prep.roster
     if prep.interests is not None:
         reviewers = reviewers.join(rating_maps(prep.interests), REVIEWER, "left")
@@ -97,19 +102,22 @@ def pool_with_topics(prep: Prepared, options: RunOptions, fitted_only: bool = Tr
     topics = (F.coalesce(F.col("topics"), F.expr("cast(array() as array<string>)"))
               if "topics" in prep.submissions.columns else F.expr("cast(array() as array<string>)"))
     subs = prep.submissions.select(ROUND, PAPER, topics.alias("topics"))
+    extra = []
+    if sub_norms is not None:
+        subs, extra = subs.join(sub_norms, [ROUND, PAPER], "left"), ["norm"]
     pool = with_topic_base(similarity.pool_rows(subs, reviewers, rounds, options))
-    return pool.select(*K, PAPER, "topic_base", "n_subs", "n_papers")
+    return pool.select(*K, PAPER, "topic_base", "n_subs", "n_papers", *extra)
 
 
-def _scores(prep: Prepared, tops: DataFrame, options: RunOptions, fitted_only: bool) -> DataFrame:
-    pool = pool_with_topics(prep, options, fitted_only)
+def _scores(prep: Prepared, tops: DataFrame, options: RunOptions, sub_norms: DataFrame | None = None) -> DataFrame:
+    pool = pool_with_topics(prep, options, sub_norms)
     with session_conf(pool.sparkSession, similarity.CELL_JOIN_CONF):
         return materialize(similarity.topk_mean(tops, pool), "scores")
 
 
 def _tfidf_scores(prep: Prepared, options: RunOptions, sparse: SparseSide) -> DataFrame:
     tops = similarity.sparse_tops(sparse.sub_weights, sparse.paper_weights, prep.rounds, prep.roster, options)
-    return _scores(prep, tops, options, fitted_only=True)
+    return _scores(prep, tops, options, sparse.sub_norms)
 
 
 def _rerank_scores(prep: Prepared, options: RunOptions, sparse: SparseSide,
@@ -145,7 +153,7 @@ def semantic_scores(prep: Prepared, options: RunOptions = RunOptions(), *, spars
         if vectors is None:
             raise ValueError("method 'embedding' needs submission and paper vectors")
         tops = similarity.dense_tops(*vectors, prep.rounds, prep.roster, options)
-        return _scores(prep, tops, options, fitted_only=False)
+        return _scores(prep, tops, options)
     sparse = sparse or sparse_side(prep, stop_words)
     if options.method == "rerank":
         return _rerank_scores(prep, options, sparse, scorer)
