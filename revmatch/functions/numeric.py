@@ -38,8 +38,8 @@ def parse_rating(raw: Column) -> Column:
     """Rating text to an int in [-2, 2]; blank, NaN and non-numbers give 0."""
     text = F.regexp_replace(F.coalesce(raw, F.lit("")), r"^[\t-\r\x1c-\x20\x{85}\p{Z}]+|[\t-\r\x1c-\x20\x{85}\p{Z}]+$", "")
     number = F.when(text.rlike(_NUMBER), F.replace(text, F.lit("_"), F.lit("")).try_cast("double"))
-    bounded = clamp(F.nanvl(number, F.lit(0.0)), float(RATING_MIN), float(RATING_MAX))
-    return F.coalesce(round_half_even(bounded), F.lit(0.0)).cast("int")
+    known = F.coalesce(F.nanvl(number, F.lit(0.0)), F.lit(0.0))
+    return round_half_even(clamp(known, float(RATING_MIN), float(RATING_MAX))).cast("int")
 
 
 def affinity(rating: Column) -> Column:

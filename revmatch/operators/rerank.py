@@ -87,15 +87,16 @@ def pair_score(pairs: DataFrame, scorer: ColumnScorer | BatchScorer = TOKEN_OVER
     kept = [c for c in pairs.columns if c not in ("paper_side", "sub_side")]
     schema = ", ".join(f"{c} {pairs.schema[c].dataType.simpleString()}" for c in kept) + ", pair_sim double"
 
+    load, batch = scorer.load, scorer.batch
+
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         predict = None
         for frame in frames:
             if frame.empty:
                 continue
-            predict = predict or scorer.load()
+            predict = predict or load()
             a, b = frame["paper_side"].tolist(), frame["sub_side"].tolist()
-            parts = [np.asarray(predict(a[i:i + scorer.batch], b[i:i + scorer.batch]), dtype="float64")
-                     for i in range(0, len(a), scorer.batch)]
+            parts = [np.asarray(predict(a[i:i + batch], b[i:i + batch]), dtype="float64") for i in range(0, len(a), batch)]
             yield frame[kept].assign(pair_sim=np.floor(np.concatenate(parts) * 1e9 + 0.5) / 1e9)
 
     return pairs.mapInPandas(run, schema)

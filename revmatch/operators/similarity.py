@@ -6,8 +6,6 @@ and reviewer (n_papers); both are small written tables, so their joins broadcast
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -70,14 +68,24 @@ def sparse_tops(sub_weights: DataFrame, paper_weights: DataFrame, rounds: DataFr
     return grouped.select(*K, PAPER, "top")
 
 
-def _matrix(column: pa.ChunkedArray, rows: int) -> np.ndarray:
-    flat = column.combine_chunks().flatten().to_numpy(zero_copy_only=False)
-    return flat.reshape(rows, -1).astype("float64")
+def _cosine_kernel():
+    """Cosines of two Arrow tables with a ``vec`` column; a local function, so tasks need no import."""
+
+    def unit(table: pa.Table) -> np.ndarray:
+        flat = table["vec"].combine_chunks().flatten().to_numpy(zero_copy_only=False)
+        matrix = flat.reshape(table.num_rows, -1).astype("float64")
+        norm = np.sqrt((matrix * matrix).sum(axis=1, keepdims=True))
+        return np.divide(matrix, norm, out=np.zeros_like(matrix), where=norm > 0)
+
+    def cosines(left: pa.Table, right: pa.Table) -> np.ndarray:
+        return np.floor(unit(left) @ unit(right).T * 1e9 + 0.5) / 1e9
 
+    return cosines
 
-def _unit(matrix: np.ndarray) -> np.ndarray:
-    norm = np.sqrt((matrix * matrix).sum(axis=1, keepdims=True))
-    return np.divide(matrix, norm, out=np.zeros_like(matrix), where=norm > 0)
+
+def _schema(columns: list[str], left: DataFrame, right: DataFrame, extra: str) -> str:
+    types = {f.name: f.dataType.simpleString() for f in (*left.schema, *right.schema)}
+    return ", ".join([f"{c} {types[c]}" for c in columns] + [extra])
 
 
 def dense_tops(sub_vectors: DataFrame, paper_vectors: DataFrame, rounds: DataFrame, roster: DataFrame,
@@ -87,29 +95,28 @@ def dense_tops(sub_vectors: DataFrame, paper_vectors: DataFrame, rounds: DataFra
     One bounded matrix product per cell; only the best k leave the task.
     """
     left, right = _cells(sub_vectors, paper_vectors, rounds, roster, options)
-    cell = [ROUND, *CELL]
-    types = {f.name: f.dataType.simpleString() for f in (*left.schema, *right.schema)}
+    cosines, cell = _cosine_kernel(), [ROUND, *CELL]
+    names = {"round": ROUND, "reviewer": REVIEWER, "paper": PAPER}
 
     def best(subs: pa.Table, papers: pa.Table) -> pa.Table:
-        names = [ROUND, REVIEWER, PAPER, "top"]
         if subs.num_rows == 0 or papers.num_rows == 0:
-            return pa.table({n: [] for n in names})
-        sims = _unit(_matrix(subs["vec"], subs.num_rows)) @ _unit(_matrix(papers["vec"], papers.num_rows)).T
-        sims = np.floor(sims * 1e9 + 0.5) / 1e9
-        reviewers = papers[REVIEWER].combine_chunks().dictionary_encode()
+            return pa.table({n: [] for n in (*names.values(), "top")})
+        sims = cosines(subs, papers)
+        reviewers = papers[names["reviewer"]].combine_chunks().dictionary_encode()
         codes = reviewers.indices.to_numpy(zero_copy_only=False)
         out = []
         for code, reviewer in enumerate(reviewers.dictionary):
-            block = sims[:, codes == code]
-            top = -np.sort(-block, axis=1)[:, :k] if block.shape[1] <= k else -np.sort(np.partition(-block, k - 1, axis=1)[:, :k], axis=1)
-            width = top.shape[1]
-            lists = pa.ListArray.from_arrays(np.arange(0, top.size + 1, width, dtype="int32"), top.ravel())
+            block = -sims[:, codes == code]
+            width = min(k, block.shape[1])
+            top = -np.sort(np.partition(block, width - 1, axis=1)[:, :width], axis=1)
             out.append(pa.table({
-                ROUND: subs[ROUND], REVIEWER: pa.array([reviewer.as_py()] * subs.num_rows, papers[REVIEWER].type),
-                PAPER: subs[PAPER], "top": lists}))
+                names["round"]: subs[names["round"]],
+                names["reviewer"]: pa.array([reviewer.as_py()] * subs.num_rows, papers[names["reviewer"]].type),
+                names["paper"]: subs[names["paper"]],
+                "top": pa.ListArray.from_arrays(np.arange(0, top.size + 1, width, dtype="int32"), top.ravel())}))
         return pa.concat_tables(out)
 
-    schema = f"{ROUND} {types[ROUND]}, {REVIEWER} {types[REVIEWER]}, {PAPER} {types[PAPER]}, top array<double>"
+    schema = _schema([ROUND, REVIEWER, PAPER], left, right, "top array<double>")
     return left.groupBy(*cell).cogroup(right.groupBy(*cell)).applyInArrow(best, schema)
 
 
@@ -117,22 +124,20 @@ def dense_pairs(sub_vectors: DataFrame, paper_vectors: DataFrame, rounds: DataFr
                 options: RunOptions) -> DataFrame:
     """Cosine of every submission and paper vector, cell by cell."""
     left, right = _cells(sub_vectors, paper_vectors, rounds, roster, options)
-    cell = [ROUND, *CELL]
-    types = {f.name: f.dataType.simpleString() for f in (*left.schema, *right.schema)}
+    cosines, cell = _cosine_kernel(), [ROUND, *CELL]
+    sub_side, paper_side = [ROUND, PAPER], [REVIEWER, PAPER_KEY]
 
-    def cosines(subs: pa.Table, papers: pa.Table) -> pa.Table:
+    def every(subs: pa.Table, papers: pa.Table) -> pa.Table:
         if subs.num_rows == 0 or papers.num_rows == 0:
-            return pa.table({n: [] for n in (ROUND, REVIEWER, PAPER, PAPER_KEY, "sim")})
-        sims = _unit(_matrix(subs["vec"], subs.num_rows)) @ _unit(_matrix(papers["vec"], papers.num_rows)).T
+            return pa.table({n: [] for n in (*sub_side, *paper_side, "sim")})
         at_sub = np.repeat(np.arange(subs.num_rows), papers.num_rows)
         at_paper = np.tile(np.arange(papers.num_rows), subs.num_rows)
         return pa.table({
-            ROUND: subs[ROUND].take(at_sub), REVIEWER: papers[REVIEWER].take(at_paper), PAPER: subs[PAPER].take(at_sub),
-            PAPER_KEY: papers[PAPER_KEY].take(at_paper), "sim": np.floor(sims.ravel() * 1e9 + 0.5) / 1e9})
+            **{c: subs[c].take(at_sub) for c in sub_side}, **{c: papers[c].take(at_paper) for c in paper_side},
+            "sim": cosines(subs, papers).ravel()})
 
-    schema = (f"{ROUND} {types[ROUND]}, {REVIEWER} {types[REVIEWER]}, {PAPER} {types[PAPER]}, "
-              f"{PAPER_KEY} {types[PAPER_KEY]}, sim double")
-    return left.groupBy(*cell).cogroup(right.groupBy(*cell)).applyInArrow(cosines, schema)
+    schema = _schema([*sub_side, *paper_side], left, right, "sim double")
+    return left.groupBy(*cell).cogroup(right.groupBy(*cell)).applyInArrow(every, schema)
 
 
 def pool_rows(subs: DataFrame, reviewers: DataFrame, rounds: DataFrame, options: RunOptions) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from revmatch.functions.text import split_topics
-from revmatch.schemas import PAPER, ROUND
+from revmatch.schemas import PAPER, REVIEWER, ROUND
 
 
 class MissingInput(ValueError):
@@ -85,12 +85,14 @@ def write_topic_template(raw: DataFrame, path: str, force: bool = False) -> None
 def scored_output(raw: DataFrame, bids: DataFrame, keys: list[str]) -> DataFrame:
     """Input columns without the abstract, preference replaced by the bid, one row per reviewer."""
     kept = [name for name in raw.columns if name != "abstract"]
-    joined = raw.drop("abstract", "preference").join(
-        bids.select(*keys, *[c for c in bids.columns if c == "reviewer_id"], F.col("bid").alias("preference")), keys)
-    lead = [name for name in (ROUND, "reviewer_id") if name in joined.columns and name not in kept]
+    lead = [name for name in (ROUND, REVIEWER) if name in bids.columns and name not in kept]
+    own = list(dict.fromkeys([*keys, *lead]))
+    joined = raw.drop("abstract", "preference").join(bids.select(*own, F.col("bid").alias("preference")), keys)
     return joined.select(*lead, *kept)
 
 
 def write_scored(scored: DataFrame, path: str, fmt: str = "csv") -> None:
     writer = scored.write.mode("errorifexists")
-    (writer.option("header", True).option("escape", '"') if fmt == "csv" else writer).format(fmt).save(path)
+    if fmt == "csv":
+        writer = writer.options(header=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+    writer.format(fmt).save(path)
