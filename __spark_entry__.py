@@ -354,7 +354,7 @@ def term_freq(spark, sf):
 
 @_query(o.sql(f"select round_id, term, df, {o.r9('idf')} as idf from vocab"))
 def vocabulary(spark, sf):
-    return _base(spark, sf)[1].vocabulary.withColumn("idf", numeric.round9(F.col("idf")))
+    return _base(spark, sf)[1].vocabulary.select(ROUND, "term", "df", numeric.round9(F.col("idf")).alias("idf"))
 
 
 @_query(o.sql(f"select round_id, paper, term, {o.r9('w / norm')} as w from sub_w join sub_norm using (round_id, paper)"))

@@ -47,8 +47,10 @@ def sparse_dots(sub_weights: DataFrame, paper_weights: DataFrame, rounds: DataFr
     left, right = _cells(sub_weights, paper_weights, rounds, roster, options)
     cell = [ROUND, *CELL]
     product = F.floor(F.col("w") * F.col("_pw") * 1e12 + F.lit(0.5))
-    pairs = left.repartition(*cell).join(
-        right.withColumnRenamed("w", "_pw").repartition(*cell), [*cell, "term"])
+    # A stated number keeps adaptive execution from merging cells that are small in bytes but long in work.
+    n = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    pairs = left.repartition(n, *cell).join(
+        right.withColumnRenamed("w", "_pw").repartition(n, *cell), [*cell, "term"])
     return pairs.groupBy(*cell, PAPER, REVIEWER, PAPER_KEY).agg((F.sum(product) / F.lit(1e12)).alias("dot"))
 
 

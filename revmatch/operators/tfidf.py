@@ -75,9 +75,9 @@ def _square() -> Column:
     return F.floor(F.col("w") * F.col("w") * 1e10 + F.lit(0.5))
 
 
-def mark_shared(vocab: DataFrame, paper_weights: DataFrame) -> DataFrame:
+def mark_shared(vocab: DataFrame, paper_posted: DataFrame) -> DataFrame:
     """Flag the vocabulary terms that occur in a paper; the others only matter for vector lengths."""
-    used = paper_weights.select(ROUND, "term").distinct().withColumn("shared", F.lit(True))
+    used = paper_posted.select(ROUND, "term").distinct().withColumn("shared", F.lit(True))
     return vocab.join(used, [ROUND, "term"], "left").withColumn("shared", F.coalesce("shared", F.lit(False)))
 
 

@@ -63,7 +63,7 @@ class RunOptions:
     rerank_topn: int | None = None
     min_papers: int = MIN_PAPERS
     strict: bool = False
-    cell_submissions: int = 512
+    cell_submissions: int = 256
     cell_papers: int = 1024
     pair_cell: int = 256
     pool_limit: int = 2_000_000

@@ -44,7 +44,7 @@ class Prepared:
 
 @dataclass(frozen=True)
 class SparseSide:
-    vocabulary: DataFrame       # round_id, term, df, idf
+    vocabulary: DataFrame       # round_id, term, df, idf, shared
     sub_weights: DataFrame      # round_id, paper, term, w (raw), only terms some paper has
     sub_norms: DataFrame        # round_id, paper, norm
     paper_weights: DataFrame    # round_id, reviewer_id, paper_key, term, w (unit length)
@@ -77,11 +77,11 @@ def sparse_side(prep: Prepared, stop_words: Sequence[str] | None = None) -> Spar
     texts = prep.submissions.select(ROUND, PAPER, submission_text(F.col("title"), F.col("abstract")).alias("text"))
     doc, paper = [ROUND, PAPER], [*K, PAPER_KEY]
     posted = tfidf.postings(materialize(tfidf.term_arrays(texts, doc, "text", stop), "sub_terms"), doc)
-    vocab = materialize(tfidf.vocabulary(posted, fitted), "vocabulary")
-    paper_posted = tfidf.postings(tfidf.term_arrays(prep.papers, paper, "text", stop), paper)
-    paper_weights = materialize(tfidf.weights(paper_posted, vocab, paper), "paper_weights")
-    raw = tfidf.raw_weights(posted, materialize(tfidf.mark_shared(vocab, paper_weights), "shared_vocabulary"), ("shared",))
-    return SparseSide(vocab, raw.filter("shared").drop("shared"), tfidf.norms(raw, doc), paper_weights)
+    paper_posted = tfidf.postings(materialize(tfidf.term_arrays(prep.papers, paper, "text", stop), "paper_terms"), paper)
+    vocab = materialize(tfidf.mark_shared(tfidf.vocabulary(posted, fitted), paper_posted), "vocabulary")
+    raw = tfidf.raw_weights(posted, vocab, ("shared",))
+    return SparseSide(vocab, raw.filter("shared").drop("shared"), tfidf.norms(raw, doc),
+                      tfidf.weights(paper_posted, vocab, paper))
 
 
 def paper_top_terms(prep: Prepared, sparse: SparseSide) -> DataFrame:
