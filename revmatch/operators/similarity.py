@@ -102,7 +102,9 @@ def dense_tops(sub_vectors: DataFrame, paper_vectors: DataFrame, rounds: DataFra
 
     def best(subs: pa.Table, papers: pa.Table) -> pa.Table:
         if subs.num_rows == 0 or papers.num_rows == 0:
-            return pa.table({n: [] for n in (*names.values(), "top")})
+            return pa.table({
+                names["round"]: subs[names["round"]].slice(0, 0), names["reviewer"]: papers[names["reviewer"]].slice(0, 0),
+                names["paper"]: subs[names["paper"]].slice(0, 0), "top": pa.array([], pa.list_(pa.float64()))})
         sims = cosines(subs, papers)
         reviewers = papers[names["reviewer"]].combine_chunks().dictionary_encode()
         codes = reviewers.indices.to_numpy(zero_copy_only=False)
@@ -130,13 +132,12 @@ def dense_pairs(sub_vectors: DataFrame, paper_vectors: DataFrame, rounds: DataFr
     sub_side, paper_side = [ROUND, PAPER], [REVIEWER, PAPER_KEY]
 
     def every(subs: pa.Table, papers: pa.Table) -> pa.Table:
-        if subs.num_rows == 0 or papers.num_rows == 0:
-            return pa.table({n: [] for n in (*sub_side, *paper_side, "sim")})
         at_sub = np.repeat(np.arange(subs.num_rows), papers.num_rows)
         at_paper = np.tile(np.arange(papers.num_rows), subs.num_rows)
+        sims = cosines(subs, papers).ravel() if at_sub.size else np.empty(0)
         return pa.table({
             **{c: subs[c].take(at_sub) for c in sub_side}, **{c: papers[c].take(at_paper) for c in paper_side},
-            "sim": cosines(subs, papers).ravel()})
+            "sim": sims})
 
     schema = _schema([*sub_side, *paper_side], left, right, "sim double")
     return left.groupBy(*cell).cogroup(right.groupBy(*cell)).applyInArrow(every, schema)
