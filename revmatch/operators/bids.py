@@ -62,10 +62,10 @@ def bids_bucketed(scored: DataFrame, params: ScoringParams, positive_frac: float
     return ranking.lookup(scored, table, keys, limit=tie_limit)
 
 
-def bids(scored: DataFrame, params: ScoringParams, options: RunOptions) -> DataFrame:
+def bids(scored: DataFrame, params: ScoringParams, options: RunOptions, pools: DataFrame | None = None) -> DataFrame:
     """Add q, sem, value, tau, v_min, v_max and bid to scored pool rows (sim, topic_base, n_subs)."""
     columns = [*scored.columns, "q", "sem", "value", "tau", "v_min", "v_max", "bid"]
     return ranking.by_pool_size(
         scored, "n_subs", options.pool_limit,
         lambda df: bids_windowed(df, params, options.positive_frac).select(*columns),
-        lambda df: bids_bucketed(df, params, options.positive_frac).select(*columns))
+        lambda df: bids_bucketed(df, params, options.positive_frac).select(*columns), pools)

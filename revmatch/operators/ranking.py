@@ -25,10 +25,13 @@ _END = 1 << 21
 TIE_LIMIT = 2_000_000
 
 
-def by_pool_size(df: DataFrame, size: str, limit: int,
-                 small: Callable[[DataFrame], DataFrame], huge: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """Rank small pools by ``small`` and huge ones by ``huge``; a form without pools is left out."""
-    bounds = df.agg(F.min(size).alias("low"), F.max(size).alias("high")).first()
+def by_pool_size(df: DataFrame, size: str, limit: int, small: Callable[[DataFrame], DataFrame],
+                 huge: Callable[[DataFrame], DataFrame], pools: DataFrame | None = None) -> DataFrame:
+    """Rank small pools by ``small`` and huge ones by ``huge``; a form without pools is left out.
+
+    The sizes are read from ``pools`` (one row per round) if given, else from the rows.
+    """
+    bounds = (df if pools is None else pools).agg(F.min(size).alias("low"), F.max(size).alias("high")).first()
     if bounds["high"] is None or bounds["high"] <= limit:
         return small(df)
     if bounds["low"] > limit:

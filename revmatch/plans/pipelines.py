@@ -122,14 +122,14 @@ def _tfidf_scores(prep: Prepared, options: RunOptions, sparse: SparseSide) -> Da
 
 def _rerank_scores(prep: Prepared, options: RunOptions, sparse: SparseSide,
                    scorer: rerank.ColumnScorer | rerank.BatchScorer) -> DataFrame:
-    shortlisted = materialize(rerank.shortlist(_tfidf_scores(prep, options, sparse), options), "shortlist")
+    shortlisted = materialize(rerank.shortlist(_tfidf_scores(prep, options, sparse), options, prep.rounds), "shortlist")
     texts = prep.submissions.select(ROUND, PAPER, submission_text(F.col("title"), F.col("abstract")).alias("text"))
     paper_texts = with_paper_text(prep.papers, "text", "joined", SPARSE_JOINER)
     subs = rerank.side_features(texts, [ROUND, PAPER], "text", "sub_side", scorer)
     papers = rerank.side_features(paper_texts, [*K, PAPER_KEY], "joined", "paper_side", scorer)
     pairs = rerank.candidate_pairs(shortlisted, subs, papers, prep.rounds, prep.roster, options)
     means = rerank.pair_means(rerank.pair_score(pairs, scorer))
-    return materialize(rerank.rerank_bands(shortlisted, means, options), "bands")
+    return materialize(rerank.rerank_bands(shortlisted, means, options, prep.rounds), "bands")
 
 
 def embedding_inputs(prep: Prepared, cache: VectorCache, load: Callable[[], Encode]) -> tuple[DataFrame, DataFrame]:
@@ -164,7 +164,7 @@ def _run(method: str, submissions: DataFrame, papers: DataFrame, interests: Data
          params: ScoringParams, options: RunOptions, **kwargs) -> DataFrame:
     options = RunOptions(**{**options.__dict__, "method": method})
     prep = prepare(submissions, papers, interests, options)
-    return bids(semantic_scores(prep, options, **kwargs), params, options)
+    return bids(semantic_scores(prep, options, **kwargs), params, options, prep.rounds)
 
 
 def bids_tfidf(submissions: DataFrame, papers: DataFrame, interests: DataFrame | None,

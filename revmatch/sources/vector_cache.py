@@ -33,9 +33,13 @@ class VectorCache:
         return table.filter(F.col("model_id") == self.model_id).select("text_sha", "vec")
 
     def missing(self, texts: DataFrame, text: str = "text") -> DataFrame:
-        """Distinct texts whose key is not cached for this model."""
+        """Distinct texts whose key is not cached for this model.
+
+        Missing keys are found on hashes alone; texts that are cached never reach a shuffle.
+        """
         keyed = texts.select(text_key(F.col(text)).alias("text_sha"), F.col(text).alias("text"))
-        return keyed.dropDuplicates(["text_sha"]).join(self.read().select("text_sha"), "text_sha", "left_anti")
+        todo = keyed.select("text_sha").distinct().join(self.read().select("text_sha"), "text_sha", "left_anti")
+        return keyed.join(todo, "text_sha", "left_semi").dropDuplicates(["text_sha"])
 
     def append(self, vectors: DataFrame) -> None:
         (vectors.select("text_sha", F.col("vec").cast("array<float>").alias("vec"), F.lit(self.model_id).alias("model_id"))
