@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import lru_cache
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -19,7 +18,7 @@ from revmatch.operators import profile as profiles
 from revmatch.operators import ranking, reports, rerank, similarity, tfidf, topics
 from revmatch.plans import pipelines
 from revmatch.schemas import K, PAPER, PAPER_KEY, ROUND
-from revmatch.session import scratch_path
+from revmatch.session import materialize, scratch_path
 from revmatch.sources import papers as paper_source
 from revmatch.sources import ratings, vector_cache
 from revmatch.sources import submissions as subs_source
@@ -42,47 +41,42 @@ def _query(sql: str | None):
 
 # ---- tables several operator queries start from; written once per application ----
 
-@lru_cache(4)
-def _base_of(app: str, sf: str) -> dict:
-    spark = SparkSession.getActiveSession()
-    prep = prepare(b.submissions(spark, sf), b.papers(spark, sf), b.interests(spark, sf))
-    return {"prep": prep, "sparse": pipelines.sparse_side(prep)}
+_KEPT: dict[tuple, object] = {}
 
 
-def _base(spark: SparkSession, sf: str) -> tuple[pipelines.Prepared, pipelines.SparseSide]:
-    found = _base_of(spark.sparkContext.applicationId, sf)
-    return found["prep"], found["sparse"]
+def _keep(spark: SparkSession, sf: str, name: str, build: Callable[[], object]):
+    key = (spark.sparkContext.applicationId, sf, name)
+    if key not in _KEPT:
+        _KEPT[key] = build()
+    return _KEPT[key]
 
 
-@lru_cache(4)
-def _scored_of(app: str, sf: str) -> DataFrame:
-    found = _base_of(app, sf)
-    return semantic_scores(found["prep"], OPTIONS, sparse=found["sparse"])
+def _base(spark: SparkSession, sf: str) -> tuple[pipelines.Prepared, pipelines.SparseSide]:
+    def build():
+        prep = prepare(b.submissions(spark, sf), b.papers(spark, sf), b.interests(spark, sf))
+        return prep, pipelines.sparse_side(prep)
+    return _keep(spark, sf, "base", build)
 
 
 def _scored(spark: SparkSession, sf: str) -> DataFrame:
-    return _scored_of(spark.sparkContext.applicationId, sf)
+    prep, sparse = _base(spark, sf)
+    return _keep(spark, sf, "scored", lambda: semantic_scores(prep, OPTIONS, sparse=sparse))
 
 
 def _bids(spark: SparkSession, sf: str) -> DataFrame:
     return bidding.bids(_scored(spark, sf), PARAMS, OPTIONS)
 
 
-@lru_cache(4)
-def _pairs_of(app: str, sf: str) -> tuple[DataFrame, DataFrame]:
-    from revmatch.session import materialize
+def _short(spark: SparkSession, sf: str) -> DataFrame:
+    return _keep(spark, sf, "shortlist", lambda: materialize(rerank.shortlist(_scored(spark, sf), OPTIONS), "shortlist"))
+
 
-    prep = _base_of(app, sf)["prep"]
-    short = materialize(rerank.shortlist(_scored_of(app, sf), OPTIONS), "shortlist")
-    texts = prep.submissions.select(ROUND, PAPER, text.submission_text(F.col("title"), F.col("abstract")).alias("text"))
+def _pairs(spark: SparkSession, sf: str) -> DataFrame:
+    prep, _ = _base(spark, sf)
     own = text.with_paper_text(prep.papers, "text", "joined", text.SPARSE_JOINER)
-    subs = rerank.side_features(texts, [ROUND, PAPER], "text", "sub_side", rerank.TOKEN_OVERLAP)
+    subs = rerank.side_features(_sub_texts(spark, sf), [ROUND, PAPER], "text", "sub_side", rerank.TOKEN_OVERLAP)
     papers = rerank.side_features(own, [*K, PAPER_KEY], "joined", "paper_side", rerank.TOKEN_OVERLAP)
-    return short, rerank.candidate_pairs(short, subs, papers, prep.rounds, prep.roster, OPTIONS)
-
-
-def _pairs(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    return _pairs_of(spark.sparkContext.applicationId, sf)
+    return rerank.candidate_pairs(_short(spark, sf), subs, papers, prep.rounds, prep.roster, OPTIONS)
 
 
 # ---- sources and sinks ----
@@ -425,12 +419,12 @@ def topic_affinity_join(spark, sf):
 
 @_query(o.sql("select round_id, reviewer_id, paper, paper_key from pairs"))
 def candidate_pairs(spark, sf):
-    return _pairs(spark, sf)[1].select(*K, PAPER, PAPER_KEY)
+    return _pairs(spark, sf).select(*K, PAPER, PAPER_KEY)
 
 
 @_query(o.sql("select round_id, reviewer_id, paper, case when is_candidate then 'shortlist' else 'rest' end as side from short"))
 def candidate_split(spark, sf):
-    short = _pairs(spark, sf)[0]
+    short = _short(spark, sf)
     return short.select(*K, PAPER, F.when(F.col("is_candidate"), "shortlist").otherwise("rest").alias("side"))
 
 
@@ -454,7 +448,7 @@ def threshold(spark, sf):
 
 @_query(o.sql("select round_id, reviewer_id, paper, sim from short where is_candidate"))
 def shortlist(spark, sf):
-    return _pairs(spark, sf)[0].filter("is_candidate").select(*K, PAPER, "sim")
+    return _short(spark, sf).filter("is_candidate").select(*K, PAPER, "sim")
 
 
 @_query(o.sql("""select * from (select round_id, reviewer_id, paper, paper_key, sim, row_number() over (
@@ -476,9 +470,8 @@ def report_extremes(spark, sf):
 
 @_query(o.sql("select round_id, reviewer_id, paper, is_candidate, sim as band from bands"))
 def rerank_bands(spark, sf):
-    short, pairs = _pairs(spark, sf)
-    means = rerank.pair_means(rerank.pair_score(pairs))
-    return rerank.rerank_bands(short, means, OPTIONS).select(*K, PAPER, "is_candidate", F.col("sim").alias("band"))
+    means = rerank.pair_means(rerank.pair_score(_pairs(spark, sf)))
+    return rerank.rerank_bands(_short(spark, sf), means, OPTIONS).select(*K, PAPER, "is_candidate", F.col("sim").alias("band"))
 
 
 @_query(o.sql(f"""select word, count(*) as n_docs from (select distinct paper, unnest({o.tokens('text')}) as word from sub_texts)
@@ -491,7 +484,7 @@ def stop_words_query(spark, sf):
 
 @_query(o.sql("select round_id, reviewer_id, paper, paper_key, pair_sim from pair_scores"))
 def pair_score(spark, sf):
-    return rerank.pair_score(_pairs(spark, sf)[1]).select(*K, PAPER, PAPER_KEY, "pair_sim")
+    return rerank.pair_score(_pairs(spark, sf)).select(*K, PAPER, PAPER_KEY, "pair_sim")
 
 
 # ---- pipelines, each from the tables to the bids ----

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from revmatch.session import spread
+from revmatch.sources.papers import enroll
+from revmatch.sources.submissions import submissions as typed_submissions
 
 REVIEWERS = 5
 
@@ -33,16 +35,11 @@ def raw_submissions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def submissions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from revmatch.sources.submissions import submissions as typed
-
-    raw = raw_submissions(spark, sf_dir)
-    return typed(raw, round_of("paper"), check_rows=False)
+    return typed_submissions(raw_submissions(spark, sf_dir), round_of("paper"), check_rows=False)
 
 
 def papers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every reviewer takes part in both rounds."""
-    from revmatch.sources.papers import enroll
-
     own = table(spark, sf_dir, "benchmark").select(
         (F.col("item_id") % REVIEWERS).alias("reviewer_id"), F.col("item_id").alias("paper_key"), "text")
     members = own.select("reviewer_id").distinct().withColumn("round_id", F.explode(F.array(F.lit("A"), F.lit("B"))))
@@ -69,15 +66,19 @@ def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def vectors(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Submission vectors, paper vectors (five per label) and the plain submissions table."""
-    from pyspark.sql import Window
+    """Submission vectors, paper vectors (the first five per label) and the plain submissions table.
 
+    The fifth id per label is found by a limited window and joined back, so no label sits in one task.
+    """
     e = table(spark, sf_dir, "embeddings")
-    placed = e.withColumn("r", F.row_number().over(Window.partitionBy("label").orderBy("vec_id")))
+    first = e.select("label", "vec_id").withColumn("r", F.row_number().over(Window.partitionBy("label").orderBy("vec_id")))
+    cuts = first.filter("r <= 5").groupBy("label").agg(F.max("vec_id").alias("cut"))
+    placed = e.join(cuts, "label")
     rounds = F.explode(F.array(F.lit("A"), F.lit("B"))).alias("round_id")
-    own = placed.filter("r <= 5").select(
+    own = placed.filter("vec_id <= cut").select(
         F.col("label").cast("bigint").alias("reviewer_id"), F.col("vec_id").alias("paper_key"), F.col("embedding").alias("vec"))
-    rest = placed.filter("r > 5").select(round_of("vec_id").alias("round_id"), F.col("vec_id").alias("paper"), F.col("embedding").alias("vec"))
+    rest = placed.filter("vec_id > cut").select(
+        round_of("vec_id").alias("round_id"), F.col("vec_id").alias("paper"), F.col("embedding").alias("vec"))
     return rest, own.select("*", rounds), rest.select("round_id", "paper")
 
 
