@@ -18,6 +18,18 @@ def fragments(count: Column, size: int) -> Column:
     return F.greatest(F.ceil(count / F.lit(float(size))), F.lit(1)).cast("int")
 
 
+def cell_tasks(sizes: DataFrame, n_rows: Column, n_cols: Column, rows: int, cols: int) -> int:
+    """Number of tasks for a grid: one per cell up to a multiple of the shuffle partitions.
+
+    ``sizes`` is a small table with one row per pool. Few cells per task keep its sums in cache
+    and the load even. A stated number also keeps adaptive execution from merging cells, which
+    are small in bytes but long in work.
+    """
+    cells = fragments(n_rows, rows).cast("bigint") * fragments(n_cols, cols)
+    total = sizes.agg(F.sum(cells)).first()[0] or 1
+    return max(1, min(total, 16 * int(sizes.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+
+
 def own(ids: list[str], count: Column, size: int) -> Column:
     """Fragment an item belongs to, by hash of its identity (stable under recomputation)."""
     return F.pmod(F.xxhash64(*ids), fragments(count, size).cast("bigint")).cast("int")

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from revmatch.functions.numeric import round9, shortlist_size
 from revmatch.functions.text import tokens
 from revmatch.operators import ranking
-from revmatch.operators.cells import CELL, merge_tops, place_cols, place_rows, top_mean, top_values
+from revmatch.operators.cells import CELL, cell_tasks, merge_tops, place_cols, place_rows, top_mean, top_values
 from revmatch.params import SHORTLIST_CUSHION, SHORTLIST_FLOOR, TOP_PAPERS, RunOptions
 from revmatch.schemas import K, PAPER, PAPER_KEY, ROUND
 
@@ -76,7 +76,9 @@ def candidate_pairs(shortlisted: DataFrame, subs: DataFrame, papers: DataFrame,
     left = place_rows(chosen, [PAPER], length, n_papers, rows, cols).drop("n_subs")
     sized = papers.join(roster.select(*K, "n_papers"), K).join(rounds.select(ROUND, "n_subs"), ROUND)
     right = place_cols(sized, [PAPER_KEY], length, n_papers, rows, cols).drop("n_subs", "n_papers")
-    return left.join(right, [*K, *CELL])
+    sizes = roster.select(*K, "n_papers").join(rounds.select(ROUND, "n_subs"), ROUND)
+    n, cell = cell_tasks(sizes, length, n_papers, rows, cols), [*K, *CELL]
+    return left.repartition(n, *cell).join(right.repartition(n, *cell), cell)
 
 
 def pair_score(pairs: DataFrame, scorer: ColumnScorer | BatchScorer = TOKEN_OVERLAP) -> DataFrame:

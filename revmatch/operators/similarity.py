@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from revmatch.functions.numeric import round9
-from revmatch.operators.cells import CELL, fragments, merge_tops, own, place_cols, place_rows, top_mean, top_values
+from revmatch.operators.cells import CELL, cell_tasks, merge_tops, own, place_cols, place_rows, top_mean, top_values
 from revmatch.params import TOP_PAPERS, RunOptions
 from revmatch.schemas import K, PAPER, PAPER_KEY, REVIEWER, ROUND
 
@@ -35,17 +35,6 @@ def _cells(subs: DataFrame, papers: DataFrame, rounds: DataFrame, roster: DataFr
     return left.drop("n_subs", "n_papers"), right.drop("n_subs", "n_papers", "_part", "_own_papers")
 
 
-def cell_tasks(rounds: DataFrame, options: RunOptions) -> int:
-    """Number of tasks for the grid: one per cell up to a multiple of the shuffle partitions.
-
-    Few cells per task keep its sums in cache and the load even. A stated number also keeps
-    adaptive execution from merging cells, which are small in bytes but long in work.
-    """
-    cells = fragments(F.col("n_subs"), options.cell_submissions) * fragments(F.col("n_papers"), options.cell_papers)
-    total = rounds.agg(F.sum(cells.cast("bigint"))).first()[0] or 1
-    return max(1, min(total, 16 * int(rounds.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
-
-
 def sparse_dots(sub_weights: DataFrame, paper_weights: DataFrame, rounds: DataFrame, roster: DataFrame,
                 options: RunOptions) -> DataFrame:
     """Products of raw submission weights and unit paper weights, summed per pair that shares a term.
@@ -58,7 +47,7 @@ def sparse_dots(sub_weights: DataFrame, paper_weights: DataFrame, rounds: DataFr
     left, right = _cells(sub_weights, paper_weights, rounds, roster, options)
     cell = [ROUND, *CELL]
     product = F.floor(F.col("w") * F.col("_pw") * 1e12 + F.lit(0.5))
-    n = cell_tasks(rounds, options)
+    n = cell_tasks(rounds, F.col("n_subs"), F.col("n_papers"), options.cell_submissions, options.cell_papers)
     pairs = left.repartition(n, *cell).join(
         right.withColumnRenamed("w", "_pw").repartition(n, *cell), [*cell, "term"])
     return pairs.groupBy(*cell, PAPER, REVIEWER, PAPER_KEY).agg((F.sum(product) / F.lit(1e12)).alias("dot"))
