@@ -19,15 +19,17 @@ def fragments(count: Column, size: int) -> Column:
 
 
 def cell_tasks(sizes: DataFrame, n_rows: Column, n_cols: Column, rows: int, cols: int) -> int:
-    """Number of tasks for a grid: one per cell up to a multiple of the shuffle partitions.
+    """Number of tasks for a grid: one per cell, between one and 16 times the shuffle partitions.
 
     ``sizes`` is a small table with one row per pool. Few cells per task keep its sums in cache
     and the load even. A stated number also keeps adaptive execution from merging cells, which
-    are small in bytes but long in work.
+    are small in bytes but long in work. Fewer tasks than shuffle partitions would make the
+    planner shuffle again for the join.
     """
     cells = fragments(n_rows, rows).cast("bigint") * fragments(n_cols, cols)
     total = sizes.agg(F.sum(cells)).first()[0] or 1
-    return max(1, min(total, 16 * int(sizes.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    partitions = int(sizes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return max(partitions, min(total, 16 * partitions))
 
 
 def own(ids: list[str], count: Column, size: int) -> Column:
