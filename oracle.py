@@ -2,29 +2,14 @@
 
 from __future__ import annotations
 
-import glob
-import os
 import re
-import zipfile
-from functools import lru_cache
 
-from revmatch.functions.stopwords import EXTRA
+from revmatch.functions.stopwords import default_stop_words
 from revmatch.params import RunOptions, ScoringParams
 
 PARAMS, OPTIONS = ScoringParams(), RunOptions()
 
 
-@lru_cache(1)
-def english_stop_words() -> tuple[str, ...]:
-    """Spark's English list, read from its jar so that no running session is needed."""
-    import pyspark
-
-    jar = glob.glob(os.path.join(os.path.dirname(pyspark.__file__), "jars", "spark-mllib_*.jar"))[0]
-    with zipfile.ZipFile(jar) as z:
-        text = z.read("org/apache/spark/ml/feature/stopwords/english.txt").decode()
-    return tuple(w for w in text.split("\n") if w)
-
-
 def words_list(words) -> str:
     return "[" + ", ".join("'" + w.replace("'", "''") + "'" for w in words) + "]"
 
@@ -100,7 +85,7 @@ AFFINITY = "coalesce((select i.interest from interests i where i.reviewer_id = r
 TOPN = f"greatest(1, least(greatest(150, cast(ceil({3.0 * OPTIONS.positive_frac!r}::double * n_subs) as bigint)), n_subs))"
 
 CTES: dict[str, tuple[str, list[str]]] = {
-    "stop": (f"select {words_list(sorted(set(english_stop_words()) | set(EXTRA)))} as words", []),
+    "stop": (f"select {words_list(default_stop_words())} as words", []),
     "subs": ("""select doc_id as paper, case when doc_id % 3 = 0 then 'B' else 'A' end as round_id,
         split_part(text, chr(10), 1) as title, substr(text, length(split_part(text, chr(10), 1)) + 2) as abstract,
         lang, source from documents""", []),
