@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import importlib
 from collections.abc import Callable
 
 import numpy as np
@@ -520,13 +521,29 @@ def _named() -> dict[str, tuple[Query, str | None]]:
     return {name.removesuffix("_query"): pair for name, pair in _REGISTRY.items()}
 
 
+def _optional(name: str):
+    """A module of the optional part, or None where its files are gone; errors inside it are not hidden."""
+    try:
+        return importlib.import_module(name)
+    except ModuleNotFoundError as error:
+        if error.name and (name + ".").startswith(error.name + "."):
+            return None
+        raise
+
+
+_llm = _optional("revmatch.llm.queries")
+_pipeline = _optional("corpus_pipeline") if _llm else None
+
+
 def entry(spark: SparkSession) -> DataFrame:
     return bids_tfidf_query(spark, "/root/testdata/sf0.001")
 
 
 def queries() -> dict[str, Query]:
-    return {name: fn for name, (fn, _) in _named().items()}
+    found = {name: fn for name, (fn, _) in _named().items()}
+    return found | (_llm.QUERIES if _llm else {}) | ({"pipeline": _pipeline.run} if _pipeline else {})
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: sql for name, (_, sql) in _named().items() if sql}
+    found = {name: sql for name, (_, sql) in _named().items() if sql} | (_llm.SQL if _llm else {})
+    return found | ({"pipeline": _pipeline.ORACLE_SQL} if _pipeline and _pipeline.ORACLE_SQL else {})
