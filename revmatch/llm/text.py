@@ -147,3 +147,8 @@ def doc_sums(mask: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """Sum of ``mask`` over each document's bytes."""
     sums = np.concatenate(([0], np.cumsum(mask, dtype=np.int64)))
     return sums[offsets[1:]] - sums[offsets[:-1]]
+
+
+def text_bytes(column) -> list[bytes]:
+    """Each text as bytes; nulls are empty."""
+    return pc.fill_null(column.cast(pa.large_string()), "").cast(pa.large_binary()).to_pylist()
