@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from revmatch.llm import extract, packing, quality, simhash, toxicity
+from revmatch.llm import decontaminate, extract, packing, quality, simhash, toxicity
 from revmatch.llm.common import table
 
 
@@ -28,5 +28,9 @@ def op7_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract.extract(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op10_quality, op6_simhash, op3_toxicity, op4_packing, op7_extract)}
+def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+QUERIES = {f.__name__: f for f in (op10_quality, op6_simhash, op3_toxicity, op4_packing, op7_extract, op5_decontaminate)}
 SQL: dict[str, str] = {}
