@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from revmatch.llm import decontaminate, extract, packing, pii, quality, simhash, toxicity
+from revmatch.llm import decontaminate, extract, lm, packing, pii, quality, simhash, toxicity
 from revmatch.llm.common import table
 
 
@@ -36,5 +36,9 @@ def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op10_quality, op6_simhash, op3_toxicity, op4_packing, op7_extract, op5_decontaminate, op2_pii)}
+def op1_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op10_quality, op6_simhash, op3_toxicity, op4_packing, op7_extract, op5_decontaminate, op2_pii, op1_lm)}
 SQL: dict[str, str] = {}
