@@ -5,7 +5,7 @@ how often the context v was seen (a bucket per octave) and are learnt by expecta
 sixth of the training documents is deleted from the counts while the weights are fitted to it. The final model counts all
 training documents. Beginnings and ends of documents are contexts and tokens of their own.
 
-How it scales. Documents are gathered into batches of about ``BATCH`` bytes, written once. Each batch sends every distinct
+How it scales. Documents are gathered into batches of about 12 MB, written once. Each batch sends every distinct
 word and bigram it has, with its count, to the key's hash range (one small binary per batch and range), where the counts
 of all batches are summed; the sums go back in the same order. So a worker holds one batch or one hash range, never
 the vocabulary, a frequent key arrives once per batch and not once per occurrence, and nothing but
@@ -21,73 +21,25 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import zstandard
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from revmatch.llm.batches import gather, grow, hash_ranges, range_count, shrink, unpack
 from revmatch.llm.common import ID, TEXT, fold, texts, written
-from revmatch.llm.text import Words, blocks, buffer, chain
+from revmatch.llm.text import Words, buffer, chain
 
-BATCH, RANGE = 12 << 20, 16 << 20
 FOLDS, HELD, DELETED = 7, 2, 3
 BUCKETS, GRID, CELLS = 32, 4, 200
 _BEGIN, _END = chain([np.array([1, 2], np.uint64), np.array([7, 11], np.uint64)])
 
 
-def _shrink(values: np.ndarray) -> bytes:
-    """Numbers as byte planes, zstd-compressed: high bytes that are all alike cost nothing."""
-    values = np.ascontiguousarray(values)
-    planes = values.view(np.uint8).reshape(len(values), values.itemsize).T
-    return zstandard.compress(np.ascontiguousarray(planes).tobytes(), 1)
-
-
-def _grow(data: bytes, kind) -> np.ndarray:
-    raw = np.frombuffer(zstandard.decompress(data) if data else b"", np.uint8)
-    size = np.dtype(kind).itemsize
-    return np.ascontiguousarray(raw.reshape(size, -1).T).view(kind).ravel()
-
-
-def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Documents (id, held out, deleted, text) gathered into compressed batches; deleted documents have batches of their own."""
-    task, made = TaskContext.get().partitionId(), 0
-    waiting: dict[bool, list[pa.RecordBatch]] = {False: [], True: []}
-    size = {False: 0, True: 0}
-    options = pa.ipc.IpcWriteOptions(compression="zstd")
-
-    def flush(flag: bool) -> Iterator[pa.RecordBatch]:
-        nonlocal made
-        if waiting[flag]:
-            sink = pa.BufferOutputStream()
-            with pa.ipc.new_stream(sink, waiting[flag][0].schema, options=options) as out:
-                for b in waiting[flag]:
-                    out.write_batch(b)
-            yield pa.record_batch([pa.array([(task << 32) + made]), pa.array([flag]), pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["batch", "deleted", "docs"])
-            waiting[flag], size[flag], made = [], 0, made + 1
-
-    for b in batches:
-        for flag in (False, True):
-            part = b.filter(b.column(2) if flag else pa.compute.invert(b.column(2)))
-            if part.num_rows:
-                part = part.select([0, 1, 3])
-                _, offsets = buffer(part.column(2))
-                for i, j in blocks(offsets, BATCH // 4):
-                    waiting[flag].append(part.slice(i, j - i))
-                    size[flag] += int(offsets[j] - offsets[i])
-                    if size[flag] >= BATCH:
-                        yield from flush(flag)
-    for flag in (False, True):
-        yield from flush(flag)
-
-
 class Batch:
     """A batch's documents and, per token, its word, its context and their keys."""
 
     def __init__(self, packed: bytes):
-        docs = pa.ipc.open_stream(packed).read_all().combine_chunks()
-        self.ids = docs.column(0).combine_chunks() if docs.num_rows else pa.array([], pa.int64())
-        self.held = docs.column(1).to_numpy()
-        data, offsets = buffer(docs.column(2))
+        docs = unpack(packed)
+        data, offsets = buffer(docs.column(0))
+        self.ids, self.held = docs.column(1).combine_chunks(), docs.column(2).to_numpy()
         w = Words(data, offsets, lower=True)
         n = len(offsets) - 1
         self.count = w.count + 1  # the end is a token
@@ -126,11 +78,6 @@ def _counted(keys: np.ndarray, trains: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return all_keys, out
 
 
-def _ranges(keys: np.ndarray, count: int) -> np.ndarray:
-    """The hash range of each key; rising with the key."""
-    return ((keys >> np.uint64(32)) * np.uint64(count)) >> np.uint64(32)
-
-
 _SENT = "batch long, range long, deleted boolean, words binary, word_n binary, pairs binary, pair_n binary"
 
 
@@ -144,13 +91,13 @@ def _send(ranges: int):
                 trains = ~batch.held
                 by_token = trains[batch.doc]
                 kinds = [_counted(words, np.concatenate([by_token, trains])), _counted(pairs, by_token)]
-                cuts = [np.searchsorted(_ranges(k, ranges), np.arange(ranges + 1, dtype=np.uint64)) for k, _ in kinds]
+                cuts = [np.searchsorted(hash_ranges(k, ranges), np.arange(ranges + 1, dtype=np.uint64)) for k, _ in kinds]
                 rows = []
                 for r in np.flatnonzero((np.diff(cuts[0]) > 0) | (np.diff(cuts[1]) > 0)).tolist():
                     row = [number, r, deleted]
                     for (k, n), cut in zip(kinds, cuts):
                         part = k[cut[r]:cut[r + 1]]
-                        row += [_shrink(np.diff(part, prepend=np.uint64(0))), _shrink(n[cut[r]:cut[r + 1]].astype(np.uint32))]
+                        row += [shrink(np.diff(part, prepend=np.uint64(0))), shrink(n[cut[r]:cut[r + 1]].astype(np.uint32))]
                     rows.append(row)
                 types = [pa.int64(), pa.int64(), pa.bool_(), *[pa.binary()] * 4]
                 names = [c.split()[0] for c in _SENT.split(", ")]
@@ -167,8 +114,8 @@ def _sum(group: pa.Table) -> pa.Table:
     back: list[list[bytes]] = []
     totals = []
     for keys_of, counts_of in (("words", "word_n"), ("pairs", "pair_n")):
-        keys = [np.cumsum(_grow(v, np.uint64), dtype=np.uint64) for v in group.column(keys_of).to_pylist()]
-        counts = [_grow(v, np.uint32) for v in group.column(counts_of).to_pylist()]
+        keys = [np.cumsum(grow(v, np.uint64), dtype=np.uint64) for v in group.column(keys_of).to_pylist()]
+        counts = [grow(v, np.uint32) for v in group.column(counts_of).to_pylist()]
         sizes = [len(k) for k in keys]
         distinct, at = np.unique(np.concatenate(keys), return_inverse=True)
         n = np.concatenate(counts).astype(float)
@@ -178,8 +125,8 @@ def _sum(group: pa.Table) -> pa.Table:
             real = distinct != _BEGIN
             totals = [int(every[real].sum()), int((every[real] > 0).sum()), int(lost[real].sum())]
         cut = np.cumsum(sizes)[:-1]
-        back.append([_shrink(every[p].astype(np.uint64)) for p in np.split(at, cut)])
-        back.append([_shrink(lost[p].astype(np.uint64)) if d else None for p, d in zip(np.split(at, cut), deleted)])
+        back.append([shrink(every[p].astype(np.uint64)) for p in np.split(at, cut)])
+        back.append([shrink(lost[p].astype(np.uint64)) if d else None for p, d in zip(np.split(at, cut), deleted)])
     rows = group.num_rows
     columns = [pa.array([*group.column("batch").to_pylist(), None], pa.int64()), pa.array([*group.column("range").to_pylist(), None], pa.int64()),
                *(pa.array([*v, None], pa.binary()) for v in back),
@@ -200,7 +147,7 @@ def _meet(group: pa.Table, lost: bool) -> tuple[Batch, list[np.ndarray], list[np
     got = {}
     for name in names:
         column = group.column(name)
-        got[name] = np.concatenate([_grow(column[i].as_py(), np.uint64) for i in order]).astype(float)
+        got[name] = np.concatenate([grow(column[i].as_py(), np.uint64) for i in order]).astype(float)
     _, _, word_at, context_at, pair_at = batch.keys(places=True)
     every = [got["words"][word_at], got["words"][context_at], got["pairs"][pair_at]]
     gone = [got["words_lost"][word_at], got["words_lost"][context_at], got["pairs_lost"][pair_at]] if lost else []
@@ -271,10 +218,9 @@ _OUT_NAMES = [c.split()[0] for c in _OUT.split(", ")]
 
 def score(docs: DataFrame) -> DataFrame:
     """Scores of all documents under the model of those outside the held-out fold."""
-    flags = texts(docs).select(ID, (fold(FOLDS) == HELD).alias("held"), (fold(FOLDS) == DELETED).alias("deleted"), TEXT)
-    batches = written(flags.mapInArrow(_gather, "batch long, deleted boolean, docs binary"), "lm-batches")
-    size = docs.agg(F.sum(F.octet_length(TEXT))).first()[0] or 0
-    ranges = max(1, -(-int(size) // RANGE))
+    flags = texts(docs).select((fold(FOLDS) == DELETED).alias("apart"), TEXT, ID, (fold(FOLDS) == HELD).alias("held"))
+    batches = written(flags.mapInArrow(gather, "batch long, apart boolean, docs binary").withColumnRenamed("apart", "deleted"), "lm-batches")
+    ranges = range_count(docs.agg(F.sum(F.octet_length(TEXT))).first()[0])
     back = written(batches.mapInArrow(_send(ranges), _SENT).groupBy("range").applyInArrow(_sum, _BACK), "lm-counts")
     n, v, lost = (int(x or 0) for x in back.filter("batch is null").agg(F.sum("n"), F.sum("v"), F.sum("n_lost")).first())
     counts = back.filter("batch is not null").select("batch", "range", "words", "words_lost", "pairs", "pairs_lost", F.lit(None).cast("binary").alias("docs"))
