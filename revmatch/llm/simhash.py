@@ -89,15 +89,16 @@ def close_pairs(key: np.ndarray, fp: np.ndarray, distance: int) -> tuple[np.ndar
             left.append(near), right.append(near + lag)
             waiting += len(near)
         if waiting > 1 << 16:
-            label, left, right, waiting = _merge(label, left, right), [], [], 0
+            label, left, right, waiting = merge(label, left, right), [], [], 0
         lag += 1
     if waiting:
-        label = _merge(label, left, right)
+        label = merge(label, left, right)
     moved = np.flatnonzero(label != np.arange(len(fp)))
     return moved, label[moved]
 
 
-def _merge(label: np.ndarray, left: list, right: list) -> np.ndarray:
+def merge(label: np.ndarray, left: list, right: list) -> np.ndarray:
+    """Labels after joining ``left`` and ``right`` indices; a label is the smallest index of its group."""
     i, j = np.concatenate(left), np.concatenate(right)
     while True:
         low = np.minimum(label[i], label[j])
