@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from revmatch.llm import decontaminate, extract, lm, packing, passages, pii, quality, simhash, toxicity
+from revmatch.llm import counts, decontaminate, extract, lm, packing, passages, pii, quality, simhash, toxicity
 from revmatch.llm.common import table
 
 
@@ -44,5 +44,9 @@ def op8_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return passages.digest(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op10_quality, op6_simhash, op3_toxicity, op4_packing, op7_extract, op5_decontaminate, op2_pii, op1_lm, op8_passages)}
+def op9_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return counts.recount(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op10_quality, op6_simhash, op3_toxicity, op4_packing, op7_extract, op5_decontaminate, op2_pii, op1_lm, op8_passages, op9_counts)}
 SQL: dict[str, str] = {}

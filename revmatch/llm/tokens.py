@@ -47,9 +47,13 @@ class Encoder:
         self.first, self.rest = _Parts(self.ordinary, ""), _Parts(self.ordinary, " ")
         self.newline = np.array(self.ordinary("\n"), "<u4").tobytes()
 
+    @staticmethod
+    def regular(text: str) -> bool:
+        return not _IRREGULAR.search(text)
+
     def ids(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit numbers."""
-        if _IRREGULAR.search(text):
+        if not self.regular(text):
             return np.array(self.ordinary(text), "<u4").tobytes()
         out, first, rest = [], self.first, self.rest.__getitem__
         for k, line in enumerate(text.split("\n")):
