@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from revmatch.llm.text import blocks, buffer
 
 #: Bytes of text in a batch, and for each hash range.
-BATCH, RANGE = 12 << 20, 16 << 20
+BATCH, RANGE = 6 << 20, 8 << 20
 
 
 def shrink(values: np.ndarray) -> bytes:

@@ -5,7 +5,7 @@ how often the context v was seen (a bucket per octave) and are learnt by expecta
 sixth of the training documents is deleted from the counts while the weights are fitted to it. The final model counts all
 training documents. Beginnings and ends of documents are contexts and tokens of their own.
 
-How it scales. Documents are gathered into batches of about 12 MB, written once. Each batch sends every distinct
+How it scales. Documents are gathered into batches of a few MB, written once. Each batch sends every distinct
 word and bigram it has, with its count, to the key's hash range (one small binary per batch and range), where the counts
 of all batches are summed; the sums go back in the same order. So a worker holds one batch or one hash range, never
 the vocabulary, a frequent key arrives once per batch and not once per occurrence, and nothing but
