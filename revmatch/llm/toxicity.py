@@ -3,8 +3,8 @@
 The lexicon is learnt: words and word beginnings (4 to 8 bytes) that labelled toxic documents have and others have not.
 A text's features are densities of lexicon hits by strength and length of the entry, closeness of hits to second-person
 words, capitals, punctuation and obfuscation rates, and length. A training document's features leave its own label out of
-the lexicon's counts, and the calibration is fitted to other documents than the trees, all from a sample of at most ``SAMPLE``
-labelled documents (a parameter; the choice is by a hash of the id). Every text is then scored whole, in one pass without
+the lexicon's counts, and the calibration sees margins of trees that were fitted without the document, all from a sample
+of at most ``SAMPLE`` labelled documents (a parameter; the choice is by a hash of the id). Every text is then scored whole, in one pass without
 a shuffle.
 
 Labels are read only where crc32(doc_id) mod 4 is not 2; label, lang, source and id are no inputs of a score.
@@ -27,6 +27,8 @@ from revmatch.llm.common import ID, TEXT, fold, texts
 from revmatch.llm.text import Words, doc_sums, each_block, lut, mix, per_doc, span_hashes
 
 SAMPLE = 20000
+#: Parts of the sample for the calibration.
+PARTS = 4
 #: Entries kept in the lexicon at most, the strongest first.
 LEXICON = 20000
 THRESHOLD = 0.3
@@ -251,13 +253,20 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE):
     rows = known.mapInArrow(run, "toxic int, part long, x array<double>").toPandas()  # numbers of at most ``sample`` rows
     if not len(rows):
         return lexicon, None, share
-    x, y, tune = np.stack(rows["x"].to_numpy()), rows["toxic"].to_numpy(float), rows["part"].to_numpy() >= 7
-    order = np.lexsort((y, *x.T))  # rows arrive in any order; the fit must not depend on it
-    x, y, tune = x[order], y[order], tune[order]
-    if len(set(y[~tune])) < 2 or len(set(y[tune])) < 2:
-        return lexicon, None, share
-    model = boost(x[~tune], y[~tune])
-    return lexicon, model, isotonic(margins(x[tune], model), y[tune])
+    x, y, part = np.stack(rows["x"].to_numpy()), rows["toxic"].to_numpy(float), rows["part"].to_numpy() % PARTS
+    order = np.lexsort((part, y, *x.T))  # rows arrive in any order; the fit must not depend on it
+    return lexicon, *calibrated(x[order], y[order], part[order], share)
+
+
+def calibrated(x: np.ndarray, y: np.ndarray, part: np.ndarray, share: float):
+    """Trees fitted to all rows, and a calibration fitted to margins that trees of the other parts give each part."""
+    margin = np.zeros(len(y))
+    for k in range(PARTS):
+        rest = part != k
+        if len(set(y[rest])) < 2:
+            return None, share
+        margin[~rest] = margins(x[~rest], boost(x[rest], y[rest]))
+    return boost(x, y), isotonic(margin, y)
 
 
 def scorer(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE):
