@@ -115,16 +115,17 @@ def unique_papers(spark, sf):
 
 
 @_query("""select conv_id as paper_key, coalesce(max(case when turn = 0 then text end), '') || coalesce(max(case when turn = 1 then text end), '')
-    || coalesce(max(case when turn = 2 then text end), '') as text from conversations where turn < 3 group by conv_id""")
+    || coalesce(max(case when turn = 2 then text end), '') as text from conversations group by conv_id""")
 def leading_pages(spark, sf):
     return paper_source.leading_pages(b.pages(spark, sf), ["paper_key"])
 
 
 @_query(o.sql("""select round_id, reviewer_id, count(distinct sha256(text)) as n_papers, count(distinct sha256(text)) >= 5 as accepted
-    from papers where reviewer_id <> 4 or paper_key < 20 group by round_id, reviewer_id"""))
+    from (select round_id, cast(floor(sqrt(paper_key)) as bigint) as reviewer_id, text from papers) group by round_id, reviewer_id"""))
 def papers_guard(spark, sf):
-    kept = b.papers(spark, sf).filter("reviewer_id <> 4 or paper_key < 20").withColumn("sha", F.sha2("text", 256))
-    return paper_source.papers_guard(kept, "sha")
+    """Reviewers of 1, 3, 5, ... papers, so that some have too few."""
+    shares = b.papers(spark, sf).withColumn("reviewer_id", F.floor(F.sqrt("paper_key"))).withColumn("sha", F.sha2("text", 256))
+    return paper_source.papers_guard(shares, "sha")
 
 
 def _letter_model(letters: str = LETTERS):
@@ -133,7 +134,7 @@ def _letter_model(letters: str = LETTERS):
 
 
 def _flat(df: DataFrame) -> DataFrame:
-    kept = [c for c in df.columns if c in (ROUND, PAPER, "text_sha")]
+    kept = [c for c in (ROUND, PAPER, "text_sha") if c in df.columns]
     return df.select(*kept, *[F.col("vec")[i].cast("double").alias(f"v{i}") for i in range(len(LETTERS))])
 
 
@@ -408,7 +409,8 @@ def tfidf_cosine(spark, sf):
 def embedding_cosine(spark, sf):
     sub_vectors, paper_vectors, subs = b.vectors(spark, sf)
     prep = prepare(subs, paper_vectors)
-    return similarity.dense_pairs(sub_vectors, paper_vectors.join(prep.roster.select(*K), K, "left_semi"), prep.rounds, prep.roster, OPTIONS)
+    pairs = similarity.dense_pairs(sub_vectors, paper_vectors.join(prep.roster.select(*K), K, "left_semi"), prep.rounds, prep.roster, OPTIONS)
+    return pairs.select(*K, PAPER, PAPER_KEY, "sim")
 
 
 @_query(o.sql("select round_id, reviewer_id, paper, tag_no, topic, affinity from tag_affinity"))
@@ -438,7 +440,7 @@ def quantile_rank(spark, sf):
 
 @_query(o.sql("select round_id, reviewer_id, paper, sim, q from tf_q"))
 def quantile_rank_bucketed(spark, sf):
-    return ranking.quantile_bucketed(_scored(spark, sf), K, "sim", tie_limit=50).select(*K, PAPER, "sim", "q")
+    return ranking.quantile_bucketed(_scored(spark, sf), K, "sim").select(*K, PAPER, "sim", "q")
 
 
 @_query(o.sql("select round_id, reviewer_id, tau, v_min, v_max from tf_t"))
@@ -464,7 +466,7 @@ def topk_per_group(spark, sf):
     join subs using (round_id, paper) where place <= 10"""))
 def report_extremes(spark, sf):
     titles = b.submissions(spark, sf).select(ROUND, PAPER, "title")
-    return reports.report_extremes(_bids(spark, sf), titles, [ROUND, PAPER])
+    return reports.report_extremes(_bids(spark, sf), titles, [ROUND, PAPER]).select(*K, "section", "place", PAPER, "bid", "title")
 
 
 # ---- set operations and hooks ----

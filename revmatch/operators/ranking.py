@@ -175,7 +175,7 @@ def first_bucketed(df: DataFrame, keys: list[str], value: str, size: Column, out
 
 def topk_per_group(df: DataFrame, keys: list[str], value: str, tie: str, k: int) -> DataFrame:
     """The k largest per group. The limit is applied per task before the shuffle, so a hot group stays small."""
-    place = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc(value), tie))
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc(value), tie)).cast("bigint")
     return df.withColumn("place", place).filter(F.col("place") <= k)
 
 

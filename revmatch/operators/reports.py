@@ -51,7 +51,7 @@ def achieved_fraction(bids: DataFrame, positive_frac: float) -> DataFrame:
 def report_extremes(bids: DataFrame, titles: DataFrame, title_keys: list[str], k: int = EXTREMES) -> DataFrame:
     """First and last k rows by falling bid, ties by submission id; titles joined after the cut."""
     def cut(section: str, *order) -> DataFrame:
-        place = F.row_number().over(Window.partitionBy(*K).orderBy(*order))
+        place = F.row_number().over(Window.partitionBy(*K).orderBy(*order)).cast("bigint")
         rows = bids.select(*K, PAPER, "bid").withColumn("place", place).filter(F.col("place") <= k)
         return rows.withColumn("section", F.lit(section))
 

@@ -82,9 +82,10 @@ def candidate_pairs(shortlisted: DataFrame, subs: DataFrame, papers: DataFrame,
 
 
 def pair_score(pairs: DataFrame, scorer: ColumnScorer | BatchScorer = TOKEN_OVERLAP) -> DataFrame:
-    """Add ``pair_sim`` to pairs with ``paper_side`` and ``sub_side`` (features or texts)."""
+    """Add ``pair_sim`` to pairs with ``paper_side`` and ``sub_side`` (features or texts); no score (null, NaN) counts as 0."""
     if isinstance(scorer, ColumnScorer):
-        return pairs.withColumn("pair_sim", round9(scorer.score(F.col("paper_side"), F.col("sub_side")))).drop(
+        sim = scorer.score(F.col("paper_side"), F.col("sub_side"))
+        return pairs.withColumn("pair_sim", round9(F.coalesce(F.nanvl(sim.cast("double"), F.lit(0.0)), F.lit(0.0)))).drop(
             "paper_side", "sub_side")
     kept = [c for c in pairs.columns if c not in ("paper_side", "sub_side")]
     schema = ", ".join(f"{c} {pairs.schema[c].dataType.simpleString()}" for c in kept) + ", pair_sim double"
@@ -99,7 +100,7 @@ def pair_score(pairs: DataFrame, scorer: ColumnScorer | BatchScorer = TOKEN_OVER
             predict = predict or load()
             a, b = frame["paper_side"].tolist(), frame["sub_side"].tolist()
             parts = [np.asarray(predict(a[i:i + batch], b[i:i + batch]), dtype="float64") for i in range(0, len(a), batch)]
-            yield frame[kept].assign(pair_sim=np.floor(np.concatenate(parts) * 1e9 + 0.5) / 1e9)
+            yield frame[kept].assign(pair_sim=np.floor(np.nan_to_num(np.concatenate(parts), nan=0.0) * 1e9 + 0.5) / 1e9)
 
     return pairs.mapInPandas(run, schema)
 

@@ -70,16 +70,24 @@ def sparse_tops(sub_weights: DataFrame, paper_weights: DataFrame, rounds: DataFr
 
 
 def _cosine_kernel():
-    """Cosines of two Arrow tables with a ``vec`` column; a local function, so tasks need no import."""
+    """Cosines of two Arrow tables with a ``vec`` column; a local function, so tasks need no import.
 
-    def unit(table: pa.Table) -> np.ndarray:
-        flat = table["vec"].combine_chunks().flatten().to_numpy(zero_copy_only=False)
-        matrix = flat.reshape(table.num_rows, -1).astype("float64")
+    A null vector counts as a zero vector; vectors of different lengths are an error.
+    """
+
+    def unit(table: pa.Table, width: int) -> np.ndarray:
+        vec = table["vec"].combine_chunks()
+        sizes = np.array([width if n is None else n for n in vec.value_lengths().to_pylist()])
+        if (sizes != width).any():
+            raise ValueError(f"vectors of {sorted(set(sizes.tolist()))} numbers among those of {width}")
+        matrix = np.zeros((table.num_rows, width))
+        matrix[vec.is_valid().to_numpy(zero_copy_only=False)] = vec.flatten().to_numpy(zero_copy_only=False).reshape(-1, width) if width else 0
         norm = np.sqrt((matrix * matrix).sum(axis=1, keepdims=True))
         return np.divide(matrix, norm, out=np.zeros_like(matrix), where=norm > 0)
 
     def cosines(left: pa.Table, right: pa.Table) -> np.ndarray:
-        return np.floor(unit(left) @ unit(right).T * 1e9 + 0.5) / 1e9
+        width = max([0, *(n for t in (left, right) for n in t["vec"].combine_chunks().value_lengths().drop_null().to_pylist())])
+        return np.floor(unit(left, width) @ unit(right, width).T * 1e9 + 0.5) / 1e9
 
     return cosines
 

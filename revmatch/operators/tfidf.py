@@ -41,7 +41,7 @@ def postings(arrays: DataFrame, keys: list[str]) -> DataFrame:
     the projections that build it and makes every text be cut into terms again.
     """
     rows = arrays.select(*keys, "tf", F.posexplode_outer("term").alias("_at", "term"))
-    return rows.filter(F.col("term").isNotNull()).select(*keys, "term", F.col("tf")[F.col("_at")].alias("tf"))
+    return rows.filter(F.col("term").isNotNull()).select(*keys, "term", F.col("tf")[F.col("_at")].cast("bigint").alias("tf"))
 
 
 def pool_sizes(submissions: DataFrame) -> DataFrame:
@@ -97,5 +97,5 @@ def top_terms(paper_weights: DataFrame, roster: DataFrame, k: int = TOP_TERMS) -
     sums = paper_weights.groupBy(*K, "term").agg(F.sum(F.floor(F.col("w") * 1e12 + F.lit(0.5))).alias("_s"))
     means = sums.join(roster.select(*K, "n_papers"), K).select(
         *K, "term", (F.floor(F.col("_s") / F.lit(1e3) / F.col("n_papers") + F.lit(0.5)) / F.lit(1e9)).alias("mean_weight"))
-    place = F.row_number().over(Window.partitionBy(*K).orderBy(F.desc("mean_weight"), "term"))
+    place = F.row_number().over(Window.partitionBy(*K).orderBy(F.desc("mean_weight"), "term")).cast("bigint")
     return means.filter(F.col("mean_weight") > 0).withColumn("place", place).filter(F.col("place") <= k)

@@ -20,12 +20,12 @@ from revmatch.operators.topics import rating_maps, with_topic_base
 from revmatch.params import MAX_DF, METHODS, MIN_DF, RunOptions, ScoringParams
 from revmatch.schemas import K, PAPER, PAPER_KEY, REVIEWER, ROUND
 from revmatch.session import materialize, session_conf
-from revmatch.sources.papers import TooFewPapers, papers_guard
+from revmatch.sources.papers import TooFewPapers, distinct_papers, papers_guard
 from revmatch.sources.submissions import topic_template
 from revmatch.sources.vector_cache import Encode, VectorCache, embed_missing
 
 __all__ = ["Prepared", "SparseSide", "bids_embedding", "bids_rerank", "bids_tfidf", "embedding_inputs",
-           "paper_top_terms", "pool_with_topics", "prepare", "semantic_scores", "sparse_side", "topic_template"]
+           "paper_top_terms", "pool_with_topics", "prepare", "semantic_scores", "set_aside", "sparse_side", "topic_template"]
 
 
 class PoolTooSmall(ValueError):
@@ -52,7 +52,12 @@ class SparseSide:
 
 def prepare(submissions: DataFrame, papers: DataFrame, interests: DataFrame | None = None,
             options: RunOptions = RunOptions()) -> Prepared:
-    """Set reviewers with too few papers aside (or raise) and size every round."""
+    """Set reviewers with too few papers aside (or raise) and size every round.
+
+    Papers of one reviewer with the same text count once. What is set aside is listed by ``set_aside``.
+    """
+    if "text" in papers.columns:
+        papers = distinct_papers(papers, K, PAPER_KEY, "text")
     guard = papers_guard(papers, PAPER_KEY, K, options.min_papers)
     roster = materialize(guard.filter("accepted").select(*K, "n_papers"), "roster")
     per_round = roster.groupBy(ROUND).agg(F.sum("n_papers").alias("n_papers"), F.count("*").alias("n_reviewers"))
@@ -70,6 +75,17 @@ def prepare(submissions: DataFrame, papers: DataFrame, interests: DataFrame | No
     return Prepared(submissions, papers.join(roster.select(*K), K, "left_semi"), interests, roster, rounds, guard)
 
 
+def set_aside(prep: Prepared) -> DataFrame:
+    """What the sparse methods give no bids for: reviewers with too few papers, rounds too small for a vocabulary, and
+    rounds without an accepted reviewer (``reviewer_id`` is null for rounds)."""
+    no_one = F.lit(None).cast(prep.guard.schema[REVIEWER].dataType).alias(REVIEWER)
+    few = prep.guard.filter(~F.col("accepted")).select(*K, F.lit("too few papers").alias("reason"), F.col("n_papers").alias("n"))
+    small = prep.rounds.filter(~F.col("fits")).select(ROUND, no_one, F.lit("too few submissions").alias("reason"), F.col("n_subs").alias("n"))
+    empty = (tfidf.pool_sizes(prep.submissions).join(prep.rounds, ROUND, "left_anti")
+             .select(ROUND, no_one, F.lit("no accepted reviewer").alias("reason"), F.col("n_subs").alias("n")))
+    return few.unionByName(small.select(*few.columns)).unionByName(empty.select(*few.columns))
+
+
 def sparse_side(prep: Prepared, stop_words: Sequence[str] | None = None) -> SparseSide:
     """Vocabulary of each pool of submissions, and both sides weighted in it."""
     stop = default_stop_words() if stop_words is None else list(stop_words)

@@ -59,12 +59,6 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Deal rows of a table with fewer files than cores over all cores; larger tables stay as scanned."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if len(df.inputFiles()) < cores else df
-
-
 @contextmanager
 def session_conf(spark: SparkSession, settings: dict[str, str]):
     """Apply settings for the actions run inside the block, then put the old ones back."""

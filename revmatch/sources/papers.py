@@ -35,11 +35,21 @@ def scan_paper_files(spark: SparkSession, folder: str) -> DataFrame:
 def leading_pages(pages: DataFrame, keys: list[str], pages_read: int = LEADING_PAGES) -> DataFrame:
     """First pages of each paper joined without a separator; a page without text adds nothing.
 
-    A fixed number of conditional maxima, so a paper of any length keeps constant state.
+    A fixed number of conditional maxima, so a paper of any length keeps constant state. A paper with no such page
+    has empty text.
     """
-    first = pages.filter(F.col("page") < pages_read)
     page_text = [F.coalesce(F.max(F.when(F.col("page") == i, F.col("text"))), F.lit("")) for i in range(pages_read)]
-    return first.groupBy(*keys).agg(F.concat(*page_text).alias("text"))
+    return pages.groupBy(*keys).agg(F.concat(*page_text).alias("text"))
+
+
+def distinct_papers(papers: DataFrame, keys: list[str], paper_key: str, text: str) -> DataFrame:
+    """One paper per reviewer and text, the one with the smallest key; papers without text are told apart by key only.
+
+    Hashes and keys are shuffled, never texts, until the chosen keys pick their rows.
+    """
+    told = F.when(F.coalesce(F.col(text), F.lit("")) == "", F.concat(F.lit("key:"), F.col(paper_key).cast("string"))).otherwise(F.sha2(F.col(text), 256))
+    chosen = papers.select(*keys, paper_key, told.alias("_content")).groupBy(*keys, "_content").agg(F.min(paper_key).alias(paper_key))
+    return papers.join(chosen.select(*keys, paper_key), [*keys, paper_key], "left_semi")
 
 
 def count_unique(papers: DataFrame, content: str, keys: list[str]) -> DataFrame:

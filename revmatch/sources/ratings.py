@@ -10,9 +10,6 @@ from revmatch.functions.text import strip
 from revmatch.schemas import REVIEWER
 from revmatch.sources.submissions import MissingInput
 
-_MAX_COLUMNS = 16
-
-
 def rating_lines(spark: SparkSession, path: str) -> DataFrame:
     """Lines in file order: file, split start, position inside the split. Directory keys are kept."""
     lines = spark.read.text(path)
@@ -25,8 +22,10 @@ def rating_lines(spark: SparkSession, path: str) -> DataFrame:
 
 
 def parse_rating_lines(lines: DataFrame, keys: list[str]) -> DataFrame:
-    """Comment lines dropped, header row found per file, columns taken by header name."""
-    fields = [f"c{i}" for i in range(_MAX_COLUMNS)]
+    """Comment lines dropped, header row found per file, columns taken by header name; files of any width."""
+    # as many fields as the widest line can hold
+    width = lines.agg(F.max(F.size(F.split("value", ",")))).first()[0] or 1
+    fields = [f"c{i}" for i in range(width)]
     parsed = (
         lines.filter(~F.ltrim(strip(F.col("value"))).startswith("#") & (strip(F.col("value")) != ""))
         .select(*keys, "line_no", F.from_csv("value", ", ".join(f"{f} string" for f in fields),

@@ -30,7 +30,8 @@ class VectorCache:
             if error.getCondition() != "PATH_NOT_FOUND":
                 raise
             table = self.spark.createDataFrame([], CACHED_VECTOR)
-        return table.filter(F.col("model_id") == self.model_id).select("text_sha", "vec")
+        # two jobs, or a job run again, may have appended the same key
+        return table.filter(F.col("model_id") == self.model_id).groupBy("text_sha").agg(F.max("vec").alias("vec"))
 
     def missing(self, texts: DataFrame, text: str = "text") -> DataFrame:
         """Distinct texts whose key is not cached for this model.
@@ -65,9 +66,7 @@ def embed(missing: DataFrame, load: Callable[[], Encode], batch: int = BATCH) ->
 def embed_missing(texts: DataFrame, cache: VectorCache, load: Callable[[], Encode],
                   text: str = "text", batch: int = BATCH) -> DataFrame:
     """Vectors of all texts: cached ones read, the others encoded once and appended."""
-    todo = cache.missing(texts, text)
-    if not todo.isEmpty():
-        cache.append(embed(todo, load, batch))
+    cache.append(embed(cache.missing(texts, text), load, batch))
     return (
         texts.withColumn("text_sha", text_key(F.col(text)))
         .join(cache.read(), "text_sha")

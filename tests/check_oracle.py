@@ -29,6 +29,17 @@ def frames_equal(got: pd.DataFrame, want: pd.DataFrame) -> str:
     return f"{len(bad)} of {len(left)} rows differ, first {bad[0]}" if bad else ""
 
 
+TYPES = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "float": "FLOAT", "string": "VARCHAR", "boolean": "BOOLEAN", "date": "DATE"}
+
+
+def schemas_differ(got: list[tuple[str, str]], want: list[tuple[str, str]]) -> str:
+    """Empty when names, their order and the plain types agree. ``got``: Spark's dtypes; ``want``: DuckDB's names and types."""
+    if [n for n, _ in got] != [n for n, _ in want]:
+        return f"columns {[n for n, _ in got]} != {[n for n, _ in want]}"
+    bad = [(n, a, b) for (n, a), (_, b) in zip(got, want) if a in TYPES and TYPES[a] != b]
+    return f"types {bad}" if bad else ""
+
+
 def connect(sf_dir: str) -> duckdb.DuckDBPyConnection:
     con = duckdb.connect()
     for name in TABLES:
@@ -47,15 +58,20 @@ def main(sf_dir: str, names: list[str]) -> int:
     con, failed = connect(sf_dir), 0
     sql = entry.oracle_sql()
     for name, fn in entry.queries().items():
-        if names and name not in names:
+        if (name not in names) if names else (name not in sql):
             continue
         start = time.time()
         try:
-            got = fn(spark, sf_dir).toPandas()
+            result = fn(spark, sf_dir)
+            got = result.toPandas()
             took = time.time() - start
-            problem = frames_equal(got, con.execute(sql[name]).df()) if name in sql else "no twin"
+            if name in sql:
+                described = [(r[0], r[1]) for r in con.execute(f"describe {sql[name]}").fetchall()]
+                problem = frames_equal(got, con.execute(sql[name]).df()) or schemas_differ(result.dtypes, described)
+            else:
+                problem = "no twin"
         except Exception as error:
-            took, problem = time.time() - start, f"{type(error).__name__}: {str(error)[:300]}"
+            got, took, problem = [], time.time() - start, f"{type(error).__name__}: {str(error)[:300]}"
         failed += bool(problem)
         print(f"{name:26s} {len(got):8d} rows {took:6.1f}s  {problem or 'ok'}"[:400], flush=True)
     print("failed", failed)

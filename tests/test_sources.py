@@ -128,3 +128,27 @@ def test_scored_output_drops_abstract(spark):
     assert out.columns == ["round_id", "reviewer_id", "paper", "title", "preference", "extra"]
     assert tuple(out.first()) == ("r", 9, 1, "T", -3, "x")
     assert out.select(F.col("preference")).first()[0] == -3
+
+
+def test_wide_rating_files(spark, tmp_path):
+    path = tmp_path / "wide.csv"
+    path.write_text("# x\n" + ",".join(f"c{i}" for i in range(17)) + ",topic,interest\n" + "," * 17 + "a,2\n")
+    got = ratings.scan_interests(spark, str(path), 1).collect()
+    assert [(r["topic"], r["interest"]) for r in got] == [("a", 2)]
+
+
+def test_cache_with_repeated_keys(spark, tmp_path):
+    cache = vector_cache.VectorCache(spark, str(tmp_path / "cache"), "m")
+    rows = spark.createDataFrame([("k", [1.0, 2.0]), ("k", [1.0, 2.0])], "text_sha string, vec array<float>")
+    cache.append(rows)
+    cache.append(rows)
+    assert cache.read().count() == 1
+
+
+def test_papers_of_one_text_count_once_and_papers_without_early_pages_stay(spark):
+
+    rows = [("r", 1, k, "same") for k in range(5)] + [("r", 1, 9, ""), ("r", 1, 10, None)]
+    own = spark.createDataFrame(rows, "round_id string, reviewer_id bigint, paper_key bigint, text string")
+    assert sorted(r["paper_key"] for r in papers.distinct_papers(own, ["round_id", "reviewer_id"], "paper_key", "text").collect()) == [0, 9, 10]
+    pages = spark.createDataFrame([(1, 0, "a"), (1, 7, "z"), (2, 5, "late")], "paper_key bigint, page int, text string")
+    assert {(r["paper_key"], r["text"]) for r in papers.leading_pages(pages, ["paper_key"]).collect()} == {(1, "a"), (2, "")}
