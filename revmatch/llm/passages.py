@@ -4,7 +4,7 @@ A paragraph here is ``SIZE`` words from an anchor; anchors are the places whose
 ``REACH`` places around, so they depend on the words alone, and every passage of ``SIZE + REACH - 1`` words (51) holds the same
 paragraphs wherever it stands, be it in the middle of a line. Each paragraph has ``BANDS`` MinHash bands over its
 five-word shingles. Bands of the whole corpus meet in hash ranges, which answer each batch of documents which of its
-paragraphs are shared or collide; only those leave their batch. Colliding paragraphs that are not equal are joined by band,
+paragraphs are shared, or collide with one of other documents; only those leave their batch. Colliding paragraphs that are not equal are joined by band,
 verified by exact Jaccard similarity, and linked; a component of links is one passage. Of each passage the first document (smallest id)
 keeps it and the others lose it.
 
@@ -99,17 +99,23 @@ def _blocks(packed: bytes) -> Iterator[tuple[int, pa.Table, Paragraphs]]:
         yield i, docs, Paragraphs(Words(data[offsets[i]:offsets[j]], offsets[i:j + 1] - offsets[i]))
 
 
-def _entries(packed: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct (band key, content) of a batch in order, and in how many of its documents each is."""
-    parts = [(np.concatenate(p.keys), np.tile(p.content, BANDS)) for _, _, p in _blocks(packed)]
-    key, content = (np.concatenate(c) for c in zip(*parts)) if parts else (np.zeros(0, np.uint64),) * 2
+def _entries(packed: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct (band key, content) of a batch in order, in how many of its documents each is, and the sum of those documents' tags."""
+    parts, tags = [], None
+    for first, docs, p in _blocks(packed):
+        if tags is None:
+            tags = mix(docs.column(2).to_numpy().view(np.uint64)) >> np.uint64(32)
+        parts.append((np.concatenate(p.keys), np.tile(p.content, BANDS), np.tile(tags[first + p.words.doc[p.at]], BANDS)))
+    key, content, tag = (np.concatenate(c) for c in zip(*parts)) if parts else (np.zeros(0, np.uint64),) * 3
+    if not len(key):
+        return key, content, key.astype(np.int64), tag
     order = np.lexsort((content, key))
-    key, content = key[order], content[order]
-    new = np.flatnonzero(np.append(True, (key[1:] != key[:-1]) | (content[1:] != content[:-1]))[:len(key)])
-    return key[new], content[new], np.diff(np.append(new, len(key)))
+    key, content, tag = key[order], content[order], tag[order]
+    new = np.flatnonzero(np.append(True, (key[1:] != key[:-1]) | (content[1:] != content[:-1])))
+    return key[new], content[new], np.diff(np.append(new, len(key))), np.add.reduceat(tag, new)
 
 
-_SENT = "batch long, range long, keys binary, contents binary, counts binary"
+_SENT = "batch long, range long, keys binary, contents binary, counts binary, tags binary"
 
 
 def _send(ranges: int):
@@ -118,33 +124,38 @@ def _send(ranges: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for number, packed in zip(b.column(0).to_pylist(), b.column(2).to_pylist()):
-                key, content, count = _entries(packed)
+                key, content, count, tag = _entries(packed)
                 cut = np.searchsorted(hash_ranges(key, ranges), np.arange(ranges + 1, dtype=np.uint64))
                 rows = []
                 for r in np.flatnonzero(np.diff(cut)).tolist():
                     s = slice(cut[r], cut[r + 1])
-                    rows.append((number, r, shrink(np.diff(key[s], prepend=np.uint64(0))), shrink(content[s]), shrink(count[s].astype(np.uint32))))
+                    rows.append((number, r, shrink(np.diff(key[s], prepend=np.uint64(0))), shrink(content[s]), shrink(count[s].astype(np.uint32)),
+                                 shrink(tag[s].astype(np.uint32))))
                 for k in range(0, len(rows), 64):
-                    yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows[k:k + 64]), [pa.int64()] * 2 + [pa.binary()] * 3)], names=names)
+                    yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows[k:k + 64]), [pa.int64()] * 2 + [pa.binary()] * 4)], names=names)
 
     return run
 
 
 def _answer(group: pa.Table) -> pa.Table:
-    """For each batch's entries of a hash range: 1 if the content stands in several documents, 2 if its band holds other contents."""
-    parts = [(np.cumsum(grow(k, np.uint64), dtype=np.uint64), grow(c, np.uint64), grow(n, np.uint32))
-             for k, c, n in zip(*(group.column(x).to_pylist() for x in ("keys", "contents", "counts")))]
+    """For each batch's entries of a hash range: 1 if the content stands in several documents, 2 if its band holds a content of
+    other documents. Contents of the very same documents (paragraphs that overlap, in a text and its copies) need no comparison:
+    whoever loses one loses the other."""
+    parts = [(np.cumsum(grow(k, np.uint64), dtype=np.uint64), grow(c, np.uint64), grow(n, np.uint32), grow(t, np.uint32))
+             for k, c, n, t in zip(*(group.column(x).to_pylist() for x in ("keys", "contents", "counts", "tags")))]
     sizes = [len(p[0]) for p in parts]
-    key, content, count = (np.concatenate(c) for c in zip(*parts))
+    key, content, count, tag = (np.concatenate(c) for c in zip(*parts))
     order = np.lexsort((content, key))
     k, c = key[order], content[order]
     new_key = np.append(True, k[1:] != k[:-1])
-    new = new_key | np.append(True, c[1:] != c[:-1])
-    entry, band = np.cumsum(new) - 1, np.cumsum(new_key) - 1
-    documents = np.bincount(entry, count[order])
-    contents = np.bincount(band[new])
+    new = np.flatnonzero(new_key | np.append(True, c[1:] != c[:-1]))
+    entry, band = np.repeat(np.arange(len(new)), np.diff(np.append(new, len(k)))), np.cumsum(new_key) - 1
+    documents = np.add.reduceat(count[order].astype(np.int64), new)
+    who = np.add.reduceat(tag[order].astype(np.uint64), new) * np.uint64(0x9E3779B97F4A7C15) + documents.astype(np.uint64)
+    begins = np.flatnonzero(new_key[new])
+    differ = np.minimum.reduceat(who, begins) != np.maximum.reduceat(who, begins)
     flags = np.empty(len(key), np.uint8)
-    flags[order] = (documents[entry] > 1) + 2 * (contents[band] > 1)
+    flags[order] = (documents[entry] > 1) + 2 * differ[band]
     back = [shrink(f) if f.any() else None for f in np.split(flags, np.cumsum(sizes)[:-1])]
     return pa.table([group.column("batch").combine_chunks(), group.column("range").combine_chunks(), pa.array(back, pa.binary()), pa.array(sizes, pa.int64())],
                     names=["batch", "range", "flags", "size"])
@@ -158,7 +169,7 @@ def _report(group: pa.Table) -> pa.Table:
     packed = next(v for v in group.column("docs").to_pylist() if v is not None)
     rows = sorted((r, f, n) for r, f, n in zip(*(group.column(x).to_pylist() for x in ("range", "flags", "size"))) if r is not None)
     flags = np.concatenate([grow(f, np.uint8) if f is not None else np.zeros(n, np.uint8) for _, f, n in rows]) if rows else np.zeros(0, np.uint8)
-    key, content, _ = _entries(packed)
+    key, content, _, _ = _entries(packed)
     pair = chain([key, content]) if len(key) else key
     order = np.argsort(pair)
     pair, flags = pair[order], flags[order]
