@@ -39,7 +39,7 @@ def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     task, made = TaskContext.get().partitionId(), 0
     waiting: dict[bool, list[pa.RecordBatch]] = {False: [], True: []}
     size = {False: 0, True: 0}
-    options = pa.ipc.IpcWriteOptions(compression="zstd")
+    options = pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=4))
 
     def flush(flag: bool) -> Iterator[pa.RecordBatch]:
         nonlocal made

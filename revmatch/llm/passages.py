@@ -115,7 +115,7 @@ def _entries(packed: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndar
     return key[new], content[new], np.diff(np.append(new, len(key))), np.add.reduceat(tag, new)
 
 
-_SENT = "batch long, range long, keys binary, contents binary, counts binary, tags binary"
+_SENT = "batch long, range long, keys binary, contents binary, counts binary"
 
 
 def _send(ranges: int):
@@ -129,10 +129,11 @@ def _send(ranges: int):
                 rows = []
                 for r in np.flatnonzero(np.diff(cut)).tolist():
                     s = slice(cut[r], cut[r + 1])
-                    rows.append((number, r, shrink(np.diff(key[s], prepend=np.uint64(0))), shrink(content[s]), shrink(count[s].astype(np.uint32)),
-                                 shrink(tag[s].astype(np.uint32))))
+                    # inside a band 40 bits of the content and 24 of the documents' tags tell entries apart
+                    both = content[s] >> np.uint64(24) << np.uint64(24) | tag[s] & np.uint64(0xFFFFFF)
+                    rows.append((number, r, shrink(np.diff(key[s] >> np.uint64(8), prepend=np.uint64(0))), shrink(both), shrink(count[s].astype(np.uint32))))
                 for k in range(0, len(rows), 64):
-                    yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows[k:k + 64]), [pa.int64()] * 2 + [pa.binary()] * 4)], names=names)
+                    yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows[k:k + 64]), [pa.int64()] * 2 + [pa.binary()] * 3)], names=names)
 
     return run
 
@@ -141,17 +142,18 @@ def _answer(group: pa.Table) -> pa.Table:
     """For each batch's entries of a hash range: 1 if the content stands in several documents, 2 if its band holds a content of
     other documents. Contents of the very same documents (paragraphs that overlap, in a text and its copies) need no comparison:
     whoever loses one loses the other."""
-    parts = [(np.cumsum(grow(k, np.uint64), dtype=np.uint64), grow(c, np.uint64), grow(n, np.uint32), grow(t, np.uint32))
-             for k, c, n, t in zip(*(group.column(x).to_pylist() for x in ("keys", "contents", "counts", "tags")))]
+    parts = [(np.cumsum(grow(k, np.uint64), dtype=np.uint64), grow(c, np.uint64), grow(n, np.uint32))
+             for k, c, n in zip(*(group.column(x).to_pylist() for x in ("keys", "contents", "counts")))]
     sizes = [len(p[0]) for p in parts]
-    key, content, count, tag = (np.concatenate(c) for c in zip(*parts))
+    key, both, count = (np.concatenate(c) for c in zip(*parts))
+    content, tag = both >> np.uint64(24), both & np.uint64(0xFFFFFF)
     order = np.lexsort((content, key))
     k, c = key[order], content[order]
     new_key = np.append(True, k[1:] != k[:-1])
     new = np.flatnonzero(new_key | np.append(True, c[1:] != c[:-1]))
     entry, band = np.repeat(np.arange(len(new)), np.diff(np.append(new, len(k)))), np.cumsum(new_key) - 1
     documents = np.add.reduceat(count[order].astype(np.int64), new)
-    who = np.add.reduceat(tag[order].astype(np.uint64), new) * np.uint64(0x9E3779B97F4A7C15) + documents.astype(np.uint64)
+    who = np.add.reduceat(tag[order], new) % np.uint64(1 << 24) * np.uint64(0x9E3779B97F4A7C15) + documents.astype(np.uint64)
     begins = np.flatnonzero(new_key[new])
     differ = np.minimum.reduceat(who, begins) != np.maximum.reduceat(who, begins)
     flags = np.empty(len(key), np.uint8)
