@@ -16,7 +16,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents")
+    """The table; where it is one file, which one task reads, its rows are dealt to all cores before any text work."""
+    docs = table(spark, sf_dir, "documents")
+    return docs.repartition(spark.sparkContext.defaultParallelism) if len(docs.inputFiles()) == 1 else docs
 
 
 def round_of(column: str):
