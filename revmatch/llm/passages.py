@@ -11,8 +11,8 @@ keeps it and the others lose it.
 A band with more than ``LIMIT`` different paragraphs is split by bands of more rows, and those groups are compared whole, in
 blocks of one lag, inside one task whose memory holds just that group's shingles.
 
-Cases: null, empty and short texts (under ``SIZE`` words) have no paragraphs; a paragraph repeated inside one document counts once;
-equal rows (id and text) are one document; a null id comes first; an empty table gives an empty result.
+Cases: null, empty and short texts (under ``SIZE`` words) have no paragraphs; a paragraph repeated inside one document counts once
+and is lost at all its places; equal rows (id and text) are one document; a null id comes first; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -73,14 +73,15 @@ def anchors(w: Words) -> np.ndarray:
 
 
 class Paragraphs:
-    """The distinct paragraphs of each document of a block: first word, content hash and band keys."""
+    """The distinct paragraphs of each document of a block: first word, content hash and band keys; and all places where they stand."""
 
     def __init__(self, w: Words):
         at = anchors(w)
         content = chain([w.hash[at + k] for k in range(SIZE)]) if len(at) else np.zeros(0, np.uint64)
-        _, first = np.unique(chain([content, w.doc[at].astype(np.uint64)]) if len(at) else content, return_index=True)
-        first.sort()
-        self.words, self.at, self.content = w, at[first], content[first]
+        _, first, same = np.unique(chain([content, w.doc[at].astype(np.uint64)]) if len(at) else content, return_index=True, return_inverse=True)
+        order = np.argsort(first)
+        self.words, self.at, self.content = w, at[first[order]], content[first[order]]
+        self.every, self.which = at, np.argsort(order)[same]  # all places, repeats too, and the distinct paragraph of each
         if len(self.at):
             self.shingle = chain([w.hash[k:len(w.hash) - SHINGLE + 1 + k] for k in range(SHINGLE)])
             rows = [slide(mix(self.shingle * _SEEDS[r]), SHINGLES, np.minimum)[self.at] for r in range(BANDS * ROWS)]
@@ -184,9 +185,8 @@ def _report(group: pa.Table) -> pa.Table:
         which = np.flatnonzero(mine.any(1))
         if not len(which):
             continue
-        w, at = p.words, p.at[which]
+        w = p.words
         points = np.concatenate(([0], np.cumsum((w.data & 0xC0) != 0x80)))
-        begin = points[w.offsets[w.doc[at]]]
         collide = (mine[which] & 2) > 0
         fresh = collide.any(1) & ~np.isin(p.content[which], seen)
         fresh[fresh] = np.isin(np.flatnonzero(fresh), np.flatnonzero(fresh)[np.unique(p.content[which][fresh], return_index=True)[1]])
@@ -195,10 +195,17 @@ def _report(group: pa.Table) -> pa.Table:
         sh = p.shingles(which[fresh])
         payload = iter([r.tobytes() for r in sh])
         bands = [keys[i][collide[i]].tolist() if f else None for i, f in enumerate(fresh)]
-        doc = pa.array(first + w.doc[at])
-        out.append(pa.table([pa.array(p.content[which].view(np.int64)), docs.column(2).take(doc).combine_chunks(), docs.column(1).take(doc).combine_chunks(),
+        # a paragraph is compared once but lost wherever its document repeats it
+        place = np.full(len(p.at), -1)
+        place[which] = np.arange(len(which))
+        spot = np.flatnonzero(place[p.which] >= 0)
+        at, of = p.every[spot], place[p.which[spot]]
+        carries = fresh[of] & (at == p.at[which[of]])
+        bands, payload = [bands[k] if f else None for k, f in zip(of, carries)], [next(payload) if f else None for f in carries]
+        begin, doc = points[w.offsets[w.doc[at]]], pa.array(first + w.doc[at])
+        out.append(pa.table([pa.array(p.content[which[of]].view(np.int64)), docs.column(2).take(doc).combine_chunks(), docs.column(1).take(doc).combine_chunks(),
                              pa.array(points[w.start[at]] - begin), pa.array(points[w.end[at + SIZE - 1]] - begin),
-                             pa.array(bands, pa.list_(pa.int64())), pa.array([next(payload) if f else None for f in fresh], pa.binary())],
+                             pa.array(bands, pa.list_(pa.int64())), pa.array(payload, pa.binary())],
                             names=[c.split()[0] for c in _FOUND.split(", ")]))
     if out:
         return pa.concat_tables(out)

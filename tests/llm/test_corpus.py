@@ -173,6 +173,19 @@ def test_passages_inside_lines_and_near_ones(spark, limit, monkeypatch):
     assert len(out) == len(rows) and out[3] == rows[0][1] and out[9] == rows[1][1][:start] + rows[1][1][stop:]
 
 
+def test_passages_are_lost_wherever_a_document_repeats_them(spark):
+    rng = np.random.default_rng(10)
+    some = lambda n: " ".join(str(x) for x in rng.integers(0, 10**6, n))
+    passage = some(52)
+    rows = [(1, f"{some(40)}\n{passage}\n{some(40)}"), (2, f"{some(40)}\n{passage}\n{some(40)}\n{passage}\n{some(9)} {passage} {some(40)}")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = passages.find(docs).collect()
+    assert [(r["doc_id"], len(r["spans"].split(","))) for r in got] == [(2, 3)]
+    gone = {rows[1][1][int(s):int(e)] for s, e in (x.split(":") for x in got[0]["spans"].split(","))}
+    left = {r["doc_id"]: r["text"] for r in passages.remove(docs).collect()}
+    assert left[1] == rows[0][1] and not any(x in left[2] for x in gone)
+
+
 def test_anchors_depend_on_the_words_around(spark):
     from revmatch.llm.text import Words
 
