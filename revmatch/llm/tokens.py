@@ -2,11 +2,15 @@
 
 A text whose white space comes one character at a time splits at spaces and newlines into parts that the pre-tokenizer
 never joins, so the ids of a part (with its leading space) can be kept from one text to the next. Any other text goes to the tokenizer whole.
+Ids are those of ``tokenizers`` on the JSON file of the vocabulary (the rank file has the same merges): its added tokens, such as
+``<|endoftext|>``, are matched in plain text too and have ids of their own. None holds white space, so none crosses a part.
 """
 
 from __future__ import annotations
 
 import base64
+import json
+import os
 import re
 from functools import lru_cache
 
@@ -23,6 +27,19 @@ def vocabulary_path(name: str = "byte_bpe_50k.tiktoken") -> str:
     return public_tokenizers.path(name)
 
 
+def added_tokens(path: str) -> dict[str, int]:
+    """The added tokens of the JSON file beside a rank file, with their ids."""
+    beside = os.path.splitext(path)[0] + ".json"
+    if not os.path.exists(beside):
+        return {}
+    with open(beside, encoding="utf-8") as file:
+        found = json.load(file)["added_tokens"]
+    for t in found:
+        if t["lstrip"] or t["rstrip"] or t["single_word"] or re.search(r"\s", t["content"]):
+            raise ValueError(f"added token {t} is not matched as plain text within a part")
+    return {t["content"]: t["id"] for t in found}
+
+
 class _Parts(dict):
     def __init__(self, encode, before: str):
         self.encode, self.before = encode, before
@@ -43,10 +60,17 @@ class Encoder:
 
         with open(path, "rb") as lines:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-        self.ordinary = tiktoken.Encoding("public", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        self.added = added_tokens(path)
+        self.core = tiktoken.Encoding("public", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=self.added)
         self.first, self.rest = _Parts(self.ordinary, ""), _Parts(self.ordinary, " ")
         self.newline = np.array(self.ordinary("\n"), "<u4").tobytes()
 
+    def ordinary(self, text: str) -> list[int]:
+        """Ids of a text as it is, without the parts kept."""
+        if any(t in text for t in self.added):
+            return self.core.encode(text, allowed_special="all")
+        return self.core.encode_ordinary(text)
+
     @staticmethod
     def regular(text: str) -> bool:
         return not _IRREGULAR.search(text)

@@ -244,6 +244,19 @@ def test_counts_follow_edits():
         assert new == "".join([*out, text[at:]]) and tree.tokens == len(encode.ordinary(new)) == tree.sums[tree.leaves:].sum()
 
 
+def test_ids_are_those_of_the_json_vocabulary():
+    from tokenizers import Tokenizer
+
+    plain, encode, rng = Tokenizer.from_file(vocabulary_path("byte_bpe_50k.json")), encoder(vocabulary_path()), random.Random(6)
+    some = ["a <|endoftext|> b", "<|endoftext|>", "a<|endoftext|>b\n<|endoftext|><|endoftext|> c", "x <|endoftext|", "<|ENDOFTEXT|> <| endoftext|>"]
+    some += ["".join(rng.choice(PARTS) for _ in range(rng.randint(0, 30))) for _ in range(2000)]
+    for text in some:
+        want = plain.encode(text, add_special_tokens=False).ids
+        assert np.frombuffer(encode.ids(text), "<u4").tolist() == want
+        assert counts.Tree(encode, text).tokens == len(want)
+    assert 50256 in np.frombuffer(encode.ids(some[0]), "<u4")
+
+
 def test_counts_of_a_table(spark, sf_dir):
     from tokenizers import Tokenizer
 
