@@ -1,9 +1,10 @@
 """Passages that repeat across documents, by MinHash banding of paragraphs.
 
-A paragraph here is ``SIZE`` words from an anchor; anchors are the places whose three-word hash is the smallest of some
+Paragraphs are of two kinds: whole lines of at least ``LINE`` words, of any length, and windows of ``SIZE`` words from an anchor,
+which catch passages inside longer lines. Anchors are the places whose three-word hash is the smallest of some
 ``REACH`` places around, so they depend on the words alone, and every passage of ``SIZE + REACH - 1`` words (51) holds the same
-paragraphs wherever it stands, be it in the middle of a line. Each paragraph has ``BANDS`` MinHash bands over its
-five-word shingles. Bands of the whole corpus meet in hash ranges, which answer each batch of documents which of its
+paragraphs wherever it stands, be it in the middle of a line. Each paragraph has ``BANDS`` MinHash bands over its own
+five-word shingles; lines and windows do not meet in a band. Bands of the whole corpus meet in hash ranges, which answer each batch of documents which of its
 paragraphs are shared, or collide with one of other documents; only those leave their batch. Colliding paragraphs that are not equal are joined by band,
 verified by exact Jaccard similarity, and linked; a component of links is one passage. Of each passage the first document (smallest id)
 keeps it and the others lose it.
@@ -11,7 +12,7 @@ keeps it and the others lose it.
 A band with more than ``LIMIT`` different paragraphs is split by bands of more rows, and those groups are compared whole, in
 blocks of one lag, inside one task whose memory holds just that group's shingles.
 
-Cases: null, empty and short texts (under ``SIZE`` words) have no paragraphs; a paragraph repeated inside one document counts once
+Cases: null, empty and short texts (no line of ``LINE`` words and under ``SIZE`` words) have no paragraphs; a paragraph repeated inside one document counts once
 and is lost at all its places; equal rows (id and text) are one document; a null id comes first; an empty table gives an empty result.
 """
 
@@ -27,9 +28,11 @@ from pyspark.sql import functions as F
 from revmatch.llm.batches import gather, grow, hash_ranges, range_count, shrink, unpack
 from revmatch.llm.common import ID, TEXT, components, texts, written
 from revmatch.llm.simhash import merge, row_key
-from revmatch.llm.text import Words, blocks, buffer, chain, mix
+from revmatch.llm.text import Words, blocks, buffer, chain, mix, runs
 
 SIZE, REACH, SHINGLE, SIMILAR = 30, 22, 5, 0.8
+#: Shortest line that is a paragraph: documents that share fewer words in a row lose nothing.
+LINE = 25
 SHINGLES = SIZE - SHINGLE + 1
 #: Bands of so many rows: 98 of 100 pairs at similarity 0.8 share one, 99.99 of 100 at 0.93 (one word at an end differs).
 BANDS, ROWS = 4, 2
@@ -72,25 +75,48 @@ def anchors(w: Words) -> np.ndarray:
     return np.flatnonzero(chosen)
 
 
+def lines(w: Words) -> tuple[np.ndarray, np.ndarray]:
+    """First word and number of words of every line of at least ``LINE`` words."""
+    if not len(w.start):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    breaks = np.concatenate(([0], np.cumsum(w.data == 10)))
+    begin = np.flatnonzero(np.append(True, (w.doc[1:] != w.doc[:-1]) | (breaks[w.start[1:]] > breaks[w.end[:-1]])))
+    size = np.diff(np.append(begin, len(w.start)))
+    return begin[size >= LINE], size[size >= LINE]
+
+
 class Paragraphs:
-    """The distinct paragraphs of each document of a block: first word, content hash and band keys; and all places where they stand."""
+    """The distinct paragraphs of each document of a block: first word, words, content hash and band keys; and all places where they stand."""
 
     def __init__(self, w: Words):
-        at = anchors(w)
-        content = chain([w.hash[at + k] for k in range(SIZE)]) if len(at) else np.zeros(0, np.uint64)
+        window, (line, size) = anchors(w), lines(w)
+        at, size = np.concatenate([window, line]), np.concatenate([np.full(len(window), SIZE), size])
+        whole = np.arange(len(at)) >= len(window)
+        content = np.zeros(0, np.uint64)
+        if len(at):
+            content = np.concatenate([chain([w.hash[window + k] for k in range(SIZE)]), runs(w.hash, line, size[whole])])
         _, first, same = np.unique(chain([content, w.doc[at].astype(np.uint64)]) if len(at) else content, return_index=True, return_inverse=True)
         order = np.argsort(first)
-        self.words, self.at, self.content = w, at[first[order]], content[first[order]]
+        kept = first[order]
+        self.words, self.at, self.size, self.content = w, at[kept], size[kept], content[kept]
         self.every, self.which = at, np.argsort(order)[same]  # all places, repeats too, and the distinct paragraph of each
-        if len(self.at):
-            self.shingle = chain([w.hash[k:len(w.hash) - SHINGLE + 1 + k] for k in range(SHINGLE)])
-            rows = [slide(mix(self.shingle * _SEEDS[r]), SHINGLES, np.minimum)[self.at] for r in range(BANDS * ROWS)]
-            self.keys = [chain([*rows[b * ROWS:(b + 1) * ROWS], np.full(len(self.at), b, np.uint64)]) for b in range(BANDS)]
-        else:
+        if not len(at):
             self.keys = [np.zeros(0, np.uint64)] * BANDS
-
-    def shingles(self, which: np.ndarray) -> np.ndarray:
-        return self.shingle[self.at[which][:, None] + np.arange(SHINGLES)[None]]
+            return
+        self.shingle = chain([w.hash[k:len(w.hash) - SHINGLE + 1 + k] for k in range(SHINGLE)])
+        whole = whole[kept]
+        edges = np.stack([self.at[whole], self.at[whole] + self.size[whole] - SHINGLE + 1], 1).ravel()
+        rows = []
+        for seed in _SEEDS[:BANDS * ROWS]:
+            mixed = mix(self.shingle * seed)
+            row = np.empty(len(kept), np.uint64)
+            row[~whole] = slide(mixed, SHINGLES, np.minimum)[self.at[~whole]] if not whole.all() else 0
+            row[whole] = np.minimum.reduceat(np.append(mixed, _TOP), edges)[::2] if len(edges) else 0
+            rows.append(row)
+        self.keys = [chain([*rows[b * ROWS:(b + 1) * ROWS], (b + BANDS * whole).astype(np.uint64)]) for b in range(BANDS)]
+
+    def shingles(self, which: np.ndarray) -> list[bytes]:
+        return [self.shingle[a:a + n - SHINGLE + 1].tobytes() for a, n in zip(self.at[which], self.size[which])]
 
 
 def _blocks(packed: bytes) -> Iterator[tuple[int, pa.Table, Paragraphs]]:
@@ -192,8 +218,7 @@ def _report(group: pa.Table) -> pa.Table:
         fresh[fresh] = np.isin(np.flatnonzero(fresh), np.flatnonzero(fresh)[np.unique(p.content[which][fresh], return_index=True)[1]])
         seen = np.concatenate([seen, p.content[which][fresh]])
         keys = np.stack([k[which] for k in p.keys], 1).view(np.int64)
-        sh = p.shingles(which[fresh])
-        payload = iter([r.tobytes() for r in sh])
+        payload = iter(p.shingles(which[fresh]))
         bands = [keys[i][collide[i]].tolist() if f else None for i, f in enumerate(fresh)]
         # a paragraph is compared once but lost wherever its document repeats it
         place = np.full(len(p.at), -1)
@@ -204,7 +229,7 @@ def _report(group: pa.Table) -> pa.Table:
         bands, payload = [bands[k] if f else None for k, f in zip(of, carries)], [next(payload) if f else None for f in carries]
         begin, doc = points[w.offsets[w.doc[at]]], pa.array(first + w.doc[at])
         out.append(pa.table([pa.array(p.content[which[of]].view(np.int64)), docs.column(2).take(doc).combine_chunks(), docs.column(1).take(doc).combine_chunks(),
-                             pa.array(points[w.start[at]] - begin), pa.array(points[w.end[at + SIZE - 1]] - begin),
+                             pa.array(points[w.start[at]] - begin), pa.array(points[w.end[at + p.size[which[of]] - 1]] - begin),
                              pa.array(bands, pa.list_(pa.int64())), pa.array(payload, pa.binary())],
                             names=[c.split()[0] for c in _FOUND.split(", ")]))
     if out:
@@ -226,18 +251,51 @@ def jaccard(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return common / (fx.sum(1) + fy.sum(1) - common)
 
 
+class _Shingles:
+    """Shingles of paragraphs of any length, one after the other."""
+
+    def __init__(self, values: np.ndarray, size: np.ndarray):
+        self.values, self.size, self.first = values, size, np.concatenate(([0], np.cumsum(size)))
+
+    @staticmethod
+    def of(raw: list[bytes]) -> _Shingles:
+        return _Shingles(np.frombuffer(b"".join(raw), np.uint64), np.array([len(x) // 8 for x in raw], np.int64))
+
+    def take(self, which: np.ndarray) -> _Shingles:
+        size = self.size[which]
+        at = np.repeat(self.first[which] - np.concatenate(([0], np.cumsum(size)[:-1])), size) + np.arange(size.sum())
+        return _Shingles(self.values[at], size)
+
+    def minima(self, seed: np.uint64) -> np.ndarray:
+        return np.minimum.reduceat(mix(self.values * seed), self.first[:-1])
+
+    def similar(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Which pairs have an exact similarity of at least ``SIMILAR``."""
+        out = np.zeros(len(a), bool)
+        usual = (self.size[a] == SHINGLES) & (self.size[b] == SHINGLES)
+        if usual.any():
+            rows = np.arange(SHINGLES)[None]
+            out[usual] = jaccard(self.values[self.first[a[usual]][:, None] + rows], self.values[self.first[b[usual]][:, None] + rows]) >= SIMILAR
+        for k in np.flatnonzero(~usual):
+            x, y = (np.unique(self.values[self.first[i]:self.first[i + 1]]) for i in (a[k], b[k]))
+            if min(len(x), len(y)) >= SIMILAR * max(len(x), len(y)):
+                common = len(np.intersect1d(x, y, assume_unique=True))
+                out[k] = common / (len(x) + len(y) - common) >= SIMILAR
+        return out
+
+
 def _compare(limit: int):
     """Over rows (band, content, shingles) sorted by band: links of similar contents; ``(a, null)`` for members of bands too large."""
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
-    def compared(band: np.ndarray, content: np.ndarray, sh: np.ndarray) -> Iterator[pa.RecordBatch]:
+    def compared(band: np.ndarray, content: np.ndarray, sh: _Shingles) -> Iterator[pa.RecordBatch]:
         change = np.flatnonzero(np.append(True, band[1:] != band[:-1]))
         size = np.diff(np.append(change, len(band)))
         big = np.repeat(size > limit, size)
         if big.any():
             yield pa.record_batch([pa.array(content[big]), pa.nulls(int(big.sum()), pa.int64())], schema=schema)
         keep = np.flatnonzero(~big & np.repeat(size > 1, size))
-        group, content, sh = np.repeat(np.arange(len(size)), size)[keep], content[keep], sh[keep]
+        group, content, sh = np.repeat(np.arange(len(size)), size)[keep], content[keep], sh.take(keep)
         root, lag, at = np.arange(len(keep)), 1, np.arange(len(keep))
         while len(at):
             at = at[at + lag < len(keep)]
@@ -245,7 +303,7 @@ def _compare(limit: int):
             near = at[root[at] != root[at + lag]]
             for k in range(0, len(near), 4096):
                 part = near[k:k + 4096]
-                part = part[jaccard(sh[part], sh[part + lag]) >= SIMILAR]
+                part = part[sh.similar(part, part + lag)]
                 if len(part):
                     root = merge(root, [part], [part + lag])
             lag += 1
@@ -258,16 +316,14 @@ def _compare(limit: int):
         for b in batches:
             if not b.num_rows:
                 continue
-            raw = b.column(2)
-            sh = np.frombuffer(b"".join(raw.to_pylist()), np.uint64).reshape(-1, SHINGLES)
-            now = [np.asarray(b.column(0), np.int64), np.asarray(b.column(1), np.int64), sh]
+            now = [np.asarray(b.column(0), np.int64), np.asarray(b.column(1), np.int64), np.array([*b.column(2).to_pylist(), None], object)[:-1]]
             now = now if held is None else [np.concatenate(x) for x in zip(held, now)]
             cut = int(np.searchsorted(now[0], now[0][-1], "left")) if (np.diff(now[0]) >= 0).all() else int(np.flatnonzero(now[0] != now[0][-1])[-1]) + 1
             if cut:
-                yield from compared(*(x[:cut] for x in now))
+                yield from compared(now[0][:cut], now[1][:cut], _Shingles.of(now[2][:cut].tolist()))
             held = [x[cut:] for x in now]
         if held is not None and len(held[0]):
-            yield from compared(*held)
+            yield from compared(held[0], held[1], _Shingles.of(held[2].tolist()))
 
     return run
 
@@ -276,9 +332,9 @@ def _finer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(content, shingles, bands of more rows)"""
     for b in batches:
         if b.num_rows:
-            sh = np.frombuffer(b"".join(b.column(1).to_pylist()), np.uint64).reshape(-1, SHINGLES)
-            rows = [mix(sh * s).min(1) for s in _SEEDS[BANDS * ROWS:]]
-            keys = [chain([*rows[k * MORE_ROWS:(k + 1) * MORE_ROWS], np.full(len(sh), k, np.uint64)]) for k in range(MORE_BANDS)]
+            sh = _Shingles.of(b.column(1).to_pylist())
+            rows = [sh.minima(s) for s in _SEEDS[BANDS * ROWS:]]
+            keys = [chain([*rows[k * MORE_ROWS:(k + 1) * MORE_ROWS], np.full(b.num_rows, k, np.uint64)]) for k in range(MORE_BANDS)]
             yield pa.record_batch([b.column(0), b.column(1), pa.array(np.stack(keys, 1).view(np.int64).tolist(), pa.list_(pa.int64()))], names=["content", "shingles", "bands"])
 
 

@@ -125,6 +125,14 @@ def chain(parts: list[np.ndarray]) -> np.ndarray:
     return h
 
 
+def runs(hashes: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Hash of each run of ``size`` hashes (one size a run) from ``first``."""
+    up, down = _power_tables(len(hashes) + 1)
+    sums = np.zeros(len(hashes) + 1, U)
+    np.cumsum(mix(hashes) * up[:len(hashes)], out=sums[1:])
+    return chain([(sums[first + size] - sums[first]) * down[first], size.astype(U)])
+
+
 def each_block(column, lower: bool = False, hashes: bool = True, limit: int = BLOCK) -> Iterator[tuple[int, int, Words]]:
     """``(i, j, words)`` for blocks of a text column."""
     data, offsets = buffer(column)

@@ -186,6 +186,25 @@ def test_passages_are_lost_wherever_a_document_repeats_them(spark):
     assert left[1] == rows[0][1] and not any(x in left[2] for x in gone)
 
 
+def test_passages_edited_and_short_lines(spark):
+    rng = np.random.default_rng(11)
+    some = lambda n: [str(x) for x in rng.integers(0, 10**6, n)]
+    rows, kinds = [], [(50, 1), (60, 1), (70, 1), (100, 2), (300, 5), (27, 0), (40, 0)]
+    for kind, (n, edits) in enumerate(kinds):
+        for k in range(40):
+            a = some(n)
+            b = list(a)
+            for e in range(edits):
+                b[(e + 1) * n // (edits + 1)] = "edited"
+            for side, line in enumerate((a, b)):
+                rows.append((2 * (100 * kind + k) + side, "\n".join(map(" ".join, (some(28), line, some(33))))))
+    got = {r["doc_id"]: r["keepers"] for r in passages.find(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(k % 2 and v == [k - 1] for k, v in got.items())
+    for kind, (n, edits) in enumerate(kinds):
+        found = sum(2 * (100 * kind + k) + 1 in got for k in range(40))
+        assert found == 40 if not edits else found >= 37, (n, edits, found)
+
+
 def test_anchors_depend_on_the_words_around(spark):
     from revmatch.llm.text import Words
 
