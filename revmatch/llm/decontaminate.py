@@ -2,7 +2,8 @@
 
 Words become templates: numbers, names (capitalised words inside a sentence) and units after numbers turn into typed
 placeholders, other words into lower case without outer punctuation. Windows of ``WINDOW`` template words of all documents
-are looked up in a hash table of the benchmark's windows. Hits on one diagonal (same shift between document and item) form
+are looked up in a hash table of the benchmark's windows, and beside them windows of the words' own values without regard to case,
+placeholders or not, so an exact or case-changed copy of an item hits wherever it stands. Hits on one diagonal (same shift between document and item) form
 an alignment, which counts only if its slots are consistent: a value of the item always stands where the document has one and
 the same value, so a re-parameterised question is caught and a chance meeting of placeholders is not. A document holds an item
 if the alignment covers half of the item's words, or ``LONG`` words.
@@ -10,8 +11,8 @@ if the alignment covers half of the item's words, or ``LONG`` words.
 The table is built from the benchmark in blocks of ``BLOCK_CHARS`` characters (a bound on what is sent to workers);
 each block is one pass over the documents, so a benchmark of any size is searched whole.
 
-Cases: null and empty texts and items match nothing; items of fewer than ``LEAST`` words are too short to tell and match
-nothing; equal items are searched once and all reported; equal documents get equal rows; empty tables give an empty result.
+Cases: null and empty texts and items match nothing; items of fewer than ``LEAST`` words have no template
+and match by their own words only; equal items are searched once and all reported; equal documents get equal rows; empty tables give an empty result.
 """
 
 from __future__ import annotations
@@ -40,6 +41,21 @@ _UPPER[65:91] = _LOWER[97:123] = _LOWER[128:] = True
 _KINDS = chain([np.arange(1, 4, dtype=np.uint64)])  # hashes of the placeholders: number, name, unit
 
 
+#: Lower case of letters of two bytes (Latin, Greek, Cyrillic and others), which are as long.
+_FOLD = np.array([ord(x) if len(x := chr(c).lower()) == 1 and 0x80 <= ord(x) < 0x800 else c for c in range(0x800)])
+
+
+def folded(data: np.ndarray) -> np.ndarray:
+    """The bytes with letters of two bytes in lower case."""
+    at = np.flatnonzero((data[:-1] >= 0xC2) & (data[:-1] < 0xE0))
+    if not len(at):
+        return data
+    code = _FOLD[(data[at] & 0x1F).astype(int) << 6 | data[at + 1] & 0x3F]
+    data = data.copy()
+    data[at], data[at + 1] = 0xC0 | code >> 6, 0x80 | code & 0x3F
+    return data
+
+
 def _known(words: list[str]) -> np.ndarray:
     data = " ".join(words).encode()
     w = Words(np.frombuffer(data, np.uint8), np.array([0, len(data)]))
@@ -58,7 +74,7 @@ def templates(w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     for _ in range(3):
         start += (end - start > 1) & ~solid[data[start]]
         end -= (end - start > 1) & ~solid[data[end - 1]]
-    value = span_hashes(data, start, end, lower=True)
+    value = span_hashes(folded(data), start, end, lower=True)
     count = lambda mask: np.concatenate(([0], np.cumsum(mask[data])))
     letters, digits, large = count(_LETTER), count(_DIGIT), count(_UPPER)
     n_letters = letters[end] - letters[start]
@@ -85,20 +101,24 @@ class Index:
         w = Words(data, offsets, hashes=False)
         self.template, self.value, self.kind = templates(w)
         self.ids, self.first, self.count = ids, w.first[:-1], w.count
-        short = (w.count >= LEAST) & (w.count < WINDOW)
-        self.sizes = [WINDOW, *sorted(set(w.count[short].tolist()))]
-        at_all, size_all, hash_all = [], [], []
+        self.sizes = [WINDOW, *sorted(set(w.count[(w.count > 0) & (w.count < WINDOW)].tolist()))]
+        found: tuple[list, list] = ([], [])  # (hash, place) of templates and of own values
+        plain = np.concatenate(([0], np.cumsum(self.kind == 0)))
         for size in self.sizes:
             at = np.arange(len(w.start) - size + 1) if len(w.start) >= size else np.zeros(0, int)
             at = at[w.doc[at] == w.doc[at + size - 1]]
             if size < WINDOW:
                 at = at[w.count[w.doc[at]] == size]
-            plain = np.concatenate(([0], np.cumsum(self.kind == 0)))
-            at = at[plain[at + size] - plain[at] >= 3]  # mostly placeholders: says nothing
-            at_all.append(at), size_all.append(np.full(len(at), size)), hash_all.append(self._hash(self.template, at, size))
-        key, at = np.concatenate(hash_all), np.concatenate(at_all)
-        order = np.argsort(key, kind="stable")
-        self.key, self.at, self.item = key[order], at[order], w.doc[at[order]]
+            found[1].append((self._hash(self.value, at, size), at))
+            if size >= LEAST:
+                at = at[plain[at + size] - plain[at] >= 3]  # mostly placeholders: says nothing
+                found[0].append((self._hash(self.template, at, size), at))
+        self.tables = []
+        for parts in found:
+            key, at = map(np.concatenate, zip(*parts))
+            order = np.argsort(key, kind="stable")
+            self.tables.append((key[order], at[order]))
+        self.doc = w.doc
 
     @staticmethod
     def _hash(template: np.ndarray, at: np.ndarray, size: int) -> np.ndarray:
@@ -107,39 +127,47 @@ class Index:
     def search(self, w: Words) -> Iterator[tuple[int, int, int, int, bool]]:
         """``(document, item, windows, words covered, slots differ)`` for each alignment that counts."""
         template, value, kind = templates(w)
-        spots, entries, sizes = [], [], []
+        parts = []
         for size in self.sizes:
             last = len(template) - size + 1
-            if last <= 0 or not len(self.key):
+            if last <= 0:
                 continue
             at = np.flatnonzero(w.doc[:last] == w.doc[size - 1:])
-            key = self._hash(template, at, size)
-            low, high = np.searchsorted(self.key, key, "left"), np.searchsorted(self.key, key, "right")
-            hit = np.flatnonzero(high > low)
-            times = high[hit] - low[hit]
-            entry = np.repeat(low[hit] - np.concatenate(([0], np.cumsum(times)[:-1])), times) + np.arange(times.sum())
-            spots.append(np.repeat(at[hit], times)), entries.append(entry), sizes.append(np.full(len(entry), size))
-        if not spots or not sum(map(len, spots)):
+            for own, ((keys, places), words) in enumerate(zip(self.tables, (template, value))):
+                if not len(keys) or size < LEAST and not own:
+                    continue
+                key = self._hash(words, at, size)
+                low, high = np.searchsorted(keys, key, "left"), np.searchsorted(keys, key, "right")
+                hit = np.flatnonzero(high > low)
+                times = high[hit] - low[hit]
+                entry = np.repeat(low[hit] - np.concatenate(([0], np.cumsum(times)[:-1])), times) + np.arange(times.sum())
+                parts.append((np.repeat(at[hit], times), places[entry], np.full(len(entry), size), np.full(len(entry), own)))
+        if not sum(len(x[0]) for x in parts):
             return
-        spot, entry, size = map(np.concatenate, (spots, entries, sizes))
-        item, place = self.item[entry], self.at[entry]
+        spot, place, size, own = map(np.concatenate, zip(*parts))
+        item = self.doc[place]
         shift = spot - place
         order = np.lexsort((spot, shift, item, w.doc[spot]))
-        spot, item, place, size, shift = (x[order] for x in (spot, item, place, size, shift))
+        spot, item, size, shift, own = (x[order] for x in (spot, item, size, shift, own))
         doc = w.doc[spot]
         cut = np.flatnonzero(np.append(True, (doc[1:] != doc[:-1]) | (item[1:] != item[:-1]) | (shift[1:] != shift[:-1])))
         best: dict[tuple[int, int], tuple[int, int, bool]] = {}
         for a, b in zip(cut, np.append(cut[1:], len(doc))):
-            words = np.unique((spot[a:b, None] + np.arange(size[a:b].max())[None])[np.arange(size[a:b].max())[None] < size[a:b, None]])
-            theirs, ours = value[words], self.value[words - shift[a]]
-            slots = kind[words] > 0
-            pairs = set(zip(ours[slots].tolist(), theirs[slots].tolist()))
-            steady = len(pairs) == len({p[0] for p in pairs})
-            covered = len(words)
-            if steady and (covered >= LONG or covered >= SHARE * self.count[item[a]]):
-                new = (int(b - a), covered, bool((theirs[slots] != ours[slots]).any()))
-                spot_key = (int(doc[a]), int(item[a]))
-                best[spot_key] = max(best.get(spot_key, new), new, key=lambda x: (x[1], x[0], not x[2]))
+            for hits in (slice(None), own[a:b] == 1, own[a:b] == 0):  # together, or what either kind of window says alone
+                at, wide = spot[a:b][hits], size[a:b][hits]
+                if not len(at):
+                    continue
+                words = np.unique((at[:, None] + np.arange(wide.max())[None])[np.arange(wide.max())[None] < wide[:, None]])
+                theirs, ours = value[words], self.value[words - shift[a]]
+                slots = kind[words] > 0
+                pairs = set(zip(ours[slots].tolist(), theirs[slots].tolist()))
+                steady = len(pairs) == len({p[0] for p in pairs})
+                covered = len(words)
+                if steady and (covered >= LONG or covered >= SHARE * self.count[item[a]]):
+                    new = (len(np.unique(at)), covered, bool((theirs[slots] != ours[slots]).any()))
+                    spot_key = (int(doc[a]), int(item[a]))
+                    best[spot_key] = max(best.get(spot_key, new), new, key=lambda x: (x[1], x[0], not x[2]))
+                    break
         for (d, i), found in best.items():
             yield d, i, *found
 

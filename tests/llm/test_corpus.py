@@ -128,6 +128,22 @@ def test_decontaminate_slots(spark):
     assert decontaminate.find(awkward(spark), items).collect() == []
 
 
+def test_decontaminate_copies_in_any_case_and_place(spark):
+    items = ["Berlin hat viele schöne Parks", "Der Ärger Im Haus Der Familie Über Den Hund Der Nachbarn", "Was Bob Smith Here", "Rome fell",
+             "12 13 14 Anna 15 16 17 18 Bob", "Marie asked why Paul and Anna left the town so soon after Easter"]
+    rows, want = [], set()
+    for k, item in enumerate(items):
+        for c, copy in enumerate((item, item.lower(), item.upper())):
+            for p, text in enumerate((copy, f"and then {copy} again", f"Yes.\n{copy}\nNo.")):
+                rows.append((100 * k + 10 * c + p, text))
+                want.add((rows[-1][0], k))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    benchmark = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    got = decontaminate.find(docs, benchmark).collect()
+    assert {(r["doc_id"], r["item_id"]) for r in got} == want and not any(r["reparameterised"] for r in got)
+    assert decontaminate.keep_clean(docs, benchmark).collect() == []
+
+
 # ---- repeated passages ----
 
 def check_passages(docs, least=51):
