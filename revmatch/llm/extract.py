@@ -6,7 +6,8 @@ the boilerplate terminal. Neighbours in the page, and neighbours under the same
 the minimum cut between the terminals (maximum flow) labels all blocks of the page jointly.
 
 The weights of the text features are trained: blocks of a bounded sample of pages that lie in elements of plain meaning
-(article, main against nav, footer and the like) are the examples. Pages are worked on where they lie; nothing is shuffled.
+(article, main against nav, footer and the like) are the examples. What the words of a class say is weaker than a tag, and an article
+inside a layout that is named after its sidebar or comments takes that back. Pages are worked on where they lie; nothing is shuffled.
 
 Cases: null and empty html gives empty text; broken markup (unclosed tags, quotes, comments) is read as far as it goes;
 text outside all elements counts; a page without content blocks has empty text; equal pages give equal rows; an empty table an
@@ -27,8 +28,9 @@ from pyspark.sql import functions as F
 
 # Names of the HTML standard and usual names of page parts.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-RAW = set("script style noscript template iframe object svg math select option textarea button canvas audio video head title".split())
-INLINE = set("a abbr acronym b bdi bdo big br cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img input".split())
+RAW = set("script style noscript template iframe object svg select option textarea button canvas audio video head title annotation annotation-xml".split())
+INLINE = set("""a abbr acronym b bdi bdo big br cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img input
+math mi mn mo ms mtext mspace mrow mfrac msqrt mroot mstyle merror mpadded mphantom msub msup msubsup munder mover munderover mmultiscripts mtable mtr mtd semantics""".split())
 OUTSIDE_TAGS = set("nav header footer aside form menu dialog".split())
 INSIDE_TAGS = set("article main".split())
 OUTSIDE_WORDS = set("""
@@ -39,24 +41,41 @@ widgets popup modal overlay subscribe subscription newsletter signup login regis
 """.split())
 INSIDE_WORDS = set("article content post entry story main body text prose".split())
 
-HINT, ADJACENT, SIBLING = 7.0, 1.0, 0.6
+ADJACENT, SIBLING = 1.0, 0.6
+#: Outside by its tag, outside by the words of its class, silent, inside. Words are less than the text and the neighbours can say together.
+TAG, WORDS, HEADING = -2, -1, -3
+HINT = {TAG: -7.0, WORDS: -4.5, 0: 0.0, 1: 7.0}
 SAMPLE = 400
 #: Weights of the text features where no example is found.
 PLAIN = np.array([-0.5, 0.5, -2.0, 0.3, 0.3])
 _NAME = re.compile(r"[a-zA-Z][^\s/>]*")
 _QUOTED = re.compile(r"""[^"'>]*(?:(?:"[^"]*"|'[^']*')[^"'>]*)*>""")
 _HINTS = re.compile(r"""(?:^|\s)(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
+#: Class names that say what a page around has, not what the element is.
+_LAYOUT = re.compile(r"(?:has|with|no|without|hide|show)[-_]", re.I)
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 
 def _hint(tag: str, attributes: str) -> int:
-    """-1 outside the article, 1 inside, 0 silent."""
+    """``TAG`` or ``WORDS`` outside the article, 1 inside, 0 silent; ``HEADING`` for a class that says header and no more."""
     if tag in OUTSIDE_TAGS:
-        return -1
-    words = {w.lower() for m in _HINTS.finditer(attributes) for w in _WORD.findall(m[1] or m[2] or m[3] or "")} if "=" in attributes else ()
-    if words and words & OUTSIDE_WORDS and tag not in ("body", "html"):
-        return -1
-    return 1 if tag in INSIDE_TAGS or (words and words & INSIDE_WORDS) else 0
+        return TAG
+    says: set[int] = set()
+    for m in _HINTS.finditer(attributes) if "=" in attributes else ():
+        for name in (m[1] or m[2] or m[3] or "").split():
+            words = {w.lower() for w in _WORD.findall(name)} if not _LAYOUT.match(name) else set()
+            outside = words & OUTSIDE_WORDS
+            if outside:
+                says.add(HEADING if outside == {"header"} else WORDS)
+            elif words & INSIDE_WORDS:
+                says.add(1)
+    if tag in ("body", "html"):
+        return int(1 in says)
+    if WORDS in says:
+        return WORDS if 1 not in says else int(tag in INSIDE_TAGS)
+    if HEADING in says:
+        return HEADING
+    return int(tag in INSIDE_TAGS or 1 in says)
 
 
 _TEXT, _OPEN, _CLOSE, _EMPTY, _RAW = range(5)
@@ -92,6 +111,7 @@ def read_blocks(page: str) -> list[tuple[str, int, int, int]]:
     opened: dict[str, int] = {}
     endless: set[str] = set()
     links = made = at = linked = hint = 0
+    inside = False  # whether an article has begun
     quotes, size, find = True, len(page), page.find
 
     def close() -> None:
@@ -146,9 +166,20 @@ def read_blocks(page: str) -> list[tuple[str, int, int, int]]:
                 links += 1
             made += 1
             before = stack[-1][1]
+            if own == HEADING:
+                own = 0 if before > 0 else WORDS
             if tag == "header" and before > 0:
                 own = 0  # an article's own heading
-            stack.append((tag, -1 if before < 0 or own < 0 else max(before, own), made, made if breaks else stack[-1][3]))
+            if before == WORDS and own > 0 and not inside:  # the words were those of a layout around the article
+                if tag in INSIDE_TAGS:
+                    stack = [(t, 0 if h == WORDS else h, n, e) for t, h, n, e in stack]
+                    now = own
+                else:
+                    now = 0
+            else:
+                now = min(before, own) if before < 0 or own < 0 else max(before, own)
+            inside = inside or now > 0
+            stack.append((tag, now, made, made if breaks else stack[-1][3]))
             opened[tag] = opened.get(tag, 0) + 1
         elif kind == _CLOSE:
             if tag == "a" and links:
@@ -278,7 +309,7 @@ def main_text(page: str | None, weights: np.ndarray) -> str:
     for text, linked, hint, _ in blocks:
         f = text_features(text, linked)
         by_text = w[0] + w[1] * f[1] + w[2] * f[2] + w[3] * f[3] + w[4] * f[4]
-        odds.append(HINT * hint + max(-3.0, min(3.0, by_text)))
+        odds.append(HINT[hint] + max(-3.0, min(3.0, by_text)))
     edges = [(k, k + 1, ADJACENT) for k in range(len(blocks) - 1)]
     last: dict[int, int] = {}
     for k, b in enumerate(blocks):

@@ -209,6 +209,17 @@ def test_extract_other_layouts(spark):
     assert extract.extract(nothing(pages)).collect() == []
 
 
+@pytest.mark.parametrize("opening", ["<div class='content has-sidebar'>", "<div class='with-comments'>", "<div class='post tags-x'>", "<main class='no-sidebar'>",
+                                     "<div class='side'>", "<div id='register'>", "<div class='layout-more'>"])
+@pytest.mark.parametrize("article", ["<article>", "<article class='post'>"])
+def test_extract_layout_wrappers(opening, article):
+    tag = opening[1:5].strip()
+    page = f"""<body><nav>Home</nav>{opening}{article}<div class='post-header'><h1>The heading</h1></div><div class='header'><h2>Below</h2></div>
+        <p>A first sentence, of some words.</p><p>So <math><mi>x</mi><mo>=</mo><mn>1</mn></math> here.</p></article>
+        <div class='sidebar'>Links</div><div id='comments'><article><p>Nice one.</p></article></div></{tag}><footer>foot</footer></body>"""
+    assert extract.main_text(page, extract.PLAIN) == "The heading\nBelow\nA first sentence, of some words.\nSo x=1 here."
+
+
 def test_min_cut_is_minimal():
     rng = random.Random(2)
     for _ in range(200):
