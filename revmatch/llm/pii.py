@@ -6,7 +6,8 @@ neighbours, a cue word before) score each kind, and dynamic programming over the
 boundaries and kinds jointly. Its spans that overlap no base span are added: numbers broken over a line, phones without
 a plus, addresses written with (at) and (dot).
 
-The CRF is trained by maximum likelihood on at most ``SAMPLE`` windows of the corpus, labelled by the base patterns, each also in altered
+The CRF is trained by maximum likelihood on at most ``SAMPLE`` different windows of the corpus, a fixed share for each kind and those
+of smallest hash in all texts, labelled by the base patterns, each also in altered
 forms (line breaks, other separators, spelt-out signs). Texts are worked on whole and where they lie; nothing is shuffled.
 All searches are linear in the text.
 
@@ -17,12 +18,13 @@ in the sample nothing is added; an empty table gives an empty result; other colu
 from __future__ import annotations
 
 import hashlib
+import heapq
 import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from revmatch.llm.common import ID, TEXT, texts
@@ -325,27 +327,40 @@ def fit(examples: list[tuple[str, set[Span]]], epochs: int = EPOCHS, rate: float
     return model
 
 
-def train(docs: DataFrame, sample: int = SAMPLE) -> Model:
-    """A model from at most ``sample`` windows, half of them with base spans, chosen by hash."""
+def chosen_windows(docs: DataFrame, sample: int = SAMPLE) -> list[str]:
+    """The different windows of smallest hash: an eighth of ``sample`` with base spans of each kind, half of it without any.
+    Tasks go through all texts and hand on only their smallest; a window of several kinds counts for each."""
+    room = {kind: max(1, sample // (2 * len(KINDS))) for kind in range(len(KINDS))} | {-1: max(1, sample // 2)}
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        least: dict[int, dict[int, str]] = {kind: {} for kind in room}
         for b in batches:
-            rows = []
             for text in b.column(0).to_pylist():
                 spans = base_spans(text)
                 for low, high in windows(text):
                     if high - low <= 600:
-                        rows.append((text[low:high], any(s >= low and e <= high for _, s, e in spans)))
-            if rows:
-                yield pa.record_batch([pa.array([r[0] for r in rows]), pa.array([r[1] for r in rows])], names=["window", "has"])
-
-    one_in = max(1, docs.count() // (20 * sample))  # so many texts hold more windows than are wanted
-    seen = texts(docs).select(TEXT).filter((F.pmod(F.xxhash64(TEXT), F.lit(one_in)) == 0) & F.col(TEXT).rlike("[0-9@]"))
-    found = seen.mapInArrow(run, "window string, has boolean").withColumn("h", F.xxhash64("window"))
-    rows = []
-    for has in (True, False):
-        rows += found.filter(F.col("has") == has).orderBy("h", "window").limit(sample // 2).select("window").collect()
+                        window = text[low:high]
+                        h = int.from_bytes(hashlib.blake2b(window.encode(), digest_size=8).digest(), "big", signed=True)
+                        for kind in {k for k, s, e in spans if s >= low and e <= high} or {-1}:
+                            least[kind][h] = window
+            for kind, found in least.items():
+                if len(found) > room[kind]:
+                    least[kind] = {h: found[h] for h in heapq.nsmallest(room[kind], found)}
+        rows = [(kind, h, window) for kind, found in least.items() for h, window in found.items()]
+        if rows:
+            yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.int64(), pa.string()))], names=["kind", "h", "window"])
+
+    found = texts(docs).select(TEXT).filter(F.col(TEXT).rlike("[0-9@]")).mapInArrow(run, "kind int, h long, window string").distinct()
+    place = F.row_number().over(Window.partitionBy("kind").orderBy("h", "window"))
+    most = F.element_at(F.create_map(*(F.lit(x) for pair in room.items() for x in pair)), F.col("kind"))
+    rows = found.withColumn("place", place).filter(F.col("place") <= most).collect()
+    return list(dict.fromkeys(r["window"] for r in sorted(rows, key=lambda r: (r["kind"] < 0, r["h"], r["window"]))))
+
+
+def train(docs: DataFrame, sample: int = SAMPLE) -> Model:
+    """A model from the chosen windows."""
     examples = []
-    for (window,) in rows:
+    for window in chosen_windows(docs, sample):
         spans = base_spans(window)
         examples += altered(window, spans) if spans else [(window, set())]
     examples += [(text, set()) for text in OTHERS] * 3

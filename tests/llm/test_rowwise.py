@@ -185,6 +185,16 @@ def test_redact(spark):
     assert text["text"] == "mail <EMAIL> or <PHONE> or <IP>" and text["n_chars"] == len(text["text"])
 
 
+def test_pii_windows_are_different_and_of_every_kind(spark):
+    rows = [f"text {k} mail a{k}@b.org" for k in range(300)] + ["the footer of all, mail us@site.org"] * 3000
+    rows += [f"plain text number {k}" for k in range(13000)] + ["host 10.1.2.3 here", "call +1 (555) 555-0100 now", "card 4111 1111 1111 1111 paid"]
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    got = pii.chosen_windows(docs)
+    assert len(got) == len(set(got)) and got == pii.chosen_windows(docs.repartition(7))
+    kinds = Counter(k for w in got for k in {k for k, _, _ in pii.base_spans(w)})
+    assert kinds == {0: 75, 1: 1, 2: 1, 3: 1} and got == pii.chosen_windows(docs.unionByName(docs))
+
+
 # ---- extraction ----
 
 def test_extract_articles(spark, sf_dir):
