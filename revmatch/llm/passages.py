@@ -276,13 +276,32 @@ class _Shingles:
         if usual.any():
             rows = np.arange(SHINGLES)[None]
             out[usual] = jaccard(self.values[self.first[a[usual]][:, None] + rows], self.values[self.first[b[usual]][:, None] + rows]) >= SIMILAR
-        for k in np.flatnonzero(~usual):
-            x, y = (np.unique(self.values[self.first[i]:self.first[i + 1]]) for i in (a[k], b[k]))
-            if min(len(x), len(y)) >= SIMILAR * max(len(x), len(y)):
-                common = len(np.intersect1d(x, y, assume_unique=True))
-                out[k] = common / (len(x) + len(y) - common) >= SIMILAR
+        other = np.flatnonzero(~usual)
+        total = np.cumsum(self.size[a[other]] + self.size[b[other]])
+        for part in np.split(other, np.flatnonzero(np.diff(total // (1 << 20))) + 1):
+            if len(part):
+                out[part] = self._overlap(a[part], b[part]) >= SIMILAR
         return out
 
+    def _overlap(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Exact similarity of pairs of any length, repeats not counted."""
+        pair, value = [], []
+        for which in (a, b):
+            x = self.take(which)
+            owner = np.repeat(np.arange(len(which)), x.size)
+            order = np.lexsort((x.values, owner))
+            owner, x = owner[order], x.values[order]
+            first = np.append(True, (owner[1:] != owner[:-1]) | (x[1:] != x[:-1]))
+            pair.append(owner[first]), value.append(x[first])
+        pair, value = np.concatenate(pair), np.concatenate(value)
+        order = np.lexsort((value, pair))
+        pair, value = pair[order], value[order]
+        common = np.bincount(pair[1:][(pair[1:] == pair[:-1]) & (value[1:] == value[:-1])], minlength=len(a))
+        return common / (np.bincount(pair, minlength=len(a)) - common)
+
+    def __len__(self) -> int:
+        return len(self.size)
+
 
 def _compare(limit: int):
     """Over rows (band, content, shingles) sorted by band: links of similar contents; ``(a, null)`` for members of bands too large."""

@@ -245,6 +245,16 @@ def test_jaccard():
     assert np.allclose(passages.jaccard(a, b), want)
 
 
+def test_overlap_of_any_length():
+    rng = np.random.default_rng(4)
+    raw = [rng.integers(0, 40, int(n)).astype(np.uint64) for n in rng.integers(1, 90, 60)]
+    a, b = rng.integers(0, 60, 400), rng.integers(0, 60, 400)
+    want = [len(set(x) & set(y)) / len(set(x) | set(y)) for x, y in ((raw[i].tolist(), raw[j].tolist()) for i, j in zip(a, b))]
+    rows = passages._Shingles.of([x.tobytes() for x in raw])
+    assert np.allclose(rows._overlap(a, b), want)
+    assert rows.similar(a, b).tolist() == [w >= passages.SIMILAR for w in want]
+
+
 # ---- packing ----
 
 def check_packing(docs, got):
