@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from revmatch.session import materialize
@@ -54,3 +54,19 @@ def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     return edges.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("root"))
+
+
+def placed(df: DataFrame, order: list[str], name: str, group: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """Rows sorted by ``group`` and ``order`` over many tasks and written, and where each run of them starts.
+
+    The rows have ``at``, rising in that order, and ``part``. The second table has one row per group and part with
+    ``first`` (smallest ``at``), ``rows`` and ``before`` (rows of the group in earlier parts): the place of a row in its
+    group is ``at - first + before``. It has as many rows as there are groups and parts, and no task sees a whole group.
+    """
+    group = group or []
+    cut = df.repartitionByRange(*[F.col(c) for c in group + order]) if group + order else df
+    rows = written((cut.sortWithinPartitions(*group, *order) if group + order else cut).withColumn("at", F.monotonically_increasing_id()), name)
+    rows = rows.withColumn("part", F.shiftright("at", 33))
+    runs = rows.groupBy(*group, "part").agg(F.min("at").alias("first"), F.count(F.lit(1)).alias("rows"))
+    earlier = Window.partitionBy(*group).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    return rows, runs.withColumn("before", F.coalesce(F.sum("rows").over(earlier), F.lit(0)))
