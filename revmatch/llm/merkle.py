@@ -130,7 +130,8 @@ def _jump(rows: DataFrame, targets: DataFrame, few: bool) -> DataFrame:
 def proofs(docs: DataFrame, few: int = FEW, steps: int = STEPS) -> DataFrame | None:
     """``doc_id, tree, leaf, other, subroot, root, path``: the path holds an entry of 33 bytes for every level; None without rows."""
     spark = docs.sparkSession
-    rows, runs = placed(leaves(docs), [ID, "digest"], "leaves", ["lang"])
+    # the digests are written before the sort, whose sampling would otherwise read and hash every text once more
+    rows, runs = placed(written(leaves(docs), "digests"), [ID, "digest"], "leaves", ["lang"])
     runs = written(runs, "runs")
     found, starts = placed(runs.groupBy("lang").agg(F.sum("rows").alias("n")), ["lang"], "trees")
     trees = written(found.join(starts.drop("rows"), "part").select("lang", "n", (F.col("at") - F.col("first") + F.col("before")).alias("tree")), "trees")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from revmatch.llm import counts, decontaminate, extract, lm, merkle, packing, passages, pii, quality, simhash, toxicity
+from revmatch.llm import counts, decontaminate, extract, lm, merkle, packing, passages, pii, quality, simhash, toxicity, whiten
 from revmatch.llm.common import table
 
 
@@ -52,7 +52,11 @@ def op12_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.verify(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op10_quality, op6_simhash, op3_toxicity, op4_packing, op7_extract, op5_decontaminate, op2_pii, op1_lm, op8_passages, op9_counts, op12_manifest)}
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten.whiten(table(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {f.__name__: f for f in (op10_quality, op6_simhash, op3_toxicity, op4_packing, op7_extract, op5_decontaminate, op2_pii, op1_lm, op8_passages, op9_counts, op12_manifest, op13_whitening)}
 
 # Fixed value: the polynomial of crc32, bits in falling order of significance reversed.
 _CRC32 = """xor(4294967295, list_reduce(list_prepend(4294967295::bigint, list_transform(string_split(doc_id::varchar, ''), lambda c: ascii(c)::bigint)),
