@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from revmatch.llm import counts, decontaminate, extract, lm, merkle, packing, passages, pii, quality, simhash, toxicity, whiten
+from revmatch.llm import counts, decontaminate, extract, lm, merkle, packing, passages, pii, quality, simhash, topk, toxicity, whiten
 from revmatch.llm.common import table
 
 
@@ -48,6 +48,10 @@ def op9_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.recount(table(spark, sf_dir, "documents"))
 
 
+def op11_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.search(table(spark, sf_dir, "embeddings"))
+
+
 def op12_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.verify(table(spark, sf_dir, "documents"))
 
@@ -56,7 +60,7 @@ def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whiten.whiten(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op10_quality, op6_simhash, op3_toxicity, op4_packing, op7_extract, op5_decontaminate, op2_pii, op1_lm, op8_passages, op9_counts, op12_manifest, op13_whitening)}
+QUERIES = {f.__name__: f for f in (op10_quality, op6_simhash, op3_toxicity, op4_packing, op7_extract, op5_decontaminate, op2_pii, op1_lm, op8_passages, op9_counts, op11_topk, op12_manifest, op13_whitening)}
 
 # Fixed value: the polynomial of crc32, bits in falling order of significance reversed.
 _CRC32 = """xor(4294967295, list_reduce(list_prepend(4294967295::bigint, list_transform(string_split(doc_id::varchar, ''), lambda c: ascii(c)::bigint)),
@@ -94,4 +98,10 @@ SQL: dict[str, str] = {"op12_manifest": f"""with recursive
       from climb2 w left join above s on s.level = w.height and s.pos = xor(w.pos, 1) where w.n > 1)
     select doc_id, leaf, subroot, root, sha256(proof) as proof_sha256, now as folded_root, now = root as verified
     from climb2 c join low l on l.tree = c.own and l.pos = c.leaf_no join subroots s on s.tree = c.own
-    cross join (select h as root from above where n = 1) where c.n = 1"""}
+    cross join (select h as root from above where n = 1) where c.n = 1""",
+    "op11_topk": """with v as (select vec_id, row_number() over () as r, list_transform(embedding, lambda c: floor(256 * c::double)::bigint) as x
+      from embeddings where embedding is not null and len(list_filter(embedding, lambda c: c is null or not isfinite(c))) = 0)
+    select query_id, rank::int as rank, vec_id, score from (
+      select q.vec_id as query_id, c.vec_id, list_inner_product(q.x::double[], c.x::double[])::bigint as score,
+        row_number() over (partition by q.r order by list_inner_product(q.x::double[], c.x::double[]) desc, c.vec_id) as rank
+      from v q join v c on q.r <> c.r where q.vec_id % 50 = 0) where rank <= 5"""}
