@@ -312,7 +312,7 @@ def affinity(spark, sf):
 
 @_query(o.sql("select round_id, reviewer_id, paper, sem from tf_v"))
 def sem_signal(spark, sf):
-    q = ranking.quantile_windowed(_scored(spark, sf), K, "sim")
+    q = ranking.quantile(_scored(spark, sf), K, "sim")
     return q.select(*K, PAPER, bidding.sem_signal(F.col("q"), PARAMS).alias("sem"))
 
 
@@ -353,6 +353,12 @@ def vocabulary(spark, sf):
     return _base(spark, sf)[1].vocabulary.select(ROUND, "term", "df", numeric.round9(F.col("idf")).alias("idf"))
 
 
+@_query(o.sql("""select round_id, term, row_number() over (partition by round_id order by substr(md5(term), 1, 3), term) - 1 as term_id from vocab"""))
+def term_ids(spark, sf):
+    """The vocabulary's dictionary: ids without gaps in each round."""
+    return _base(spark, sf)[1].vocabulary.select(ROUND, "term", "term_id")
+
+
 @_query(o.sql(f"select round_id, paper, term, {o.r9('w / norm')} as w from sub_w join sub_norm using (round_id, paper)"))
 def tfidf_weights(spark, sf):
     prep, sparse = _base(spark, sf)
@@ -399,18 +405,29 @@ def achieved_fraction(spark, sf):
 
 # ---- joins ----
 
-@_query(o.sql("select round_id, reviewer_id, paper, paper_key, sim from cosines"))
-def tfidf_cosine(spark, sf):
+def _best(cosines: str) -> str:
+    return f"""select round_id, reviewer_id, paper, paper_key, sim, place from (select *, row_number() over (
+        partition by round_id, reviewer_id, paper order by sim desc, paper_key) as place from {cosines}) where place <= 3"""
+
+
+def _sparse_pairs(spark, sf) -> DataFrame:
     prep, s = _base(spark, sf)
-    return similarity.sparse_pairs(s.sub_weights, s.sub_norms, s.paper_weights, prep.rounds, prep.roster, OPTIONS)
+    return similarity.best_pairs(similarity.sparse_tops(s.sub_rows, s.paper_rows, prep.rounds, prep.roster, OPTIONS))
+
+
+@_query(o.sql(f"select round_id, reviewer_id, paper, paper_key, sim from ({_best('cosines')})"))
+def tfidf_cosine(spark, sf):
+    """Cosines of every submission with each reviewer's three nearest papers."""
+    return _sparse_pairs(spark, sf).drop("place")
 
 
-@_query(o.sql("select round_id, reviewer_id, paper, paper_key, sim from emb_cos"))
+@_query(o.sql(f"select round_id, reviewer_id, paper, paper_key, sim from ({_best('emb_cos')})"))
 def embedding_cosine(spark, sf):
+    """The same for vectors."""
     sub_vectors, paper_vectors, subs = b.vectors(spark, sf)
     prep = prepare(subs, paper_vectors)
-    pairs = similarity.dense_pairs(sub_vectors, paper_vectors.join(prep.roster.select(*K), K, "left_semi"), prep.rounds, prep.roster, OPTIONS)
-    return pairs.select(*K, PAPER, PAPER_KEY, "sim")
+    own = paper_vectors.join(prep.roster.select(*K), K, "left_semi")
+    return similarity.best_pairs(similarity.dense_tops(sub_vectors, own, prep.rounds, prep.roster, OPTIONS)).drop("place")
 
 
 @_query(o.sql("select round_id, reviewer_id, paper, tag_no, topic, affinity from tag_affinity"))
@@ -435,12 +452,13 @@ def candidate_split(spark, sf):
 
 @_query(o.sql("select round_id, reviewer_id, paper, sim, q from tf_q"))
 def quantile_rank(spark, sf):
-    return ranking.quantile_windowed(_scored(spark, sf), K, "sim").select(*K, PAPER, "sim", "q")
+    return ranking.quantile(_scored(spark, sf), K, "sim").select(*K, PAPER, "sim", "q")
 
 
 @_query(o.sql("select round_id, reviewer_id, paper, sim, q from tf_q"))
 def quantile_rank_bucketed(spark, sf):
-    return ranking.quantile_bucketed(_scored(spark, sf), K, "sim").select(*K, PAPER, "sim", "q")
+    """The same with values tied more than 20 times looked up by broadcast."""
+    return ranking.quantile(_scored(spark, sf), K, "sim", tie_limit=20).select(*K, PAPER, "sim", "q")
 
 
 @_query(o.sql("select round_id, reviewer_id, tau, v_min, v_max from tf_t"))
@@ -454,10 +472,9 @@ def shortlist(spark, sf):
     return _short(spark, sf).filter("is_candidate").select(*K, PAPER, "sim")
 
 
-@_query(o.sql("""select * from (select round_id, reviewer_id, paper, paper_key, sim, row_number() over (
-    partition by round_id, reviewer_id, paper order by sim desc, paper_key) as place from cosines) where place <= 3"""))
+@_query(o.sql(_best("cosines")))
 def topk_per_group(spark, sf):
-    return ranking.topk_per_group(tfidf_cosine(spark, sf), [*K, PAPER], "sim", PAPER_KEY, 3)
+    return _sparse_pairs(spark, sf)
 
 
 @_query(o.sql("""select round_id, reviewer_id, section, place, paper, bid, substr(title, 1, 78) as title from (
@@ -474,7 +491,7 @@ def report_extremes(spark, sf):
 @_query(o.sql("select round_id, reviewer_id, paper, is_candidate, sim as band from bands"))
 def rerank_bands(spark, sf):
     means = rerank.pair_means(rerank.pair_score(_pairs(spark, sf)))
-    return rerank.rerank_bands(_short(spark, sf), means, OPTIONS).select(*K, PAPER, "is_candidate", F.col("sim").alias("band"))
+    return rerank.rerank_bands(_short(spark, sf), means).select(*K, PAPER, "is_candidate", F.col("sim").alias("band"))
 
 
 @_query(o.sql(f"""select word, count(*) as n_docs from (select distinct paper, unnest({o.tokens('text')}) as word from sub_texts)

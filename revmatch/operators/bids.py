@@ -41,31 +41,18 @@ def _with_value(df: DataFrame, params: ScoringParams) -> DataFrame:
         "value", blend(F.col("sem"), F.col("topic_base"), params))
 
 
-def bids_windowed(scored: DataFrame, params: ScoringParams, positive_frac: float) -> DataFrame:
-    """One shuffle by pool serves both rankings."""
-    valued = _with_value(ranking.quantile_windowed(scored, K, "sim"), params)
-    return _with_bid(ranking.threshold_windowed(valued, K, "value", positive_frac), params)
+def bids(scored: DataFrame, params: ScoringParams, options: RunOptions, tie_limit: int = ranking.TIE_LIMIT) -> DataFrame:
+    """Add q, sem, value, tau, v_min, v_max and bid to scored pool rows (sim, topic_base).
 
-
-def bids_bucketed(scored: DataFrame, params: ScoringParams, positive_frac: float,
-                  tie_limit: int = ranking.TIE_LIMIT) -> DataFrame:
-    """Everything is decided per distinct (similarity, topic base) and brought back to the rows once."""
+    Everything is decided per distinct (similarity, topic base) and brought back to the rows once.
+    """
     keys = [*K, "sim", "topic_base"]
     combos = scored.groupBy(*keys).agg(F.count("*").alias("cnt"))
     per_sim = combos.groupBy(*K, "sim").agg(F.sum("cnt").alias("cnt"))
     quantiles = ranking.quantile_table(per_sim, K, "sim").drop("cnt")
     valued = materialize(_with_value(combos.join(quantiles, [*K, "sim"]), params), "valued")
     per_value = valued.groupBy(*K, "value").agg(F.sum("cnt").alias("cnt"))
-    # One row per pool above the size limit: at most rows/limit of them.
-    bounds = F.broadcast(ranking.threshold_table(per_value, K, "value", positive_frac))
+    bounds = ranking.threshold_table(per_value, K, "value", options.positive_frac)
     table = _with_bid(valued.join(bounds, K), params)
-    return ranking.lookup(scored, table, keys, limit=tie_limit)
-
-
-def bids(scored: DataFrame, params: ScoringParams, options: RunOptions, pools: DataFrame | None = None) -> DataFrame:
-    """Add q, sem, value, tau, v_min, v_max and bid to scored pool rows (sim, topic_base, n_subs)."""
-    columns = [*scored.columns, "q", "sem", "value", "tau", "v_min", "v_max", "bid"]
-    return ranking.by_pool_size(
-        scored, "n_subs", options.pool_limit,
-        lambda df: bids_windowed(df, params, options.positive_frac).select(*columns),
-        lambda df: bids_bucketed(df, params, options.positive_frac).select(*columns), pools)
+    return ranking.lookup(scored, table, keys, limit=tie_limit).select(
+        *scored.columns, "q", "sem", "value", "tau", "v_min", "v_max", "bid")

@@ -1,65 +1,51 @@
-"""Exact ranks inside pools: average-rank quantiles, nearest-rank threshold, shortlist.
+"""Exact ranks inside pools: average-rank quantiles, nearest-rank threshold, shortlist. One form for pools of any size.
 
-Each has two physical forms with equal results. Pools up to a size limit are ranked by one
-window per pool. Larger pools are first reduced to counts per value, cut into value buckets
-by a fixed rule, and ranked with running sums inside buckets and over bucket totals, so no
-task ever holds a whole pool. The bucket of a value depends on the value only, never on a
-sample, so a recomputed task puts every value into the same bucket again.
+Rows are sorted over many tasks by pool and value: the task borders follow the data, so a pool that holds most rows, or values
+of any size and spread, are cut into even runs. The sorted rows are written, which fixes the runs for every later
+step; a place is the place in its run plus the sizes of the pool's runs before. Only those sizes, one row per pool and run,
+meet in one place. Quantiles and thresholds are found on counts per value, shortlists on the rows themselves.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from revmatch.functions.numeric import round_half_even
 from revmatch.schemas import PAPER
+from revmatch.session import materialize
 
-# With nine-decimal values a bucket holds about 30,000 distinct ones at most; scores beyond
-# +-64 share the two end buckets.
-_PER_UNIT = 32768.0
-_END = 1 << 21
 # A value tied this often is looked up by broadcast; by count there are few of them.
 TIE_LIMIT = 2_000_000
 
 
-def by_pool_size(df: DataFrame, size: str, limit: int, small: Callable[[DataFrame], DataFrame],
-                 huge: Callable[[DataFrame], DataFrame], pools: DataFrame | None = None) -> DataFrame:
-    """Rank small pools by ``small`` and huge ones by ``huge``; a form without pools is left out.
-
-    The sizes are read from ``pools`` (one row per round) if given, else from the rows.
-    """
-    bounds = (df if pools is None else pools).agg(F.min(size).alias("low"), F.max(size).alias("high")).first()
-    if bounds["high"] is None or bounds["high"] <= limit:
-        return small(df)
-    if bounds["low"] > limit:
-        return huge(df)
-    return small(df.filter(F.col(size) <= limit)).unionByName(huge(df.filter(F.col(size) > limit)))
+def _before(partition: list[str], order: str):
+    return Window.partitionBy(*partition).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
 
 
-def _bucket(value: Column) -> Column:
-    return F.greatest(F.lit(-_END), F.least(F.lit(_END), F.floor(value * F.lit(_PER_UNIT))))
+def sorted_runs(df: DataFrame, keys: list[str], *order: Column) -> DataFrame:
+    """The rows written in the order of ``keys`` and ``order``; ``_at`` rises with it and ``_run`` tells the task."""
+    by = [*[F.col(k) for k in keys], *order]
+    placed = df.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("_at", F.monotonically_increasing_id())
+    return materialize(placed, "sorted").withColumn("_run", F.shiftright("_at", 33))
 
 
-def _before(partition: list[str], order: str):
-    return Window.partitionBy(*partition).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+def _runs(rows: DataFrame, keys: list[str], weight: Column) -> DataFrame:
+    """Per pool and run: its first ``_at``, and the pool's weight in the runs before and in all."""
+    sizes = rows.groupBy(*keys, "_run").agg(F.min("_at").alias("_first"), F.sum(weight).alias("_size"))
+    return sizes.select(
+        *keys, "_run", "_first", F.coalesce(F.sum("_size").over(_before(keys, "_run")), F.lit(0)).alias("_before"),
+        F.sum("_size").over(Window.partitionBy(*keys)).alias("n"))
 
 
-def cumulative(counts: DataFrame, keys: list[str], value: str, bucket: Callable[[Column], Column] = _bucket) -> DataFrame:
+def cumulative(counts: DataFrame, keys: list[str], value: str) -> DataFrame:
     """Add ``below`` (rows with a smaller value) and ``n`` (rows of the pool) to counts per value."""
-    cut = counts.withColumn("_b", bucket(F.col(value)))
-    totals = cut.groupBy(*keys, "_b").agg(F.sum("cnt").alias("_bc"))
-    totals = totals.select(
-        *keys, "_b",
-        F.coalesce(F.sum("_bc").over(_before(keys, "_b")), F.lit(0)).alias("_below_bucket"),
-        F.sum("_bc").over(Window.partitionBy(*keys)).alias("n"))
-    inside = cut.withColumn("_inside", F.coalesce(F.sum("cnt").over(_before([*keys, "_b"], value)), F.lit(0)))
+    rows = sorted_runs(counts, keys, F.col(value))
+    inside = F.coalesce(F.sum("cnt").over(_before([*keys, "_run"], "_at")), F.lit(0))
     return (
-        inside.join(totals, [*keys, "_b"])
-        .withColumn("below", F.col("_below_bucket") + F.col("_inside"))
-        .drop("_b", "_inside", "_below_bucket")
+        rows.withColumn("_inside", inside).join(_runs(rows, keys, F.col("cnt")), [*keys, "_run"])
+        .withColumn("below", F.col("_before") + F.col("_inside"))
+        .select(*counts.columns, "below", "n")
     )
 
 
@@ -81,11 +67,8 @@ def _quantile(below: Column, ties: Column, n: Column) -> Column:
     return (below + (ties - 1) / F.lit(2.0) + F.lit(0.5)) / n
 
 
-def quantile_windowed(df: DataFrame, keys: list[str], value: str, out: str = "q") -> DataFrame:
-    below = F.rank().over(Window.partitionBy(*keys).orderBy(value)) - 1
-    ties = F.count("*").over(Window.partitionBy(*keys, value))
-    n = F.count("*").over(Window.partitionBy(*keys))
-    return df.withColumn(out, _quantile(below, ties, n))
+def value_counts(df: DataFrame, keys: list[str], value: str) -> DataFrame:
+    return df.groupBy(*keys, value).agg(F.count("*").alias("cnt"))
 
 
 def quantile_table(counts: DataFrame, keys: list[str], value: str, out: str = "q") -> DataFrame:
@@ -94,11 +77,8 @@ def quantile_table(counts: DataFrame, keys: list[str], value: str, out: str = "q
     return ranked.select(*keys, value, "cnt", _quantile(F.col("below"), F.col("cnt"), F.col("n")).alias(out))
 
 
-def value_counts(df: DataFrame, keys: list[str], value: str) -> DataFrame:
-    return df.groupBy(*keys, value).agg(F.count("*").alias("cnt"))
-
-
-def quantile_bucketed(df: DataFrame, keys: list[str], value: str, out: str = "q", tie_limit: int = TIE_LIMIT) -> DataFrame:
+def quantile(df: DataFrame, keys: list[str], value: str, out: str = "q", tie_limit: int = TIE_LIMIT) -> DataFrame:
+    """Average-rank quantile of every row in its pool."""
     table = quantile_table(value_counts(df, keys, value), keys, value, out)
     return lookup(df, table, [*keys, value], limit=tie_limit).select(*df.columns, out)
 
@@ -108,22 +88,6 @@ def threshold_index(n: Column, positive_frac: float) -> Column:
     return F.least(F.greatest(at, F.lit(0)), n - 1)
 
 
-def threshold_windowed(df: DataFrame, keys: list[str], value: str, positive_frac: float) -> DataFrame:
-    """Add the threshold ``tau`` and the smallest and largest value of the pool."""
-    whole = Window.partitionBy(*keys)
-    placed = (
-        df.withColumn("_n", F.count("*").over(whole))
-        .withColumn("_at", F.row_number().over(whole.orderBy(value)) - 1)
-    )
-    is_tau = F.col("_at") == threshold_index(F.col("_n"), positive_frac)
-    return (
-        placed.withColumn("tau", F.max(F.when(is_tau, F.col(value))).over(whole))
-        .withColumn("v_min", F.min(value).over(whole))
-        .withColumn("v_max", F.max(value).over(whole))
-        .drop("_n", "_at")
-    )
-
-
 def threshold_table(counts: DataFrame, keys: list[str], value: str, positive_frac: float) -> DataFrame:
     """Threshold, smallest and largest value per pool, from counts per value; one row per pool."""
     ranked = cumulative(counts, keys, value)
@@ -133,44 +97,12 @@ def threshold_table(counts: DataFrame, keys: list[str], value: str, positive_fra
         F.max(F.when(holds, F.col(value))).alias("tau"), F.min(value).alias("v_min"), F.max(value).alias("v_max"))
 
 
-def first_windowed(df: DataFrame, keys: list[str], value: str, size: Column, out: str) -> DataFrame:
-    """Flag the ``size`` rows with the largest value, ties by submission id."""
-    place = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc(value), PAPER))
-    return df.withColumn(out, place <= size)
-
-
-def first_bucketed(df: DataFrame, keys: list[str], value: str, size: Column, out: str) -> DataFrame:
-    """The same without a pool-wide window: boundary value first, then boundary id among its ties.
-
-    Both boundary tables have one row per huge pool, which bounds their broadcast.
-    """
-    sizes = df.groupBy(*keys).agg(F.max(size).alias("_size"))
-    ranked = cumulative(value_counts(df, keys, value), keys, value).join(F.broadcast(sizes), keys)
-    above = F.col("n") - F.col("below") - F.col("cnt")
-    edge = (
-        ranked.filter((above < F.col("_size")) & (F.col("_size") <= above + F.col("cnt")))
-        .select(*keys, F.col(value).alias("_edge"), (F.col("_size") - above).alias("_need"))
-    )
-    tied = df.join(F.broadcast(edge), keys).filter(F.col(value) == F.col("_edge")).select(*keys, PAPER, "_need")
-    span = tied.groupBy(*keys).agg(F.min(PAPER).alias("_low"), (F.max(PAPER) - F.min(PAPER) + 1).alias("_span"))
-    placed = tied.join(F.broadcast(span), keys).withColumn(
-        "_pb", F.floor((F.col(PAPER) - F.col("_low")) / F.col("_span") * F.lit(4096.0)))
-    totals = placed.groupBy(*keys, "_pb").agg(F.count("*").alias("_bc"), F.max("_need").alias("_need"))
-    before = F.coalesce(F.sum("_bc").over(_before(keys, "_pb")), F.lit(0))
-    cut = (
-        totals.withColumn("_before", before)
-        .filter((F.col("_before") < F.col("_need")) & (F.col("_need") <= F.col("_before") + F.col("_bc")))
-        .select(*keys, F.col("_pb").alias("_cut"), (F.col("_need") - F.col("_before")).alias("_rest"))
-    )
-    last = (
-        placed.join(F.broadcast(cut), keys).filter(F.col("_pb") == F.col("_cut"))
-        .withColumn("_at", F.row_number().over(Window.partitionBy(*keys).orderBy(PAPER)))
-        .filter(F.col("_at") == F.col("_rest"))
-        .select(*keys, F.col(PAPER).alias("_last"))
-    )
-    bounds = F.broadcast(edge.select(*keys, "_edge").join(last, keys))
-    flag = (F.col(value) > F.col("_edge")) | ((F.col(value) == F.col("_edge")) & (F.col(PAPER) <= F.col("_last")))
-    return df.join(bounds, keys).withColumn(out, flag).drop("_edge", "_last")
+def first(df: DataFrame, keys: list[str], value: str, size: Column, out: str) -> DataFrame:
+    """Flag the ``size`` rows of each pool with the largest value, ties by submission id."""
+    rows = sorted_runs(df, keys, F.desc(value), F.col(PAPER))
+    starts = _runs(rows, keys, F.lit(1)).drop("n")
+    place = F.col("_at") - F.col("_first") + F.col("_before")
+    return rows.join(starts, [*keys, "_run"]).withColumn(out, place < size).select(*df.columns, out)
 
 
 def topk_per_group(df: DataFrame, keys: list[str], value: str, tie: str, k: int) -> DataFrame:

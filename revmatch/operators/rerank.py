@@ -54,14 +54,9 @@ def shortlist_length(n: Column, options: RunOptions) -> Column:
     return F.greatest(F.lit(1), F.least(wanted, n))
 
 
-def shortlist(scored: DataFrame, options: RunOptions, pools: DataFrame | None = None) -> DataFrame:
+def shortlist(scored: DataFrame, options: RunOptions) -> DataFrame:
     """Flag the best submissions of each pool by sparse similarity."""
-    size = shortlist_length(F.col("n_subs"), options)
-    columns = [*scored.columns, "is_candidate"]
-    return ranking.by_pool_size(
-        scored, "n_subs", options.pool_limit,
-        lambda df: ranking.first_windowed(df, K, "sim", size, "is_candidate").select(*columns),
-        lambda df: ranking.first_bucketed(df, K, "sim", size, "is_candidate").select(*columns), pools)
+    return ranking.first(scored, K, "sim", shortlist_length(F.col("n_subs"), options), "is_candidate")
 
 
 def candidate_pairs(shortlisted: DataFrame, subs: DataFrame, papers: DataFrame, rounds: DataFrame,
@@ -120,16 +115,10 @@ def pair_means(pair_scores: DataFrame, k: int = TOP_PAPERS) -> DataFrame:
     return merged.select(*K, PAPER, round9(top_mean(F.col("_top"), places)).alias("pair_mean"))
 
 
-def rerank_bands(shortlisted: DataFrame, means: DataFrame, options: RunOptions,
-                 pools: DataFrame | None = None) -> DataFrame:
+def rerank_bands(shortlisted: DataFrame, means: DataFrame) -> DataFrame:
     """Candidates at 1 + quantile of the pair score, the rest at their sparse quantile, each group on its own."""
     joined = shortlisted.join(means, [*K, PAPER], "left").withColumn(
         "_score", F.when(F.col("is_candidate"), F.col("pair_mean")).otherwise(F.col("sim")))
-    keys = [*K, "is_candidate"]
-    columns = [*shortlisted.columns, "pair_mean", "_score", "_q"]
-    ranked = ranking.by_pool_size(
-        joined, "n_subs", options.pool_limit,
-        lambda df: ranking.quantile_windowed(df, keys, "_score", "_q").select(*columns),
-        lambda df: ranking.quantile_bucketed(df, keys, "_score", "_q").select(*columns), pools)
+    ranked = ranking.quantile(joined, [*K, "is_candidate"], "_score", "_q")
     band = F.when(F.col("is_candidate"), 1 + F.col("_q")).otherwise(F.col("_q"))
     return ranked.withColumn("tfidf_sim", F.col("sim")).withColumn("sim", band).drop("_score", "_q")

@@ -1,4 +1,4 @@
-"""Similarity of submissions to reviewer papers: sparse and dense cosine, pair scorer, top-k mean.
+"""Similarity of submissions to reviewer papers: sparse and dense cosine, best pairs, top-k mean.
 
 ``rounds`` has one row per round (n_subs, n_papers, n_reviewers) and ``roster`` one per round
 and reviewer (n_papers); both are small written tables, so their joins broadcast by measured size.
@@ -12,14 +12,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from revmatch.functions.numeric import round9
-from revmatch.operators.cells import CELL, cell_tasks, merge_tops, own, place_cols, place_rows, top_mean, top_values
+from revmatch.operators.cells import CELL, cell_tasks, merge_tops, own, place_cols, place_rows, top_mean
+from revmatch.operators.ranking import topk_per_group
 from revmatch.params import TOP_PAPERS, RunOptions
 from revmatch.schemas import K, PAPER, PAPER_KEY, REVIEWER, ROUND
 
-# A grid cell is hash-partitioned by cell only; joining on cell and term inside it must not shuffle again.
-CELL_JOIN_CONF = {"spark.sql.requireAllClusterKeysForCoPartition": "false"}
-
-
 def _cells(subs: DataFrame, papers: DataFrame, rounds: DataFrame, roster: DataFrame, options: RunOptions):
     """Place both sides. A reviewer's papers stay together unless there are more than a cell takes."""
     n_subs, n_papers = F.col("n_subs"), F.col("n_papers")
@@ -35,38 +32,47 @@ def _cells(subs: DataFrame, papers: DataFrame, rounds: DataFrame, roster: DataFr
     return left.drop("n_subs", "n_papers"), right.drop("n_subs", "n_papers", "_part", "_own_papers")
 
 
-def sparse_dots(sub_weights: DataFrame, paper_weights: DataFrame, rounds: DataFrame, roster: DataFrame,
-                options: RunOptions) -> DataFrame:
-    """Products of raw submission weights and unit paper weights, summed per pair that shares a term.
+def _sparse_kernel():
+    """Cosines of packed rows: ``(sims, met)`` of two Arrow tables with ``ids`` and ``ws``; a local function, so tasks need no import.
 
-    Both sides are shuffled once, by cell; products are added up inside the cell's task and
-    never travel. Products are added as integers, so any order gives the same sum.
-    ``sub_weights`` needs only the terms some paper has; the length of a submission's vector is
-    the same for all papers and divided out later.
+    Products are rounded to twelve decimals and added by rising term, so any layout of the cells gives the same sums.
     """
-    left, right = _cells(sub_weights, paper_weights, rounds, roster, options)
-    cell = [ROUND, *CELL]
-    product = F.floor(F.col("w") * F.col("_pw") * 1e12 + F.lit(0.5))
-    n = cell_tasks(rounds, F.col("n_subs"), F.col("n_papers"), options.cell_submissions, options.cell_papers)
-    pairs = left.repartition(n, *cell).join(
-        right.withColumnRenamed("w", "_pw").repartition(n, *cell), [*cell, "term"])
-    return pairs.groupBy(*cell, PAPER, REVIEWER, PAPER_KEY).agg((F.sum(product) / F.lit(1e12)).alias("dot"))
-
-
-def sparse_pairs(sub_weights: DataFrame, sub_norms: DataFrame, paper_weights: DataFrame, rounds: DataFrame,
-                 roster: DataFrame, options: RunOptions) -> DataFrame:
-    """Cosine of every submission and paper that share a term."""
-    dots = sparse_dots(sub_weights, paper_weights, rounds, roster, options)
-    return dots.join(sub_norms, [ROUND, PAPER]).select(
-        *K, PAPER, PAPER_KEY, round9(F.col("dot") / F.col("norm")).alias("sim"))
-
+    room = 1 << 21  # products held at once
+
+    def flat(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        lengths = table["ids"].combine_chunks().value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+        ids, ws = (table[c].combine_chunks().flatten().to_numpy(zero_copy_only=False) for c in ("ids", "ws"))
+        return ids, ws, np.concatenate([[0], np.cumsum(lengths)])
+
+    def cosines(subs: pa.Table, papers: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        ids, ws, starts = flat(subs)
+        terms, weights, cuts = flat(papers)
+        owner, width = np.repeat(np.arange(papers.num_rows), np.diff(cuts)), papers.num_rows
+        order = np.argsort(terms, kind="stable")
+        terms, weights, owner = terms[order], weights[order], owner[order]
+        low = np.searchsorted(terms, ids, "left")
+        many = np.searchsorted(terms, ids, "right") - low
+        done = np.concatenate([[0], np.cumsum(many)])
+        ends = done[starts]
+        dots, met = np.zeros((subs.num_rows, width)), np.zeros((subs.num_rows, width), bool)
+        row = 0
+        while row < subs.num_rows:
+            # whole rows, as many as make at most ``room`` products, and one at least
+            end = max(row + 1, int(np.searchsorted(ends, ends[row] + room, "right")) - 1)
+            part = slice(starts[row], starts[end])
+            n = many[part]
+            at = np.repeat(low[part] - (done[starts[row]:starts[end]] - ends[row]), n) + np.arange(n.sum())
+            spot = np.repeat(np.repeat(np.arange(end - row) * width, np.diff(starts[row:end + 1])), n) + owner[at]
+            products = np.floor(np.repeat(ws[part], n) * weights[at] * 1e12 + 0.5)
+            size = (end - row) * width
+            dots[row:end] = np.bincount(spot, products, size).reshape(-1, width)
+            met[row:end] = np.bincount(spot, minlength=size).reshape(-1, width) > 0
+            row = end
+        norm = subs["norm"].to_numpy()[:, None]
+        cos = np.divide(dots / 1e12, norm, out=np.zeros_like(dots), where=norm > 0)
+        return np.floor(cos * 1e9 + 0.5) / 1e9, met
 
-def sparse_tops(sub_weights: DataFrame, paper_weights: DataFrame, rounds: DataFrame, roster: DataFrame,
-                options: RunOptions, k: int = TOP_PAPERS) -> DataFrame:
-    """At most k best products per submission and reviewer and cell; a list is bounded by the cell's papers."""
-    dots = sparse_dots(sub_weights, paper_weights, rounds, roster, options)
-    grouped = dots.groupBy(ROUND, *CELL, PAPER, REVIEWER).agg(top_values(F.collect_list("dot"), k).alias("top"))
-    return grouped.select(*K, PAPER, "top")
+    return cosines
 
 
 def _cosine_kernel():
@@ -85,69 +91,79 @@ def _cosine_kernel():
         norm = np.sqrt((matrix * matrix).sum(axis=1, keepdims=True))
         return np.divide(matrix, norm, out=np.zeros_like(matrix), where=norm > 0)
 
-    def cosines(left: pa.Table, right: pa.Table) -> np.ndarray:
+    def cosines(left: pa.Table, right: pa.Table) -> tuple[np.ndarray, np.ndarray]:
         width = max([0, *(n for t in (left, right) for n in t["vec"].combine_chunks().value_lengths().drop_null().to_pylist())])
-        return np.floor(unit(left, width) @ unit(right, width).T * 1e9 + 0.5) / 1e9
+        sims = np.floor(unit(left, width) @ unit(right, width).T * 1e9 + 0.5) / 1e9
+        return sims, np.ones(sims.shape, bool)
 
     return cosines
 
 
-def _schema(columns: list[str], left: DataFrame, right: DataFrame, extra: str) -> str:
+def _tops(left: DataFrame, right: DataFrame, sizes: DataFrame, kernel, options: RunOptions, k: int) -> DataFrame:
+    """At most k best papers per submission and reviewer in each cell: ``top`` (falling) and ``keys``, ties by paper key.
+
+    Each side is shuffled once, by cell. A cell is one bounded product in its task; only the best k leave it.
+    """
+    cell, names = [ROUND, *CELL], {"round": ROUND, "reviewer": REVIEWER, "paper": PAPER, "key": PAPER_KEY}
+
+    def best(subs: pa.Table, papers: pa.Table) -> pa.Table:
+        papers = papers.sort_by([(names["reviewer"], "ascending"), (names["key"], "ascending")]).combine_chunks()
+        reviewers = papers[names["reviewer"]].combine_chunks().dictionary_encode()
+        codes, keys = reviewers.indices.to_numpy(zero_copy_only=False), papers[names["key"]].combine_chunks()
+        parts = []
+        if subs.num_rows and papers.num_rows:
+            sims, met = kernel(subs, papers)
+            # one whole number per pair orders by similarity, then by key
+            places = np.rint(sims * 1e9).astype(np.int64) * papers.num_rows + np.arange(papers.num_rows)[::-1]
+            places[~met] = np.iinfo(np.int64).min + 1
+            for code, reviewer in enumerate(reviewers.dictionary):
+                first, last = np.searchsorted(codes, [code, code + 1])
+                width = min(k, last - first)
+                block = places[:, first:last]
+                chosen = np.argpartition(-block, width - 1, axis=1)[:, :width]
+                chosen = first + np.take_along_axis(chosen, np.argsort(-np.take_along_axis(block, chosen, 1), axis=1), 1)
+                have = np.take_along_axis(met, chosen, 1)
+                some = np.flatnonzero(have.any(axis=1))
+                offsets = pa.array(np.concatenate([[0], np.cumsum(have[some].sum(axis=1))]).astype(np.int32))
+                rows, picked = subs.take(some), have[some]
+                parts.append(pa.table({
+                    names["round"]: rows[names["round"]], names["reviewer"]: pa.array([reviewer.as_py()] * len(some), reviewers.dictionary.type),
+                    names["paper"]: rows[names["paper"]],
+                    "top": pa.ListArray.from_arrays(offsets, pa.array(np.take_along_axis(sims, chosen, 1)[some][picked])),
+                    "keys": pa.ListArray.from_arrays(offsets, keys.take(pa.array(chosen[some][picked])))}))
+        none = pa.table({names["round"]: subs[names["round"]].slice(0, 0), names["reviewer"]: papers[names["reviewer"]].slice(0, 0),
+                         names["paper"]: subs[names["paper"]].slice(0, 0), "top": pa.array([], pa.list_(pa.float64())), "keys": pa.array([], pa.list_(keys.type))})
+        return pa.concat_tables([none, *parts])
+
     types = {f.name: f.dataType.simpleString() for f in (*left.schema, *right.schema)}
-    return ", ".join([f"{c} {types[c]}" for c in columns] + [extra])
+    schema = ", ".join([*(f"{c} {types[c]}" for c in (ROUND, REVIEWER, PAPER)), "top array<double>", f"keys array<{types[PAPER_KEY]}>"])
+    n = cell_tasks(sizes, F.col("n_subs"), F.col("n_papers"), options.cell_submissions, options.cell_papers)
+    return left.repartition(n, *cell).groupBy(*cell).cogroup(right.repartition(n, *cell).groupBy(*cell)).applyInArrow(best, schema)
 
 
-def dense_tops(sub_vectors: DataFrame, paper_vectors: DataFrame, rounds: DataFrame, roster: DataFrame,
-               options: RunOptions, k: int = TOP_PAPERS) -> DataFrame:
-    """At most k best vector cosines per submission and reviewer and cell; zero vectors give 0.
+def sparse_tops(sub_rows: DataFrame, paper_rows: DataFrame, rounds: DataFrame, roster: DataFrame, options: RunOptions, k: int = TOP_PAPERS) -> DataFrame:
+    """The k best cosines of packed rows that share a term, per submission, reviewer and cell.
 
-    One bounded matrix product per cell; only the best k leave the task.
+    ``sub_rows`` has raw weights and the length of the whole vector, ``paper_rows`` weights of unit length.
     """
-    left, right = _cells(sub_vectors, paper_vectors, rounds, roster, options)
-    cosines, cell = _cosine_kernel(), [ROUND, *CELL]
-    names = {"round": ROUND, "reviewer": REVIEWER, "paper": PAPER}
+    left, right = _cells(sub_rows, paper_rows, rounds, roster, options)
+    return _tops(left, right, rounds, _sparse_kernel(), options, k)
 
-    def best(subs: pa.Table, papers: pa.Table) -> pa.Table:
-        if subs.num_rows == 0 or papers.num_rows == 0:
-            return pa.table({
-                names["round"]: subs[names["round"]].slice(0, 0), names["reviewer"]: papers[names["reviewer"]].slice(0, 0),
-                names["paper"]: subs[names["paper"]].slice(0, 0), "top": pa.array([], pa.list_(pa.float64()))})
-        sims = cosines(subs, papers)
-        reviewers = papers[names["reviewer"]].combine_chunks().dictionary_encode()
-        codes = reviewers.indices.to_numpy(zero_copy_only=False)
-        out = []
-        for code, reviewer in enumerate(reviewers.dictionary):
-            block = -sims[:, codes == code]
-            width = min(k, block.shape[1])
-            top = -np.sort(np.partition(block, width - 1, axis=1)[:, :width], axis=1)
-            out.append(pa.table({
-                names["round"]: subs[names["round"]],
-                names["reviewer"]: pa.array([reviewer.as_py()] * subs.num_rows, papers[names["reviewer"]].type),
-                names["paper"]: subs[names["paper"]],
-                "top": pa.ListArray.from_arrays(np.arange(0, top.size + 1, width, dtype="int32"), top.ravel())}))
-        return pa.concat_tables(out)
-
-    schema = _schema([ROUND, REVIEWER, PAPER], left, right, "top array<double>")
-    return left.groupBy(*cell).cogroup(right.groupBy(*cell)).applyInArrow(best, schema)
-
-
-def dense_pairs(sub_vectors: DataFrame, paper_vectors: DataFrame, rounds: DataFrame, roster: DataFrame,
-                options: RunOptions) -> DataFrame:
-    """Cosine of every submission and paper vector, cell by cell."""
+
+def dense_tops(sub_vectors: DataFrame, paper_vectors: DataFrame, rounds: DataFrame, roster: DataFrame, options: RunOptions, k: int = TOP_PAPERS) -> DataFrame:
+    """The k best vector cosines per submission, reviewer and cell; zero vectors give 0."""
     left, right = _cells(sub_vectors, paper_vectors, rounds, roster, options)
-    cosines, cell = _cosine_kernel(), [ROUND, *CELL]
-    sub_side, paper_side = [ROUND, PAPER], [REVIEWER, PAPER_KEY]
+    return _tops(left, right, rounds, _cosine_kernel(), options, k)
 
-    def every(subs: pa.Table, papers: pa.Table) -> pa.Table:
-        at_sub = np.repeat(np.arange(subs.num_rows), papers.num_rows)
-        at_paper = np.tile(np.arange(papers.num_rows), subs.num_rows)
-        sims = cosines(subs, papers).ravel() if at_sub.size else np.empty(0)
-        return pa.table({
-            **{c: subs[c].take(at_sub) for c in sub_side}, **{c: papers[c].take(at_paper) for c in paper_side},
-            "sim": sims})
 
-    schema = _schema([*sub_side, *paper_side], left, right, "sim double")
-    return left.groupBy(*cell).cogroup(right.groupBy(*cell)).applyInArrow(every, schema)
+def best_pairs(tops: DataFrame, k: int = TOP_PAPERS) -> DataFrame:
+    """The k most similar papers of each reviewer to each submission, from the cells' tops: one row per pair with its place.
+
+    Every task cuts its own rows to k per group before the exchange, so what travels does not grow with the papers.
+    """
+    pairs = tops.select(*K, PAPER, F.explode(F.arrays_zip("keys", "top")).alias("_e")).select(
+        *K, PAPER, F.col("_e.keys").alias(PAPER_KEY), F.col("_e.top").alias("sim"))
+    return topk_per_group(pairs, [*K, PAPER], "sim", PAPER_KEY, k)
 
 
 def pool_rows(subs: DataFrame, reviewers: DataFrame, rounds: DataFrame, options: RunOptions) -> DataFrame:
@@ -165,14 +181,10 @@ def topk_mean(tops: DataFrame, pool: DataFrame, k: int = TOP_PAPERS) -> DataFram
 
     The pool rows are united with the partial tops and reduced in one aggregation, which
     stands in for a left join and shuffles each side once. A list holds k values per cell.
-    A ``norm`` column in the pool is the length the tops still have to be divided by.
     """
     carried = [c for c in pool.columns if c not in (*K, PAPER)]
     united = tops.select(*K, PAPER, "top").unionByName(pool, allowMissingColumns=True)
     merged = united.groupBy(*K, PAPER).agg(
         merge_tops(F.collect_list("top"), k).alias("_top"), *[F.max(c).alias(c) for c in carried])
-    if "norm" in carried:
-        merged = merged.withColumn("_top", F.transform("_top", lambda x: round9(x / F.col("norm"))))
     places = F.greatest(F.least(F.lit(k), F.col("n_papers")), F.lit(1))
-    return merged.select(
-        *K, PAPER, round9(top_mean(F.col("_top"), places)).alias("sim"), *[c for c in carried if c != "norm"])
+    return merged.select(*K, PAPER, round9(top_mean(F.col("_top"), places)).alias("sim"), *carried)

@@ -60,6 +60,29 @@ def vocabulary(posted: DataFrame, pools: DataFrame, min_df: int = MIN_DF, max_df
     )
 
 
+def number_terms(vocab: DataFrame) -> DataFrame:
+    """First half of the term ids: the hash range of each term (first three hex digits of its md5) and its place there.
+
+    A task numbers one of 4,096 ranges; no term is sorted beyond its range. Write the result before ``with_term_ids``.
+    """
+    ranged = vocab.withColumn("term_range", F.substring(F.md5("term"), 1, 3))
+    place = F.row_number().over(Window.partitionBy(ROUND, "term_range").orderBy("term")) - 1
+    return ranged.withColumn("range_place", place)
+
+
+def range_starts(numbered: DataFrame) -> DataFrame:
+    """How many terms of the round stand in the ranges before; at most 4,096 rows a round are added up in one place."""
+    sizes = numbered.groupBy(ROUND, "term_range").agg(F.count("*").alias("_size"))
+    earlier = Window.partitionBy(ROUND).orderBy("term_range").rowsBetween(Window.unboundedPreceding, -1)
+    return sizes.select(ROUND, "term_range", F.coalesce(F.sum("_size").over(earlier), F.lit(0)).alias("range_start"))
+
+
+def with_term_ids(numbered: DataFrame, starts: DataFrame) -> DataFrame:
+    """Add ``term_id``: 0, 1, 2, ... in each round without gaps, the same for any partitioning."""
+    placed = numbered.join(starts, [ROUND, "term_range"])
+    return placed.withColumn("term_id", F.col("range_start") + F.col("range_place")).drop("term_range", "range_place", "range_start")
+
+
 def raw_weights(posted: DataFrame, vocab: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """Weights before scaling to unit length, with further vocabulary columns if asked for.
 
@@ -81,21 +104,44 @@ def mark_shared(vocab: DataFrame, paper_posted: DataFrame) -> DataFrame:
     return vocab.join(used, [ROUND, "term"], "left").withColumn("shared", F.coalesce("shared", F.lit(False)))
 
 
-def norms(raw: DataFrame, doc: list[str], out: str = "norm") -> DataFrame:
-    """Length of each text's vector; texts still sit together after a broadcast join, so partial sums do the work."""
-    return raw.groupBy(*doc).agg(F.sqrt(F.sum(_square()) / F.lit(1e10)).alias(out))
+def _length() -> Column:
+    return F.sqrt(F.sum(_square()) / F.lit(1e10))
+
+
+def packed(posted: DataFrame, vocab: DataFrame, doc: list[str]) -> DataFrame:
+    """One compressed sparse row per text: ``norm``, and ``ids`` (rising) and ``ws`` of its terms that papers share.
+
+    Terms of a text leave the task that met the vocabulary as one row, already collected, and never as text.
+    """
+    raw = raw_weights(posted, vocab, ("term_id", "shared"))
+    entry = F.when(F.col("shared"), F.struct("term_id", "w"))
+    rows = raw.groupBy(*doc).agg(_length().alias("norm"), F.sort_array(F.collect_list(entry)).alias("_row"))
+    return rows.select(*doc, "norm", F.col("_row.term_id").alias("ids"), F.col("_row.w").alias("ws"))
+
+
+def unit(rows: DataFrame) -> DataFrame:
+    """Packed rows scaled to unit length; every term of the text must be in the row."""
+    return rows.withColumn("ws", F.transform("ws", lambda w: w / F.col("norm")))
 
 
 def weights(posted: DataFrame, vocab: DataFrame, doc: list[str]) -> DataFrame:
-    """Unit-length weights of each text in the vocabulary of its pool."""
-    norm = F.sqrt(F.sum(_square()).over(Window.partitionBy(*doc)) / F.lit(1e10))
-    return raw_weights(posted, vocab).select(*doc, "term", (F.col("w") / norm).alias("w"))
+    """Unit-length weights of each text in the vocabulary of its pool, one row per term.
+
+    A text's terms are collected where they met the vocabulary, so one row per text and task is shuffled.
+    """
+    raw = raw_weights(posted, vocab)
+    rows = raw.groupBy(*doc).agg(_length().alias("_norm"), F.collect_list(F.struct("term", "w")).alias("_row"))
+    return rows.select(*doc, "_norm", F.explode("_row").alias("_e")).select(*doc, "_e.term", (F.col("_e.w") / F.col("_norm")).alias("w"))
 
 
-def top_terms(paper_weights: DataFrame, roster: DataFrame, k: int = TOP_TERMS) -> DataFrame:
-    """Terms with the highest mean weight over a reviewer's papers, ties by term."""
-    sums = paper_weights.groupBy(*K, "term").agg(F.sum(F.floor(F.col("w") * 1e12 + F.lit(0.5))).alias("_s"))
-    means = sums.join(roster.select(*K, "n_papers"), K).select(
+def top_terms(paper_rows: DataFrame, vocab: DataFrame, roster: DataFrame, k: int = TOP_TERMS) -> DataFrame:
+    """Terms with the highest mean weight over a reviewer's papers, ties by term. ``paper_rows`` are packed, of unit length.
+
+    Weights are added up by term id; a term's text joins its sum.
+    """
+    each = paper_rows.select(*K, F.explode(F.arrays_zip("ids", "ws")).alias("_e")).select(*K, F.col("_e.ids").alias("term_id"), F.col("_e.ws").alias("w"))
+    sums = each.groupBy(*K, "term_id").agg(F.sum(F.floor(F.col("w") * 1e12 + F.lit(0.5))).alias("_s"))
+    means = sums.join(roster.select(*K, "n_papers"), K).join(vocab.filter("shared").select(ROUND, "term_id", "term"), [ROUND, "term_id"]).select(
         *K, "term", (F.floor(F.col("_s") / F.lit(1e3) / F.col("n_papers") + F.lit(0.5)) / F.lit(1e9)).alias("mean_weight"))
     place = F.row_number().over(Window.partitionBy(*K).orderBy(F.desc("mean_weight"), "term")).cast("bigint")
     return means.filter(F.col("mean_weight") > 0).withColumn("place", place).filter(F.col("place") <= k)

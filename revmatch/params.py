@@ -53,9 +53,7 @@ class RunOptions:
     """What to run, and how finely to cut the work.
 
     ``cell_submissions`` x ``cell_papers`` bounds one cell of the similarity grid, and
-    ``pair_cell`` squared one cell of jointly scored pairs.
-    Pools above ``pool_limit`` submissions are ranked by value buckets instead of one
-    window per pool. Both only steer the physical plan; results do not depend on them.
+    ``pair_cell`` squared one cell of jointly scored pairs. They only steer the physical plan; results do not depend on them.
     """
 
     positive_frac: float = POSITIVE_FRAC
@@ -66,7 +64,6 @@ class RunOptions:
     cell_submissions: int = 256
     cell_papers: int = 1024
     pair_cell: int = 256
-    pool_limit: int = 2_000_000
 
     def __post_init__(self):
         if self.method not in METHODS:

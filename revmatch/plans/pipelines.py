@@ -19,7 +19,7 @@ from revmatch.operators.bids import bids
 from revmatch.operators.topics import rating_maps, with_topic_base
 from revmatch.params import MAX_DF, METHODS, MIN_DF, RunOptions, ScoringParams
 from revmatch.schemas import K, PAPER, PAPER_KEY, REVIEWER, ROUND
-from revmatch.session import materialize, session_conf
+from revmatch.session import materialize, materialize_together
 from revmatch.sources.papers import TooFewPapers, distinct_papers, papers_guard
 from revmatch.sources.submissions import topic_template
 from revmatch.sources.vector_cache import Encode, VectorCache, embed_missing
@@ -44,10 +44,9 @@ class Prepared:
 
 @dataclass(frozen=True)
 class SparseSide:
-    vocabulary: DataFrame       # round_id, term, df, idf, shared
-    sub_weights: DataFrame      # round_id, paper, term, w (raw), only terms some paper has
-    sub_norms: DataFrame        # round_id, paper, norm
-    paper_weights: DataFrame    # round_id, reviewer_id, paper_key, term, w (unit length)
+    vocabulary: DataFrame       # round_id, term, df, idf, shared, term_id
+    sub_rows: DataFrame         # round_id, paper, norm, ids, ws (raw weights of the terms some paper has)
+    paper_rows: DataFrame       # round_id, reviewer_id, paper_key, norm, ids, ws (unit length)
 
 
 def prepare(submissions: DataFrame, papers: DataFrame, interests: DataFrame | None = None,
@@ -92,24 +91,21 @@ def sparse_side(prep: Prepared, stop_words: Sequence[str] | None = None) -> Spar
     fitted = prep.rounds.filter("fits").select(ROUND, "n_subs")
     texts = prep.submissions.select(ROUND, PAPER, submission_text(F.col("title"), F.col("abstract")).alias("text"))
     doc, paper = [ROUND, PAPER], [*K, PAPER_KEY]
-    posted = tfidf.postings(materialize(tfidf.term_arrays(texts, doc, "text", stop), "sub_terms"), doc)
-    paper_posted = tfidf.postings(materialize(tfidf.term_arrays(prep.papers, paper, "text", stop), "paper_terms"), paper)
-    vocab = materialize(tfidf.mark_shared(tfidf.vocabulary(posted, fitted), paper_posted), "vocabulary")
-    raw = tfidf.raw_weights(posted, vocab, ("shared",))
-    return SparseSide(vocab, raw.filter("shared").drop("shared"), tfidf.norms(raw, doc),
-                      tfidf.weights(paper_posted, vocab, paper))
+    sub_terms, paper_terms = materialize_together(
+        (tfidf.term_arrays(texts, doc, "text", stop), "sub_terms"), (tfidf.term_arrays(prep.papers, paper, "text", stop), "paper_terms"))
+    posted, paper_posted = tfidf.postings(sub_terms, doc), tfidf.postings(paper_terms, paper)
+    numbered = materialize(tfidf.number_terms(tfidf.mark_shared(tfidf.vocabulary(posted, fitted), paper_posted)), "vocabulary")
+    vocab = tfidf.with_term_ids(numbered, tfidf.range_starts(numbered))
+    return SparseSide(vocab, tfidf.packed(posted, vocab, doc), tfidf.unit(tfidf.packed(paper_posted, vocab, paper)))
 
 
 def paper_top_terms(prep: Prepared, sparse: SparseSide) -> DataFrame:
-    return tfidf.top_terms(sparse.paper_weights, prep.roster)
+    return tfidf.top_terms(sparse.paper_rows, sparse.vocabulary, prep.roster)
 
 
-def pool_with_topics(prep: Prepared, options: RunOptions, sub_norms: DataFrame | None = None) -> DataFrame:
-    """One row per reviewer and submission with the topic base.
-
-    With ``sub_norms`` (sparse methods) only rounds that could be fitted take part.
-    """
-    rounds = prep.rounds if sub_norms is None else prep.rounds.filter("fits")
+def pool_with_topics(prep: Prepared, options: RunOptions, fitted: bool = False) -> DataFrame:
+    """One row per reviewer and submission with the topic base; ``fitted`` (sparse methods) leaves out rounds without a vocabulary."""
+    rounds = prep.rounds.filter("fits") if fitted else prep.rounds
     reviewers = prep.roster
     if prep.interests is not None:
         reviewers = reviewers.join(rating_maps(prep.interests), REVIEWER, "left")
@@ -118,34 +114,29 @@ def pool_with_topics(prep: Prepared, options: RunOptions, sub_norms: DataFrame |
     topics = (F.coalesce(F.col("topics"), F.expr("cast(array() as array<string>)"))
               if "topics" in prep.submissions.columns else F.expr("cast(array() as array<string>)"))
     subs = prep.submissions.select(ROUND, PAPER, topics.alias("topics"))
-    extra = []
-    if sub_norms is not None:
-        subs, extra = subs.join(sub_norms, [ROUND, PAPER], "left"), ["norm"]
     pool = with_topic_base(similarity.pool_rows(subs, reviewers, rounds, options))
-    return pool.select(*K, PAPER, "topic_base", "n_subs", "n_papers", *extra)
+    return pool.select(*K, PAPER, "topic_base", "n_subs", "n_papers")
 
 
-def _scores(prep: Prepared, tops: DataFrame, options: RunOptions, sub_norms: DataFrame | None = None) -> DataFrame:
-    pool = pool_with_topics(prep, options, sub_norms)
-    with session_conf(pool.sparkSession, similarity.CELL_JOIN_CONF):
-        return materialize(similarity.topk_mean(tops, pool), "scores")
+def _scores(prep: Prepared, tops: DataFrame, options: RunOptions, fitted: bool = False) -> DataFrame:
+    return materialize(similarity.topk_mean(tops, pool_with_topics(prep, options, fitted)), "scores")
 
 
 def _tfidf_scores(prep: Prepared, options: RunOptions, sparse: SparseSide) -> DataFrame:
-    tops = similarity.sparse_tops(sparse.sub_weights, sparse.paper_weights, prep.rounds, prep.roster, options)
-    return _scores(prep, tops, options, sparse.sub_norms)
+    tops = similarity.sparse_tops(sparse.sub_rows, sparse.paper_rows, prep.rounds, prep.roster, options)
+    return _scores(prep, tops, options, fitted=True)
 
 
 def _rerank_scores(prep: Prepared, options: RunOptions, sparse: SparseSide,
                    scorer: rerank.ColumnScorer | rerank.BatchScorer) -> DataFrame:
-    shortlisted = materialize(rerank.shortlist(_tfidf_scores(prep, options, sparse), options, prep.rounds), "shortlist")
+    shortlisted = materialize(rerank.shortlist(_tfidf_scores(prep, options, sparse), options), "shortlist")
     texts = prep.submissions.select(ROUND, PAPER, submission_text(F.col("title"), F.col("abstract")).alias("text"))
     paper_texts = with_paper_text(prep.papers, "text", "joined", SPARSE_JOINER)
     subs = rerank.side_features(texts, [ROUND, PAPER], "text", "sub_side", scorer)
     papers = rerank.side_features(paper_texts, [*K, PAPER_KEY], "joined", "paper_side", scorer)
     pairs = rerank.candidate_pairs(shortlisted, subs, papers, prep.rounds, prep.roster, options)
     means = rerank.pair_means(rerank.pair_score(pairs, scorer))
-    return materialize(rerank.rerank_bands(shortlisted, means, options, prep.rounds), "bands")
+    return materialize(rerank.rerank_bands(shortlisted, means), "bands")
 
 
 def embedding_inputs(prep: Prepared, cache: VectorCache, load: Callable[[], Encode]) -> tuple[DataFrame, DataFrame]:
@@ -180,7 +171,7 @@ def _run(method: str, submissions: DataFrame, papers: DataFrame, interests: Data
          params: ScoringParams, options: RunOptions, **kwargs) -> DataFrame:
     options = RunOptions(**{**options.__dict__, "method": method})
     prep = prepare(submissions, papers, interests, options)
-    return bids(semantic_scores(prep, options, **kwargs), params, options, prep.rounds)
+    return bids(semantic_scores(prep, options, **kwargs), params, options)
 
 
 def bids_tfidf(submissions: DataFrame, papers: DataFrame, interests: DataFrame | None,

@@ -1,10 +1,10 @@
-"""Session helpers: shared folder, written intermediate tables, scoped settings."""
+"""Session helpers: shared folder and written intermediate tables."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
-from contextlib import contextmanager
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -59,17 +59,7 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-@contextmanager
-def session_conf(spark: SparkSession, settings: dict[str, str]):
-    """Apply settings for the actions run inside the block, then put the old ones back."""
-    old = {key: spark.conf.get(key, None) for key in settings}
-    try:
-        for key, value in settings.items():
-            spark.conf.set(key, value)
-        yield
-    finally:
-        for key, value in old.items():
-            if value is None:
-                spark.conf.unset(key)
-            else:
-                spark.conf.set(key, value)
+def materialize_together(*tables: tuple[DataFrame, str]) -> list[DataFrame]:
+    """Write tables that do not depend on one another side by side, so that a small one does not wait for a large one."""
+    with ThreadPoolExecutor(len(tables)) as pool:
+        return list(pool.map(lambda t: materialize(*t), tables))

@@ -10,11 +10,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from revmatch import RunOptions, ScoringParams, bids_embedding, bids_rerank, bids_tfidf, prepare, semantic_scores
-from revmatch.operators import reports, rerank, similarity
+from revmatch.operators import reports, rerank, similarity, tfidf
 from revmatch.plans import pipelines
 from revmatch.plans.pipelines import PoolTooSmall, TooFewPapers
 from revmatch.schemas import K
-from revmatch.session import session_conf
+from revmatch.session import materialize
 
 WORDS = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau".split()
 STOP = ["the"]
@@ -86,7 +86,7 @@ def test_bids_do_not_depend_on_partitioning(spark, fixture):
     key = lambda df: sorted((r.round_id, r.reviewer_id, r.paper, r.bid) for r in df.collect())
     one = key(bids_tfidf(s, p, i, stop_words=STOP))
     two = key(bids_tfidf(s.orderBy(F.rand(1)).repartition(5), p.repartition(3), i, stop_words=STOP,
-                         options=RunOptions(cell_submissions=11, cell_papers=2, pool_limit=40)))
+                         options=RunOptions(cell_submissions=11, cell_papers=2)))
     assert one == two
     assert len(one) == 180
     assert all(-20 <= b <= 20 for *_, b in one)
@@ -192,18 +192,51 @@ def test_plans_have_no_single_partition_or_cartesian_step(spark, fixture):
     options = RunOptions()
     prep = prepare(s, p, i, options)
     sparse = pipelines.sparse_side(prep, STOP)
-    with session_conf(spark, similarity.CELL_JOIN_CONF):
-        tops = similarity.sparse_tops(sparse.sub_weights, sparse.paper_weights, prep.rounds, prep.roster, options)
-        plan = plan_of(tops)
-        scored = similarity.topk_mean(tops, pipelines.pool_with_topics(prep, options, sparse.sub_norms))
-        whole = plan_of(scored)
-    for text in (plan, whole, plan_of(bids_tfidf(s, p, i, ScoringParams(), stop_words=STOP))):
+    packed = [materialize(t, "packed") for t in (sparse.sub_rows, sparse.paper_rows)]
+    tops = similarity.sparse_tops(*packed, prep.rounds, prep.roster, options)
+    plan = plan_of(tops)
+    whole = plan_of(similarity.topk_mean(tops, pipelines.pool_with_topics(prep, options, fitted=True)))
+    for text in (plan, whole, plan_of(similarity.best_pairs(tops)), plan_of(bids_tfidf(s, p, i, ScoringParams(), stop_words=STOP))):
         assert "SinglePartition" not in text
         assert "CartesianProduct" not in text and "BroadcastNestedLoopJoin" not in text
-    # After the cell join everything is added up without another shuffle.
+    # One exchange a side, of packed rows: no term travels as text, no product travels.
     tree = plan[plan.index("== Physical Plan =="):plan.index("\n\n")]
-    head = tree[:re.search("SortMergeJoin|ShuffledHashJoin|BroadcastHashJoin", tree).start()]
-    assert "Exchange" not in head
+    assert len(re.findall(r"(?<!Broadcast)Exchange", tree)) == 2
+    assert "term#" not in plan
+
+
+@pytest.mark.parametrize("options", [RunOptions(), RunOptions(cell_submissions=7, cell_papers=3)])
+def test_every_cosine_equals_the_dense_matrices(spark, fixture, options):
+    """With room for all papers, the cells' tops are all pairs that share a term; the three best are cut from them with ties by key."""
+    subs, papers, s, p, i = fixture
+    prep = prepare(s, p, i, options)
+    sparse = pipelines.sparse_side(prep, STOP)
+    tops = similarity.sparse_tops(sparse.sub_rows, sparse.paper_rows, prep.rounds, prep.roster, options, 1000)
+    every = {(r.round_id, r.reviewer_id, r.paper, r.paper_key): r.sim for r in similarity.best_pairs(tops, 1000).collect()}
+    for round_id in ("big", "small"):
+        want = {k: v for k, v in brute_cosines(subs, papers, round_id).items() if v > 0}
+        got = {(sub, (who, key)): v for (r, who, sub, key), v in every.items() if r == round_id}
+        assert got == pytest.approx(want, abs=2e-9)
+    best = {}
+    for (r, who, sub, key), v in every.items():
+        best.setdefault((r, who, sub), []).append((-v, key))
+    three = similarity.sparse_tops(sparse.sub_rows, sparse.paper_rows, prep.rounds, prep.roster, options)
+    got = {(r.round_id, r.reviewer_id, r.paper, r.place): (-r.sim, r.paper_key) for r in similarity.best_pairs(three).collect()}
+    assert got == {(*k, n + 1): e for k, v in best.items() for n, e in enumerate(sorted(v)[:3])}
+
+
+def test_term_ids_have_no_gaps_and_do_not_depend_on_partitioning(spark):
+    words = [(r, f"w{k}") for r, n in (("a", 9000), ("b", 3), ("c", 1)) for k in range(n)]
+    df = spark.createDataFrame(words, "round_id string, term string")
+
+    def ids_of(vocab):
+        numbered = tfidf.number_terms(vocab)
+        return {(r.round_id, r.term): r.term_id for r in tfidf.with_term_ids(numbered, tfidf.range_starts(numbered)).collect()}
+
+    ids = ids_of(df.repartition(3))
+    assert ids == ids_of(df.orderBy(F.rand(2)).repartition(7, "term"))
+    for r, n in (("a", 9000), ("b", 3), ("c", 1)):
+        assert sorted(v for (x, _), v in ids.items() if x == r) == list(range(n))
 
 
 def test_whole_registry_has_twins_and_names():

@@ -1,4 +1,6 @@
+import math
 import random
+from bisect import bisect_left, bisect_right
 
 import pytest
 from hypothesis import HealthCheck, given, settings
@@ -41,12 +43,13 @@ def by_paper(df, column):
 
 
 def bids_of(spark, values, frac, params=ScoringParams()):
-    df = ranking.threshold_windowed(pool(spark, values).withColumn("value", F.col("sim")), K, "value", frac)
-    return by_paper(bids._with_bid(df, params), "bid")
+    df = pool(spark, values).withColumn("value", F.col("sim"))
+    bounds = ranking.threshold_table(ranking.value_counts(df, K, "value"), K, "value", frac)
+    return by_paper(bids._with_bid(df.join(bounds, K), params), "bid")
 
 
 def test_quantiles_share_the_mean_rank(spark):
-    got = by_paper(ranking.quantile_windowed(pool(spark, [0, 0, 0, .2, .5]), K, "sim"), "q")
+    got = by_paper(ranking.quantile(pool(spark, [0, 0, 0, .2, .5]), K, "sim"), "q")
     assert got == pytest.approx([.3, .3, .3, .7, .9])
 
 
@@ -54,7 +57,7 @@ def test_quantiles_share_the_mean_rank(spark):
     (9.0, [-8, -8, -8, 8, 16]), (4.5, [-3.2, -3.2, -3.2, 3.2, 12.8]),
     (18.0, [-12.649111] * 3 + [12.649111, 17.888544]), (0.0, [-8, -8, -8, 8, 16])])
 def test_signal_curve(spark, gain, want):
-    q = ranking.quantile_windowed(pool(spark, [0, 0, 0, .2, .5]), K, "sim")
+    q = ranking.quantile(pool(spark, [0, 0, 0, .2, .5]), K, "sim")
     got = by_paper(q.withColumn("sem", bids.sem_signal(F.col("q"), ScoringParams(sem_gain=gain))), "sem")
     assert got == pytest.approx(want, abs=1e-6)
 
@@ -87,39 +90,51 @@ def rows(df):
     return sorted(tuple(r) for r in df.collect())
 
 
-@pytest.mark.parametrize("tie_limit", [5])
-def test_bucketed_quantiles_equal_windowed_and_brute_force(spark, tie_limit):
-    df = skewed(spark)
-    small = rows(ranking.quantile_windowed(df, K, "sim"))
-    assert rows(ranking.quantile_bucketed(df, K, "sim", tie_limit=tie_limit)) == small
-    big = [r for r in small if r[:2] == ("big", 1)]
-    assert [r[-1] for r in big] == pytest.approx(brute_quantiles([r[3] for r in big]))
-
-
-@pytest.mark.parametrize("frac", [0.1, 1.0])
-def test_bucketed_bids_equal_windowed(spark, frac):
-    df, params = skewed(spark), ScoringParams()
-    one = bids.bids_windowed(df, params, frac)
-    two = bids.bids_bucketed(df, params, frac, tie_limit=20).select(*one.columns)
-    assert rows(one) == rows(two)
+@pytest.mark.parametrize("tie_limit", [5, 10_000])
+def test_quantiles_of_skewed_pools_equal_brute_force(spark, tie_limit):
+    got = rows(ranking.quantile(skewed(spark), K, "sim", tie_limit=tie_limit))
+    for key in (("big", 1), ("big", 2), ("small", 1)):
+        mine = [r for r in got if r[:2] == key]
+        assert [r[-1] for r in mine] == pytest.approx(brute_quantiles([r[3] for r in mine]))
+    assert len(got) == 948
 
 
-def test_pool_sizes_choose_the_form_and_mix(spark):
-    df, params = skewed(spark), ScoringParams()
-    whole = rows(bids.bids(df, params, RunOptions()))
-    assert rows(bids.bids(df, params, RunOptions(pool_limit=100))) == whole
+@pytest.mark.parametrize("frac, tie_limit", [(0.1, 20), (1.0, 10_000)])
+def test_bids_of_skewed_pools_equal_the_plain_formula(spark, frac, tie_limit):
+    params = ScoringParams()
+    got = rows(bids.bids(skewed(spark), params, RunOptions(positive_frac=frac), tie_limit).select("round_id", "reviewer_id", "paper", "sim", "topic_base", "bid"))
+    for key in (("big", 1), ("big", 2), ("small", 1)):
+        mine = [r for r in got if r[:2] == key]
+        sems = [max(-20, min(20, (1 if x >= 0 else -1) * abs(x) ** 1.0 * 20)) for x in (2 * q - 1 for q in brute_quantiles([r[3] for r in mine]))]
+        values = [math.floor((0.65 * s + 0.35 * r[4]) * 1e9 + 0.5) / 1e9 for s, r in zip(sems, mine)]
+        assert [r[-1] for r in mine] == brute_bids(values, frac, 20)
 
 
-@pytest.mark.parametrize("topn", [450, 600])
-def test_bucketed_shortlist_equals_stable_sort(spark, topn):
+@pytest.mark.parametrize("topn", [1, 450, 600])
+def test_shortlist_equals_stable_sort(spark, topn):
     df = skewed(spark)
     big = [(r["sim"], r["paper"]) for r in df.filter("round_id = 'big' and reviewer_id = 1").collect()]
     want = {p for _, p in sorted(big, key=lambda x: (-x[0], x[1]))[:topn]}
-    for limit in (100, 10_000):
-        out = rerank.shortlist(df, RunOptions(rerank_topn=topn, pool_limit=limit))
-        got = {r["paper"] for r in out.filter("round_id = 'big' and reviewer_id = 1 and is_candidate").collect()}
-        assert got == want
-        assert out.count() == df.count()
+    out = rerank.shortlist(df, RunOptions(rerank_topn=topn))
+    assert {r["paper"] for r in out.filter("round_id = 'big' and reviewer_id = 1 and is_candidate").collect()} == want
+    assert rows(out.drop("is_candidate")) == rows(df)
+
+
+@pytest.mark.parametrize("values", [
+    [5.0] * 3000, [1e9 + k % 977 for k in range(3000)], [(-1) ** k * 1e9 / (k + 1) for k in range(3000)], [1e9 + k * 1e-6 for k in range(3000)]])
+def test_one_pool_of_any_values_is_cut_into_even_runs(spark, values):
+    """All rows in one pool: all tied, far from zero, of all sizes, and closer together than any fixed bucket."""
+    df = pool(spark, values).repartition(6)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # small runs would be merged
+    try:
+        got = by_paper(ranking.quantile(df, K, "sim"), "q")
+        runs = [r["count"] for r in ranking.sorted_runs(df, K, F.desc("sim"), F.col("paper")).groupBy("_run").count().collect()]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    order = sorted(values)
+    want = [((bisect_left(order, v) + bisect_right(order, v) - 1) / 2 + 0.5) / len(values) for v in values]
+    assert got == pytest.approx(want, rel=1e-12)
+    assert len(runs) == 4 and max(runs) < 3000 / 2
 
 
 @settings(max_examples=6, deadline=None, suppress_health_check=list(HealthCheck))
@@ -136,7 +151,7 @@ def test_bids_match_the_plain_formula(spark, raw, frac, top):
 @given(st.lists(st.integers(0, 30), min_size=1, max_size=60))
 def test_quantile_properties(spark, raw):
     values = [v / 7 for v in raw]
-    q = by_paper(ranking.quantile_bucketed(pool(spark, values), K, "sim"), "q")
+    q = by_paper(ranking.quantile(pool(spark, values), K, "sim"), "q")
     assert all(0 < x < 1 for x in q)
     assert sum(q) / len(q) == pytest.approx(0.5)
 
