@@ -78,7 +78,7 @@ def quantile_table(counts: DataFrame, keys: list[str], value: str, out: str = "q
 
 
 def quantile(df: DataFrame, keys: list[str], value: str, out: str = "q", tie_limit: int = TIE_LIMIT) -> DataFrame:
-    """Average-rank quantile of every row in its pool."""
+    """Average-rank quantile of every row in its pool. The rows are read more than once: hand over a written table."""
     table = quantile_table(value_counts(df, keys, value), keys, value, out)
     return lookup(df, table, [*keys, value], limit=tie_limit).select(*df.columns, out)
 

@@ -13,9 +13,11 @@ from pyspark.sql import functions as F
 from revmatch.functions.numeric import round9, shortlist_size
 from revmatch.functions.text import tokens
 from revmatch.operators import ranking
-from revmatch.operators.cells import CELL, cell_tasks, merge_tops, place_cols, place_rows, top_mean, top_values
+from revmatch.operators.cells import CELL, cell_tasks, merge_tops, own, top_mean, top_values
+from revmatch.operators.similarity import paper_cells
 from revmatch.params import SHORTLIST_CUSHION, SHORTLIST_FLOOR, TOP_PAPERS, RunOptions
-from revmatch.schemas import K, PAPER, PAPER_KEY, ROUND
+from revmatch.schemas import K, PAPER, PAPER_KEY, REVIEWER, ROUND
+from revmatch.session import materialize
 
 
 @dataclass(frozen=True)
@@ -59,21 +61,35 @@ def shortlist(scored: DataFrame, options: RunOptions) -> DataFrame:
     return ranking.first(scored, K, "sim", shortlist_length(F.col("n_subs"), options), "is_candidate")
 
 
+def candidate_texts(shortlisted: DataFrame, subs: DataFrame, papers: DataFrame, rounds: DataFrame) -> DataFrame:
+    """Each candidate once per cell that holds a paper to meet, with ``asked_by``: the reviewers there who shortlisted it.
+
+    ``subs`` has (round_id, paper, sub_side); ``papers`` stand in their cells. Only ids are put together per reviewer;
+    how often a text is copied depends on the cells, not on how many reviewers ask for it.
+    """
+    homes = papers.select(*K, "cell_col").distinct()
+    asked = (
+        shortlisted.filter("is_candidate").select(*K, PAPER).join(homes, K)
+        .groupBy(ROUND, PAPER, "cell_col").agg(F.collect_set(REVIEWER).alias("asked_by"))
+    )
+    return asked.join(subs, [ROUND, PAPER]).join(rounds.select(ROUND, "n_subs"), ROUND)
+
+
 def candidate_pairs(shortlisted: DataFrame, subs: DataFrame, papers: DataFrame, rounds: DataFrame,
                     roster: DataFrame, options: RunOptions) -> DataFrame:
     """Each candidate with each of the reviewer's papers, met cell by cell.
 
-    ``subs`` has (round_id, paper, sub_side) and ``papers`` (round_id, reviewer_id, paper_key, paper_side).
+    ``subs`` has (round_id, paper, sub_side) and ``papers`` (round_id, reviewer_id, paper_key, paper_side). Each side is
+    shuffled once, by cell; a pair is made inside its cell if the paper's reviewer asked for the submission.
     """
-    rows, cols = options.pair_cell, options.pair_cell
-    length, n_papers = shortlist_length(F.col("n_subs"), options), F.col("n_papers")
-    chosen = shortlisted.filter("is_candidate").select(*K, PAPER, "n_subs", "n_papers").join(subs, [ROUND, PAPER])
-    left = place_rows(chosen, [PAPER], length, n_papers, rows, cols).drop("n_subs")
-    sized = papers.join(roster.select(*K, "n_papers"), K).join(rounds.select(ROUND, "n_subs"), ROUND)
-    right = place_cols(sized, [PAPER_KEY], length, n_papers, rows, cols).drop("n_subs", "n_papers")
-    sizes = roster.select(*K, "n_papers").join(rounds.select(ROUND, "n_subs"), ROUND)
-    n, cell = cell_tasks(sizes, length, n_papers, rows, cols), [*K, *CELL]
-    return left.repartition(n, *cell).join(right.repartition(n, *cell), cell)
+    size = options.pair_cell
+    right = paper_cells(papers, rounds, roster, size, size).withColumnRenamed("_own_papers", "n_papers")
+    left = candidate_texts(shortlisted, subs, paper_cells(papers.drop("paper_side"), rounds, roster, size, size), rounds)
+    left = left.withColumn("cell_row", own([PAPER], F.col("n_subs"), size)).drop("n_subs")
+    n = cell_tasks(rounds, F.col("n_subs"), F.col("n_papers"), size, size)
+    cell = [ROUND, *CELL]
+    pairs = left.repartition(n, *cell).join(right.repartition(n, *cell), cell).filter(F.array_contains("asked_by", F.col(REVIEWER)))
+    return pairs.drop("asked_by")
 
 
 def pair_score(pairs: DataFrame, scorer: ColumnScorer | BatchScorer = TOKEN_OVERLAP) -> DataFrame:
@@ -119,6 +135,7 @@ def rerank_bands(shortlisted: DataFrame, means: DataFrame) -> DataFrame:
     """Candidates at 1 + quantile of the pair score, the rest at their sparse quantile, each group on its own."""
     joined = shortlisted.join(means, [*K, PAPER], "left").withColumn(
         "_score", F.when(F.col("is_candidate"), F.col("pair_mean")).otherwise(F.col("sim")))
-    ranked = ranking.quantile(joined, [*K, "is_candidate"], "_score", "_q")
+    # written, because the ranks read the rows several times and the pairs must be scored once
+    ranked = ranking.quantile(materialize(joined, "pair_means"), [*K, "is_candidate"], "_score", "_q")
     band = F.when(F.col("is_candidate"), 1 + F.col("_q")).otherwise(F.col("_q"))
     return ranked.withColumn("tfidf_sim", F.col("sim")).withColumn("sim", band).drop("_score", "_q")

@@ -17,19 +17,23 @@ from revmatch.operators.ranking import topk_per_group
 from revmatch.params import TOP_PAPERS, RunOptions
 from revmatch.schemas import K, PAPER, PAPER_KEY, REVIEWER, ROUND
 
-def _cells(subs: DataFrame, papers: DataFrame, rounds: DataFrame, roster: DataFrame, options: RunOptions):
-    """Place both sides. A reviewer's papers stay together unless there are more than a cell takes."""
+def paper_cells(papers: DataFrame, rounds: DataFrame, roster: DataFrame, rows: int, cols: int) -> DataFrame:
+    """Papers in every cell of their column. A reviewer's papers stay together unless there are more than a cell takes."""
     n_subs, n_papers = F.col("n_subs"), F.col("n_papers")
-    rows, cols = options.cell_submissions, options.cell_papers
     per_reviewer = roster.select(*K, F.col("n_papers").alias("_own_papers"))
-    left = place_rows(subs.join(rounds.select(ROUND, "n_subs", "n_papers"), ROUND), [PAPER], n_subs, n_papers, rows, cols)
-    right = (
+    placed = (
         papers.join(per_reviewer, K)
         .withColumn("_part", own([PAPER_KEY], F.col("_own_papers"), cols))
         .join(rounds.select(ROUND, "n_subs", "n_papers"), ROUND)
     )
-    right = place_cols(right, [REVIEWER, "_part"], n_subs, n_papers, rows, cols)
-    return left.drop("n_subs", "n_papers"), right.drop("n_subs", "n_papers", "_part", "_own_papers")
+    return place_cols(placed, [REVIEWER, "_part"], n_subs, n_papers, rows, cols).drop("n_subs", "n_papers", "_part")
+
+
+def _cells(subs: DataFrame, papers: DataFrame, rounds: DataFrame, roster: DataFrame, options: RunOptions):
+    """Place both sides."""
+    rows, cols = options.cell_submissions, options.cell_papers
+    left = place_rows(subs.join(rounds.select(ROUND, "n_subs", "n_papers"), ROUND), [PAPER], F.col("n_subs"), F.col("n_papers"), rows, cols)
+    return left.drop("n_subs", "n_papers"), paper_cells(papers, rounds, roster, rows, cols).drop("_own_papers")
 
 
 def _sparse_kernel():

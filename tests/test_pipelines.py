@@ -124,6 +124,23 @@ def test_python_pair_scorer_gives_the_same_bids_as_columns(spark, fixture):
         bids_rerank(s, p, i, options=options, stop_words=STOP, scorer=rerank.BatchScorer(load, batch=3)))
 
 
+def test_candidate_texts_do_not_grow_with_the_reviewers(spark):
+    """The same 64 papers held by 2 or by 16 reviewers who all shortlist the same submissions: as many texts are shuffled."""
+    subs = spark.createDataFrame([("r", k, f"text {k} " * 50) for k in range(40)], "round_id string, paper bigint, sub_side string")
+    sizes, pairs = {}, {}
+    for n in (2, 16):
+        papers = spark.createDataFrame([("r", k % n, k, "own words") for k in range(64)], "round_id string, reviewer_id int, paper_key int, paper_side string")
+        roster = papers.groupBy(*K).agg(F.count("*").alias("n_papers"))
+        rounds = spark.createDataFrame([("r", 40, 64, n)], "round_id string, n_subs bigint, n_papers bigint, n_reviewers bigint")
+        short = spark.createDataFrame([("r", w, k, k < 10) for w in range(n) for k in range(40)], "round_id string, reviewer_id int, paper bigint, is_candidate boolean")
+        cells = similarity.paper_cells(papers, rounds, roster, 64, 64)
+        left = rerank.candidate_texts(short, subs, cells, rounds)
+        sizes[n] = left.agg(F.sum(F.length("sub_side"))).first()[0]
+        found = rerank.candidate_pairs(short, subs, papers, rounds, roster, RunOptions(pair_cell=64))
+        pairs[n] = sorted((r.paper, r.paper_key) for r in found.collect())
+    assert sizes[2] == sizes[16] and pairs[2] == pairs[16] == [(k, p) for k in range(10) for p in range(64)]
+
+
 @pytest.mark.parametrize("cells", [(256, 1024), (3, 2)])
 def test_dense_similarity_with_zero_and_scaled_vectors(spark, cells):
     rnd = np.random.default_rng(1)
