@@ -17,6 +17,9 @@ from functools import lru_cache
 import numpy as np
 
 _IRREGULAR = re.compile(r"\s\s|\A\s|\s\Z")
+#: White space (Unicode's) in runs of more characters than this is cut out by hand: the pattern's engine overflows on some 10^6.
+LONG = 10_000
+_RUN = re.compile(r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{%d,}" % LONG)
 #: Parts kept at most per kind; then the store starts anew, so a worker's memory is bounded.
 KEPT = 250_000
 
@@ -60,13 +63,35 @@ class Encoder:
 
         with open(path, "rb") as lines:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-        self.added = added_tokens(path)
+        self.added, self.json, self.tokenizer = added_tokens(path), os.path.splitext(path)[0] + ".json", None
         self.core = tiktoken.Encoding("public", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=self.added)
         self.first, self.rest = _Parts(self.ordinary, ""), _Parts(self.ordinary, " ")
         self.newline = np.array(self.ordinary("\n"), "<u4").tobytes()
 
     def ordinary(self, text: str) -> list[int]:
-        """Ids of a text as it is, without the parts kept."""
+        """Ids of a text as it is, without the parts kept.
+
+        The pre-tokenizer makes one piece of a run of white space, without its last character where other text
+        follows. A long run is cut there and given to ``tokenizers`` alone, which keeps pure white space in one piece.
+        """
+        if len(text) < LONG:
+            return self._pieces(text)
+        out, at = [], 0
+        for run in _RUN.finditer(text):
+            end = run.end() if run.end() == len(text) else run.end() - 1
+            out += self._pieces(text[at:run.start()])
+            out += self._whole().encode(text[run.start():end], add_special_tokens=False).ids
+            at = end
+        return out + self._pieces(text[at:])
+
+    def _whole(self):
+        if self.tokenizer is None:
+            from tokenizers import Tokenizer
+
+            self.tokenizer = Tokenizer.from_file(self.json)
+        return self.tokenizer
+
+    def _pieces(self, text: str) -> list[int]:
         if any(t in text for t in self.added):
             return self.core.encode(text, allowed_special="all")
         return self.core.encode_ordinary(text)
