@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 import bindings as b
 import oracle as o
-from revmatch import RunOptions, ScoringParams, bids_embedding, bids_rerank, bids_tfidf, prepare, semantic_scores, topic_template
+from revmatch import RunOptions, ScoringParams, bids_embedding, bids_from_texts, bids_rerank, bids_tfidf, prepare, run_bids, semantic_scores, topic_template
 from revmatch.functions import numeric, text
 from revmatch.functions.stopwords import default_stop_words, stop_words
 from revmatch.operators import bids as bidding
@@ -26,7 +26,7 @@ from revmatch.sources import submissions as subs_source
 
 PARAMS, OPTIONS = ScoringParams(), RunOptions()
 MODEL = "letter-counts"
-LETTERS = "aeinorst"
+LETTERS = o.LETTERS
 Query = Callable[[SparkSession, str], DataFrame]
 
 _REGISTRY: dict[str, tuple[Query, str | None]] = {}
@@ -403,6 +403,48 @@ def achieved_fraction(spark, sf):
     return reports.achieved_fraction(_bids(spark, sf), OPTIONS.positive_frac)
 
 
+@_query(o.sql("""select round_id, reviewer_id, 'too few papers' as reason, count(distinct sha256(text)) as n
+    from (select round_id, cast(floor(sqrt(paper_key)) as bigint) as reviewer_id, text from papers) group by round_id, reviewer_id
+    having count(distinct sha256(text)) < 5"""))
+def set_aside(spark, sf):
+    """Who gets no bids when reviewers hold 1, 3, 5, ... papers; the list comes with the bids."""
+    shares = b.papers(spark, sf).withColumn("reviewer_id", F.floor(F.sqrt("paper_key")))
+    return run_bids("tfidf", b.submissions(spark, sf), shares, None).set_aside
+
+
+def _line(part: int, at: str, text: str) -> str:
+    return f"select round_id, reviewer_id, {part} as part, {at} as spot, {text} as line"
+
+
+_HEAD = """'Reviewer bidding report' || chr(10) || repeat('=', 60) || chr(10) || 'mode            : abstract+topics' || chr(10)
+    || printf('papers scored   : %d', count(*)) || chr(10) || printf('mean bid        : %+.2f', sum(bid)::double / count(*)) || chr(10)
+    || printf('want (>0)       : %d', count(*) filter (bid > 0)) || chr(10) || printf('neutral (=0)    : %d', count(*) filter (bid = 0)) || chr(10)
+    || printf('avoid (<0)      : %d', count(*) filter (bid < 0)) || chr(10) || printf('strong + (>=+15) : %d', count(*) filter (bid >= 15)) || chr(10)
+    || printf('strong - (<=-15) : %d', count(*) filter (bid <= -15)) || chr(10) || chr(10) || 'distribution (bid: count)'"""
+_BAR = "printf('  %+3d | %-50s %d', bid, repeat('#', cast(floor(50 * n::double / max(n) over (partition by round_id, reviewer_id)) as int)), n)"
+_SHOWN = "printf('  %+3d  %s', bid, substr(title, 1, 78))"
+
+
+def _end(part: int, order: str) -> str:
+    cut = f"""select round_id, reviewer_id, bid, paper, title from (select *, row_number() over (partition by round_id, reviewer_id order by {order}) as place
+        from tf_bids) join subs using (round_id, paper) where place <= 10"""
+    return _line(part, "row_number() over (partition by round_id, reviewer_id order by bid desc, paper)", _SHOWN) + f" from ({cut})"
+
+
+@_query(o.sql(f"""select round_id, reviewer_id, string_agg(line, chr(10) order by part, spot) as report from (
+    {_line(0, '0', _HEAD)} from tf_bids group by round_id, reviewer_id
+    union all {_line(1, '-bid', _BAR)} from (select round_id, reviewer_id, bid, count(*) as n from tf_bids group by round_id, reviewer_id, bid)
+    union all {_line(2, '0', "chr(10) || 'top 10 (highest bids)'")} from (select distinct round_id, reviewer_id from tf_bids)
+    union all {_end(3, 'bid desc, paper')}
+    union all {_line(4, '0', "chr(10) || 'bottom 10 (lowest bids)'")} from (select distinct round_id, reviewer_id from tf_bids)
+    union all {_end(5, 'bid, paper desc')}) group by round_id, reviewer_id"""))
+def report_texts(spark, sf):
+    """The text report of every reviewer and round."""
+    titles = b.submissions(spark, sf).select(ROUND, PAPER, "title")
+    mode = subs_source.input_mode(b.raw_submissions(spark, sf).columns)
+    return reports.report_texts(_bids(spark, sf), titles, [ROUND, PAPER], PARAMS.bid_max, mode)
+
+
 # ---- joins ----
 
 def _best(cosines: str) -> str:
@@ -507,6 +549,35 @@ def pair_score(spark, sf):
     return rerank.pair_score(_pairs(spark, sf)).select(*K, PAPER, PAPER_KEY, "pair_sim")
 
 
+def _token_model():
+    """The default pair score as a Python batch model; local functions travel to tasks by value."""
+    def load():
+        import re
+
+        def words(text: str) -> set[str]:
+            return {w for w in re.split(r"\W+", text.replace("-\n", "").replace("\n", " ").lower()) if re.fullmatch("[a-z]{2,}", w)}
+
+        def predict(papers, subs):
+            pairs = [(words(a), words(b)) for a, b in zip(papers, subs)]
+            return [len(a & b) / (len(a | b) or 1) for a, b in pairs]
+
+        return predict
+
+    return load
+
+
+@_query(o.sql("select round_id, reviewer_id, paper, paper_key, pair_sim from pair_scores"))
+def pair_score_model(spark, sf):
+    """Pairs scored by a model in Python, batch by batch."""
+    prep, _ = _base(spark, sf)
+    scorer = rerank.BatchScorer(_token_model())
+    own = text.with_paper_text(prep.papers, "text", "joined", text.SPARSE_JOINER)
+    subs = rerank.side_features(_sub_texts(spark, sf), [ROUND, PAPER], "text", "sub_side", scorer)
+    papers = rerank.side_features(own, [*K, PAPER_KEY], "joined", "paper_side", scorer)
+    pairs = rerank.candidate_pairs(_short(spark, sf), subs, papers, prep.rounds, prep.roster, OPTIONS)
+    return rerank.pair_score(pairs, scorer).select(*K, PAPER, PAPER_KEY, "pair_sim")
+
+
 # ---- pipelines, each from the tables to the bids ----
 
 _BIDS = "round_id, reviewer_id, paper, sim, q, sem, topic_base, value, bid"
@@ -523,6 +594,12 @@ def bids_embedding_query(spark, sf):
     return bids_embedding(subs, paper_vectors, None, (sub_vectors, paper_vectors)).select(*_BIDS.split(", "))
 
 
+@_query(o.sql(f"select {_BIDS} from le_bids"))
+def bids_from_texts_query(spark, sf):
+    """From texts over cache and embedder to bids; the cache holds half the submissions already."""
+    return bids_from_texts(b.submissions(spark, sf), b.papers(spark, sf), b.interests(spark, sf), _half_cache(spark, sf), _letter_model()).select(*_BIDS.split(", "))
+
+
 @_query(o.sql(f"select {_BIDS} from rr_bids"))
 def bids_rerank_query(spark, sf):
     return bids_rerank(b.submissions(spark, sf), b.papers(spark, sf), b.interests(spark, sf)).select(*_BIDS.split(", "))

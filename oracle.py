@@ -60,6 +60,13 @@ def quantile(source: str, keys: str, value: str, out: str = "q") -> str:
             f"/ count(*) over (partition by {keys}) as {out} from {source}")
 
 
+LETTERS = "aeinorst"
+
+
+def letters(t: str) -> str:
+    return "[" + ", ".join(f"(length({t}) - length(replace({t}, '{c}', '')))::double" for c in LETTERS) + "]"
+
+
 def bids_chain(prefix: str, scored: str, frac: float = OPTIONS.positive_frac) -> dict[str, tuple[str, list[str]]]:
     """q -> value -> threshold -> bid for a scored table."""
     p = PARAMS
@@ -170,6 +177,16 @@ CTES: dict[str, tuple[str, list[str]]] = {
         row_number() over (partition by round_id, reviewer_id, paper order by sim desc) as place from emb_cos)
         where place <= 3 group by round_id, reviewer_id, paper""", ["emb_cos"]),
     **bids_chain("em", "emb_scored"),
+    # vectors of letter counts, from the texts
+    "letter_subs": (f"select round_id, paper, {letters('t')} as vec from (select round_id, paper, title || '[SEP]' || abstract as t from subs)", ["subs"]),
+    "letter_papers": (f"select round_id, reviewer_id, paper_key, {letters('t')} as vec from (select round_id, reviewer_id, paper_key, {collapse('text')} as t from papers)", ["papers"]),
+    "letter_cos": (f"""select s.round_id, p.reviewer_id, s.paper, p.paper_key, {r9('coalesce(list_cosine_similarity(s.vec, p.vec), 0)')} as sim
+        from letter_subs s join letter_papers p using (round_id) join roster using (round_id, reviewer_id)""", ["letter_subs", "letter_papers", "roster"]),
+    "letter_scored": (f"""select round_id, reviewer_id, paper, topic_base, {r9('sum(sim) / least(3, max(n))')} as sim from (
+        select *, count(*) over (partition by round_id, reviewer_id, paper) as n,
+        row_number() over (partition by round_id, reviewer_id, paper order by sim desc) as place from letter_cos)
+        join topic_bases using (round_id, reviewer_id, paper) where place <= 3 group by round_id, reviewer_id, paper, topic_base""", ["letter_cos", "topic_bases"]),
+    **bids_chain("le", "letter_scored"),
 }
 
 

@@ -1,4 +1,4 @@
-"""Report tables over bids, and the text form for one reviewer."""
+"""Report tables over bids, and the text form for every reviewer and round."""
 
 from __future__ import annotations
 
@@ -62,29 +62,54 @@ def report_extremes(bids: DataFrame, titles: DataFrame, title_keys: list[str], k
         "title", F.substring(F.coalesce(F.col("title"), F.lit("")), 1, TITLE_WIDTH))
 
 
+# Lines of the report.
+RULE = "=" * 60
+HEAD = "Reviewer bidding report"
+DISTRIBUTION = "distribution (bid: count)"
+SECTIONS = {"top": "top 10 (highest bids)", "bottom": "bottom 10 (lowest bids)"}
+
+
+def report_texts(bids: DataFrame, titles: DataFrame, title_keys: list[str], bid_max: int, mode: str) -> DataFrame:
+    """The text report of every reviewer and round: ``round_id, reviewer_id, report``.
+
+    The three report tables become numbered lines, and a pool's lines are joined in order. A report has at most
+    2 * bid_max + 36 lines, whatever the pool holds; the tables themselves are partial aggregates and cut tops.
+    """
+    def line(part: int, order, text) -> list:
+        return [F.lit(part).alias("part"), order.cast("bigint").alias("at"), text.alias("line")]
+
+    zero, fmt = F.lit(0), F.format_string
+    s = report_summary(bids, bid_max, mode)
+    head = fmt("\n".join([
+        HEAD, RULE, "mode            : %s", "papers scored   : %d", "mean bid        : %+.2f", "want (>0)       : %d", "neutral (=0)    : %d",
+        "avoid (<0)      : %d", "strong + (>=%+d) : %d", "strong - (<=%d) : %d", "", DISTRIBUTION]),
+        "mode", "n_scored", "mean_bid", "want", "neutral", "avoid", "strong_cut", "strong_pos", -F.col("strong_cut"), "strong_neg")
+    bar = fmt(f"  %+3d | %-{BAR_WIDTH}s %d", F.col("bid"), F.repeat(F.lit("#"), F.col("bar")), F.col("n"))
+    shown = fmt("  %+3d  %s", F.col("bid"), F.col("title"))
+    # rows of a section stand by falling bid, then by submission
+    place = F.row_number().over(Window.partitionBy(*K, "section").orderBy(F.desc("bid"), PAPER))
+    ends = report_extremes(bids, titles, title_keys).withColumn("_place", place)
+    parts = [s.select(*K, *line(0, zero, head)), report_histogram(bids).select(*K, *line(1, -F.col("bid"), bar))]
+    for part, (section, label) in zip((2, 4), SECTIONS.items()):
+        parts += [s.select(*K, *line(part, zero, F.lit("\n" + label))),
+                  ends.filter(F.col("section") == section).select(*K, *line(part + 1, F.col("_place"), shown))]
+    lines = parts[0]
+    for more in parts[1:]:
+        lines = lines.unionByName(more)
+    ordered = F.transform(F.sort_array(F.collect_list(F.struct("part", "at", "line"))), lambda x: x["line"])
+    return lines.groupBy(*K).agg(F.array_join(ordered, "\n").alias("report"))
+
+
+def write_report_texts(texts: DataFrame, path: str) -> None:
+    """One folder per round and reviewer with the text in it."""
+    texts.write.mode("errorifexists").partitionBy(*K).text(path)
+
+
 def report_text(bids: DataFrame, titles: DataFrame, title_keys: list[str], round_id, reviewer_id,
                 bid_max: int, mode: str) -> str:
-    """Text report of one reviewer in one round; collects 2*bid_max + 22 rows at most."""
+    """Text report of one reviewer in one round."""
     mine = bids.filter((F.col("round_id") == round_id) & (F.col("reviewer_id") == reviewer_id))
-    s = report_summary(mine, bid_max, mode).first()
-    if s is None:
+    found = report_texts(mine, titles, title_keys, bid_max, mode).first()
+    if found is None:
         raise ValueError(f"no bids for round {round_id!r}, reviewer {reviewer_id!r}")
-    bars = sorted(report_histogram(mine).collect(), key=lambda r: -r["bid"])
-    ends = report_extremes(mine, titles, title_keys).collect()
-    lines = [
-        "Reviewer bidding report", "=" * 60,
-        f"mode            : {mode}",
-        f"papers scored   : {s['n_scored']}",
-        f"mean bid        : {s['mean_bid']:+.2f}",
-        f"want (>0)       : {s['want']}",
-        f"neutral (=0)    : {s['neutral']}",
-        f"avoid (<0)      : {s['avoid']}",
-        f"strong + (>={s['strong_cut']:+d}) : {s['strong_pos']}",
-        f"strong - (<={-s['strong_cut']:+d}) : {s['strong_neg']}",
-        "", "distribution (bid: count)",
-    ]
-    lines += [f"  {r['bid']:+3d} | {'#' * r['bar']:<{BAR_WIDTH}} {r['n']}" for r in bars]
-    for section, label in (("top", "top 10 (highest bids)"), ("bottom", "bottom 10 (lowest bids)")):
-        chosen = sorted((r for r in ends if r["section"] == section), key=lambda r: (-r["bid"], r["paper"]))
-        lines += ["", label, *[f"  {r['bid']:>+3d}  {r['title']}" for r in chosen]]
-    return "\n".join(lines)
+    return found["report"]

@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from revmatch.functions.stopwords import default_stop_words
@@ -17,15 +17,15 @@ from revmatch.functions.text import DENSE_JOINER, SPARSE_JOINER, submission_text
 from revmatch.operators import rerank, similarity, tfidf
 from revmatch.operators.bids import bids
 from revmatch.operators.topics import rating_maps, with_topic_base
-from revmatch.params import MAX_DF, METHODS, MIN_DF, RunOptions, ScoringParams
+from revmatch.params import FRACTION_TOLERANCE, MAX_DF, METHODS, MIN_DF, RunOptions, ScoringParams
 from revmatch.schemas import K, PAPER, PAPER_KEY, REVIEWER, ROUND
 from revmatch.session import materialize, materialize_together
 from revmatch.sources.papers import TooFewPapers, distinct_papers, papers_guard
 from revmatch.sources.submissions import topic_template
-from revmatch.sources.vector_cache import Encode, VectorCache, embed_missing
+from revmatch.sources.vector_cache import Encode, VectorCache
 
-__all__ = ["Prepared", "SparseSide", "bids_embedding", "bids_rerank", "bids_tfidf", "embedding_inputs",
-           "paper_top_terms", "pool_with_topics", "prepare", "semantic_scores", "set_aside", "sparse_side", "topic_template"]
+__all__ = ["BidRun", "Prepared", "SparseSide", "bids_embedding", "bids_from_texts", "bids_rerank", "bids_tfidf", "embedding_inputs",
+           "paper_top_terms", "pool_with_topics", "prepare", "run_bids", "semantic_scores", "set_aside", "sparse_side", "topic_template"]
 
 
 class PoolTooSmall(ValueError):
@@ -140,13 +140,12 @@ def _rerank_scores(prep: Prepared, options: RunOptions, sparse: SparseSide,
 
 
 def embedding_inputs(prep: Prepared, cache: VectorCache, load: Callable[[], Encode]) -> tuple[DataFrame, DataFrame]:
-    """Vectors of submissions and papers through the cache and the embedder hook."""
+    """Vectors of submissions and papers through the cache and the embedder hook; what is missing on either side is one run."""
     subs = prep.submissions.select(
         ROUND, PAPER, submission_text(F.col("title"), F.col("abstract"), DENSE_JOINER).alias("text"))
     papers = with_paper_text(prep.papers, "text", "joined", DENSE_JOINER).select(*K, PAPER_KEY, F.col("joined").alias("text"))
-    sub_vectors = embed_missing(subs, cache, load).select(ROUND, PAPER, "vec")
-    paper_vectors = embed_missing(papers, cache, load).select(*K, PAPER_KEY, "vec")
-    return sub_vectors, paper_vectors
+    cache.add(subs.select("text").unionByName(papers.select("text")), load)
+    return cache.vectors(subs).select(ROUND, PAPER, "vec"), cache.vectors(papers).select(*K, PAPER_KEY, "vec")
 
 
 def semantic_scores(prep: Prepared, options: RunOptions = RunOptions(), *, sparse: SparseSide | None = None,
@@ -167,6 +166,39 @@ def semantic_scores(prep: Prepared, options: RunOptions = RunOptions(), *, spars
     return _tfidf_scores(prep, options, sparse)
 
 
+@dataclass(frozen=True)
+class BidRun:
+    """Bids with what a user has to know beside them."""
+
+    bids: DataFrame
+    set_aside: DataFrame        # round_id, reviewer_id, reason, n
+    positive_frac: float
+    watch: Observation
+
+    def achieved(self) -> dict:
+        """Facts taken while the bids were written or collected, without a job of their own: number of bids, of positive
+        ones, their share, and whether that is off the target. Waits for the first action on ``bids``."""
+        seen = self.watch.get
+        share = seen["positive"] / seen["bids"] if seen["bids"] else 0.0
+        return {**seen, "share": share, "off_target": bool(seen["bids"]) and abs(share - self.positive_frac) > FRACTION_TOLERANCE}
+
+
+def run_bids(method: str, submissions: DataFrame, papers: DataFrame, interests: DataFrame | None,
+             params: ScoringParams = ScoringParams(), options: RunOptions = RunOptions(), *,
+             embed: tuple[VectorCache, Callable[[], Encode]] | None = None, **kwargs) -> BidRun:
+    """Bids of one method, what was set aside, and the share of positive bids.
+
+    ``embed`` (a cache and the loader of an encoder) lets the embedding method start from texts.
+    """
+    options = RunOptions(**{**options.__dict__, "method": method})
+    prep = prepare(submissions, papers, interests, options)
+    if embed is not None:
+        kwargs["vectors"] = embedding_inputs(prep, *embed)
+    found, watch = bids(semantic_scores(prep, options, **kwargs), params, options), Observation()
+    watched = found.observe(watch, F.count(F.lit(1)).alias("bids"), F.count_if(F.col("bid") > 0).alias("positive"))
+    return BidRun(watched, set_aside(prep), options.positive_frac, watch)
+
+
 def _run(method: str, submissions: DataFrame, papers: DataFrame, interests: DataFrame | None,
          params: ScoringParams, options: RunOptions, **kwargs) -> DataFrame:
     options = RunOptions(**{**options.__dict__, "method": method})
@@ -188,6 +220,12 @@ def bids_embedding(submissions: DataFrame, papers: DataFrame, interests: DataFra
     return _run("embedding", submissions, papers, interests, params, options, vectors=vectors)
 
 
+def bids_from_texts(submissions: DataFrame, papers: DataFrame, interests: DataFrame | None, cache: VectorCache,
+                    load: Callable[[], Encode], params: ScoringParams = ScoringParams(), options: RunOptions = RunOptions()) -> DataFrame:
+    """Bids from texts: vectors come from the cache, missing ones from the encoder that ``load`` returns, and are cached."""
+    return run_bids("embedding", submissions, papers, interests, params, options, embed=(cache, load)).bids
+
+
 def bids_rerank(submissions: DataFrame, papers: DataFrame, interests: DataFrame | None,
                 params: ScoringParams = ScoringParams(), options: RunOptions = RunOptions(),
                 scorer: rerank.ColumnScorer | rerank.BatchScorer = rerank.TOKEN_OVERLAP,

@@ -16,9 +16,3 @@ SUBMISSION = T.StructType([
     T.StructField("topics", T.ArrayType(T.StringType())),
     T.StructField("preference", T.StringType()),
 ])
-
-CACHED_VECTOR = T.StructType([
-    T.StructField("text_sha", T.StringType()),
-    T.StructField("vec", T.ArrayType(T.FloatType())),
-    T.StructField("model_id", T.StringType()),
-])

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from revmatch import RunOptions, ScoringParams, bids_embedding, bids_rerank, bids_tfidf, prepare, semantic_scores
+from revmatch import RunOptions, ScoringParams, bids_embedding, bids_rerank, bids_tfidf, prepare, run_bids, semantic_scores
 from revmatch.operators import reports, rerank, similarity, tfidf
 from revmatch.plans import pipelines
 from revmatch.plans.pipelines import PoolTooSmall, TooFewPapers
@@ -180,6 +180,30 @@ def test_guards(spark, fixture):
         semantic_scores(prep, RunOptions(method="embedding"))
 
 
+def test_run_result_tells_what_was_set_aside_and_the_share(spark, fixture):
+    _, _, s, p, i = fixture
+    few = s.unionByName(s.filter("paper < 6").withColumn("round_id", F.lit("tiny")))
+    run = run_bids("tfidf", few, p.unionByName(p.filter("round_id = 'big'").withColumn("round_id", F.lit("tiny"))), i, stop_words=STOP)
+    bids = run.bids.collect()
+    assert Counter((r.round_id, r.reviewer_id, r.reason, r.n) for r in run.set_aside.collect()) == Counter(
+        {("big", 3, "too few papers", 4): 1, ("small", 3, "too few papers", 4): 1, ("tiny", 3, "too few papers", 4): 1, ("tiny", None, "too few submissions", 6): 1})
+    positive = sum(r.bid > 0 for r in bids)
+    assert run.achieved() == {"bids": len(bids), "positive": positive, "share": positive / len(bids), "off_target": abs(positive / len(bids) - 0.1) > 0.1}
+
+
+def test_report_texts_are_written_per_pool(spark, tmp_path):
+    rows = [(r, w, k, (k * 7 + w) % 41 - 20) for r in ("a", "b") for w in (1, 2) for k in range(60)]
+    bids = spark.createDataFrame(rows, "round_id string, reviewer_id bigint, paper bigint, bid int")
+    titles = spark.createDataFrame([(r, k, f"title {k}") for r in ("a", "b") for k in range(60)], "round_id string, paper bigint, title string")
+    texts = reports.report_texts(bids, titles, ["round_id", "paper"], 20, "title-only")
+    assert "SinglePartition" not in plan_of(texts)
+    reports.write_report_texts(texts, str(tmp_path / "out"))
+    for r in ("a", "b"):
+        for w in (1, 2):
+            got = "\n".join(x.value for x in spark.read.text(str(tmp_path / "out" / f"round_id={r}" / f"reviewer_id={w}")).collect())
+            assert got == reports.report_text(bids, titles, ["round_id", "paper"], r, w, 20, "title-only")
+
+
 def test_report_text(spark):
     rows = [("r", 1, i, b) for i, b in enumerate([20, 15, 1, 0, -3, -20] * 4)]
     bids = spark.createDataFrame(rows, "round_id string, reviewer_id bigint, paper bigint, bid int")

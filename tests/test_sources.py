@@ -153,3 +153,26 @@ def test_papers_of_one_text_count_once_and_papers_without_early_pages_stay(spark
     assert sorted(r["paper_key"] for r in papers.distinct_papers(own, ["round_id", "reviewer_id"], "paper_key", "text").collect()) == [0, 9, 10]
     pages = spark.createDataFrame([(1, 0, "a"), (1, 7, "z"), (2, 5, "late")], "paper_key bigint, page int, text string")
     assert {(r["paper_key"], r["text"]) for r in papers.leading_pages(pages, ["paper_key"]).collect()} == {(1, "a"), (2, "")}
+
+
+def test_cache_runs_are_read_when_finished_only(spark, tmp_path):
+    """A run that died is not read and is written anew; a finished one repeated adds nothing; compaction keeps one vector per key."""
+    cache = vector_cache.VectorCache(spark, str(tmp_path / "cache"), "a/b c=1")
+    rows = lambda *keys: spark.createDataFrame([(k, [float(len(k))]) for k in keys], "text_sha string, vec array<float>")
+    real = cache._finish
+    cache._finish = lambda *a: (_ for _ in ()).throw(RuntimeError("killed"))
+    with pytest.raises(RuntimeError):
+        cache.append(rows("x", "half"), "run1")
+    cache._finish = real
+    assert cache.read().count() == 0 and cache.missing(spark.createDataFrame([("t",)], "text string")).count() == 1
+    for _ in range(3):
+        cache.append(rows("x", "y"), "run1")
+    assert sorted(r.text_sha for r in cache._rows().collect()) == ["x", "y"]
+    cache.append(rows("y", "zz"), "run2")
+    cache.append(rows(), "run3")
+    assert cache._rows().count() == 4 and cache.read().count() == 3
+    cache.compact()
+    assert sorted((r.text_sha, r.vec) for r in cache._rows().collect()) == [("x", [1.0]), ("y", [1.0]), ("zz", [2.0])]
+    assert cache.runs().count() == 1
+    cache.append(rows("new"))
+    assert cache.read().count() == 4
