@@ -180,7 +180,8 @@ CTES: dict[str, tuple[str, list[str]]] = {
     # vectors of letter counts, from the texts
     "letter_subs": (f"select round_id, paper, {letters('t')} as vec from (select round_id, paper, title || '[SEP]' || abstract as t from subs)", ["subs"]),
     "letter_papers": (f"select round_id, reviewer_id, paper_key, {letters('t')} as vec from (select round_id, reviewer_id, paper_key, {collapse('text')} as t from papers)", ["papers"]),
-    "letter_cos": (f"""select s.round_id, p.reviewer_id, s.paper, p.paper_key, {r9('coalesce(list_cosine_similarity(s.vec, p.vec), 0)')} as sim
+    "letter_cos": (f"""select s.round_id, p.reviewer_id, s.paper, p.paper_key,
+        {r9('case when list_sum(s.vec) = 0 or list_sum(p.vec) = 0 then 0 else list_cosine_similarity(s.vec, p.vec) end')} as sim
         from letter_subs s join letter_papers p using (round_id) join roster using (round_id, reviewer_id)""", ["letter_subs", "letter_papers", "roster"]),
     "letter_scored": (f"""select round_id, reviewer_id, paper, topic_base, {r9('sum(sim) / least(3, max(n))')} as sim from (
         select *, count(*) over (partition by round_id, reviewer_id, paper) as n,
