@@ -6,8 +6,15 @@ which catch passages inside longer lines. Anchors are the places whose three-wor
 paragraphs wherever it stands, be it in the middle of a line. Each paragraph has ``BANDS`` MinHash bands over its own
 five-word shingles; lines and windows do not meet in a band. Bands of the whole corpus meet in hash ranges, which answer each batch of documents which of its
 paragraphs are shared, or collide with one of other documents; only those leave their batch. Colliding paragraphs that are not equal are joined by band,
-verified by exact Jaccard similarity, and linked; a component of links is one passage. Of each passage the first document (smallest id)
-keeps it and the others lose it.
+verified by exact Jaccard similarity, and linked; a component of links is one passage.
+
+Lines are decided first: the first document (smallest id) with a line of the passage keeps it and the others lose it. A window is kept by the
+first document that has it outside the lines it loses, and lost by the documents after that one. So a lost window goes back to
+ever earlier documents until one still holds its words; where a component joins different contents, one of them stays in the place of the others.
+A window across two shared lines names no keeper.
+
+Contents that meet only contents of the very same documents are compared as well, if a chain of such meetings inside their document
+reaches a content that meets other documents; otherwise they have no part in any link between documents.
 
 A band with more than ``LIMIT`` different paragraphs is split by bands of more rows, and those groups are compared whole, in
 blocks of one lag, inside one task whose memory holds just that group's shingles.
@@ -22,6 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -37,6 +45,8 @@ SHINGLES = SIZE - SHINGLE + 1
 #: Bands of so many rows: 98 of 100 pairs at similarity 0.8 share one, 99.99 of 100 at 0.93 (one word at an end differs).
 BANDS, ROWS = 4, 2
 MORE_BANDS, MORE_ROWS, LIMIT = 12, 4, 256
+#: A passage with more than this part of all places is looked up by broadcast.
+HOT = 1000
 _SEEDS = mix(np.arange(1, BANDS * ROWS + MORE_BANDS * MORE_ROWS + 1, dtype=np.uint64)) | np.uint64(1)
 _TOP = np.uint64(0xFFFFFFFFFFFFFFFF)
 
@@ -99,12 +109,12 @@ class Paragraphs:
         order = np.argsort(first)
         kept = first[order]
         self.words, self.at, self.size, self.content = w, at[kept], size[kept], content[kept]
-        self.every, self.which = at, np.argsort(order)[same]  # all places, repeats too, and the distinct paragraph of each
+        self.every, self.which, self.whole = at, np.argsort(order)[same], whole[kept]  # all places, repeats too, and the distinct paragraph of each
         if not len(at):
             self.keys = [np.zeros(0, np.uint64)] * BANDS
             return
         self.shingle = chain([w.hash[k:len(w.hash) - SHINGLE + 1 + k] for k in range(SHINGLE)])
-        whole = whole[kept]
+        whole = self.whole
         edges = np.stack([self.at[whole], self.at[whole] + self.size[whole] - SHINGLE + 1], 1).ravel()
         rows = []
         for seed in _SEEDS[:BANDS * ROWS]:
@@ -167,8 +177,7 @@ def _send(ranges: int):
 
 def _answer(group: pa.Table) -> pa.Table:
     """For each batch's entries of a hash range: 1 if the content stands in several documents, 2 if its band holds a content of
-    other documents. Contents of the very same documents (paragraphs that overlap, in a text and its copies) need no comparison:
-    whoever loses one loses the other."""
+    other documents, 4 if its band holds several contents, all of the very same documents."""
     parts = [(np.cumsum(grow(k, np.uint64), dtype=np.uint64), grow(c, np.uint64), grow(n, np.uint32))
              for k, c, n in zip(*(group.column(x).to_pylist() for x in ("keys", "contents", "counts")))]
     sizes = [len(p[0]) for p in parts]
@@ -184,13 +193,42 @@ def _answer(group: pa.Table) -> pa.Table:
     begins = np.flatnonzero(new_key[new])
     differ = np.minimum.reduceat(who, begins) != np.maximum.reduceat(who, begins)
     flags = np.empty(len(key), np.uint8)
-    flags[order] = (documents[entry] > 1) + 2 * differ[band]
+    many = np.diff(np.append(begins, len(new))) > 1
+    flags[order] = (documents[entry] > 1) + 2 * differ[band] + 4 * (many & ~differ)[band]
     back = [shrink(f) if f.any() else None for f in np.split(flags, np.cumsum(sizes)[:-1])]
     return pa.table([group.column("batch").combine_chunks(), group.column("range").combine_chunks(), pa.array(back, pa.binary()), pa.array(sizes, pa.int64())],
                     names=["batch", "range", "flags", "size"])
 
 
-_FOUND = f"content long, row_key long, {ID} long, start long, stop long, bands array<long>, shingles binary"
+_FOUND = f"content long, row_key long, {ID} long, start long, stop long, kind byte, line long, bands array<long>, shingles binary"
+#: Kinds of paragraphs found: a window, a line, a window that touches several flagged lines.
+_WINDOW, _LINE, _ACROSS = 0, 1, 2
+
+
+def _reached(flags: np.ndarray, keys: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """Which paragraphs meet other documents in a band, themselves or over paragraphs of their own document."""
+    active = ((flags & 2) > 0).any(1)
+    which, band = np.nonzero(flags & 4)
+    if not active.any() or not len(which):
+        return active
+    _, meeting = np.unique(chain([keys[which, band], doc[which].astype(np.uint64)]), return_inverse=True)
+    while True:
+        live = np.zeros(meeting.max() + 1, bool)
+        live[meeting[active[which]]] = True
+        new = which[live[meeting] & ~active[which]]
+        if not len(new):
+            return active
+        active[new] = True
+
+
+def _touched(at: np.ndarray, size: np.ndarray, whole: np.ndarray, content: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The kind of every place, and for windows the content of the flagged line they touch (``True`` in the mask: none, or several)."""
+    order = np.flatnonzero(whole)[np.argsort(at[whole])]
+    begin, end = at[order], at[order] + size[order]
+    first, last = np.searchsorted(end, at, "right"), np.searchsorted(begin, at + size, "left")
+    touches = np.where(whole, 0, last - first)
+    line = np.append(content[order], np.uint64(0))[np.minimum(first, len(order))]
+    return np.where(whole, _LINE, np.where(touches > 1, _ACROSS, _WINDOW)).astype(np.int8), np.ma.MaskedArray(line, touches != 1)
 
 
 def _report(group: pa.Table) -> pa.Table:
@@ -207,13 +245,14 @@ def _report(group: pa.Table) -> pa.Table:
     for first, docs, p in _blocks(packed):
         if not len(p.at):
             continue
+        w = p.words
         mine = np.stack([flags[np.searchsorted(pair, chain([k, p.content]))] for k in p.keys], 1)
-        which = np.flatnonzero(mine.any(1))
+        reached = _reached(mine, np.stack(p.keys, 1), w.doc[p.at])
+        which = np.flatnonzero((mine & 3).any(1) | reached)
         if not len(which):
             continue
-        w = p.words
         points = np.concatenate(([0], np.cumsum((w.data & 0xC0) != 0x80)))
-        collide = (mine[which] & 2) > 0
+        collide = ((mine[which] & 2) > 0) | ((mine[which] & 4) > 0) & reached[which][:, None]
         fresh = collide.any(1) & ~np.isin(p.content[which], seen)
         fresh[fresh] = np.isin(np.flatnonzero(fresh), np.flatnonzero(fresh)[np.unique(p.content[which][fresh], return_index=True)[1]])
         seen = np.concatenate([seen, p.content[which][fresh]])
@@ -228,13 +267,14 @@ def _report(group: pa.Table) -> pa.Table:
         carries = fresh[of] & (at == p.at[which[of]])
         bands, payload = [bands[k] if f else None for k, f in zip(of, carries)], [next(payload) if f else None for f in carries]
         begin, doc = points[w.offsets[w.doc[at]]], pa.array(first + w.doc[at])
+        kind, line = _touched(at, p.size[which[of]], p.whole[which[of]], p.content[which[of]])
         out.append(pa.table([pa.array(p.content[which[of]].view(np.int64)), docs.column(2).take(doc).combine_chunks(), docs.column(1).take(doc).combine_chunks(),
                              pa.array(points[w.start[at]] - begin), pa.array(points[w.end[at + p.size[which[of]] - 1]] - begin),
-                             pa.array(bands, pa.list_(pa.int64())), pa.array(payload, pa.binary())],
+                             pa.array(kind), pa.array(line.data.view(np.int64), mask=line.mask), pa.array(bands, pa.list_(pa.int64())), pa.array(payload, pa.binary())],
                             names=[c.split()[0] for c in _FOUND.split(", ")]))
     if out:
         return pa.concat_tables(out)
-    kinds = [pa.int64()] * 5 + [pa.list_(pa.int64()), pa.binary()]
+    kinds = [pa.int64()] * 5 + [pa.int8(), pa.int64(), pa.list_(pa.int64()), pa.binary()]
     return pa.table([pa.array([], t) for t in kinds], names=[c.split()[0] for c in _FOUND.split(", ")])
 
 
@@ -331,8 +371,14 @@ def _compare(limit: int):
             yield pa.record_batch([pa.array(content[moved]), pa.array(content[root[moved]])], schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None
+        held, over = None, None  # ``over``: a band known to be too large, of which nothing is held
         for b in batches:
+            if over is not None:
+                rest = pa.array(np.asarray(b.column(0), np.int64) != over)
+                gone = b.column(1).filter(pc.invert(rest))
+                if len(gone):
+                    yield pa.record_batch([gone, pa.nulls(len(gone), pa.int64())], schema=schema)
+                b = b.filter(rest)
             if not b.num_rows:
                 continue
             now = [np.asarray(b.column(0), np.int64), np.asarray(b.column(1), np.int64), np.array([*b.column(2).to_pylist(), None], object)[:-1]]
@@ -341,6 +387,11 @@ def _compare(limit: int):
             if cut:
                 yield from compared(now[0][:cut], now[1][:cut], _Shingles.of(now[2][:cut].tolist()))
             held = [x[cut:] for x in now]
+            over = None
+            if len(held[0]) > limit:
+                over = held[0][0]
+                yield pa.record_batch([pa.array(held[1]), pa.nulls(len(held[1]), pa.int64())], schema=schema)
+                held = None
         if held is not None and len(held[0]):
             yield from compared(held[0], held[1], _Shingles.of(held[2].tolist()))
 
@@ -384,12 +435,30 @@ def repeats(docs: DataFrame) -> DataFrame:
     found = written(met.applyInArrow(_report, _FOUND), "passages-found")
     compare = found.filter("shingles is not null").groupBy("content").agg(F.first("shingles").alias("shingles"), F.array_distinct(F.flatten(F.collect_set("bands"))).alias("bands"))
     roots = components(links(written(compare, "passages-compare"))).withColumnRenamed("node", "content")
-    members = found.select("content", "row_key", ID, "start", "stop").join(roots, "content", "left").withColumn("passage", F.coalesce("root", "content"))
-    members = written(members.drop("root", "content"), "passages-members")
-    several = (members.groupBy("passage").agg(F.min(F.struct(F.col(ID).alias("keeper"), F.col("row_key").alias("keeper_key"))).alias("k"),
-                                              F.min("row_key").alias("low"), F.max("row_key").alias("high"))
-               .filter("low <> high").select("passage", "k.*"))
-    return members.join(several, "passage").filter("row_key <> keeper_key").select("row_key", ID, "start", "stop", "keeper")
+    members = found.select("content", "row_key", ID, "start", "stop", "kind", "line").join(roots, "content", "left").withColumn("passage", F.coalesce("root", "content"))
+    members = written(members.withColumn("content", F.expr(f"if(kind = {_LINE}, content, null)")).drop("root"), "passages-members")
+    keepers = written(_keepers(members), "passages-keepers")
+    # passages that are more than a thousandth of all places are a thousand at most, so that none is gathered in one task
+    total = keepers.agg(F.sum("places")).first()[0] or 0
+    often = F.broadcast(keepers.filter(F.col("places") * HOT > total))
+    seldom = members.join(often, "passage", "left_anti").join(keepers.filter(F.col("places") * HOT <= total), "passage")
+    return (members.join(often, "passage").unionByName(seldom)
+            .filter(F.struct(F.col(ID).alias("keeper"), F.col("row_key").alias("keeper_key")) > F.struct("keeper", "keeper_key")).select("row_key", ID, "start", "stop", "keeper"))
+
+
+def _keepers(members: DataFrame) -> DataFrame:
+    """``passage``, ``keeper``, ``keeper_key`` and ``places`` of every passage of several documents that somebody keeps."""
+    who = F.struct(F.col(ID).alias("keeper"), F.col("row_key").alias("keeper_key"))
+    ends = [F.min("row_key").alias("low"), F.max("row_key").alias("high"), F.count(F.lit(1)).alias("places")]
+    first = members.groupBy("passage", "line").agg(F.min(F.when(F.col("kind") != _ACROSS, who)).alias("k"), *ends)
+    lines = members.filter(F.col("kind") == _LINE)
+    lost = (lines.groupBy("passage").agg(F.min(who).alias("k"), *ends).filter("low <> high")
+            .join(lines.select("passage", F.col("content").alias("line")).distinct(), "passage").select("line", F.col("k.keeper_key").alias("stays")))
+    # all documents with a line have the windows in it: the one that keeps the line is the first of them, or has another line of the passage
+    inside = first.filter("line is not null").join(lost, "line", "left").withColumn("k", F.expr("if(stays is null or stays = k.keeper_key, k, null)"))
+    every = first.filter("line is null").unionByName(inside.drop("stays"))
+    return (every.groupBy("passage").agg(F.min("k").alias("k"), F.min("low").alias("low"), F.max("high").alias("high"), F.sum("places").alias("places"))
+            .filter("low <> high and k is not null").select("passage", "k.*", "places"))
 
 
 def _merged(spans: list[dict]) -> list[tuple[int, int]]:

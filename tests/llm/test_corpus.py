@@ -221,6 +221,98 @@ def test_passages_edited_and_short_lines(spark):
         assert found == 40 if not edits else found >= 37, (n, edits, found)
 
 
+def similar(a, b):
+    x, y = ({tuple(w[k:k + passages.SHINGLE]) for k in range(len(w) - passages.SHINGLE + 1)} for w in (a, b))
+    return len(x & y) / len(x | y) >= passages.SIMILAR
+
+
+def changed(a, places):
+    return [f"new{w}" if k in places else w for k, w in enumerate(a)]
+
+
+def test_passages_linked_over_a_third_text(spark):
+    """Lines of several documents and chains inside one document, against components of all pairs."""
+    rng = np.random.default_rng(13)
+    some = lambda n: [str(x) for x in rng.integers(0, 10**6, n)]
+    rows, held = [], {}
+    for case in range(60):
+        c = some(98)
+        b = changed(c, {25, 75})
+        a = changed(b, {10, 50})
+        assert similar(a, b) and similar(b, c) and not similar(a, c)
+        for side, text in enumerate(([c], [b, a])):
+            held[2 * case + side] = text
+            rows.append((2 * case + side, "\n".join(map(" ".join, [some(30), *text, some(30)]))))
+    lines = [(d, k) for d, v in held.items() for k in range(len(v))]
+    root = {x: x for x in lines}
+    for x in lines:  # lines are in order of documents, so the smallest is the root
+        for y in lines:
+            if x < y and similar(held[x[0]][x[1]], held[y[0]][y[1]]):
+                low, high = sorted((root[x], root[y]))
+                root = {k: low if v == high else v for k, v in root.items()}
+    want = {x for x in lines if root[x][0] != x[0]}
+    assert len(want) == 120
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    left = {r["doc_id"]: r["text"] for r in passages.remove(docs).collect()}
+    gone = {x for x in lines if " ".join(held[x[0]][x[1]]) not in left[x[0]]}
+    assert gone <= want and len(gone) >= 0.95 * len(want), len(gone)
+
+
+def test_passages_stay_in_some_document(spark):
+    """What is lost for an equal content stays with a document before, word by word; else the keeper has another content of the component."""
+    rng = np.random.default_rng(14)
+    some = lambda n: [f"w{x}" for x in rng.integers(0, 10**9, n)]
+    rows, edited = [], {}
+    for case in range(20):
+        c = some(200)
+        b = changed(c, {40, 80, 120, 160})
+        inside = [*some(20), *b[30:140], *some(20)]
+        after = [*some(40), *b[60:180], *some(9)]
+        for side, text in enumerate(([c], [b], [inside], [after], [b[:100], b[100:]])):
+            rows.append((10 * case + side, "\n".join(map(" ".join, [some(30), *text, some(30)]))))
+        edited[case] = {b[k] for k in (40, 80, 120)}
+    docs, texts = spark.createDataFrame(rows, "doc_id long, text string"), dict(rows)
+    lost = passages.repeats(docs).collect()
+    left = {r["doc_id"]: set(r["text"].split()) for r in passages.remove(docs).collect()}
+    kept, near, around = set().union(*left.values()), set(), 0
+    for r in lost:
+        assert r["keeper"] < r["doc_id"]
+        part = texts[r["doc_id"]][r["start"]:r["stop"]].split()
+        if " ".join(part) not in texts[r["keeper"]]:  # lost for another content of its component
+            near |= set(part)
+        assert r["keeper"] % 10 != 1  # the second text loses its line, so it keeps nothing
+    for doc, text in texts.items():
+        words_of = set(text.split())
+        if doc % 10 == 1:
+            assert not words_of & edited[doc // 10] & left[doc]
+        else:
+            assert words_of - kept <= near
+            around += sum(not w.startswith("new") for w in words_of - kept)
+    stay = sum(len(v & kept) for v in edited.values())
+    assert stay >= 40 and around <= 40, (stay, around)  # of 60 changed words; the others are lost with windows that have a similar one in the first text
+
+
+def test_hot_bands_and_hot_passages(spark, monkeypatch):
+    rng = np.random.default_rng(15)
+    some = lambda n: " ".join(str(x) for x in rng.integers(0, 10**6, n))
+    passage = some(60)
+    rows = [(k, f"{some(30)}\n{passage}\n{some(30)}") for k in range(300)]
+    rows += [(k, "\n".join([some(30), *[" ".join(changed(passage.split(), {59}))] * 2])) for k in range(300, 320)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
+    take = lambda: sorted((r["doc_id"], r["spans"], r["keepers"]) for r in passages.find(docs).collect())
+    usual = take()
+    assert [r[0] for r in usual] == list(range(1, 320))
+    monkeypatch.setattr(passages, "HOT", 1)
+    assert take() == usual
+
+
+def test_reached_paragraphs():
+    keys = np.array([[1, 9], [1, 5], [6, 5], [7, 8], [1, 8]], np.uint64)
+    flags = np.array([[4, 2], [4, 4], [0, 4], [0, 4], [4, 4]], np.uint8)
+    assert passages._reached(flags, keys, np.zeros(5, int)).tolist() == [True] * 5
+    assert passages._reached(flags, keys, np.array([0, 0, 0, 1, 1])).tolist() == [True, True, True, False, False]
+
+
 def test_anchors_depend_on_the_words_around(spark):
     from revmatch.llm.text import Words
 
