@@ -125,8 +125,10 @@ class Paragraphs:
             rows.append(row)
         self.keys = [chain([*rows[b * ROWS:(b + 1) * ROWS], (b + BANDS * whole).astype(np.uint64)]) for b in range(BANDS)]
 
-    def shingles(self, which: np.ndarray) -> list[bytes]:
-        return [self.shingle[a:a + n - SHINGLE + 1].tobytes() for a, n in zip(self.at[which], self.size[which])]
+    def short(self, which: np.ndarray) -> list[bytes]:
+        """Four bytes of the hash of every word: what travels of a paragraph, half as long as its shingles."""
+        word = (self.words.hash >> np.uint64(32)).astype(np.uint32)
+        return [word[a:a + n].tobytes() for a, n in zip(self.at[which], self.size[which])]
 
 
 def _blocks(packed: bytes) -> Iterator[tuple[int, pa.Table, Paragraphs]]:
@@ -200,7 +202,7 @@ def _answer(group: pa.Table) -> pa.Table:
                     names=["batch", "range", "flags", "size"])
 
 
-_FOUND = f"content long, row_key long, {ID} long, start long, stop long, kind byte, line long, bands array<long>, shingles binary"
+_FOUND = f"content long, row_key long, {ID} long, start long, stop long, kind byte, line long, bands array<long>, short binary"
 #: Kinds of paragraphs found: a window, a line, a window that touches several flagged lines.
 _WINDOW, _LINE, _ACROSS = 0, 1, 2
 
@@ -257,7 +259,7 @@ def _report(group: pa.Table) -> pa.Table:
         fresh[fresh] = np.isin(np.flatnonzero(fresh), np.flatnonzero(fresh)[np.unique(p.content[which][fresh], return_index=True)[1]])
         seen = np.concatenate([seen, p.content[which][fresh]])
         keys = np.stack([k[which] for k in p.keys], 1).view(np.int64)
-        payload = iter(p.shingles(which[fresh]))
+        payload = iter(p.short(which[fresh]))
         bands = [keys[i][collide[i]].tolist() if f else None for i, f in enumerate(fresh)]
         # a paragraph is compared once but lost wherever its document repeats it
         place = np.full(len(p.at), -1)
@@ -301,6 +303,19 @@ class _Shingles:
     def of(raw: list[bytes]) -> _Shingles:
         return _Shingles(np.frombuffer(b"".join(raw), np.uint64), np.array([len(x) // 8 for x in raw], np.int64))
 
+    @staticmethod
+    def of_words(raw: list[bytes]) -> _Shingles:
+        """Of paragraphs given by the short hashes of their words; two shingles are told apart by 4 bytes a word."""
+        word, size = np.frombuffer(b"".join(raw), np.uint32).astype(np.uint64), np.array([len(x) // 4 for x in raw], np.int64)
+        if not len(word):
+            return _Shingles(word, size)
+        starts = np.ones(len(word), bool)
+        last = np.cumsum(size)
+        for k in range(1, SHINGLE):
+            starts[last - k] = False
+        n = len(word) - SHINGLE + 1
+        return _Shingles(chain([word[k:k + n] for k in range(SHINGLE)])[starts[:n]], size - SHINGLE + 1)
+
     def take(self, which: np.ndarray) -> _Shingles:
         size = self.size[which]
         at = np.repeat(self.first[which] - np.concatenate(([0], np.cumsum(size)[:-1])), size) + np.arange(size.sum())
@@ -344,7 +359,7 @@ class _Shingles:
 
 
 def _compare(limit: int):
-    """Over rows (band, content, shingles) sorted by band: links of similar contents; ``(a, null)`` for members of bands too large."""
+    """Over rows (band, content, short) sorted by band: links of similar contents; ``(a, null)`` for members of bands too large."""
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def compared(band: np.ndarray, content: np.ndarray, sh: _Shingles) -> Iterator[pa.RecordBatch]:
@@ -385,7 +400,7 @@ def _compare(limit: int):
             now = now if held is None else [np.concatenate(x) for x in zip(held, now)]
             cut = int(np.searchsorted(now[0], now[0][-1], "left")) if (np.diff(now[0]) >= 0).all() else int(np.flatnonzero(now[0] != now[0][-1])[-1]) + 1
             if cut:
-                yield from compared(now[0][:cut], now[1][:cut], _Shingles.of(now[2][:cut].tolist()))
+                yield from compared(now[0][:cut], now[1][:cut], _Shingles.of_words(now[2][:cut].tolist()))
             held = [x[cut:] for x in now]
             over = None
             if len(held[0]) > limit:
@@ -393,32 +408,32 @@ def _compare(limit: int):
                 yield pa.record_batch([pa.array(held[1]), pa.nulls(len(held[1]), pa.int64())], schema=schema)
                 held = None
         if held is not None and len(held[0]):
-            yield from compared(held[0], held[1], _Shingles.of(held[2].tolist()))
+            yield from compared(held[0], held[1], _Shingles.of_words(held[2].tolist()))
 
     return run
 
 
 def _finer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(content, shingles, bands of more rows)"""
+    """(content, short, bands of more rows)"""
     for b in batches:
         if b.num_rows:
-            sh = _Shingles.of(b.column(1).to_pylist())
+            sh = _Shingles.of_words(b.column(1).to_pylist())
             rows = [sh.minima(s) for s in _SEEDS[BANDS * ROWS:]]
             keys = [chain([*rows[k * MORE_ROWS:(k + 1) * MORE_ROWS], np.full(b.num_rows, k, np.uint64)]) for k in range(MORE_BANDS)]
-            yield pa.record_batch([b.column(0), b.column(1), pa.array(np.stack(keys, 1).view(np.int64).tolist(), pa.list_(pa.int64()))], names=["content", "shingles", "bands"])
+            yield pa.record_batch([b.column(0), b.column(1), pa.array(np.stack(keys, 1).view(np.int64).tolist(), pa.list_(pa.int64()))], names=["content", "short", "bands"])
 
 
 def links(contents: DataFrame, limit: int = LIMIT) -> DataFrame:
-    """Links ``(a, b)`` of similar contents. ``contents``: content, shingles, bands."""
+    """Links ``(a, b)`` of similar contents. ``contents``: content, short, bands."""
     def level(rows: DataFrame, most: int, name: str) -> DataFrame:
-        spread = rows.select(F.explode("bands").alias("band"), "content", "shingles").repartition("band").sortWithinPartitions("band")
+        spread = rows.select(F.explode("bands").alias("band"), "content", "short").repartition("band").sortWithinPartitions("band")
         return written(spread.mapInArrow(_compare(most), "a long, b long"), name)
 
     first = level(contents, limit, "passages-links")
     sure, over = first.filter("b is not null"), first.filter("b is null").select(F.col("a").alias("content")).distinct()
     if over.isEmpty():
         return sure
-    again = contents.join(over, "content", "left_semi").select("content", "shingles").mapInArrow(_finer, "content long, shingles binary, bands array<long>")
+    again = contents.join(over, "content", "left_semi").select("content", "short").mapInArrow(_finer, "content long, short binary, bands array<long>")
     return sure.unionByName(level(again, 1 << 62, "passages-more-links"))
 
 
@@ -433,7 +448,7 @@ def repeats(docs: DataFrame) -> DataFrame:
     met = (batches.select("batch", null("long", "range"), null("binary", "flags"), null("long", "size"), "docs")
            .unionByName(back.withColumn("docs", F.lit(None).cast("binary"))).groupBy("batch"))
     found = written(met.applyInArrow(_report, _FOUND), "passages-found")
-    compare = found.filter("shingles is not null").groupBy("content").agg(F.first("shingles").alias("shingles"), F.array_distinct(F.flatten(F.collect_set("bands"))).alias("bands"))
+    compare = found.filter("short is not null").groupBy("content").agg(F.first("short").alias("short"), F.array_distinct(F.flatten(F.collect_set("bands"))).alias("bands"))
     roots = components(links(written(compare, "passages-compare"))).withColumnRenamed("node", "content")
     members = found.select("content", "row_key", ID, "start", "stop", "kind", "line").join(roots, "content", "left").withColumn("passage", F.coalesce("root", "content"))
     members = written(members.withColumn("content", F.expr(f"if(kind = {_LINE}, content, null)")).drop("root"), "passages-members")

@@ -337,6 +337,18 @@ def test_jaccard():
     assert np.allclose(passages.jaccard(a, b), want)
 
 
+def test_shingles_of_short_hashes():
+    rng = np.random.default_rng(16)
+    words_of = [rng.integers(0, 9, n).astype(np.uint32) for n in (30, 25, 61, 30)]
+    got = passages._Shingles.of_words([w.tobytes() for w in words_of])
+    assert got.size.tolist() == [26, 21, 57, 26]
+    seen = {}
+    for k, w in enumerate(words_of):
+        for i, value in enumerate(got.values[got.first[k]:got.first[k + 1]].tolist()):
+            assert seen.setdefault(value, tuple(w[i:i + 5])) == tuple(w[i:i + 5])
+    assert len(set(seen.values())) == len(seen) and len(passages._Shingles.of_words([])) == 0
+
+
 def test_overlap_of_any_length():
     rng = np.random.default_rng(4)
     raw = [rng.integers(0, 40, int(n)).astype(np.uint64) for n in rng.integers(1, 90, 60)]
