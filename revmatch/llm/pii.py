@@ -1,7 +1,7 @@
 """Personal data by a semi-Markov conditional random field.
 
 Plain patterns find the base spans of four kinds. Around digits and at-signs a semi-Markov CRF then looks at whole candidate
-spans of at most ``MAX_TOKENS`` tokens: features of the span as one piece (digits, groups, separators, checksum, shape,
+spans of at most ``MAX_CHARS`` characters (numbers: ``MAX_TOKENS`` tokens): features of the span as one piece (digits, groups, separators, checksum, shape,
 neighbours, a cue word before) score each kind, and dynamic programming over the candidates of a window chooses
 boundaries and kinds jointly. Its spans that overlap no base span are added: numbers broken over a line, phones without
 a plus, addresses written with (at) and (dot).
@@ -149,7 +149,7 @@ def candidates(text: str) -> list[tuple[int, int, int, tuple[str, ...]]]:
         if head.isalnum():
             signs = dots = 0
             spelt = False
-            for j in range(i, min(i + MAX_TOKENS, len(tokens))):
+            for j in range(i, len(tokens)):  # an address ends by its characters: spelt-out signs are many tokens
                 _, end, token = tokens[j]
                 if end - start > MAX_CHARS:
                     break

@@ -150,6 +150,28 @@ def test_pii_finds_altered_forms(spark, sf_dir):
     assert found('token = "0b96a8c8d79c4a5085c919698889f59b72ab7bb6"') == ""
 
 
+def test_pii_recall_of_altered_forms(spark, sf_dir):
+    """Every altered form of base spans in windows that training has not seen, and what is added where nothing is."""
+    docs = table(spark, sf_dir.replace("0.001", "0.1"), "documents")
+    known = set(pii.chosen_windows(docs))
+    model = pii.train(docs)
+    unseen = list(dict.fromkeys(w for r in docs.select("text").filter("text rlike '[0-9@]'").collect()
+                                for a, b in pii.windows(r["text"] or "") if b - a <= 600 and (w := r["text"][a:b]) not in known))
+    right, every, wrong, plain = Counter(), Counter(), 0, 0
+    for window in unseen[:3000]:
+        base = pii.base_spans(window)
+        if not base:
+            plain, wrong = plain + 1, wrong + len(pii.spans(window, model)[1])
+            continue
+        for form, (text, gold) in enumerate(pii.altered(window, base)):
+            found = {x for part in pii.spans(text, model) for x in part}
+            for span in gold:
+                every[form, span[0]] += 1
+                right[form, span[0]] += span in found
+    assert {k for _, k in every} == set(range(4)) and all(right[k] >= 0.9 * every[k] for k in every), {k: (right[k], every[k]) for k in every}
+    assert wrong <= 0.02 * plain, (wrong, plain)
+
+
 def test_pii_gradient_is_that_of_the_likelihood():
     text, gold = "call +1 (377) 555-0271 or a@b.org", {(3, 5, 22), (0, 26, 33)}
     found = pii.candidates(text)
