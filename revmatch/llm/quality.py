@@ -3,7 +3,8 @@
 Rules look at each whole text and vote good, bad, or abstain. Votes of all documents are counted by pattern (at most
 3^rules patterns, whatever the size of the corpus); expectation-maximisation over those counts estimates how often each
 rule is right for good and for bad documents, and the posterior probability of good decides. Two plain limits
-(``base_failed``) stay hard.
+(``base_failed``) stay hard, and what fails them is not learnt from: those short or repetitive texts are rejected already, and would
+pass for the bad class by their number alone.
 
 Cases: null and empty texts have zero counts and fail the base; equal rows get equal results; an empty table gives an
 empty result; other columns are ignored.
@@ -25,7 +26,7 @@ SYMBOLS = "#*$%&|<>"
 _SYMBOL, _UPPER, _END = lut(SYMBOLS), lut("ABCDEFGHIJKLMNOPQRSTUVWXYZ"), lut(".!?")
 _SHOUT, _DIGIT = lut("!"), lut("0123456789")
 
-#: name: (numerator, denominator, bad at or above); below that the rule abstains, for little of a fault proves nothing.
+#: name: (numerator, denominator, bad at or above); good at ``FAR`` of that or less, and between the two the rule abstains.
 HIGH_IS_BAD = {
     "symbols": ("n_symbols", "word_chars", 0.05),
     "capitals": ("n_upper", "word_chars", 0.30),
@@ -41,8 +42,9 @@ IN_RANGE = {
     "sentence_length": ("n_words", "n_ends", 1.5, 3.0, 60.0, 250.0),
     "length": ("n_words", None, 50.0, 80.0, 1e12, 1e15),
 }
-#: The most that a rule may accuse good documents.
-FALSE_ALARM = 0.002
+FAR = 0.5
+#: How often a rule is expected to accuse good documents before any is seen.
+FALSE_ALARM = 0.005
 RULES = (*HIGH_IS_BAD, *IN_RANGE)
 _COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 _MORE = ("n_lines", "n_upper", "n_shout", "n_digits", "n_ends", "n_same_words")
@@ -105,7 +107,8 @@ def votes() -> list:
     share = lambda top, below: F.col(top) / F.greatest(F.col(below), F.lit(1)) if below else F.col(top).cast("double")
     out = []
     for name, (top, below, bad) in HIGH_IS_BAD.items():
-        out.append(F.when(share(top, below) >= bad, 0).alias(name))
+        x = share(top, below)
+        out.append(F.when(x >= bad, 0).when(x <= FAR * bad, 1).alias(name))
     for name, (top, below, low, good, to, high) in IN_RANGE.items():
         x = share(top, below)
         out.append(F.when((x < low) | (x > high), 0).when((x >= good) & (x <= to), 1).alias(name))
@@ -117,14 +120,15 @@ def fit(patterns: np.ndarray, counts: np.ndarray, rounds: int = 300) -> tuple[np
     the accuracies ``(rule, class)``: how often a rule that votes is right when the document is bad (0) or good (1).
 
     A rule has three outcomes (bad, good, abstain) with a probability of each per class, so a rule that seldom speaks
-    but is right when it does weighs more than many that wave everything through. What is known of the rules beforehand
-    is that they are built to accuse good documents rarely: at most ``FALSE_ALARM``, a bound that also keeps the classes
-    from changing places. The start and the pseudo-counts assume rules of that kind.
+    but is right when it does weighs more than many that wave everything through. The start and a few pseudo-counts assume
+    rules that accuse good documents rarely, which keeps the classes from changing places; all rates are learnt, without bounds,
+    so a bad vote that good documents get as often as bad ones loses its weight.
     """
     outcome = np.stack([patterns == 0, patterns == 1, np.isnan(patterns)], 2).astype(float)  # pattern, rule, outcome
     speaks = (patterns == 1).any(0)  # rules that vote good as well
-    prior = np.where(speaks[:, None, None], [[[0.25, 0.50, 0.25], [FALSE_ALARM, 0.8, 0.2]]],
-                     [[[0.25, 1e-9, 0.75], [FALSE_ALARM, 1e-9, 1]]])  # rule, class (bad, good), outcome
+    right = 1 / max(2, len(speaks))  # a bad document is expected to fail about one rule
+    prior = np.where(speaks[:, None, None], [[[right, 0.8 - right, 0.2], [FALSE_ALARM, 0.8, 0.2]]],
+                     [[[right, 1e-9, 1 - right], [FALSE_ALARM, 1e-9, 1]]])  # rule, class (bad, good), outcome
     prior = prior / prior.sum(2, keepdims=True)
     theta = prior.copy()
     share, total = 0.85, float(counts.sum())
@@ -139,8 +143,6 @@ def fit(patterns: np.ndarray, counts: np.ndarray, rounds: int = 300) -> tuple[np
         for c, p in ((0, 1 - post), (1, post)):
             hits = np.einsum("p,pro->ro", p * counts, outcome) + strength * prior[:, c]
             theta[:, c] = hits / hits.sum(1, keepdims=True)
-        theta[:, 1, 0] = np.minimum(theta[:, 1, 0], FALSE_ALARM)
-        theta[:, 1] /= theta[:, 1].sum(1, keepdims=True)
         if moved < 1e-9:
             break
     spoken = theta[:, :, :2]
@@ -151,12 +153,12 @@ def judge(docs: DataFrame, keep_from: float = 0.5) -> DataFrame:
     """``doc_id``, the counts, every rule's vote, ``posterior`` of good, ``base_failed`` and ``kept``."""
     spark = docs.sparkSession
     counted = written(texts(docs).mapInArrow(_measure, _SCHEMA).select("*", *votes()), "quality")
-    seen = counted.groupBy(*RULES).count().collect()  # at most 3^len(RULES) rows
+    failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
+    seen = counted.groupBy(*RULES).agg(F.sum(F.when(failed, 0).otherwise(1)).alias("count")).collect()  # at most 3^len(RULES) rows
     patterns = np.array([[np.nan if r[x] is None else r[x] for x in RULES] for r in seen], float).reshape(len(seen), len(RULES))
     post, _, _ = fit(patterns, np.array([r["count"] for r in seen], float))
     code = lambda values: "".join("-" if v is None else str(v) for v in values)
     known = spark.createDataFrame([(code(r[x] for x in RULES), float(p)) for r, p in zip(seen, post)], "pattern string, posterior double")
-    failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     return (counted.withColumn("pattern", F.concat(*(F.coalesce(F.col(x).cast("string"), F.lit("-")) for x in RULES)))
             .join(F.broadcast(known), "pattern")  # bounded as above
             .withColumn("base_failed", failed)

@@ -54,6 +54,33 @@ def test_quality_agrees_with_labels(spark, sf_dir):
     assert sum(good) >= 0.97 * len(good) and sum(bad) <= 0.05 * len(bad)
 
 
+def test_quality_is_more_than_all_must_pass(spark, sf_dir):
+    docs = table(spark, sf_dir.replace("0.001", "0.1"), "documents")
+    labels = {r["doc_id"]: r["quality"] for r in table(spark, sf_dir.replace("0.001", "0.1"), "labels").collect()}
+    got = quality.judge(docs).collect()
+    accused = lambda r: any(r[x] == 0 for x in quality.RULES)
+    assert any(r["kept"] and accused(r) for r in got) and not any(r["base_failed"] and r["kept"] for r in got)
+    known = [(labels[r["doc_id"]] == 1, r["kept"], not r["base_failed"] and not accused(r)) for r in got if labels.get(r["doc_id"]) is not None]
+    assert sum(a == b for a, b, _ in known) > sum(a == c for a, _, c in known)
+    assert all(r["kept"] for r in got if not r["base_failed"] and not accused(r))
+
+
+def test_quality_em_weighs_rules_by_what_the_others_say():
+    """A rule that accuses good documents as often as bad ones does not decide; two that agree do."""
+    rng = np.random.default_rng(5)
+    good = rng.random(30000) < 0.9
+    votes = np.full((30000, 4), np.nan)
+    for k in range(3):
+        votes[rng.random(30000) < np.where(good, 0.002, 0.7), k] = 0
+        votes[np.isnan(votes[:, k]) & (rng.random(30000) < 0.8), k] = 1
+    votes[:, 3] = np.where(rng.random(30000) < 0.02, 0, 1)
+    patterns, of, n = np.unique(np.nan_to_num(votes, nan=-1), axis=0, return_inverse=True, return_counts=True)
+    post, _, _ = quality.fit(np.where(patterns < 0, np.nan, patterns), n.astype(float))
+    post = post[of.ravel()]
+    assert (post[(votes == [1, 1, 1, 0]).all(1)] > 0.5).all() and (post[(votes[:, :2] == 0).all(1)] < 0.5).all()
+    assert ((post > 0.5) == good).mean() > 0.97
+
+
 def test_quality_em_finds_planted_accuracies():
     rng = np.random.default_rng(3)
     good = rng.random(20000) < 0.8
