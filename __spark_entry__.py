@@ -452,20 +452,21 @@ def _best(cosines: str) -> str:
         partition by round_id, reviewer_id, paper order by sim desc, paper_key) as place from {cosines}) where place <= 3"""
 
 
-def _sparse_pairs(spark, sf) -> DataFrame:
+def _best_pairs(spark, sf) -> DataFrame:
     prep, s = _base(spark, sf)
     return similarity.best_pairs(similarity.sparse_tops(s.sub_rows, s.paper_rows, prep.rounds, prep.roster, OPTIONS))
 
 
-@_query(o.sql(f"select round_id, reviewer_id, paper, paper_key, sim from ({_best('cosines')})"))
+@_query(o.sql("select round_id, reviewer_id, paper, paper_key, sim from cosines"))
 def tfidf_cosine(spark, sf):
-    """Cosines of every submission with each reviewer's three nearest papers."""
-    return _sparse_pairs(spark, sf).drop("place")
+    """Cosines of all pairs of a submission and a paper that share a term."""
+    prep, s = _base(spark, sf)
+    return similarity.sparse_pairs(s.sub_rows, s.paper_rows, prep.rounds, prep.roster, OPTIONS)
 
 
 @_query(o.sql(f"select round_id, reviewer_id, paper, paper_key, sim from ({_best('emb_cos')})"))
 def embedding_cosine(spark, sf):
-    """The same for vectors."""
+    """The three nearest papers of each reviewer by vectors."""
     sub_vectors, paper_vectors, subs = b.vectors(spark, sf)
     prep = prepare(subs, paper_vectors)
     own = paper_vectors.join(prep.roster.select(*K), K, "left_semi")
@@ -516,7 +517,7 @@ def shortlist(spark, sf):
 
 @_query(o.sql(_best("cosines")))
 def topk_per_group(spark, sf):
-    return _sparse_pairs(spark, sf)
+    return _best_pairs(spark, sf)
 
 
 @_query(o.sql("""select round_id, reviewer_id, section, place, paper, bid, substr(title, 1, 78) as title from (

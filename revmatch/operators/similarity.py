@@ -108,7 +108,7 @@ def _tops(left: DataFrame, right: DataFrame, sizes: DataFrame, kernel, options:
 
     Each side is shuffled once, by cell. A cell is one bounded product in its task; only the best k leave it.
     """
-    cell, names = [ROUND, *CELL], {"round": ROUND, "reviewer": REVIEWER, "paper": PAPER, "key": PAPER_KEY}
+    names = {"round": ROUND, "reviewer": REVIEWER, "paper": PAPER, "key": PAPER_KEY}
 
     def best(subs: pa.Table, papers: pa.Table) -> pa.Table:
         papers = papers.sort_by([(names["reviewer"], "ascending"), (names["key"], "ascending")]).combine_chunks()
@@ -139,10 +139,43 @@ def _tops(left: DataFrame, right: DataFrame, sizes: DataFrame, kernel, options:
                          names["paper"]: subs[names["paper"]].slice(0, 0), "top": pa.array([], pa.list_(pa.float64())), "keys": pa.array([], pa.list_(keys.type))})
         return pa.concat_tables([none, *parts])
 
-    types = {f.name: f.dataType.simpleString() for f in (*left.schema, *right.schema)}
+    types = _types(left, right)
     schema = ", ".join([*(f"{c} {types[c]}" for c in (ROUND, REVIEWER, PAPER)), "top array<double>", f"keys array<{types[PAPER_KEY]}>"])
+    return _in_cells(left, right, sizes, options).applyInArrow(best, schema)
+
+
+def _types(*tables: DataFrame) -> dict[str, str]:
+    return {f.name: f.dataType.simpleString() for t in tables for f in t.schema}
+
+
+def _in_cells(left: DataFrame, right: DataFrame, sizes: DataFrame, options: RunOptions):
+    """Both placed sides, shuffled once each, put together by cell."""
+    cell = [ROUND, *CELL]
     n = cell_tasks(sizes, F.col("n_subs"), F.col("n_papers"), options.cell_submissions, options.cell_papers)
-    return left.repartition(n, *cell).groupBy(*cell).cogroup(right.repartition(n, *cell).groupBy(*cell)).applyInArrow(best, schema)
+    return left.repartition(n, *cell).groupBy(*cell).cogroup(right.repartition(n, *cell).groupBy(*cell))
+
+
+def _pairs(left: DataFrame, right: DataFrame, sizes: DataFrame, kernel, options: RunOptions) -> DataFrame:
+    """Every pair that meets in a cell, with ``sim``. A cell is one bounded product; pairs leave it as rows and are not shuffled."""
+    names, room = {"round": ROUND, "reviewer": REVIEWER, "paper": PAPER, "key": PAPER_KEY}, 1 << 20
+
+    def every(subs: pa.Table, papers: pa.Table) -> pa.Table:
+        subs, papers = subs.combine_chunks(), papers.combine_chunks()
+        none = pa.table({names["round"]: subs[names["round"]].slice(0, 0), names["reviewer"]: papers[names["reviewer"]].slice(0, 0),
+                         names["paper"]: subs[names["paper"]].slice(0, 0), names["key"]: papers[names["key"]].slice(0, 0), "sim": pa.array([], pa.float64())})
+        parts, step = [none], max(1, room // max(papers.num_rows, 1))
+        for start in range(0, subs.num_rows if papers.num_rows else 0, step):
+            some = subs.slice(start, step).combine_chunks()
+            sims, met = kernel(some, papers)
+            row, col = (pa.array(x) for x in np.nonzero(met))
+            parts.append(pa.table({
+                names["round"]: some[names["round"]].take(row), names["reviewer"]: papers[names["reviewer"]].take(col),
+                names["paper"]: some[names["paper"]].take(row), names["key"]: papers[names["key"]].take(col), "sim": pa.array(sims[met])}))
+        return pa.concat_tables(parts)
+
+    types = _types(left, right)
+    schema = ", ".join([*(f"{c} {types[c]}" for c in (ROUND, REVIEWER, PAPER, PAPER_KEY)), "sim double"])
+    return _in_cells(left, right, sizes, options).applyInArrow(every, schema)
 
 
 def sparse_tops(sub_rows: DataFrame, paper_rows: DataFrame, rounds: DataFrame, roster: DataFrame, options: RunOptions, k: int = TOP_PAPERS) -> DataFrame:
@@ -160,6 +193,18 @@ def dense_tops(sub_vectors: DataFrame, paper_vectors: DataFrame, rounds: DataFra
     return _tops(left, right, rounds, _cosine_kernel(), options, k)
 
 
+def sparse_pairs(sub_rows: DataFrame, paper_rows: DataFrame, rounds: DataFrame, roster: DataFrame, options: RunOptions) -> DataFrame:
+    """Cosines of all pairs that share a term: one row per submission, reviewer and paper."""
+    left, right = _cells(sub_rows, paper_rows, rounds, roster, options)
+    return _pairs(left, right, rounds, _sparse_kernel(), options)
+
+
+def dense_pairs(sub_vectors: DataFrame, paper_vectors: DataFrame, rounds: DataFrame, roster: DataFrame, options: RunOptions) -> DataFrame:
+    """Vector cosines of all pairs; zero vectors give 0."""
+    left, right = _cells(sub_vectors, paper_vectors, rounds, roster, options)
+    return _pairs(left, right, rounds, _cosine_kernel(), options)
+
+
 def best_pairs(tops: DataFrame, k: int = TOP_PAPERS) -> DataFrame:
     """The k most similar papers of each reviewer to each submission, from the cells' tops: one row per pair with its place.
 
