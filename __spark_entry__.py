@@ -447,9 +447,8 @@ def report_texts(spark, sf):
 
 # ---- joins ----
 
-def _best(cosines: str) -> str:
-    return f"""select round_id, reviewer_id, paper, paper_key, sim, place from (select *, row_number() over (
-        partition by round_id, reviewer_id, paper order by sim desc, paper_key) as place from {cosines}) where place <= 3"""
+_BEST = """select round_id, reviewer_id, paper, paper_key, sim, place from (select *, row_number() over (
+    partition by round_id, reviewer_id, paper order by sim desc, paper_key) as place from cosines) where place <= 3"""
 
 
 def _best_pairs(spark, sf) -> DataFrame:
@@ -464,13 +463,13 @@ def tfidf_cosine(spark, sf):
     return similarity.sparse_pairs(s.sub_rows, s.paper_rows, prep.rounds, prep.roster, OPTIONS)
 
 
-@_query(o.sql(f"select round_id, reviewer_id, paper, paper_key, sim from ({_best('emb_cos')})"))
+@_query(o.sql("select round_id, reviewer_id, paper, paper_key, sim from emb_cos"))
 def embedding_cosine(spark, sf):
-    """The three nearest papers of each reviewer by vectors."""
+    """Cosines of all pairs of a submission's and a paper's vector."""
     sub_vectors, paper_vectors, subs = b.vectors(spark, sf)
     prep = prepare(subs, paper_vectors)
     own = paper_vectors.join(prep.roster.select(*K), K, "left_semi")
-    return similarity.best_pairs(similarity.dense_tops(sub_vectors, own, prep.rounds, prep.roster, OPTIONS)).drop("place")
+    return similarity.dense_pairs(sub_vectors, own, prep.rounds, prep.roster, OPTIONS)
 
 
 @_query(o.sql("select round_id, reviewer_id, paper, tag_no, topic, affinity from tag_affinity"))
@@ -515,7 +514,7 @@ def shortlist(spark, sf):
     return _short(spark, sf).filter("is_candidate").select(*K, PAPER, "sim")
 
 
-@_query(o.sql(_best("cosines")))
+@_query(o.sql(_BEST))
 def topk_per_group(spark, sf):
     return _best_pairs(spark, sf)
 

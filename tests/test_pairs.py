@@ -33,3 +33,12 @@ def test_tfidf_cosine_has_more_than_three_papers_a_reviewer(spark, sf_dir):
     got = entry.queries()["tfidf_cosine"](spark, sf_dir)
     assert max(per_group(got.collect()).values()) > 3
     assert frames_equal(got.toPandas(), connect(sf_dir).execute(entry.oracle_sql()["tfidf_cosine"]).df()) == ""
+
+
+def test_embedding_cosine_has_every_paper_of_every_reviewer(spark, sf_dir):
+    import __spark_entry__ as entry
+    from tests.check_oracle import connect, frames_equal
+
+    got = entry.queries()["embedding_cosine"](spark, sf_dir)
+    assert set(per_group(got.collect()).values()) == {5}
+    assert frames_equal(got.toPandas(), connect(sf_dir).execute(entry.oracle_sql()["embedding_cosine"]).df()) == ""
