@@ -552,14 +552,17 @@ def pair_score(spark, sf):
 def _token_model():
     """The default pair score as a Python batch model; local functions travel to tasks by value."""
     def load():
+        import functools
         import re
 
+        @functools.lru_cache(1024)  # a text stands in many pairs of its cell
         def words(text: str) -> set[str]:
             return {w for w in re.split(r"\W+", text.replace("-\n", "").replace("\n", " ").lower()) if re.fullmatch("[a-z]{2,}", w)}
 
         def predict(papers, subs):
             pairs = [(words(a), words(b)) for a, b in zip(papers, subs)]
-            return [len(a & b) / (len(a | b) or 1) for a, b in pairs]
+            shared = [len(a & b) for a, b in pairs]
+            return [n / (len(a) + len(b) - n or 1) for n, (a, b) in zip(shared, pairs)]
 
         return predict
 
@@ -574,8 +577,8 @@ def pair_score_model(spark, sf):
     own = text.with_paper_text(prep.papers, "text", "joined", text.SPARSE_JOINER)
     subs = rerank.side_features(_sub_texts(spark, sf), [ROUND, PAPER], "text", "sub_side", scorer)
     papers = rerank.side_features(own, [*K, PAPER_KEY], "joined", "paper_side", scorer)
-    pairs = rerank.candidate_pairs(_short(spark, sf), subs, papers, prep.rounds, prep.roster, OPTIONS)
-    return rerank.pair_score(pairs, scorer).select(*K, PAPER, PAPER_KEY, "pair_sim")
+    pairs = rerank.scored_pairs(_short(spark, sf), subs, papers, prep.rounds, prep.roster, OPTIONS, scorer)
+    return pairs.select(*K, PAPER, PAPER_KEY, "pair_sim")
 
 
 # ---- pipelines, each from the tables to the bids ----

@@ -134,8 +134,7 @@ def _rerank_scores(prep: Prepared, options: RunOptions, sparse: SparseSide,
     paper_texts = with_paper_text(prep.papers, "text", "joined", SPARSE_JOINER)
     subs = rerank.side_features(texts, [ROUND, PAPER], "text", "sub_side", scorer)
     papers = rerank.side_features(paper_texts, [*K, PAPER_KEY], "joined", "paper_side", scorer)
-    pairs = rerank.candidate_pairs(shortlisted, subs, papers, prep.rounds, prep.roster, options)
-    means = rerank.pair_means(rerank.pair_score(pairs, scorer))
+    means = rerank.pair_means(rerank.scored_pairs(shortlisted, subs, papers, prep.rounds, prep.roster, options, scorer))
     return materialize(rerank.rerank_bands(shortlisted, means), "bands")
 
 
