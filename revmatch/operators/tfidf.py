@@ -48,15 +48,14 @@ def pool_sizes(submissions: DataFrame) -> DataFrame:
     return submissions.groupBy(ROUND).agg(F.count("*").alias("n_subs"))
 
 
-def vocabulary(posted: DataFrame, pools: DataFrame, min_df: int = MIN_DF, max_df: float = MAX_DF) -> DataFrame:
-    """Terms of the pool kept by document frequency, both bounds inclusive, with their idf."""
-    counted = posted.groupBy(ROUND, "term").agg(F.count("*").alias("df"))
+def vocabulary(counted: DataFrame, pools: DataFrame, min_df: int = MIN_DF, max_df: float = MAX_DF) -> DataFrame:
+    """Terms of the pool (round_id, term, df) kept by document frequency, both bounds inclusive, with their idf."""
     n, df = F.col("n_subs"), F.col("df")
     return (
         counted.filter(df >= min_df)
         .join(pools.select(ROUND, "n_subs"), ROUND)
         .filter(df <= F.lit(max_df) * n)
-        .select(ROUND, "term", "df", (F.log((1 + n) / (1 + df)) + 1).alias("idf"))
+        .withColumn("idf", F.log((1 + n) / (1 + df)) + 1).drop("n_subs")
     )
 
 
@@ -124,16 +123,6 @@ def unit(rows: DataFrame) -> DataFrame:
     return rows.withColumn("ws", F.transform("ws", lambda w: w / F.col("norm")))
 
 
-def weights(posted: DataFrame, vocab: DataFrame, doc: list[str]) -> DataFrame:
-    """Unit-length weights of each text in the vocabulary of its pool, one row per term.
-
-    A text's terms are collected where they met the vocabulary, so one row per text and task is shuffled.
-    """
-    raw = raw_weights(posted, vocab)
-    rows = raw.groupBy(*doc).agg(_length().alias("_norm"), F.collect_list(F.struct("term", "w")).alias("_row"))
-    return rows.select(*doc, "_norm", F.explode("_row").alias("_e")).select(*doc, "_e.term", (F.col("_e.w") / F.col("_norm")).alias("w"))
-
-
 def top_terms(paper_rows: DataFrame, vocab: DataFrame, roster: DataFrame, k: int = TOP_TERMS) -> DataFrame:
     """Terms with the highest mean weight over a reviewer's papers, ties by term. ``paper_rows`` are packed, of unit length.
 

@@ -7,6 +7,7 @@ shared folder. Everything else stays one lazy plan.
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Observation
@@ -14,12 +15,12 @@ from pyspark.sql import functions as F
 
 from revmatch.functions.stopwords import default_stop_words
 from revmatch.functions.text import DENSE_JOINER, SPARSE_JOINER, submission_text, with_paper_text
-from revmatch.operators import rerank, similarity, tfidf
+from revmatch.operators import blocks, rerank, similarity, tfidf
 from revmatch.operators.bids import bids
 from revmatch.operators.topics import rating_maps, with_topic_base
 from revmatch.params import FRACTION_TOLERANCE, MAX_DF, METHODS, MIN_DF, RunOptions, ScoringParams
 from revmatch.schemas import K, PAPER, PAPER_KEY, REVIEWER, ROUND
-from revmatch.session import materialize, materialize_together
+from revmatch.session import materialize
 from revmatch.sources.papers import TooFewPapers, distinct_papers, papers_guard
 from revmatch.sources.submissions import topic_template
 from revmatch.sources.vector_cache import Encode, VectorCache
@@ -44,9 +45,11 @@ class Prepared:
 
 @dataclass(frozen=True)
 class SparseSide:
-    vocabulary: DataFrame       # round_id, term, df, idf, shared, term_id
+    vocabulary: DataFrame       # round_id, term, df, bucket, idf, shared, term_id
     sub_rows: DataFrame         # round_id, paper, norm, ids, ws (raw weights of the terms some paper has)
     paper_rows: DataFrame       # round_id, reviewer_id, paper_key, norm, ids, ws (unit length)
+    blocks: blocks.TermBlocks   # the submissions' terms
+    answered: DataFrame         # the vocabulary's answers to the blocks
 
 
 def prepare(submissions: DataFrame, papers: DataFrame, interests: DataFrame | None = None,
@@ -90,13 +93,16 @@ def sparse_side(prep: Prepared, stop_words: Sequence[str] | None = None) -> Spar
     stop = default_stop_words() if stop_words is None else list(stop_words)
     fitted = prep.rounds.filter("fits").select(ROUND, "n_subs")
     texts = prep.submissions.select(ROUND, PAPER, submission_text(F.col("title"), F.col("abstract")).alias("text"))
-    doc, paper = [ROUND, PAPER], [*K, PAPER_KEY]
-    sub_terms, paper_terms = materialize_together(
-        (tfidf.term_arrays(texts, doc, "text", stop), "sub_terms"), (tfidf.term_arrays(prep.papers, paper, "text", stop), "paper_terms"))
-    posted, paper_posted = tfidf.postings(sub_terms, doc), tfidf.postings(paper_terms, paper)
-    numbered = materialize(tfidf.number_terms(tfidf.mark_shared(tfidf.vocabulary(posted, fitted), paper_posted)), "vocabulary")
-    vocab = tfidf.with_term_ids(numbered, tfidf.range_starts(numbered))
-    return SparseSide(vocab, tfidf.packed(posted, vocab, doc), tfidf.unit(tfidf.packed(paper_posted, vocab, paper)))
+    paper = [*K, PAPER_KEY]
+    with ThreadPoolExecutor(2) as pool:
+        gathered, own = pool.submit(blocks.gather, texts, "text", stop), pool.submit(
+            lambda: materialize(tfidf.term_arrays(prep.papers, paper, "text", stop), "paper_terms"))
+        side, paper_posted = gathered.result(), tfidf.postings(own.result(), paper)
+    kept = tfidf.vocabulary(blocks.counts(side, MIN_DF), fitted)
+    numbered = materialize(tfidf.number_terms(tfidf.mark_shared(kept, paper_posted)), "vocabulary")
+    vocab = tfidf.with_term_ids(numbered, materialize(tfidf.range_starts(numbered), "range_starts"))
+    answered = blocks.answers(side, vocab)
+    return SparseSide(vocab, blocks.packed(side, answered), tfidf.unit(tfidf.packed(paper_posted, vocab, paper)), side, answered)
 
 
 def paper_top_terms(prep: Prepared, sparse: SparseSide) -> DataFrame:

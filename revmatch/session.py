@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -57,9 +56,3 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     path = scratch_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
-
-
-def materialize_together(*tables: tuple[DataFrame, str]) -> list[DataFrame]:
-    """Write tables that do not depend on one another side by side, so that a small one does not wait for a large one."""
-    with ThreadPoolExecutor(len(tables)) as pool:
-        return list(pool.map(lambda t: materialize(*t), tables))
