@@ -375,7 +375,7 @@ def topk_mean(spark, sf):
 
 @_query(o.sql("select round_id, reviewer_id, paper, topic_base from topic_bases"))
 def topic_base(spark, sf):
-    return pipelines.pool_with_topics(_base(spark, sf)[0], OPTIONS).select(*K, PAPER, "topic_base")
+    return pipelines.pool_with_topics(_prep(spark, sf), OPTIONS).select(*K, PAPER, "topic_base")
 
 
 @_query(o.sql(f"select * from ({_PLACED_TERMS}) where place <= 40"))
@@ -475,7 +475,7 @@ def embedding_cosine(spark, sf):
 
 @_query(o.sql("select round_id, reviewer_id, paper, tag_no, topic, affinity from tag_affinity"))
 def topic_affinity_join(spark, sf):
-    prep, _ = _base(spark, sf)
+    prep = _prep(spark, sf)
     pool = similarity.pool_rows(prep.submissions.select(ROUND, PAPER, "topics"), prep.roster, prep.rounds, OPTIONS)
     return topics.topic_affinity_join(pool, topics.rating_maps(prep.interests), [*K, PAPER])
 

@@ -66,3 +66,11 @@ def test_a_text_reaches_a_python_scorer_once_per_cell(spark):
     rows = rerank.scored_pairs(short, subs, papers, rounds, roster, RunOptions(), rerank.BatchScorer(load)).collect()
     assert {(r.reviewer_id, r.paper, r.paper_key) for r in rows} == {(k % 2, s, k) for k in range(40) for s in range(30) if s < 20 or k % 2}
     assert len(rows) == 20 * 20 + 30 * 20 and max(r.pair_sim for r in rows) == 0.03004
+
+
+def test_topic_affinity_join_needs_no_terms(spark, sf_dir, monkeypatch):
+    import __spark_entry__ as entry
+
+    monkeypatch.setattr(entry, "_KEPT", {})
+    monkeypatch.setattr(pipelines, "sparse_side", None)
+    assert entry.queries()["topic_affinity_join"](spark, sf_dir).count() == 2 * entry.queries()["topic_base"](spark, sf_dir).count() > 0
