@@ -75,12 +75,17 @@ def _short(spark: SparkSession, sf: str) -> DataFrame:
     return _keep(spark, sf, "shortlist", lambda: materialize(rerank.shortlist(_scored(spark, sf), OPTIONS), "shortlist"))
 
 
-def _pairs(spark: SparkSession, sf: str) -> DataFrame:
+def _sides(spark: SparkSession, sf: str, scorer) -> tuple:
+    """What joins the shortlist to pairs: features of both sides, rounds, roster."""
     prep = _prep(spark, sf)
     own = text.with_paper_text(prep.papers, "text", "joined", text.SPARSE_JOINER)
-    subs = rerank.side_features(_sub_texts(spark, sf), [ROUND, PAPER], "text", "sub_side", rerank.TOKEN_OVERLAP)
-    papers = rerank.side_features(own, [*K, PAPER_KEY], "joined", "paper_side", rerank.TOKEN_OVERLAP)
-    return rerank.candidate_pairs(_short(spark, sf), subs, papers, prep.rounds, prep.roster, OPTIONS)
+    subs = rerank.side_features(_sub_texts(spark, sf), [ROUND, PAPER], "text", "sub_side", scorer)
+    papers = rerank.side_features(own, [*K, PAPER_KEY], "joined", "paper_side", scorer)
+    return subs, papers, prep.rounds, prep.roster, OPTIONS
+
+
+def _scored_pairs(spark: SparkSession, sf: str, scorer=rerank.TOKEN_OVERLAP) -> DataFrame:
+    return rerank.scored_pairs(_short(spark, sf), *_sides(spark, sf, scorer), scorer)
 
 
 # ---- sources and sinks ----
@@ -482,7 +487,7 @@ def topic_affinity_join(spark, sf):
 
 @_query(o.sql("select round_id, reviewer_id, paper, paper_key from pairs"))
 def candidate_pairs(spark, sf):
-    return _pairs(spark, sf).select(*K, PAPER, PAPER_KEY)
+    return rerank.candidate_pairs(_short(spark, sf), *_sides(spark, sf, rerank.COLUMN_OVERLAP)).select(*K, PAPER, PAPER_KEY)
 
 
 @_query(o.sql("select round_id, reviewer_id, paper, case when is_candidate then 'shortlist' else 'rest' end as side from short"))
@@ -533,7 +538,7 @@ def report_extremes(spark, sf):
 
 @_query(o.sql("select round_id, reviewer_id, paper, is_candidate, sim as band from bands"))
 def rerank_bands(spark, sf):
-    means = rerank.pair_means(rerank.pair_score(_pairs(spark, sf)))
+    means = rerank.pair_means(_scored_pairs(spark, sf))
     return rerank.rerank_bands(_short(spark, sf), means).select(*K, PAPER, "is_candidate", F.col("sim").alias("band"))
 
 
@@ -547,7 +552,7 @@ def stop_words_query(spark, sf):
 
 @_query(o.sql("select round_id, reviewer_id, paper, paper_key, pair_sim from pair_scores"))
 def pair_score(spark, sf):
-    return rerank.pair_score(_pairs(spark, sf)).select(*K, PAPER, PAPER_KEY, "pair_sim")
+    return _scored_pairs(spark, sf).select(*K, PAPER, PAPER_KEY, "pair_sim")
 
 
 def _token_model():
@@ -573,13 +578,7 @@ def _token_model():
 @_query(o.sql("select round_id, reviewer_id, paper, paper_key, pair_sim from pair_scores"))
 def pair_score_model(spark, sf):
     """Pairs scored by a model in Python, batch by batch."""
-    prep = _prep(spark, sf)
-    scorer = rerank.BatchScorer(_token_model())
-    own = text.with_paper_text(prep.papers, "text", "joined", text.SPARSE_JOINER)
-    subs = rerank.side_features(_sub_texts(spark, sf), [ROUND, PAPER], "text", "sub_side", scorer)
-    papers = rerank.side_features(own, [*K, PAPER_KEY], "joined", "paper_side", scorer)
-    pairs = rerank.scored_pairs(_short(spark, sf), subs, papers, prep.rounds, prep.roster, OPTIONS, scorer)
-    return pairs.select(*K, PAPER, PAPER_KEY, "pair_sim")
+    return _scored_pairs(spark, sf, rerank.BatchScorer(_token_model())).select(*K, PAPER, PAPER_KEY, "pair_sim")
 
 
 # ---- pipelines, each from the tables to the bids ----

@@ -39,6 +39,15 @@ class BatchScorer:
     batch: int = 32
 
 
+@dataclass(frozen=True)
+class CellScorer:
+    """Pair scorer for whole cells: features once per text, then ``load`` runs once per task and returns
+    ``scores(paper_sides, submission_sides)``, Arrow columns in, one row of the matrix per submission out."""
+
+    features: Callable[[Column], Column]
+    load: Callable[[], Callable[[pa.Array, pa.Array], np.ndarray]]
+
+
 def _jaccard(a: Column, b: Column) -> Column:
     """A one-element transform binds the intersection size, so it is computed once per pair."""
     shared = F.array(F.size(F.array_intersect(a, b)))
@@ -46,8 +55,40 @@ def _jaccard(a: Column, b: Column) -> Column:
     return F.coalesce(share, F.lit(0.0))
 
 
-# Stand-in for a neural scorer: overlap of the two token sets.
-TOKEN_OVERLAP = ColumnScorer(features=lambda text: F.array_distinct(tokens(text)), score=_jaccard)
+def _overlap():
+    """Overlap of token sets, each given as words joined by blanks: shared words are counted by bounded matrix products."""
+    width = 1 << 13  # distinct words of the cell's papers in one product
+
+    def words(sides: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+        parts = pc.split_pattern(pc.fill_null(sides, ""), " ")
+        owner, flat = pc.list_parent_indices(parts), parts.flatten()
+        some = pc.not_equal(flat, "")
+        owner = owner.filter(some).to_numpy(zero_copy_only=False)
+        return flat.filter(some), owner, np.bincount(owner, minlength=len(sides))
+
+    def scores(papers: pa.Array, subs: pa.Array) -> np.ndarray:
+        own, holder, sizes = words(papers)
+        named, reader, lengths = words(subs)
+        coded = own.dictionary_encode()
+        codes, found = coded.indices.to_numpy(zero_copy_only=False), pc.index_in(named, value_set=coded.dictionary)
+        known = found.is_valid().to_numpy(zero_copy_only=False)
+        reader, found = reader[known], found.drop_null().to_numpy(zero_copy_only=False)
+        shared = np.zeros((len(subs), len(papers)))
+        for start in range(0, len(coded.dictionary), width):
+            left, right = (np.zeros((len(x), width), np.float32) for x in (subs, papers))
+            for side, row, code in ((left, reader, found), (right, holder, codes)):
+                here = (code >= start) & (code < start + width)
+                side[row[here], code[here] - start] = 1
+            shared += left @ right.T
+        union = lengths[:, None] + sizes[None, :] - shared
+        return np.divide(shared, union, out=np.zeros_like(shared), where=union > 0)
+
+    return scores
+
+
+# Stand-in for a neural scorer: overlap of the two token sets, for whole cells and in native columns.
+TOKEN_OVERLAP = CellScorer(features=lambda text: F.array_join(F.array_distinct(tokens(text)), " "), load=_overlap)
+COLUMN_OVERLAP = ColumnScorer(features=lambda text: F.array_distinct(tokens(text)), score=_jaccard)
 
 
 def shortlist_length(n: Column, options: RunOptions) -> Column:
@@ -101,15 +142,15 @@ def _placed(shortlisted: DataFrame, subs: DataFrame, papers: DataFrame, rounds:
 
 
 def scored_pairs(shortlisted: DataFrame, subs: DataFrame, papers: DataFrame, rounds: DataFrame, roster: DataFrame,
-                 options: RunOptions, scorer: ColumnScorer | BatchScorer = TOKEN_OVERLAP) -> DataFrame:
-    """The pairs of ``candidate_pairs`` with ``pair_sim``.
+                 options: RunOptions, scorer: ColumnScorer | BatchScorer | CellScorer = TOKEN_OVERLAP) -> DataFrame:
+    """The pairs of ``candidate_pairs`` with ``pair_sim``; no score (null, NaN) counts as 0.
 
-    For a model in Python a text goes to it once per cell, however many pairs it stands in; pairs are made there.
+    For scorers in Python a text goes there once per cell, however many pairs it stands in; pairs are made there.
     """
     if isinstance(scorer, ColumnScorer):
         return pair_score(candidate_pairs(shortlisted, subs, papers, rounds, roster, options), scorer)
     left, right, n = _placed(shortlisted, subs, papers, rounds, roster, options)
-    load, batch, held = scorer.load, scorer.batch, []
+    load, batch, held = scorer.load, getattr(scorer, "batch", None), []
     cell, names = [ROUND, *CELL], {"reviewer": REVIEWER, "paper": PAPER}
     kept = [*K, PAPER, PAPER_KEY, *CELL, "n_papers"]
 
@@ -127,8 +168,10 @@ def scored_pairs(shortlisted: DataFrame, subs: DataFrame, papers: DataFrame, rou
         if len(row):
             if not held:
                 held.append(load())
-            own, texts = papers["paper_side"].to_pylist(), subs["sub_side"].to_pylist()
-            for i in range(0, len(row), batch):
+            if batch is None:
+                sims = held[0](*(t[c].combine_chunks() for t, c in ((papers, "paper_side"), (subs, "sub_side"))))[row, col]
+            own, texts = (t[c].to_pylist() if batch else [] for t, c in ((papers, "paper_side"), (subs, "sub_side")))
+            for i in range(0, len(row) if batch else 0, batch or 1):
                 sims[i:i + batch] = held[0]([own[c] for c in col[i:i + batch]], [texts[r] for r in row[i:i + batch]])
         row, col = pa.array(row), pa.array(col)
         columns = {c: subs[c].take(row) if c == names["paper"] else papers[c].take(col) for c in kept}
@@ -139,7 +182,7 @@ def scored_pairs(shortlisted: DataFrame, subs: DataFrame, papers: DataFrame, rou
     return left.repartition(n, *cell).groupBy(*cell).cogroup(right.repartition(n, *cell).groupBy(*cell)).applyInArrow(score, schema)
 
 
-def pair_score(pairs: DataFrame, scorer: ColumnScorer | BatchScorer = TOKEN_OVERLAP) -> DataFrame:
+def pair_score(pairs: DataFrame, scorer: ColumnScorer | BatchScorer = COLUMN_OVERLAP) -> DataFrame:
     """Add ``pair_sim`` to pairs with ``paper_side`` and ``sub_side`` (features or texts); no score (null, NaN) counts as 0."""
     if isinstance(scorer, ColumnScorer):
         sim = scorer.score(F.col("paper_side"), F.col("sub_side"))
@@ -163,8 +206,8 @@ def pair_score(pairs: DataFrame, scorer: ColumnScorer | BatchScorer = TOKEN_OVER
     return pairs.mapInPandas(run, schema)
 
 
-def side_features(df: DataFrame, keys: list[str], text: str, out: str, scorer: ColumnScorer | BatchScorer) -> DataFrame:
-    side = scorer.features(F.col(text)) if isinstance(scorer, ColumnScorer) else F.col(text)
+def side_features(df: DataFrame, keys: list[str], text: str, out: str, scorer: ColumnScorer | BatchScorer | CellScorer) -> DataFrame:
+    side = F.col(text) if isinstance(scorer, BatchScorer) else scorer.features(F.col(text))
     return df.select(*keys, side.alias(out))
 
 

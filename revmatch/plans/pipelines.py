@@ -134,7 +134,7 @@ def _tfidf_scores(prep: Prepared, options: RunOptions, sparse: SparseSide) -> Da
 
 
 def _rerank_scores(prep: Prepared, options: RunOptions, sparse: SparseSide,
-                   scorer: rerank.ColumnScorer | rerank.BatchScorer) -> DataFrame:
+                   scorer: rerank.ColumnScorer | rerank.BatchScorer | rerank.CellScorer) -> DataFrame:
     shortlisted = materialize(rerank.shortlist(_tfidf_scores(prep, options, sparse), options), "shortlist")
     texts = prep.submissions.select(ROUND, PAPER, submission_text(F.col("title"), F.col("abstract")).alias("text"))
     paper_texts = with_paper_text(prep.papers, "text", "joined", SPARSE_JOINER)
@@ -155,7 +155,7 @@ def embedding_inputs(prep: Prepared, cache: VectorCache, load: Callable[[], Enco
 
 def semantic_scores(prep: Prepared, options: RunOptions = RunOptions(), *, sparse: SparseSide | None = None,
                     vectors: tuple[DataFrame, DataFrame] | None = None,
-                    scorer: rerank.ColumnScorer | rerank.BatchScorer = rerank.TOKEN_OVERLAP,
+                    scorer: rerank.ColumnScorer | rerank.BatchScorer | rerank.CellScorer = rerank.TOKEN_OVERLAP,
                     stop_words: Sequence[str] | None = None) -> DataFrame:
     """``sim`` for every reviewer and submission by ``options.method``, next to the topic base."""
     if options.method not in METHODS:
@@ -233,7 +233,7 @@ def bids_from_texts(submissions: DataFrame, papers: DataFrame, interests: DataFr
 
 def bids_rerank(submissions: DataFrame, papers: DataFrame, interests: DataFrame | None,
                 params: ScoringParams = ScoringParams(), options: RunOptions = RunOptions(),
-                scorer: rerank.ColumnScorer | rerank.BatchScorer = rerank.TOKEN_OVERLAP,
+                scorer: rerank.ColumnScorer | rerank.BatchScorer | rerank.CellScorer = rerank.TOKEN_OVERLAP,
                 stop_words: Sequence[str] | None = None) -> DataFrame:
     """Bids from a sparse shortlist whose pairs are scored jointly."""
     return _run("rerank", submissions, papers, interests, params, options, scorer=scorer, stop_words=stop_words)

@@ -74,3 +74,29 @@ def test_topic_affinity_join_needs_no_terms(spark, sf_dir, monkeypatch):
     monkeypatch.setattr(entry, "_KEPT", {})
     monkeypatch.setattr(pipelines, "sparse_side", None)
     assert entry.queries()["topic_affinity_join"](spark, sf_dir).count() == 2 * entry.queries()["topic_base"](spark, sf_dir).count() > 0
+
+
+def test_cells_score_like_native_columns(spark):
+    """Overlap of token sets, with empty texts, null texts, repeated words and more words than one product takes."""
+    many = " ".join("".join(chr(97 + int(c)) for c in f"{k:05d}") for k in range(20000))
+    texts = ["alpha beta beta", "", None, "beta gamma delta", many, many[:60000] + " alpha", "x 7"]
+    subs = spark.createDataFrame([("r", k, t) for k, t in enumerate(texts)], "round_id string, paper bigint, text string")
+    papers = spark.createDataFrame([("r", k % 2, k, t) for k, t in enumerate(texts * 2)], "round_id string, reviewer_id int, paper_key int, text string")
+    roster = papers.groupBy(*K).agg(F.count("*").alias("n_papers"))
+    rounds = spark.createDataFrame([("r", 7, 14, 2)], "round_id string, n_subs bigint, n_papers bigint, n_reviewers bigint")
+    short = spark.createDataFrame([("r", w, k, True) for w in range(2) for k in range(7)], "round_id string, reviewer_id int, paper bigint, is_candidate boolean")
+    found = []
+    for scorer in (rerank.TOKEN_OVERLAP, rerank.COLUMN_OVERLAP):
+        sides = (rerank.side_features(subs, ["round_id", "paper"], "text", "sub_side", scorer),
+                 rerank.side_features(papers, [*K, "paper_key"], "text", "paper_side", scorer))
+        pairs = rerank.scored_pairs(short, *sides, rounds, roster, RunOptions(), scorer)
+        found.append(sorted((r.reviewer_id, r.paper, r.paper_key, r.n_papers, r.pair_sim) for r in pairs.collect()))
+    assert found[0] == found[1] and len(found[0]) == 7 * 14 and {r[4] for r in found[0]} >= {0.0, 1.0, 0.25}
+
+
+def test_scored_pairs_are_not_joined_text_by_text(spark, sf_dir):
+    import __spark_entry__ as entry
+    from tests.test_pipelines import plan_of
+
+    plan = plan_of(entry.queries()["pair_score"](spark, sf_dir))
+    assert "array_intersect" not in plan and "FlatMapCoGroupsInArrow" in plan
