@@ -6,7 +6,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -96,19 +96,21 @@ class VectorCache:
 
 
 def embed(missing: DataFrame, load: Callable[[], Encode], batch: int = BATCH) -> DataFrame:
-    """Encode texts in Arrow batches; the model is loaded once per task and only if a row arrives."""
+    """Encode texts ``batch`` at a time; the model is loaded once per task and only if a row arrives.
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    Only the texts of one call to the model are Python objects at once.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = None
-        for frame in frames:
-            if frame.empty:
-                continue
-            encode = encode or load()
-            texts = frame["text"].tolist()
-            parts = [np.asarray(encode(texts[i:i + batch]), dtype="float32") for i in range(0, len(texts), batch)]
-            yield pd.DataFrame({"text_sha": frame["text_sha"], "vec": list(np.concatenate(parts))})
-
-    return missing.mapInPandas(run, "text_sha string, vec array<float>")
+        for rows in batches:
+            for start in range(0, rows.num_rows, batch):
+                part = rows.slice(start, batch)
+                encode = encode or load()
+                vectors = np.asarray(encode(part["text"].to_pylist()), dtype="float32")
+                yield pa.RecordBatch.from_arrays([part["text_sha"], pa.array(list(vectors), pa.list_(pa.float32()))], ["text_sha", "vec"])
+
+    return missing.mapInArrow(run, "text_sha string, vec array<float>")
 
 
 def embed_missing(texts: DataFrame, cache: VectorCache, load: Callable[[], Encode],

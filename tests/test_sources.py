@@ -176,3 +176,18 @@ def test_cache_runs_are_read_when_finished_only(spark, tmp_path):
     assert cache.runs().count() == 1
     cache.append(rows("new"))
     assert cache.read().count() == 4
+
+
+def test_encoder_sees_a_batch_and_not_a_whole_partition(spark):
+    """No more than one batch of texts is alive as Python strings while the model runs."""
+    def load():
+        import gc
+
+        def encode(texts):
+            held = sum(isinstance(x, list) and len(x) > 3 and all(isinstance(t, str) and t.startswith("long ") for t in x) for x in gc.get_objects())
+            return [[float(len(texts)), float(held)] for _ in texts]
+        return encode
+
+    texts = spark.range(50).selectExpr("cast(id as string) as text_sha", "concat('long ', id) as text").coalesce(1)
+    rows = vector_cache.embed(texts, load, 3).collect()
+    assert len(rows) == 50 and {r.vec[1] for r in rows} == {0.0} and sorted(r.vec[0] for r in rows)[:2] == [2.0, 2.0]
