@@ -612,8 +612,10 @@ def bids_rerank_query(spark, sf):
     union all select 'rerank', round_id, reviewer_id, paper, sim from bands"""))
 def semantic_scores_query(spark, sf):
     prep, sparse = _base(spark, sf)
-    run = lambda m: semantic_scores(prep, RunOptions(method=m), sparse=sparse).select(F.lit(m).alias("method"), *K, PAPER, "sim")
-    return run("tfidf").unionByName(run("rerank"))
+    scored = semantic_scores(prep, RunOptions(method="tfidf"), sparse=sparse)
+    bands = semantic_scores(prep, RunOptions(method="rerank"), sparse=sparse, scored=scored)
+    one = lambda m, df: df.select(F.lit(m).alias("method"), *K, PAPER, "sim")
+    return one("tfidf", scored).unionByName(one("rerank", bands))
 
 
 def _named() -> dict[str, tuple[Query, str | None]]:

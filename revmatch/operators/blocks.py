@@ -184,8 +184,7 @@ def counts(side: TermBlocks, min_df: int) -> DataFrame:
         terms, _ = tools.unpack_texts(rows)
         coded = terms.dictionary_encode()
         holders = np.concatenate([tools.unpack(x, np.int32) for x in rows["holders"].to_pylist()])
-        df = np.zeros(len(coded.dictionary), np.int64)
-        np.add.at(df, coded.indices.to_numpy(zero_copy_only=False), holders)
+        df = np.bincount(coded.indices.to_numpy(zero_copy_only=False), holders, len(coded.dictionary)).astype(np.int64)
         kept = np.flatnonzero(df >= min_df)
         return pa.table({name: pa.array([rows[name][0].as_py()] * len(kept), pa.string()), "term": coded.dictionary.take(pa.array(kept)).cast(pa.string()),
                          "df": df[kept], "bucket": pa.array(np.full(len(kept), rows["bucket"][0].as_py(), np.int32))})

@@ -133,9 +133,9 @@ def _tfidf_scores(prep: Prepared, options: RunOptions, sparse: SparseSide) -> Da
     return _scores(prep, tops, options, fitted=True)
 
 
-def _rerank_scores(prep: Prepared, options: RunOptions, sparse: SparseSide,
+def _rerank_scores(prep: Prepared, options: RunOptions, scored: DataFrame,
                    scorer: rerank.ColumnScorer | rerank.BatchScorer | rerank.CellScorer) -> DataFrame:
-    shortlisted = materialize(rerank.shortlist(_tfidf_scores(prep, options, sparse), options), "shortlist")
+    shortlisted = materialize(rerank.shortlist(scored, options), "shortlist")
     texts = prep.submissions.select(ROUND, PAPER, submission_text(F.col("title"), F.col("abstract")).alias("text"))
     paper_texts = with_paper_text(prep.papers, "text", "joined", SPARSE_JOINER)
     subs = rerank.side_features(texts, [ROUND, PAPER], "text", "sub_side", scorer)
@@ -156,8 +156,11 @@ def embedding_inputs(prep: Prepared, cache: VectorCache, load: Callable[[], Enco
 def semantic_scores(prep: Prepared, options: RunOptions = RunOptions(), *, sparse: SparseSide | None = None,
                     vectors: tuple[DataFrame, DataFrame] | None = None,
                     scorer: rerank.ColumnScorer | rerank.BatchScorer | rerank.CellScorer = rerank.TOKEN_OVERLAP,
-                    stop_words: Sequence[str] | None = None) -> DataFrame:
-    """``sim`` for every reviewer and submission by ``options.method``, next to the topic base."""
+                    stop_words: Sequence[str] | None = None, scored: DataFrame | None = None) -> DataFrame:
+    """``sim`` for every reviewer and submission by ``options.method``, next to the topic base.
+
+    ``scored`` is what method 'tfidf' gave for the same inputs, if the caller has it; 'rerank' cuts its shortlist from it.
+    """
     if options.method not in METHODS:
         raise ValueError(f"unknown method {options.method!r}")
     if options.method == "embedding":
@@ -165,10 +168,9 @@ def semantic_scores(prep: Prepared, options: RunOptions = RunOptions(), *, spars
             raise ValueError("method 'embedding' needs submission and paper vectors")
         tops = similarity.dense_tops(*vectors, prep.rounds, prep.roster, options)
         return _scores(prep, tops, options)
-    sparse = sparse or sparse_side(prep, stop_words)
-    if options.method == "rerank":
-        return _rerank_scores(prep, options, sparse, scorer)
-    return _tfidf_scores(prep, options, sparse)
+    if scored is None:
+        scored = _tfidf_scores(prep, options, sparse or sparse_side(prep, stop_words))
+    return _rerank_scores(prep, options, scored, scorer) if options.method == "rerank" else scored
 
 
 @dataclass(frozen=True)

@@ -100,3 +100,14 @@ def test_scored_pairs_are_not_joined_text_by_text(spark, sf_dir):
 
     plan = plan_of(entry.queries()["pair_score"](spark, sf_dir))
     assert "array_intersect" not in plan and "FlatMapCoGroupsInArrow" in plan
+
+
+def test_semantic_scores_makes_the_sparse_scores_once(spark, sf_dir, monkeypatch):
+    import __spark_entry__ as entry
+    from tests.check_oracle import connect, frames_equal
+
+    made, plain = [], pipelines._tfidf_scores
+    monkeypatch.setattr(pipelines, "_tfidf_scores", lambda *a: made.append(1) or plain(*a))
+    got = entry.queries()["semantic_scores"](spark, sf_dir).toPandas()
+    assert len(made) == 1
+    assert frames_equal(got, connect(sf_dir).execute(entry.oracle_sql()["semantic_scores"]).df()) == ""
