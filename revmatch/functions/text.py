@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 _WORD = r"[\p{L}\p{N}_]"
 _SPACE = r"[\t-\r\x1c-\x20\x{85}\p{Z}]"
 _LINE_END = r"\r\n|[\n-\r\x1c-\x1e\x{85}\x{2028}\x{2029}]"
+_BEYOND_ASCII = r"[[\x80-\x{ffff}]&&[\p{L}\p{N}]]|([[\x{10000}-\x{10ffff}]&&[\p{L}\p{N}]])"
 _TOKEN = rf"(?<!{_WORD})[a-z]{{2,}}+(?!{_WORD})"
 
 # Where an abstract starts and ends, line prefix that is no title, lengths in characters.
@@ -49,6 +50,14 @@ def tokens(text: Column) -> Column:
     return F.regexp_extract_all(clean_text(text), F.lit(_TOKEN), F.lit(0))
 
 
+def word_text(text: Column) -> Column:
+    """Text in which every letter and digit beyond ASCII is ``0``: its words can be cut out byte by byte, and are those of ``tokens``.
+
+    Java looks back by one UTF-16 unit, so a letter beyond U+FFFF holds off the word before it and not the one behind it: it stays, after a ``0``.
+    """
+    return F.regexp_replace(F.lower(join_broken_words(text)), _BEYOND_ASCII, "0$1")
+
+
 def drop_stop_words(words: Column, stop: Sequence[str]) -> Column:
     """``isin`` over literals becomes a hash-set probe, so the list length does not matter."""
     return F.filter(words, lambda w: ~w.isin(list(stop))) if stop else words

@@ -19,12 +19,12 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from revmatch.functions.text import drop_stop_words, tokens
+from revmatch.functions.text import word_text
 from revmatch.schemas import PAPER, ROUND
 from revmatch.session import materialize
 
 BLOCK_WORDS = 1 << 20
-BUCKET_TERMS = 1 << 19
+BUCKET_TERMS = 1 << 21
 
 
 @dataclass(frozen=True)
@@ -32,6 +32,7 @@ class TermBlocks:
     blocks: DataFrame    # round_id, block, papers, and packed: words of the block, texts' lengths, codes of their words
     messages: DataFrame  # round_id, block, bucket, and packed: the block's distinct terms of the bucket, texts that hold them
     buckets: int
+    count: int           # of blocks
     repeated: DataFrame | None  # round_id, paper of texts that share them; None where every text has its own
 
 
@@ -70,63 +71,101 @@ def _block_terms(buckets: int):
     """Terms of a block: distinct unigrams and bigrams in the order of bucket and words, and ``(text, term, count)`` sorted by text."""
     tools = _packing()
 
-    def terms_of(block: dict):
-        import hashlib
+    def distinct(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The distinct values, rising, and which of them each value is; value and place are sorted as one number where they fit."""
+        bits = max(len(values) - 1, 1).bit_length()
+        if not len(values) or int(values.max()) >> (63 - bits):
+            return np.unique(values, return_inverse=True)
+        both = np.sort(values << bits | np.arange(len(values)))
+        rising, which = both >> bits, np.empty(len(values), np.int64)
+        new = np.append(True, rising[1:] != rising[:-1])
+        which[both & ((1 << bits) - 1)] = np.cumsum(new) - 1
+        return rising[new], which
+
+    def hashes(letters: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        """A hash of each word, and 0 behind the last."""
+        starts = np.cumsum(lengths) - lengths
+        powers = np.cumprod(np.full(lengths.max(initial=0), 0x9E3779B97F4A7C15, np.uint64))
+        sums = np.add.reduceat(letters * powers[np.arange(len(letters)) - np.repeat(starts, lengths)], starts) if len(starts) else np.zeros(0, np.uint64)
+        return np.append((sums ^ (sums >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93), np.uint64(0))
 
+    def terms_of(block: dict):
         words, _ = tools.unpack_texts(pa.table({c: [block[c]] for c in ("letters", "lengths")}))
         sizes, codes = tools.unpack(block["sizes"], np.int32), tools.unpack(block["codes"], np.int32).astype(np.int64)
-        text, width = np.repeat(np.arange(len(sizes)), sizes), len(words) + 1
+        text, width = np.repeat(np.arange(len(sizes)), sizes), max(len(words), 1)
         inside = np.flatnonzero(text[1:] == text[:-1])
-        # a unigram is its word and 0, a bigram its first word and one more than its second
-        keys = np.concatenate([codes * width, codes[inside] * width + codes[inside + 1] + 1])
-        terms, term = np.unique(keys, return_inverse=True)
-        one, two = terms // width, terms % width - 1
-        digests = np.array([int.from_bytes(hashlib.blake2b(w.encode(), digest_size=8).digest(), "little") for w in words.to_pylist()] + [0], np.uint64)
+        # every word of the block is a term, then every bigram
+        pairs, pair = distinct(codes[inside] * width + codes[inside + 1])
+        one, two = np.concatenate([np.arange(len(words)), pairs // width]), np.concatenate([np.full(len(words), -1), pairs % width])
+        term = np.concatenate([codes, len(words) + pair])
+        digests = hashes(tools.unpack(block["letters"], np.uint8).astype(np.uint64), tools.unpack(block["lengths"], np.int32).astype(np.int64))
         mixed = digests[one] * np.uint64(0x9E3779B97F4A7C15) + (digests[two] ^ (digests[two] >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
         bucket = (((mixed ^ (mixed >> np.uint64(31))) >> np.uint64(16)) % np.uint64(buckets)).astype(np.int64)
-        order = np.argsort(bucket, kind="stable")
-        place = np.empty(len(terms), np.int64)
-        place[order] = np.arange(len(terms))
-        pairs, counts = np.unique(np.concatenate([text, text[inside]]) * max(len(terms), 1) + place[term], return_counts=True)
+        order = np.argsort(bucket.astype(np.uint16) if buckets <= 1 << 16 else bucket, kind="stable")
+        place = np.empty(len(one), np.int64)
+        place[order] = np.arange(len(one))
+        found, counts = np.unique(np.concatenate([text, text[inside]]) * max(len(one), 1) + place[term], return_counts=True)
 
         def named() -> pa.Array:
             first, second = words.take(pa.array(one[order])), words.take(pa.array(np.maximum(two[order], 0)))
             both = pc.binary_join_element_wise(first, second, pa.scalar(" ", pa.large_string()))
             return pc.if_else(pa.array(two[order] < 0), first, both).cast(pa.string())
 
-        return named, bucket[order], pairs // max(len(terms), 1), pairs % max(len(terms), 1), counts
+        return named, bucket[order], found // max(len(one), 1), found % max(len(one), 1), counts
 
     return terms_of
 
 
+def _words(stop: list[str]):
+    """Words of texts made by ``word_text``, each with a line end behind it, without stop words; a local function, so tasks need no import."""
+    kinds = np.zeros(256, np.uint8)
+    for letters, kind in ((b"abcdefghijklmnopqrstuvwxyz", 1), (b"ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789_", 2)):
+        kinds[list(letters)] = kind
+
+    def words_of(texts: pa.Array) -> pa.ListArray:
+        offsets = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset:texts.offset + len(texts) + 1]
+        letters = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[offsets[0]:offsets[-1]] if len(texts) else np.zeros(0, np.uint8)
+        kind = kinds[letters]
+        edges = np.flatnonzero(np.diff((kind > 0).view(np.int8), prepend=np.int8(0)))
+        start, end = edges[::2], edges[1::2]
+        good = end - start > 1
+        good[np.searchsorted(start, np.flatnonzero(kind == 2), "right") - 1] = False
+        start, end = start[good], end[good]
+        inside = np.zeros(len(letters) + 1, np.int8)
+        inside[start], inside[end] = 1, -1
+        spans = np.concatenate([[0], np.cumsum(end - start)]).astype(np.int32)
+        words = pa.StringArray.from_buffers(len(start), pa.py_buffer(spans), pa.py_buffer(letters[np.cumsum(inside[:-1], dtype=np.int8).view(bool)]))
+        kept = ~pc.is_in(words, value_set=pa.array(stop, pa.string())).to_numpy(zero_copy_only=False)
+        bounds = np.concatenate([[0], np.cumsum(kept)])[np.searchsorted(start, offsets - offsets[0])] if len(texts) else np.zeros(1)
+        return pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), words.filter(pa.array(kept)))
+
+    return words_of
+
+
 def gather(texts: DataFrame, text: str, stop: Sequence[str]) -> TermBlocks:
     """Blocks of the texts (round_id, paper, text) and what they ask the buckets; both written."""
-    words = texts.filter(F.col(ROUND).isNotNull()).select(ROUND, PAPER, drop_stop_words(tokens(F.col(text)), stop).alias("words"))
-    kind = words.schema[PAPER].dataType.simpleString()
-    room, tools, names = BLOCK_WORDS, _packing(), (ROUND, PAPER)
+    cleaned = texts.filter(F.col(ROUND).isNotNull()).select(ROUND, PAPER, F.concat(word_text(F.col(text)), F.lit("\n")).alias("text"))
+    kind = cleaned.schema[PAPER].dataType.simpleString()
+    room, tools, words_of, names = BLOCK_WORDS, _packing(), _words(list(stop)), (ROUND, PAPER)
 
     def lengths_of(rows: pa.Table) -> np.ndarray:
         return np.concatenate([np.zeros(0, np.int32), *(c.value_lengths().to_numpy(zero_copy_only=False) for c in rows["words"].chunks)]).astype(np.int32)
 
     def block(number: int, value: str, rows: pa.Table) -> pa.RecordBatch:
-        rows = rows.combine_chunks()
         coded = pa.concat_arrays([c.flatten() for c in rows["words"].chunks] or [pa.array([], pa.string())]).dictionary_encode()
-        order = pc.sort_indices(coded.dictionary).to_numpy()
-        rank = np.empty(len(order), np.int32)
-        rank[order] = np.arange(len(order), dtype=np.int32)
-        codes = rank[coded.indices.to_numpy(zero_copy_only=False)] if len(order) else np.zeros(0, np.int32)
+        codes = coded.indices.to_numpy(zero_copy_only=False)
         papers = rows[names[1]].to_pylist()
         return pa.RecordBatch.from_arrays([
             pa.array([value], pa.string()), pa.array([number], pa.int64()), pa.array([papers], pa.list_(rows.schema.field(names[1]).type)), pa.array([len(codes)], pa.int64()),
-            *(pa.array([x], pa.binary()) for x in (*tools.pack_texts(coded.dictionary.take(pa.array(order))).values(), tools.pack(lengths_of(rows)), tools.pack(codes)))],
+            *(pa.array([x], pa.binary()) for x in (*tools.pack_texts(coded.dictionary).values(), tools.pack(lengths_of(rows)), tools.pack(codes)))],
             [names[0], "block", "papers", "n_words", "letters", "lengths", "sizes", "codes"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number, waiting = TaskContext.get().partitionId() << 33, {}
         for batch in batches:
-            rows = pa.Table.from_batches([batch])
-            for value in pc.unique(rows[names[0]]).to_pylist():
-                more = rows.filter(pc.equal(rows[names[0]], value))
+            for value in pc.unique(batch.column(0)).to_pylist():
+                some = batch.filter(pc.equal(batch.column(0), value))
+                more = pa.table({names[0]: some.column(0), names[1]: some.column(1), "words": words_of(some.column(2))})
                 held = pa.concat_tables([waiting[value], more]) if value in waiting else more
                 ends = np.cumsum(lengths_of(held), dtype=np.int64)
                 start = 0
@@ -141,9 +180,9 @@ def gather(texts: DataFrame, text: str, stop: Sequence[str]) -> TermBlocks:
                 number += 1
 
     schema = f"{ROUND} string, block long, papers array<{kind}>, n_words long, letters binary, lengths binary, sizes binary, codes binary"
-    blocks = materialize(words.mapInArrow(run, schema), "blocks")
-    total = blocks.agg(F.sum("n_words")).first()[0] or 0
-    buckets = max(16, -(-2 * total // BUCKET_TERMS))
+    blocks = materialize(cleaned.mapInArrow(run, schema), "blocks")
+    total, count = blocks.agg(F.sum("n_words"), F.count("*")).first()
+    buckets = max(16, -(-2 * (total or 0) // BUCKET_TERMS))
     terms_of = _block_terms(buckets)
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -158,16 +197,12 @@ def gather(texts: DataFrame, text: str, stop: Sequence[str]) -> TermBlocks:
                     yield pa.RecordBatch.from_pylist(parts, pa.schema([(names[0], pa.string()), ("block", pa.int64()), ("bucket", pa.int32()),
                                                                        ("letters", pa.binary()), ("lengths", pa.binary()), ("holders", pa.binary())]))
 
-    asked = _few_rows(blocks.select(ROUND, "block", "letters", "lengths", "sizes", "codes")).mapInArrow(
+    # blocks are dealt evenly: they are few and heavy, and a file may hold many
+    asked = blocks.select(ROUND, "block", "letters", "lengths", "sizes", "codes").repartition(_tasks(blocks, count), "block").mapInArrow(
         ask, f"{ROUND} string, block long, bucket int, letters binary, lengths binary, holders binary")
     twice = blocks.select(ROUND, F.explode("papers").alias(PAPER)).groupBy(ROUND, PAPER).agg(F.count("*").alias("_n")).filter("_n > 1")
     repeated = materialize(twice.drop("_n"), "repeated")
-    return TermBlocks(blocks, materialize(asked, "asked"), buckets, None if repeated.isEmpty() else repeated)
-
-
-def _few_rows(blocks: DataFrame) -> DataFrame:
-    """Blocks dealt evenly: they are few and heavy, and a file may hold many."""
-    return blocks.repartition(_tasks(blocks, 1), "block")
+    return TermBlocks(blocks, materialize(asked, "asked"), buckets, count, None if repeated.isEmpty() else repeated)
 
 
 def _tasks(df: DataFrame, groups: int) -> int:
@@ -177,39 +212,43 @@ def _tasks(df: DataFrame, groups: int) -> int:
 
 
 def counts(side: TermBlocks, min_df: int) -> DataFrame:
-    """In how many texts of the round each term stands: ``round_id, term, df, bucket``, terms in fewer than ``min_df`` left out."""
+    """In how many texts of the round each term stands: ``round_id, term, df, bucket, spot``, terms in fewer than ``min_df`` left out.
+
+    ``spot`` is the term's place among the bucket's terms in the order of the blocks; by it, not by its text, the vocabulary finds back to it.
+    """
     tools, name = _packing(), ROUND
 
     def count(rows: pa.Table) -> pa.Table:
-        terms, _ = tools.unpack_texts(rows)
-        coded = terms.dictionary_encode()
+        rows = rows.sort_by("block")
+        coded = tools.unpack_texts(rows)[0].dictionary_encode()
         holders = np.concatenate([tools.unpack(x, np.int32) for x in rows["holders"].to_pylist()])
         df = np.bincount(coded.indices.to_numpy(zero_copy_only=False), holders, len(coded.dictionary)).astype(np.int64)
         kept = np.flatnonzero(df >= min_df)
         return pa.table({name: pa.array([rows[name][0].as_py()] * len(kept), pa.string()), "term": coded.dictionary.take(pa.array(kept)).cast(pa.string()),
-                         "df": df[kept], "bucket": pa.array(np.full(len(kept), rows["bucket"][0].as_py(), np.int32))})
+                         "df": df[kept], "bucket": pa.array(np.full(len(kept), rows["bucket"][0].as_py(), np.int32)), "spot": pa.array(kept.astype(np.int32))})
 
     key = [ROUND, "bucket"]
-    return side.messages.drop("block").repartition(_tasks(side.messages, side.buckets), *key).groupBy(*key).applyInArrow(
-        count, f"{ROUND} string, term string, df long, bucket int")
+    return side.messages.repartition(_tasks(side.messages, side.buckets), *key).groupBy(*key).applyInArrow(
+        count, f"{ROUND} string, term string, df long, bucket int, spot int")
 
 
 def answers(side: TermBlocks, vocab: DataFrame) -> DataFrame:
-    """What the vocabulary (round_id, bucket, term, idf, shared, term_id) knows of the terms of each message, in their order."""
+    """What the vocabulary (round_id, bucket, spot, idf, shared, term_id) knows of the terms of each message, in their order."""
     tools, name, key = _packing(), ROUND, [ROUND, "bucket"]
 
     def answer(rows: pa.Table, known: pa.Table) -> pa.Table:
+        rows = rows.sort_by("block")
         terms, starts = tools.unpack_texts(rows)
-        spot = pc.index_in(terms, value_set=known["term"].combine_chunks().cast(pa.large_string()))
-        spot = pc.fill_null(spot, known.num_rows).to_numpy(zero_copy_only=False)
-        idf = np.append(known["idf"].to_numpy(), 0.0)[spot]
-        ids = np.append(np.where(known["shared"].to_numpy(), known["term_id"].to_numpy(), -1), -1)[spot]
+        coded, spot = terms.dictionary_encode(), known["spot"].to_numpy()
+        at, idf, ids = coded.indices.to_numpy(zero_copy_only=False), np.zeros(len(coded.dictionary)), np.full(len(coded.dictionary), -1)
+        idf[spot], ids[spot] = known["idf"].to_numpy(), np.where(known["shared"].to_numpy(), known["term_id"].to_numpy(), -1)
+        idf, ids = idf[at], ids[at]
         cuts = list(zip(starts[:-1], starts[1:]))
         return pa.table({name: rows[name], "block": rows["block"], "bucket": rows["bucket"],
                          "idf": pa.array([tools.pack(idf[a:b]) for a, b in cuts], pa.binary()), "ids": pa.array([tools.pack(ids[a:b]) for a, b in cuts], pa.binary())})
 
     n = _tasks(vocab, side.buckets)
-    known = vocab.select(*key, "term", "idf", "shared", "term_id").repartition(n, *key).groupBy(*key)
+    known = vocab.select(*key, "spot", "idf", "shared", "term_id").repartition(n, *key).groupBy(*key)
     return side.messages.drop("holders").repartition(n, *key).groupBy(*key).cogroup(known).applyInArrow(
         answer, f"{ROUND} string, block long, bucket int, idf binary, ids binary")
 
@@ -226,18 +265,17 @@ def _filled(side: TermBlocks, answered: DataFrame, emit, schema: str) -> DataFra
             idf, ids = (np.concatenate([np.zeros(0, kind), *(tools.unpack(x, kind) for x in replies[c].to_pylist())]) for c, kind in (("idf", np.float64), ("ids", np.int64)))
             kept = np.flatnonzero(idf[term] > 0)
             text, term, count = text[kept], term[kept], count[kept]
-            times, at = np.unique(count, return_inverse=True)
-            weight = (1 + np.log(times.astype(np.float64)))[at] * idf[term]
+            weight = (1 + np.log(np.arange(1, count.max(initial=0) + 1, dtype=np.float64)))[count - 1] * idf[term]
             # squares are added as integers, as everywhere
             sums = np.concatenate([[0], np.cumsum(np.floor(weight * weight * 1e10 + 0.5).astype(np.int64))])
-            rows, first = np.unique(text, return_index=True)
-            ends = np.append(first[1:], len(text))
+            first = np.flatnonzero(np.diff(text, prepend=-1))
+            rows, ends = text[first], np.append(first[1:], len(text))[:len(first)]
             table = emit(named, rows, first, ends, term, weight, ids[term])
             papers = blocks["papers"].combine_chunks().flatten().take(pa.array(rows))
             parts.append(pa.table({name: pa.array([row[name]] * len(rows), pa.string()), "paper": papers, "squares": sums[ends] - sums[first], **table}))
         return pa.concat_tables(parts)
 
-    n = _tasks(side.blocks, 1)
+    n = _tasks(side.blocks, side.count)
     return side.blocks.drop("n_words").repartition(n, *key).groupBy(*key).cogroup(answered.repartition(n, *key).groupBy(*key)).applyInArrow(fill, schema)
 
 

@@ -64,8 +64,10 @@ def number_terms(vocab: DataFrame) -> DataFrame:
 
     A task numbers one of 4,096 ranges; no term is sorted beyond its range. Write the result before ``with_term_ids``.
     """
-    ranged = vocab.withColumn("term_range", F.substring(F.md5("term"), 1, 3))
-    place = F.row_number().over(Window.partitionBy(ROUND, "term_range").orderBy("term")) - 1
+    partitions = int(vocab.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = vocab.withColumn("term_range", F.substring(F.md5("term"), 1, 3)).repartition(partitions, "term_range", ROUND)
+    # the range comes first, as rows are told apart by it soonest
+    place = F.row_number().over(Window.partitionBy("term_range", ROUND).orderBy("term")) - 1
     return ranged.withColumn("range_place", place)
 
 

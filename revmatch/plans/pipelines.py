@@ -102,7 +102,8 @@ def sparse_side(prep: Prepared, stop_words: Sequence[str] | None = None) -> Spar
     numbered = materialize(tfidf.number_terms(tfidf.mark_shared(kept, paper_posted)), "vocabulary")
     vocab = tfidf.with_term_ids(numbered, materialize(tfidf.range_starts(numbered), "range_starts"))
     answered = blocks.answers(side, vocab)
-    return SparseSide(vocab, blocks.packed(side, answered), tfidf.unit(tfidf.packed(paper_posted, vocab, paper)), side, answered)
+    paper_rows = tfidf.packed(paper_posted, vocab.filter("shared"), paper)  # every term of a paper is shared
+    return SparseSide(vocab, blocks.packed(side, answered), tfidf.unit(paper_rows), side, answered)
 
 
 def paper_top_terms(prep: Prepared, sparse: SparseSide) -> DataFrame:

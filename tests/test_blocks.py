@@ -6,6 +6,7 @@ from collections import Counter, defaultdict
 import pytest
 from pyspark.sql import functions as F
 
+from revmatch.functions import text
 from revmatch.operators import blocks, tfidf
 from revmatch.schemas import PAPER, ROUND
 from tests.test_pipelines import STOP, fixture, grams  # noqa: F401
@@ -67,3 +68,26 @@ def test_a_blocks_distinct_terms_travel_once(spark):
                  for n in (1, 400))
     assert one.messages.count() == many.messages.count() <= 5
     assert {(r.term, r.df) for r in blocks.counts(many, 2).collect()} == {(t, 400) for t in ("alpha", "beta", "gamma", "alpha beta", "beta gamma")}
+
+
+def test_words_cut_by_bytes_are_the_tokens(spark):
+    """Neighbours of a word beyond ASCII, broken words, capitals that become ASCII, texts side by side, null and empty ones."""
+    odd = ["Alpha beta-\ngamma\ndelta", "café naïve 中word word٣ —dash— it’s", "KELVIN Kelvin İstanbul straße STRASSE", "a bb c1c d_d e9 the ffoo9",
+           "x", "", None, "open", "end́  space \U0001d400bold \U0001f600face abª ²two", "tail-\n", "the and of", "ü", "near\U0001d400 \U00020000 two"]
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(odd)], "k int, text string").coalesce(1)
+    stop = ["the", "and", "of"]
+    want = {r.k: r.w for r in df.select("k", text.drop_stop_words(text.tokens(F.col("text")), stop).alias("w")).collect()}
+    rows = df.select("k", F.concat(text.word_text(F.col("text")), F.lit("\n")).alias("t")).toArrow()
+    for part in (rows, rows.slice(3, 6)):
+        got = dict(zip(part["k"].to_pylist(), blocks._words(stop)(part["t"].combine_chunks()).to_pylist()))
+        assert got == {k: want[k] or [] for k in got} and len(got) == part.num_rows
+
+
+def test_vocabulary_meets_its_messages_without_text(spark):
+    """What the vocabulary sends back to the buckets are numbers: a term's text travels with its block and its row only."""
+    side = blocks.gather(spark.createDataFrame([("r", k, "alpha beta gamma") for k in range(8)], "round_id string, paper bigint, text string"), "text", STOP)
+    rows = blocks.counts(side, 2).collect()
+    assert len({(r.bucket, r.spot) for r in rows}) == len(rows) == 5
+    vocab = spark.createDataFrame([(r.round_id, r.bucket, r.spot, 1.0, True, k) for k, r in enumerate(rows)],
+                                  "round_id string, bucket int, spot int, idf double, shared boolean, term_id long")
+    assert {tuple(x.ids) for x in blocks.packed(side, blocks.answers(side, vocab)).collect()} == {(0, 1, 2, 3, 4)}
