@@ -12,16 +12,15 @@ import base64
 import json
 import os
 import re
+import sys
+from array import array
 from functools import lru_cache
 
-import numpy as np
-
-_IRREGULAR = re.compile(r"\s\s|\A\s|\s\Z")
 #: White space (Unicode's) in runs of more characters than this is cut out by hand: the pattern's engine overflows on some 10^6.
 LONG = 10_000
 _RUN = re.compile(r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{%d,}" % LONG)
 #: Parts kept at most per kind; then the store starts anew, so a worker's memory is bounded.
-KEPT = 250_000
+KEPT = 600_000
 
 
 def vocabulary_path(name: str = "byte_bpe_50k.tiktoken") -> str:
@@ -43,14 +42,26 @@ def added_tokens(path: str) -> dict[str, int]:
     return {t["content"]: t["id"] for t in found}
 
 
+def packed(ids: list[int]) -> bytes:
+    """Ids as little-endian unsigned 32-bit numbers."""
+    numbers = array("I", ids)
+    if sys.byteorder == "big":
+        numbers.byteswap()
+    return numbers.tobytes()
+
+
 class _Parts(dict):
-    def __init__(self, encode, before: str):
-        self.encode, self.before = encode, before
+    def __init__(self, encode, before: str, marks: dict[str, bytes]):
+        self.encode, self.before, self.marks = encode, before, marks
 
     def __missing__(self, part: str) -> bytes:
         if len(self) >= KEPT:
             self.clear()
-        ids = np.array(self.encode(self.before + part), "<u4").tobytes()
+        # the one mark behind a letter is a piece of its own, as white space or the end follows
+        if part[-1:] in self.marks and part[-2:-1].isalpha():
+            ids = self[part[:-1]] + self.marks[part[-1]]
+        else:
+            ids = packed(self.encode(self.before + part))
         if len(part) < 64:
             self[part] = ids
         return ids
@@ -65,8 +76,10 @@ class Encoder:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
         self.added, self.json, self.tokenizer = added_tokens(path), os.path.splitext(path)[0] + ".json", None
         self.core = tiktoken.Encoding("public", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=self.added)
-        self.first, self.rest = _Parts(self.ordinary, ""), _Parts(self.ordinary, " ")
-        self.newline = np.array(self.ordinary("\n"), "<u4").tobytes()
+        self.special = re.compile("|".join(map(re.escape, self.added)) or r"(?!)")
+        marks = {m: packed(self.ordinary(m)) for m in ",.;:!?" if not any(m in t for t in self.added)}
+        self.first, self.rest = _Parts(self.ordinary, "", marks), _Parts(self.ordinary, " ", marks)
+        self.newline = packed(self.ordinary("\n"))
 
     def ordinary(self, text: str) -> list[int]:
         """Ids of a text as it is, without the parts kept.
@@ -92,18 +105,20 @@ class Encoder:
         return self.tokenizer
 
     def _pieces(self, text: str) -> list[int]:
-        if any(t in text for t in self.added):
+        if self.special.search(text):
             return self.core.encode(text, allowed_special="all")
         return self.core.encode_ordinary(text)
 
     @staticmethod
     def regular(text: str) -> bool:
-        return not _IRREGULAR.search(text)
+        """White space comes one character at a time, and none at the ends: it is one character less than there are words."""
+        words = text.split()
+        return not text or len(text) - sum(map(len, words)) == len(words) - 1
 
     def ids(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit numbers."""
         if not self.regular(text):
-            return np.array(self.ordinary(text), "<u4").tobytes()
+            return packed(self.ordinary(text))
         out, first, rest = [], self.first, self.rest.__getitem__
         for k, line in enumerate(text.split("\n")):
             if k:

@@ -346,3 +346,22 @@ def test_long_awkward_texts_end(text):
     pii.base_spans(text)
     extract.main_text(text, extract.PLAIN)
     counts.cleaning_edits(text)
+
+
+# ---- token ids ----
+
+def test_a_mark_behind_a_word_asks_the_tokenizer_nothing():
+    """Ids of parts that end in one mark are put together from their word's, and are those of ``tokenizers`` on the whole text."""
+    from tokenizers import Tokenizer
+
+    from revmatch.llm import tokens
+
+    fast, asked = tokens.Encoder(vocabulary_path()), []
+    for parts in (fast.first, fast.rest):
+        parts.encode = lambda t: asked.append(t) or fast.ordinary(t)
+    whole = Tokenizer.from_file(fast.json)
+    texts = ["zebra zebra, zebra. zebra; zebra: zebra! zebra?", "Hi, you. e1, é. 中, ²: ٣; x́, don't, we'll. 's, '. ., a!? b", "ok<|endoftext|>, a.\n.b\nc, d", "a\tb. c\x1cd, e", "", ", a", "a  b,", "a, "]
+    for t in texts:
+        assert np.frombuffer(fast.ids(t), "<u4").tolist() == whole.encode(t, add_special_tokens=False).ids
+    assert sum("zebra" in t for t in asked) == 2  # at the start of a line and behind a space
+    assert [fast.regular(t) for t in ["", "a b", "a\tb\nc", " a", "a ", "a  b", "a 　b", "\n"]] == [True] * 3 + [False] * 5
