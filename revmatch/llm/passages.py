@@ -89,7 +89,7 @@ def lines(w: Words) -> tuple[np.ndarray, np.ndarray]:
     """First word and number of words of every line of at least ``LINE`` words."""
     if not len(w.start):
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    breaks = np.concatenate(([0], np.cumsum(w.data == 10)))
+    breaks = np.concatenate(([0], np.cumsum(w.data == 10, dtype=np.int32)))
     begin = np.flatnonzero(np.append(True, (w.doc[1:] != w.doc[:-1]) | (breaks[w.start[1:]] > breaks[w.end[:-1]])))
     size = np.diff(np.append(begin, len(w.start)))
     return begin[size >= LINE], size[size >= LINE]
@@ -98,7 +98,7 @@ def lines(w: Words) -> tuple[np.ndarray, np.ndarray]:
 class Paragraphs:
     """The distinct paragraphs of each document of a block: first word, words, content hash and band keys; and all places where they stand."""
 
-    def __init__(self, w: Words):
+    def __init__(self, w: Words, banded: bool = True):
         window, (line, size) = anchors(w), lines(w)
         at, size = np.concatenate([window, line]), np.concatenate([np.full(len(window), SIZE), size])
         whole = np.arange(len(at)) >= len(window)
@@ -110,8 +110,8 @@ class Paragraphs:
         kept = first[order]
         self.words, self.at, self.size, self.content = w, at[kept], size[kept], content[kept]
         self.every, self.which, self.whole = at, np.argsort(order)[same], whole[kept]  # all places, repeats too, and the distinct paragraph of each
-        if not len(at):
-            self.keys = [np.zeros(0, np.uint64)] * BANDS
+        self.keys = [np.zeros(0, np.uint64)] * BANDS
+        if not len(at) or not banded:
             return
         self.shingle = chain([w.hash[k:len(w.hash) - SHINGLE + 1 + k] for k in range(SHINGLE)])
         whole = self.whole
@@ -131,15 +131,26 @@ class Paragraphs:
         return [word[a:a + n].tobytes() for a, n in zip(self.at[which], self.size[which])]
 
 
-def _blocks(packed: bytes) -> Iterator[tuple[int, pa.Table, Paragraphs]]:
+def ordered(key: np.ndarray, content: np.ndarray) -> np.ndarray:
+    """The order by key, then content; only where a key repeats are contents compared."""
+    order = np.argsort(key)
+    same = key[order][1:] == key[order][:-1]
+    repeats = np.append(False, same) | np.append(same, False) if len(key) else same
+    again = order[repeats]
+    order[repeats] = again[np.lexsort((content[again], key[again]))]
+    return order
+
+
+def _blocks(packed: bytes, banded: bool = True) -> Iterator[tuple[int, pa.Table, Paragraphs]]:
     docs = unpack(packed)
     data, offsets = buffer(docs.column(0))
     for i, j in blocks(offsets):
-        yield i, docs, Paragraphs(Words(data[offsets[i]:offsets[j]], offsets[i:j + 1] - offsets[i]))
+        yield i, docs, Paragraphs(Words(data[offsets[i]:offsets[j]], offsets[i:j + 1] - offsets[i]), banded)
 
 
-def _entries(packed: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct (band key, content) of a batch in order, in how many of its documents each is, and the sum of those documents' tags."""
+def _entries(packed: bytes) -> tuple[np.ndarray, ...]:
+    """Distinct (band key, content) of a batch in order, in how many of its documents each is, and the sum of those documents' tags;
+    then the band keys of all its paragraphs, block by block and band by band, and the entry of each."""
     parts, tags = [], None
     for first, docs, p in _blocks(packed):
         if tags is None:
@@ -147,11 +158,12 @@ def _entries(packed: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndar
         parts.append((np.concatenate(p.keys), np.tile(p.content, BANDS), np.tile(tags[first + p.words.doc[p.at]], BANDS)))
     key, content, tag = (np.concatenate(c) for c in zip(*parts)) if parts else (np.zeros(0, np.uint64),) * 3
     if not len(key):
-        return key, content, key.astype(np.int64), tag
-    order = np.lexsort((content, key))
+        return key, content, key.astype(np.int64), tag, key, key.astype(np.int64)
+    every, order, entry = key, ordered(key, content), np.empty(len(key), np.int64)
     key, content, tag = key[order], content[order], tag[order]
-    new = np.flatnonzero(np.append(True, (key[1:] != key[:-1]) | (content[1:] != content[:-1])))
-    return key[new], content[new], np.diff(np.append(new, len(key))), np.add.reduceat(tag, new)
+    first = np.append(True, (key[1:] != key[:-1]) | (content[1:] != content[:-1]))
+    entry[order], new = np.cumsum(first) - 1, np.flatnonzero(first)
+    return key[new], content[new], np.diff(np.append(new, len(key))), np.add.reduceat(tag, new), every, entry
 
 
 _SENT = "batch long, range long, keys binary, contents binary, counts binary"
@@ -163,7 +175,7 @@ def _send(ranges: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for number, packed in zip(b.column(0).to_pylist(), b.column(2).to_pylist()):
-                key, content, count, tag = _entries(packed)
+                key, content, count, tag = _entries(packed)[:4]
                 cut = np.searchsorted(hash_ranges(key, ranges), np.arange(ranges + 1, dtype=np.uint64))
                 rows = []
                 for r in np.flatnonzero(np.diff(cut)).tolist():
@@ -185,7 +197,7 @@ def _answer(group: pa.Table) -> pa.Table:
     sizes = [len(p[0]) for p in parts]
     key, both, count = (np.concatenate(c) for c in zip(*parts))
     content, tag = both >> np.uint64(24), both & np.uint64(0xFFFFFF)
-    order = np.lexsort((content, key))
+    order = ordered(key, content)
     k, c = key[order], content[order]
     new_key = np.append(True, k[1:] != k[:-1])
     new = np.flatnonzero(new_key | np.append(True, c[1:] != c[:-1]))
@@ -238,18 +250,16 @@ def _report(group: pa.Table) -> pa.Table:
     packed = next(v for v in group.column("docs").to_pylist() if v is not None)
     rows = sorted((r, f, n) for r, f, n in zip(*(group.column(x).to_pylist() for x in ("range", "flags", "size"))) if r is not None)
     flags = np.concatenate([grow(f, np.uint8) if f is not None else np.zeros(n, np.uint8) for _, f, n in rows]) if rows else np.zeros(0, np.uint8)
-    key, content, _, _ = _entries(packed)
-    pair = chain([key, content]) if len(key) else key
-    order = np.argsort(pair)
-    pair, flags = pair[order], flags[order]
+    every, entry = _entries(packed)[4:]
     out: list[pa.Table] = []
-    seen = np.zeros(0, np.uint64)
-    for first, docs, p in _blocks(packed):
+    seen, done = np.zeros(0, np.uint64), 0
+    for first, docs, p in _blocks(packed, banded=False):
         if not len(p.at):
             continue
-        w = p.words
-        mine = np.stack([flags[np.searchsorted(pair, chain([k, p.content]))] for k in p.keys], 1)
-        reached = _reached(mine, np.stack(p.keys, 1), w.doc[p.at])
+        w, part = p.words, slice(done, done + BANDS * len(p.at))
+        done = part.stop
+        keys, mine = (np.ascontiguousarray(x.reshape(BANDS, -1).T) for x in (every[part], flags[entry[part]]))
+        reached = _reached(mine, keys, w.doc[p.at])
         which = np.flatnonzero((mine & 3).any(1) | reached)
         if not len(which):
             continue
@@ -258,7 +268,7 @@ def _report(group: pa.Table) -> pa.Table:
         fresh = collide.any(1) & ~np.isin(p.content[which], seen)
         fresh[fresh] = np.isin(np.flatnonzero(fresh), np.flatnonzero(fresh)[np.unique(p.content[which][fresh], return_index=True)[1]])
         seen = np.concatenate([seen, p.content[which][fresh]])
-        keys = np.stack([k[which] for k in p.keys], 1).view(np.int64)
+        keys = keys[which].view(np.int64)
         payload = iter(p.short(which[fresh]))
         bands = [keys[i][collide[i]].tolist() if f else None for i, f in enumerate(fresh)]
         # a paragraph is compared once but lost wherever its document repeats it

@@ -27,10 +27,11 @@ LOWER[65:91] += 32
 def mix(h: np.ndarray) -> np.ndarray:
     """A bijective scramble of 64-bit values."""
     h = h ^ (h >> U(31))
-    h = h * U(0x7FB5D329728EA185)
-    h = h ^ (h >> U(27))
-    h = h * U(0x81DADEF4BC2DD44D)
-    return h ^ (h >> U(33))
+    h *= U(0x7FB5D329728EA185)
+    h ^= h >> U(27)
+    h *= U(0x81DADEF4BC2DD44D)
+    h ^= h >> U(33)
+    return h
 
 
 _CODE = mix(np.arange(1, 257, dtype=U) * U(0xD6E8FEB86659FD93)) | U(1)

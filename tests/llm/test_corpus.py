@@ -449,3 +449,20 @@ def test_pipeline_run_and_awkward_documents(spark, sf_dir):
         assert stage(spark, nothing(docs), sf_dir).count() == 0
         docs = stage(spark, docs, sf_dir)
     assert docs.count() > 0
+
+
+def test_entries_of_a_batch_are_found_without_a_search():
+    """Order by key, then content, as by sorting both; every paragraph's band key leads to its own entry, and the second pass makes no bands."""
+    rng = np.random.default_rng(7)
+    for n, top in ((0, 2), (1, 2), (500, 40), (500, 1 << 60)):
+        key, content = rng.integers(0, top, n, dtype=np.uint64), rng.integers(0, 5, n, dtype=np.uint64)
+        order = passages.ordered(key, content)
+        assert sorted(order.tolist()) == list(range(n))
+        best = np.lexsort((content, key))
+        assert (key[order] == key[best]).all() and (content[order] == content[best]).all()
+    from revmatch.llm.text import Words
+
+    data = " ".join(f"w{k % 90}" for k in range(400)).encode()
+    w = Words(np.frombuffer(data, np.uint8), np.array([0, len(data)]))
+    full, bare = passages.Paragraphs(w), passages.Paragraphs(w, banded=False)
+    assert (full.content == bare.content).all() and len(full.keys[0]) == len(full.at) and not len(bare.keys[0])
