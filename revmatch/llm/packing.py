@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from revmatch.llm.common import ID, texts, written
-from revmatch.llm.text import mix
+from revmatch.llm.text import blocks, buffer, mix
 from revmatch.llm.tokens import encoder, vocabulary_path
 
 LENGTH, GROUP, CUT_EVERY = 1024, 20000, 16
@@ -45,10 +45,10 @@ def _cut(path: str, length: int, with_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, task = encoder(path).ids, TaskContext.get().partitionId()
         row = made = 0
-        for b in batches:
+        for part in _parts(batches):
             rows: list[tuple] = []
             ids_of: list[bytes] = []
-            for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            for doc, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
                 ids = encode(text) + b"\0\0\0\0"
                 total, at = len(ids) // 4, 0
                 salt = int(mix(np.array([(task << 36) + row], np.uint64))[0] >> np.uint64(2))
@@ -62,15 +62,18 @@ def _cut(path: str, length: int, with_ids: bool):
                     if with_ids:
                         ids_of.append(piece)
                     at += n
-                if len(rows) > 50_000:
-                    yield _batch(rows, ids_of if with_ids else None)
-                    rows, ids_of = [], []
-            if rows:
-                yield _batch(rows, ids_of if with_ids else None)
+            yield _batch(rows, ids_of if with_ids else None)
 
     return run
 
 
+def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches in parts of about ``BLOCK`` bytes of text, so that few texts and ids are Python objects at a time."""
+    for b in batches:
+        for i, j in blocks(buffer(b.column(1))[1]):
+            yield b.slice(i, j - i)
+
+
 def _batch(rows: list[tuple], ids: list[bytes] | None) -> pa.RecordBatch:
     names = [ID, "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "salt"]
     columns = [pa.array(c, pa.int64()) for c in zip(*rows)]

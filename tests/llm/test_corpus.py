@@ -2,14 +2,17 @@
 
 import zlib
 from collections import Counter, defaultdict
+from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 
 import corpus_pipeline
 from revmatch.llm import decontaminate, packing, passages, pii, simhash, toxicity
 from revmatch.llm.common import components, table
+from revmatch.llm.text import BLOCK
 from revmatch.llm.tokens import encoder, vocabulary_path
 from tests.llm.helpers import awkward, nothing, words
 
@@ -415,6 +418,24 @@ def test_first_fit_is_first_fit():
     assert packing.first_fit([], 100) == ([], [])
 
 
+def test_packing_holds_few_texts_at_a_time(monkeypatch):
+    """One Arrow batch of 6 MB goes out in parts, each with the ids of about a megabyte of text."""
+    monkeypatch.setattr(packing, "TaskContext", SimpleNamespace(get=lambda: SimpleNamespace(partitionId=lambda: 3)))
+    texts = ["the quick brown fox " * 300 for _ in range(1000)]
+    batch = pa.record_batch([pa.array(range(1000), pa.int64()), pa.array(texts)], names=["doc_id", "text"])
+    path = packing.vocabulary_path()
+    out = list(packing._cut(path, 1024, True)(iter([batch, batch.slice(0, 0)])))
+    plain = packing.encoder(path).ids(texts[0]) + b"\0\0\0\0"
+    whole = pa.Table.from_batches(out)
+    assert len(out) > 4 and max(len(b"".join(b.column("ids").to_pylist())) for b in out) <= 2 * BLOCK * len(plain) // len(texts[0])
+    got = {}
+    for r in whole.to_pylist():
+        got.setdefault(r["doc_id"], []).append((r["start"], r["ids"]))
+    assert len(got) == 1000 and all(b"".join(ids for _, ids in sorted(v)) == plain for v in got.values())
+    own = [x for x in whole.column("sequence_id").to_pylist() if x is not None]
+    assert len(own) == len(set(own)) > 0
+
+
 # ---- pipeline ----
 
 def test_pipeline_stages(spark, sf_dir):
