@@ -174,8 +174,9 @@ def _send(ranges: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for number, packed in zip(b.column(0).to_pylist(), b.column(2).to_pylist()):
-                key, content, count, tag = _entries(packed)[:4]
+            for number, packed in zip(b.column(0), b.column(2)):  # not to_pylist(): one batch of documents is held at a time
+                number = number.as_py()
+                key, content, count, tag = _entries(packed.as_py())[:4]
                 cut = np.searchsorted(hash_ranges(key, ranges), np.arange(ranges + 1, dtype=np.uint64))
                 rows = []
                 for r in np.flatnonzero(np.diff(cut)).tolist():

@@ -17,6 +17,9 @@ ENGINE_CONF = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
 }
 
+#: Spark's setting that removes the shuffle files of an SQL execution when it ends. Otherwise they stay until the driver collects its garbage.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 _LOCAL_DIRS: dict[str, str] = {}
 
 
@@ -50,9 +53,14 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back.
 
     Cuts lineage in a way that survives executor loss, and gives the planner real file
-    sizes, so small tables are broadcast by their measured size only.
+    sizes, so small tables are broadcast by their measured size only. The shuffle files of this one write are gone after it,
+    so that disk holds those of one step at a time.
     """
     spark = df.sparkSession
-    path = scratch_path(spark, name)
-    df.write.parquet(path)
+    path, before = scratch_path(spark, name), spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
